@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Units, epochs and limits.
-SECOND_NS = 1_000_000_000
+SECOND_NS, MILLI_NS = 1_000_000_000, 1_000_000
 TICKS_PER_SECOND = 100
 LONG_MAX = 9_223_372_036_854_775_807
 UNSIGNED_MAX = "18446744073709551615"
@@ -76,4 +76,5 @@ def exit_code_of_wait_status(status: Column) -> Column:
 def lifetime_ms(stop_ns: Column, started_ns: Column, captured_ns: Column) -> Column:
     """Whole milliseconds lived, from the start or else the first capture; never negative."""
     lived = stop_ns - F.coalesce(started_ns, captured_ns)
-    return F.when(lived < 0, F.lit(0)).otherwise(F.floor(lived / F.lit(1_000_000).cast("decimal(20,0)"))).cast("long")
+    whole = F.round((lived - lived % MILLI_NS) / MILLI_NS)
+    return F.when(lived < 0, F.lit(0)).otherwise(whole).cast("long")

@@ -21,7 +21,7 @@ HOT_ROWS = 4_000_000     # a (host, PID) group beyond this is sliced
 HOT_KEYS = 10_000        # hot groups that may be listed; beyond it all are sliced
 
 
-def _slice_of(pos: str, width: int) -> Column:
+def slice_of(pos: str, width: int) -> Column:
     return F.expr(f"`{pos}` div {int(width)}L")
 
 
@@ -40,7 +40,7 @@ def running(
         over = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({name: F.max(value).over(over) for name, value in latest.items()})
     part = [*keys, SLICE]
-    sliced = df.withColumn(SLICE, _slice_of(pos, width))
+    sliced = df if SLICE in df.columns else df.withColumn(SLICE, slice_of(pos, width))
     inside = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumns({name: F.max(value).over(inside) for name, value in latest.items()})
@@ -63,7 +63,7 @@ def ordinals(
 ) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... by position."""
     part = [*keys, SLICE]
-    sliced = df.withColumn(SLICE, _slice_of(pos, width))
+    sliced = df.withColumn(SLICE, slice_of(pos, width))
     local = sliced.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*part).orderBy(pos)).cast("long")
     )
@@ -85,9 +85,10 @@ def neighbours(
     """Add columns of the row at ``ordinal - 1`` / ``ordinal + 1`` of the group.
 
     One shuffle: rows at the border of a slice are copied into the adjoining
-    slice as context (2 / width more rows) and dropped again afterwards.
+    slice as context (2 / width more rows) and dropped again afterwards. The
+    slice column stays, so that later steps can reuse the partitioning.
     """
-    home = _slice_of(ordinal, width)
+    home = slice_of(ordinal, width)
     offset = F.expr(f"`{ordinal}` % {int(width)}L")
     spread = df.withColumn("_home", home).withColumn(
         SLICE,
@@ -102,7 +103,7 @@ def neighbours(
         found[name] = F.when(F.lag(ordinal).over(order) == here - 1, F.lag(source).over(order))
     for name, source in (following or {}).items():
         found[name] = F.when(F.lead(ordinal).over(order) == here + 1, F.lead(source).over(order))
-    return spread.withColumns(found).where(F.col(SLICE) == F.col("_home")).drop(SLICE, "_home")
+    return spread.withColumns(found).where(F.col(SLICE) == F.col("_home")).drop("_home")
 
 
 def by_heat(
