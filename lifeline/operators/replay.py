@@ -43,7 +43,7 @@ STATE_ROWS = _T.StructType([
         ("observed_ns", _T.LongType()), ("exit_code", _T.LongType()),
         ("before", S.PROCESS), ("before_pos", _T.LongType()),
         ("after", S.PROCESS), ("after_pos", _T.LongType()),
-        ("renewed", _T.BooleanType()), ("cand", S.PROCESS),
+        ("renewed", _T.BooleanType()), ("cand", S.PROCESS), ("trace_id", _T.LongType()),
     )]
 ])
 _FOLD_IN = _T.StructType([
@@ -150,7 +150,7 @@ def absences(rows: DataFrame, scans: DataFrame, width: int = WIDTH) -> DataFrame
 
 
 def replay_rows(rows: DataFrame, align_all: bool = False, hot_rows: int = HOT_ROWS,
-                width: int = WIDTH, fold_all: bool = False) -> DataFrame:
+                width: int = WIDTH, fold_all: bool = False, keys: list[str] = KEY) -> DataFrame:
     """State before and after every row (STATE_ROWS).
 
     ``align_all`` renames any provisional ID on reconciliation; by default only
@@ -158,21 +158,22 @@ def replay_rows(rows: DataFrame, align_all: bool = False, hot_rows: int = HOT_RO
     (used to check the two paths against each other).
     """
     return by_heat(
-        rows, KEY, lambda part, w: _replay(part, w, align_all, fold_all), hot_rows, width
+        rows, keys, lambda part, w: _replay(part, w, align_all, fold_all, keys), hot_rows, width
     )
 
 
-def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool) -> DataFrame:
+def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
+            keys: list[str]) -> DataFrame:
     kind, pos, cand = F.col("kind"), F.col("pos"), F.col("cand")
     ends = kind.isin(S.STOP, ABSENT)
-    step = running(rows, KEY, "pos", {
+    step = running(rows, keys, "pos", {
         "_stop": F.when(ends, pos), "_live": F.when(~ends, pos),
     }, inclusive=False, width=width)
     found = F.coalesce(F.col("_live") > F.coalesce("_stop", F.lit(-(1 << 62))), F.lit(False))
     step = step.withColumn("found", found)
     known = F.col("found")
     replaces = ~ends & ((kind == S.START) | F.col("solid") | ~known)
-    step = running(step, KEY, "pos", {
+    step = running(step, keys, "pos", {
         "_last": F.when(replaces, F.struct(pos.alias("p"), cand.alias("c"))),
     }, inclusive=False, width=width)
     last = F.col("_last.c")
@@ -187,8 +188,8 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool)
     step = step.withColumn(
         "fresh", ~ends & ((kind == S.START) | ~known | ((kind == SCAN) & ~confirms))
     )
-    step = running(step, KEY, "pos", {"_gen": F.when(F.col("fresh"), pos)}, width=width)
-    step = running(step, KEY, "pos", {
+    step = running(step, keys, "pos", {"_gen": F.when(F.col("fresh"), pos)}, width=width)
+    step = running(step, keys, "pos", {
         "_first": F.when(F.col("fresh"), F.struct(pos.alias("p"), cand["captured_ns"].alias("v"))),
         "_known": F.when(
             replaces & cand["started_ns"].isNotNull(),
@@ -205,7 +206,7 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool)
         F.col("pid"), cand["process_id"], cand["started_ns"],
     )
     suspect = known & ~ends if fold_all else merged
-    step = running(step, KEY, "pos", {"_merge": F.when(suspect, pos)}, width=width)
+    step = running(step, keys, "pos", {"_merge": F.when(suspect, pos)}, width=width)
     folded = F.coalesce(F.col("_merge") > F.coalesce("_stop", F.lit(-(1 << 62))), F.lit(False))
     kept = F.col("before").isNotNull() & ~F.col("fresh")
     after = (
@@ -225,7 +226,7 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool)
     stretch = step.where("_folded").withColumn("stretch", F.coalesce("_stop", F.lit(-(1 << 62))))
     # Windows leave partitions sorted by key and position; the fold states its need anyway.
     fold = S.conform(
-        stretch.repartition(*KEY).sortWithinPartitions(*KEY, "pos"), _FOLD_IN
+        stretch.repartition(*keys).sortWithinPartitions(*keys, "pos"), _FOLD_IN
     ).mapInArrow(_folder(align_all), STATE_ROWS)
     return direct.unionByName(fold)
 
@@ -283,7 +284,7 @@ def _folder(align_all: bool):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                stretch = (row["host_id"], row["pid"], row["stretch"])
+                stretch = (row["trace_id"], row["host_id"], row["pid"], row["stretch"])
                 if stretch != current:
                     current, state, began = stretch, row["before"], row["before_pos"]
                 before, before_pos = state, began
@@ -326,32 +327,30 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
     """
     kind, before, after = F.col("kind"), F.col("before"), F.col("after")
     at, seen = F.col("event_ns"), F.col("observed_ns")
-    scanned = kind.isin(SCAN, ABSENT)
 
-    def event(name: str, subject: Column, sub: int, when: Column, code: Column, began: Column) -> Column:
+    def event(name: str, subject: Column, sub: int, when: Column, code: Column) -> Column:
         lived = lifetime_ms(when, subject["started_ns"], subject["captured_ns"])
         return F.struct(
             F.lit(name).alias("kind"), F.lit(sub).alias("sub"), when.alias("event_ns"),
             subject.alias("p"), code.cast("long").alias("exit_code"),
             (lived if name == S.STOP else F.lit(None).cast("long")).alias("duration_ms"),
-            began.alias("generation_pos"),
         )
 
     none = F.lit(None).cast("long")
-    implicit = F.when(F.col("renewed"), event(S.STOP, before, 0, at, none, F.col("before_pos")))
+    implicit = F.when(F.col("renewed"), event(S.STOP, before, 0, at, none))
     fresh = F.col("renewed") | before.isNull()
     main = (
-        F.when(kind == S.START, event(S.START, after, 1, at, none, F.col("after_pos")))
-        .when(kind == S.EXEC, event(S.EXEC, after, 1, at, none, F.col("after_pos")))
+        F.when(kind == S.START, event(S.START, after, 1, at, none))
+        .when(kind == S.EXEC, event(S.EXEC, after, 1, at, none))
         .when(kind == S.STOP, event(
-            S.STOP, F.coalesce(before, F.col("cand")), 1, at, F.col("exit_code"), F.col("before_pos")))
+            S.STOP, F.coalesce(before, F.col("cand")), 1, at, F.col("exit_code")))
         .when((kind == ABSENT) & before.isNotNull(), event(
-            S.STOP, before, 1, at, none, F.col("before_pos")))
+            S.STOP, before, 1, at, none))
         .when((kind == SCAN) & fresh, event(
-            S.START, after, 1, F.coalesce(after["started_ns"], at), none, F.col("after_pos")))
+            S.START, after, 1, F.coalesce(after["started_ns"], at), none))
         .when(
             (kind == SCAN) & I.changed(before["command"], before["exe"], after["command"], after["exe"]),
-            event(S.EXEC, after, 1, at, none, F.col("after_pos")),
+            event(S.EXEC, after, 1, at, none),
         )
     )
     rows = states.where(kind != SEED).withColumn(
@@ -359,14 +358,16 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
     )
     backend = F.coalesce(*[
         F.when(F.col("family") == f, F.lit(b)) for f, b in S.BACKEND_OF_FAMILY.items()
-    ])
-    phase = F.when(scanned & (F.col("_e.kind") == S.STOP), 2).otherwise(1)
+    ], F.col("family"))
+    # A trace replaces a PID in place; a table difference stops old IDs after all starts.
+    late = (kind == ABSENT) | ((kind == SCAN) & (F.col("family") != S.TRACE))
+    phase = F.when(late & (F.col("_e.kind") == S.STOP), 2).otherwise(1)
     flat = rows.select(
         "host_id", S.order_key(F.col("pos"), phase, F.col("pid"), F.col("_e.sub")).alias("order_key"),
         F.col("_e.kind").alias("kind"), F.col("_e.event_ns").alias("event_ns"), "observed_ns",
         *[F.col(f"_e.p.{c}").alias(c) for c in S.PROCESS_COLUMNS if c not in ("started_ns", "captured_ns")],
         F.col("_e.duration_ms").alias("duration_ms"), F.col("_e.exit_code").alias("exit_code"),
-        backend.alias("backend"), F.col("_e.generation_pos").alias("generation_pos"),
+        backend.alias("backend"), "trace_id",
     )
     return S.as_events(flat)
 
