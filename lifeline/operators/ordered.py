@@ -151,7 +151,7 @@ def as_of(
     seen = F.when(F.col("_row").isNull(), F.struct(F.col("_at").alias("at"), F.col("_fact").alias("fact")))
 
     def carry(part: DataFrame, slices: int | None) -> DataFrame:
-        return running(part, keys, "_at", {"_seen": seen}, width=slices)
+        return running(part, keys, "_at", {"_asof": seen}, width=slices)
 
     done = carry(both, width) if dense else by_heat(both, keys, carry, hot_rows, width)
-    return done.where("_row").select(*rows.columns, F.col("_seen.fact").alias(name))
+    return done.where("_row").select(*rows.columns, F.col("_asof.fact").alias(name))
