@@ -73,8 +73,7 @@ def exit_code_of_wait_status(status: Column) -> Column:
     )
 
 
-def lifetime_ms(stop_ns: Column, started_ns: Column, captured_ns: Column) -> Column:
-    """Whole milliseconds lived, from the start or else the first capture; never negative."""
-    lived = stop_ns - F.coalesce(started_ns, captured_ns)
-    whole = F.round((lived - lived % MILLI_NS) / MILLI_NS)
-    return F.when(lived < 0, F.lit(0)).otherwise(whole).cast("long")
+def lifetime_ms(stop_ns: str, started_ns: str, captured_ns: str) -> str:
+    """SQL text: whole milliseconds lived, from the start or else the first capture; never negative."""
+    lived = f"({stop_ns} - coalesce({started_ns}, {captured_ns}))"
+    return f"(CASE WHEN {lived} < 0 THEN 0L ELSE {lived} END div {MILLI_NS}L)"

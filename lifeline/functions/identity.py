@@ -20,19 +20,23 @@ def provisional_id(prefix: str, pid: Column, token: Column) -> Column:
     return F.concat_ws(":", F.lit(prefix), pid.cast("string"), token.cast("string"))
 
 
-def is_provisional(pid_text: Column) -> Column:
-    return F.contains(pid_text, F.lit(":")) & F.substring_index(pid_text, ":", 1).isin(*PROVISIONAL)
-
-
-def same_generation(
-    pid_a: Column, id_a: Column, start_a: Column, pid_b: Column, id_b: Column, start_b: Column
-) -> Column:
-    """Same PID, and equal IDs or a provisional ID with known starts at most 2 s apart."""
-    near = F.coalesce(F.abs(start_a - start_b) <= GENERATION_TOLERANCE_NS, F.lit(False))
-    fuzzy = (is_provisional(id_a) | is_provisional(id_b)) & near
-    return F.coalesce((pid_a == pid_b) & ((id_a == id_b) | fuzzy), F.lit(False))
-
-
-def changed(command_a: Column, exe_a: Column, command_b: Column, exe_b: Column) -> Column:
-    """Command or executable differs; a missing text equals a missing text."""
-    return ~(command_a.eqNullSafe(command_b) & exe_a.eqNullSafe(exe_b))
+def is_provisional(process_id: str) -> str:
+    """SQL text: the ID is a stand-in until a stable one is known."""
+    return (
+        f"(contains({process_id}, ':') AND substring_index({process_id}, ':', 1) IN "
+        f"({', '.join(repr(p) for p in PROVISIONAL)}))"
+    )
+
+
+def same_generation(pid_a: str, id_a: str, start_a: str, pid_b: str, id_b: str, start_b: str) -> str:
+    """SQL text: same PID, and equal IDs or a provisional ID with known starts at most 2 s apart."""
+    near = f"coalesce(abs({start_a} - {start_b}) <= {GENERATION_TOLERANCE_NS}, false)"
+    return (
+        f"coalesce({pid_a} = {pid_b} AND ({id_a} = {id_b} OR "
+        f"(({is_provisional(id_a)} OR {is_provisional(id_b)}) AND {near})), false)"
+    )
+
+
+def changed(command_a: str, exe_a: str, command_b: str, exe_b: str) -> str:
+    """SQL text: command or executable differs; a missing text equals a missing text."""
+    return f"(NOT ({command_a} <=> {command_b} AND {exe_a} <=> {exe_b}))"

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifeline import schemas as S
 from lifeline.functions.clock import lifetime_ms
 from lifeline.functions.identity import changed
-from lifeline.operators.ordered import SCAN_WIDTH, SLICE, WIDTH, neighbours, ordinals
+from lifeline.operators.ordered import SCAN_WIDTH, SLICE, WIDTH, neighbours, ordinals, over
 
 SCAN_KEY = ["host_id", "scan_id"]
 PROCESS_KEY = ["host_id", "process_id"]
 # Events of one scan: changes and starts first, then stops.
 PHASE_GAP, PHASE_CHANGE, PHASE_STOP = 0, 1, 2
+# Fixed value: gap text of a failed scan.
+SCAN_FAILED = "process snapshot failed; expected a complete process table, received error "
 
 
 def dedup_scan(scans: DataFrame) -> DataFrame:
@@ -63,15 +65,10 @@ def attach_manifest(scans: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def failed_scan_gaps(manifest: DataFrame, backend: str = S.POLL) -> DataFrame:
     """One gap per scan that could not be read."""
-    message = F.concat(
-        F.lit("process snapshot failed; expected a complete process table, received error "),
-        F.coalesce(F.col("error"), F.lit("")),
-    )
-    failed = manifest.where(~F.col("success"))
-    return S.as_events(failed.select(
-        "host_id", S.order_key(F.col("pos"), PHASE_GAP, F.lit(0)).alias("order_key"),
-        F.lit(S.GAP).alias("kind"), F.col("observed_ns").alias("event_ns"), "observed_ns",
-        F.lit(backend).alias("backend"), message.alias("message"),
+    return S.as_events(manifest.where("NOT success").selectExpr(
+        "host_id", f"{S.order_key('pos', PHASE_GAP)} AS order_key", f"'{S.GAP}' AS kind",
+        "observed_ns AS event_ns", "observed_ns", f"'{backend}' AS backend",
+        f"concat('{SCAN_FAILED}', coalesce(error, '')) AS message",
     ))
 
 
@@ -84,65 +81,41 @@ def first_observation(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame
     the process is present in the next scan. Runs are cut into slices of scans;
     only a run crossing a slice border contributes one summary row per border.
     """
-    near = neighbours(
+    part = [*PROCESS_KEY, SLICE]
+    local = neighbours(
         prepared, PROCESS_KEY, "ordinal",
         previous={"_prev": "ordinal", "previous_command": "command", "previous_exe": "exe"},
         following={"_next": "ordinal"}, width=width,
-    )
-    part = [*PROCESS_KEY, SLICE]
-    inside = Window.partitionBy(*part).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    earliest = lambda c: F.max(
-        F.when(F.col(c).isNotNull(), F.struct(
-            F.coalesce("_run", F.lit(-1)).alias("run"), -F.col("ordinal"), F.col(c).alias("value")
-        ))
-    ).over(inside)
-    local = (
-        near.withColumn("_run", F.max(F.when(F.col("_prev").isNull(), F.col("ordinal"))).over(inside))
-        .withColumns({"_captured": earliest("captured_ns"), "_started": earliest("started_ns")})
-        .withColumns({
-            c: F.when(F.col(f"{c}.run") == F.coalesce("_run", F.lit(-1)), F.col(f"{c}.value"))
-            for c in ("_captured", "_started")
-        })
+    ).selectExpr(
+        "*", f"max(CASE WHEN _prev IS NULL THEN ordinal END) {over(part, 'ordinal')} AS _run"
+    )
+    earliest = lambda c: (
+        f"max(CASE WHEN {c} IS NOT NULL THEN struct(coalesce(_run, -1L) AS run, -ordinal AS o, {c} AS v) END) "
+        f"{over(part, 'ordinal')}")
+    local = local.selectExpr(
+        "*", f"{earliest('captured_ns')} AS _c", f"{earliest('started_ns')} AS _s"
+    ).selectExpr(
+        "*", "CASE WHEN _c.run = coalesce(_run, -1L) THEN _c.v END AS _captured",
+        "CASE WHEN _s.run = coalesce(_run, -1L) THEN _s.v END AS _started",
     )
     # A slice's last scan hands its open run to the next slice.
-    across = Window.partitionBy(*PROCESS_KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
-    edge = local.where(F.expr(f"ordinal % {width}L = {width - 1}L AND _next IS NOT NULL")).select(
-        *part, "_run", "_captured", "_started"
+    edge = local.where(f"ordinal % {width}L = {width - 1}L AND _next IS NOT NULL").selectExpr(
+        *part, f"max(CASE WHEN _run IS NOT NULL THEN struct({SLICE} AS s, _run AS run, _captured AS v) END) "
+               f"{over(PROCESS_KEY, SLICE)} AS _head", "_started",
     )
-    head = F.when(F.col("_run").isNotNull(), F.struct(SLICE, "_run", "_captured"))
-    carried = (
-        edge.withColumn("_head", F.max(head).over(across))
-        .withColumn("_known", F.max(F.when(
-            F.col("_started").isNotNull(),
-            F.struct(F.col(f"_head.{SLICE}").alias("chain"), -F.col(SLICE), F.col("_started").alias("v")),
-        )).over(across))
-        .select(
-            *PROCESS_KEY, (F.col(SLICE) + 1).alias(SLICE),
-            F.col("_head._run").alias("_in_run"), F.col("_head._captured").alias("_in_captured"),
-            F.when(F.col("_known.chain") == F.col(f"_head.{SLICE}"), F.col("_known.v")).alias("_in_started"),
-        )
+    carried = edge.selectExpr(
+        *part, "_head", "max(CASE WHEN _started IS NOT NULL THEN "
+                        f"struct(_head.s AS s, -{SLICE} AS o, _started AS v) END) {over(PROCESS_KEY, SLICE)} AS _known",
+    ).selectExpr(
+        *PROCESS_KEY, f"{SLICE} + 1 AS {SLICE}", "_head.run AS _in_run", "_head.v AS _in_captured",
+        "CASE WHEN _known.s = _head.s THEN _known.v END AS _in_started",
     )
-    came_in = F.col("_run").isNull()
-    return local.join(carried, part, "left").select(
-        *prepared.columns, "previous_command", "previous_exe",
-        F.coalesce("_run", "_in_run").alias("run_start"),
-        F.when(came_in, F.coalesce("_in_captured", "_captured")).otherwise(F.col("_captured"))
-        .alias("first_captured_ns"),
-        F.when(came_in, F.coalesce("_in_started", "_started")).otherwise(F.col("_started"))
-        .alias("first_started_ns"),
-        F.col("_next").isNotNull().alias("in_next_scan"),
-    )
-
-
-def _event(kind: str, phase: int, pos: Column, event_ns: Column, observed_ns: Column,
-           snapshot: Column, duration: Column | None = None, exit_code: Column | None = None) -> Column:
-    none = F.lit(None).cast("long")
-    return F.struct(
-        F.lit(kind).alias("kind"), F.lit(phase).alias("phase"), pos.alias("event_pos"),
-        event_ns.alias("event_ns"), observed_ns.alias("event_observed_ns"),
-        (duration if duration is not None else none).alias("duration_ms"),
-        (exit_code if exit_code is not None else none).alias("exit_code"),
-        snapshot.alias("lookup_ordinal"),
+    return local.join(carried, part, "left").selectExpr(
+        *[f"`{c}`" for c in prepared.columns], "previous_command", "previous_exe",
+        "coalesce(_run, _in_run) AS run_start",
+        "CASE WHEN _run IS NULL THEN coalesce(_in_captured, _captured) ELSE _captured END AS first_captured_ns",
+        "CASE WHEN _run IS NULL THEN coalesce(_in_started, _started) ELSE _started END AS first_started_ns",
+        "_next IS NOT NULL AS in_next_scan",
     )
 
 
@@ -153,41 +126,25 @@ def snapshot_diff(prepared: DataFrame, backend: str = S.POLL, width: int = SCAN_
     time from the scan that missed the process. ``lookup_ordinal`` names the scan
     in which parents are to be looked up (this one; for stops the last present).
     """
-    seen = first_observation(prepared, width)
-    fresh = F.col("run_start") == F.col("ordinal")
-    start = F.when(fresh & (F.col("ordinal") > 0), _event(
-        S.START, PHASE_CHANGE, F.col("scan_pos"),
-        F.coalesce("first_started_ns", "observed_ns"), F.col("observed_ns"), F.col("ordinal"),
-    ))
-    differs = changed(
-        F.col("previous_command"), F.col("previous_exe"), F.col("command"), F.col("exe")
-    )
-    exec_ = F.when(~fresh & differs, _event(
-        S.EXEC, PHASE_CHANGE, F.col("scan_pos"), F.col("observed_ns"), F.col("observed_ns"),
-        F.col("ordinal"),
-    ))
-    gone = F.col("next_observed_ns")
-    stop = F.when(~F.col("in_next_scan") & gone.isNotNull(), _event(
-        S.STOP, PHASE_STOP, F.col("next_pos"), gone, gone, F.col("ordinal"),
-        lifetime_ms(gone, F.col("first_started_ns"), F.col("first_captured_ns")),
-    ))
-    events = seen.withColumn(
-        "_event", F.explode(F.array_compact(F.array(F.coalesce(start, exec_), stop)))
-    )
-    return with_event_columns(events.drop("observed_ns"), backend)
-
-
-def with_event_columns(events: DataFrame, backend: str) -> DataFrame:
-    """LIFECYCLE_EVENT plus ``lookup_ordinal`` from rows carrying an ``_event`` struct."""
-    flat = events.withColumns({
-        "kind": F.col("_event.kind"), "event_ns": F.col("_event.event_ns"),
-        "observed_ns": F.col("_event.event_observed_ns"),
-        "duration_ms": F.col("_event.duration_ms"), "exit_code": F.col("_event.exit_code"),
-        "lookup_ordinal": F.col("_event.lookup_ordinal"), "backend": F.lit(backend),
-        "order_key": S.order_key(F.col("_event.event_pos"), F.col("_event.phase"), F.col("pid")),
-        "event_time": F.timestamp_micros(F.expr("_event.event_ns div 1000")),
-    })
-    return S.conform(flat, S.T.StructType([
+    def event(kind: str, phase: int, pos: str, event_ns: str, observed: str, duration: str = "CAST(NULL AS bigint)"):
+        return (f"struct('{kind}' AS kind, {S.order_key(pos, phase, 'pid')} AS order_key, {event_ns} AS event_ns, "
+                f"{observed} AS observed_ns, {duration} AS duration_ms)")
+
+    lived = lifetime_ms("next_observed_ns", "first_started_ns", "first_captured_ns")
+    shown = f"""CASE
+        WHEN run_start = ordinal AND ordinal > 0 THEN
+          {event(S.START, PHASE_CHANGE, 'scan_pos', 'coalesce(first_started_ns, observed_ns)', 'observed_ns')}
+        WHEN run_start < ordinal AND {changed('previous_command', 'previous_exe', 'command', 'exe')} THEN
+          {event(S.EXEC, PHASE_CHANGE, 'scan_pos', 'observed_ns', 'observed_ns')} END"""
+    gone = f"""CASE WHEN NOT in_next_scan AND next_observed_ns IS NOT NULL THEN
+          {event(S.STOP, PHASE_STOP, 'next_pos', 'next_observed_ns', 'next_observed_ns', lived)} END"""
+    events = first_observation(prepared, width).selectExpr(
+        "*", f"explode(array_compact(array({shown}, {gone}))) AS _event"
+    ).drop("observed_ns").selectExpr(
+        "*", "_event.*", f"'{backend}' AS backend", "ordinal AS lookup_ordinal",
+        "timestamp_micros(_event.event_ns div 1000) AS event_time",
+    )
+    return S.conform(events, S.T.StructType([
         *S.LIFECYCLE_EVENT.fields, S.T.StructField("lookup_ordinal", S.T.LongType())
     ]))
 
@@ -195,54 +152,39 @@ def with_event_columns(events: DataFrame, backend: str) -> DataFrame:
 def last_exit_codes(notices: DataFrame) -> DataFrame:
     """Last known exit code of each PID."""
     return (
-        notices.where(F.col("exit_code").isNotNull())
+        notices.where("exit_code IS NOT NULL")
         .groupBy("host_id", "pid").agg(F.max_by("exit_code", "pos").alias("exit_code"))
     )
 
 
 def pair_diff(
-    previous: DataFrame, following: DataFrame, observed_ns: Column,
-    exit_codes: DataFrame | None = None, backend: str = S.POLL, pos: Column | None = None,
+    previous: DataFrame, following: DataFrame, observed_ns: int, pos: int = 0,
+    exit_codes: DataFrame | None = None, backend: str = S.POLL,
 ) -> DataFrame:
     """Events between two process tables, each unique on (host, process ID).
 
-    ``observed_ns`` and ``pos`` may refer to columns present on both tables only
-    through literals; they name the moment of the second table.
+    ``observed_ns`` and ``pos`` are the moment and position of the second table.
     """
-    pack = lambda df, name: df.select(*PROCESS_KEY, S.process_struct().alias(name))
-    both = pack(previous, "_a").join(pack(following, "_b"), PROCESS_KEY, "full_outer")
-    a, b = F.col("_a"), F.col("_b")
-    kind = (
-        F.when(a.isNull(), F.lit(S.START)).when(b.isNull(), F.lit(S.STOP))
-        .when(changed(a["command"], a["exe"], b["command"], b["exe"]), F.lit(S.EXEC))
-    )
-    events = both.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        "host_id", "process_id", "kind",
-        *[F.coalesce(b[c], a[c]).alias(c) if c in ("pid",) else F.when(b.isNull(), a[c]).otherwise(b[c]).alias(c)
-          for c in S.PROCESS_COLUMNS if c not in ("process_id", "started_ns", "captured_ns")],
-        F.coalesce(a["started_ns"], b["started_ns"]).alias("started_ns"),
-        F.coalesce(a["captured_ns"], b["captured_ns"]).alias("captured_ns"),
-    )
+    pack = lambda df, name: df.selectExpr(*PROCESS_KEY, f"{S.process_struct()} AS {name}")
+    differs = changed("_a.command", "_a.exe", "_b.command", "_b.exe")
+    events = pack(previous, "_a").join(pack(following, "_b"), PROCESS_KEY, "full_outer").selectExpr(
+        *PROCESS_KEY, "_a", "coalesce(_b, _a) AS _p",
+        f"""CASE WHEN _a IS NULL THEN '{S.START}' WHEN _b IS NULL THEN '{S.STOP}'
+                 WHEN {differs} THEN '{S.EXEC}' END AS kind""",
+    ).where("kind IS NOT NULL").selectExpr("*", "_p.pid AS pid")
     if exit_codes is not None:
-        events = events.join(
-            exit_codes.select("host_id", "pid", F.col("exit_code").alias("_code")),
-            ["host_id", "pid"], "left",
-        ).withColumn("exit_code", F.when(F.col("kind") == S.STOP, F.col("_code")))
+        events = events.join(exit_codes.select("host_id", "pid", "exit_code"), ["host_id", "pid"], "left")
     else:
-        events = events.withColumn("exit_code", F.lit(None).cast("long"))
-    starts, stops = F.col("kind") == S.START, F.col("kind") == S.STOP
-    return S.as_events(events.withColumns({
-        "observed_ns": observed_ns,
-        "event_ns": F.when(starts, F.coalesce(F.col("started_ns"), observed_ns)).otherwise(observed_ns),
-        "duration_ms": F.when(
-            stops, lifetime_ms(observed_ns, F.col("started_ns"), F.col("captured_ns"))
-        ),
-        "order_key": S.order_key(
-            pos if pos is not None else observed_ns,
-            F.when(stops, PHASE_STOP).otherwise(PHASE_CHANGE), F.col("pid"),
-        ),
-        "backend": F.lit(backend),
-    }))
+        events = events.selectExpr("*", "CAST(NULL AS bigint) AS exit_code")
+    lived = lifetime_ms(f"{observed_ns}L", "_p.started_ns", "_p.captured_ns")
+    rest = [c for c in S.PROCESS_COLUMNS if c not in ("process_id", "pid", "started_ns", "captured_ns")]
+    return S.as_events(events.selectExpr(
+        *PROCESS_KEY, "pid", "kind", *[f"_p.`{c}` AS `{c}`" for c in rest], f"{observed_ns}L AS observed_ns",
+        f"CASE WHEN kind = '{S.START}' THEN coalesce(_p.started_ns, {observed_ns}L) ELSE {observed_ns}L END AS event_ns",
+        f"CASE WHEN kind = '{S.STOP}' THEN {lived} END AS duration_ms",
+        f"CASE WHEN kind = '{S.STOP}' THEN exit_code END AS exit_code", f"'{backend}' AS backend",
+        S.order_key(str(pos), f"CASE WHEN kind = '{S.STOP}' THEN {PHASE_STOP} ELSE {PHASE_CHANGE} END", "pid") + " AS order_key",
+    ))
 
 
 def only_started(previous: DataFrame, following: DataFrame) -> DataFrame:

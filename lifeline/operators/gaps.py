@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifeline import schemas as S
 from lifeline.operators.ordered import WIDTH, running
 
+CPU_KEY = ["host_id", "boot_id", "cpu"]
 # Sequence numbers of the connector wrap at 32 bits; message texts.
 SEQUENCE_MODULUS = 4_294_967_296
 SEQUENCE_GAP = "process connector sequence gap on cpu %d; expected sequence %d, received %d"
@@ -27,17 +28,21 @@ RESYNC_FAILED = {
 }
 
 
-def gap_events(rows: DataFrame, message: Column, backend: Column, sub: Column | int = 0,
-               event_ns: Column | None = None) -> DataFrame:
-    """Gap events at the rows' positions; rows need host_id, pos and observed_ns."""
-    return S.as_events(rows.select(
-        "host_id", S.order_key(F.col("pos"), 0, F.lit(0), sub).alias("order_key"),
-        F.lit(S.GAP).alias("kind"),
-        (event_ns if event_ns is not None else F.col("observed_ns")).alias("event_ns"),
-        "observed_ns", backend.alias("backend"), message.alias("message"),
+def gap_events(rows: DataFrame, message: str, backend: str, sub: str | int = 0,
+               event_ns: str = "observed_ns") -> DataFrame:
+    """Gap events at the rows' positions (SQL texts); rows need host_id, pos and observed_ns."""
+    return S.as_events(rows.selectExpr(
+        "host_id", f"{S.order_key('pos', 0, 0, sub)} AS order_key", f"'{S.GAP}' AS kind",
+        f"{event_ns} AS event_ns", "observed_ns", f"{backend} AS backend", f"{message} AS message",
     ))
 
 
+def _with_boot(df: DataFrame) -> DataFrame:
+    if "boot_id" in df.columns:
+        return df.withColumn("boot_id", F.coalesce("boot_id", F.lit("")))
+    return df.withColumn("boot_id", F.lit(""))
+
+
 def sequence_breaks(records: DataFrame, width: int | None = WIDTH,
                     cursors: DataFrame | None = None) -> DataFrame:
     """Rows whose 32-bit sequence does not follow the previous one of their CPU.
@@ -46,37 +51,28 @@ def sequence_breaks(records: DataFrame, width: int | None = WIDTH,
     irrelevant records must not be filtered out before. ``cursors`` (host_id,
     boot_id, cpu, seq) continues from an earlier batch.
     """
-    keys = ["host_id", "boot_id", "cpu"]
-    rows = records.withColumn("boot_id", F.coalesce("boot_id", F.lit(""))) \
-        if "boot_id" in records.columns else records.withColumn("boot_id", F.lit(""))
-    rows = rows.withColumn("seq", F.col("seq").cast("long"))
-    before = {"_prev": F.struct(F.col("pos").alias("p"), F.col("seq").alias("s"))}
-    seen = running(rows, keys, "pos", before, inclusive=False, width=width).withColumn(
-        "_previous", F.col("_prev.s")
-    )
+    rows = _with_boot(records).withColumn("seq", F.expr("CAST(seq AS bigint)"))
+    seen = running(rows, CPU_KEY, "pos", {"_prev": "struct(pos, seq)"}, inclusive=False, width=width)
+    previous = "_prev.seq"
     if cursors is not None:
-        seen = seen.join(
-            cursors.select(*keys, F.col("seq").alias("_cursor")), keys, "left"
-        ).withColumn("_previous", F.coalesce("_previous", "_cursor"))
-    expected = F.pmod(F.col("_previous") + 1, F.lit(SEQUENCE_MODULUS))
-    return seen.withColumn("expected_seq", expected).where(
-        F.col("_previous").isNotNull() & (F.col("seq") != F.col("expected_seq"))
-    ).drop("_prev", "_previous", "_cursor")
+        seen = seen.join(cursors.selectExpr(*CPU_KEY, "seq AS _cursor"), CPU_KEY, "left")
+        previous = "coalesce(_prev.seq, _cursor)"
+    return seen.selectExpr(
+        *[f"`{c}`" for c in rows.columns], f"pmod({previous} + 1, {SEQUENCE_MODULUS}L) AS expected_seq"
+    ).where("seq <> expected_seq")
 
 
 def sequence_gaps(records: DataFrame, width: int | None = WIDTH,
                   cursors: DataFrame | None = None) -> DataFrame:
     breaks = sequence_breaks(records, width, cursors)
-    message = F.format_string(SEQUENCE_GAP, F.col("cpu"), F.col("expected_seq"), F.col("seq"))
-    return gap_events(breaks, message, F.lit(S.LINUX_CONNECTOR), F.col("cpu"))
+    return gap_events(breaks, f"format_string('{SEQUENCE_GAP}', cpu, expected_seq, seq)",
+                      f"'{S.LINUX_CONNECTOR}'", "cpu")
 
 
 def last_sequences(records: DataFrame) -> DataFrame:
     """Cursor of each CPU after these records."""
-    return records.withColumn(
-        "boot_id", F.coalesce("boot_id", F.lit("")) if "boot_id" in records.columns else F.lit("")
-    ).groupBy("host_id", "boot_id", "cpu").agg(
-        F.max_by(F.col("seq").cast("long"), F.col("pos")).alias("seq"), F.max("pos").alias("pos")
+    return _with_boot(records).groupBy(*CPU_KEY).agg(
+        F.expr("max_by(CAST(seq AS bigint), pos) AS seq"), F.max("pos").alias("pos")
     )
 
 
@@ -85,45 +81,27 @@ def endpoint_breaks(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
 
     Sequence 0 is ignored and does not move a cursor.
     """
-    keys = ["host_id", "_cursor"]
-    rows = records.where(F.col("seq") != 0).withColumn(
-        "_cursor", F.when(F.col("global_sequence"), F.lit("")).otherwise(F.col("kind"))
-    )
-    before = {"_prev": F.struct(F.col("pos").alias("p"), F.col("seq").alias("s"))}
-    seen = running(rows, keys, "pos", before, inclusive=False, width=width)
-    return seen.withColumn("expected_seq", F.col("_prev.s") + 1).where(
-        F.col("_prev").isNotNull() & (F.col("seq") != F.col("expected_seq"))
-    ).drop("_prev", "_cursor")
+    rows = records.where("seq <> 0").selectExpr("*", "CASE WHEN global_sequence THEN '' ELSE kind END AS _cursor")
+    seen = running(rows, ["host_id", "_cursor"], "pos", {"_prev": "struct(pos, seq)"}, inclusive=False, width=width)
+    return seen.selectExpr("*", "_prev.seq + 1 AS expected_seq").where("seq <> expected_seq").drop("_prev", "_cursor")
 
 
 def endpoint_gaps(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
     """Endpoint breaks as events; they carry the event time of their notice if known."""
-    breaks = endpoint_breaks(records, width)
-    message = F.format_string(
-        ENDPOINT_SEQUENCE_GAP, F.col("expected_seq").cast("string"), F.col("seq").cast("string")
-    )
-    stamp = F.col("event_ns") if "event_ns" in records.columns else F.col("observed_ns")
-    return gap_events(breaks, message, F.lit(S.MACOS_ENDPOINT), event_ns=stamp)
+    text = f"format_string('{ENDPOINT_SEQUENCE_GAP}', CAST(expected_seq AS string), CAST(seq AS string))"
+    stamp = "event_ns" if "event_ns" in records.columns else "observed_ns"
+    return gap_events(endpoint_breaks(records, width), text, f"'{S.MACOS_ENDPOINT}'", event_ns=stamp)
 
 
 def lost_increases(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
     """Rows where a cumulative loss counter passes everything reported before, with the growth."""
-    seen = running(
-        counters, ["host_id", "backend"], "pos", {"_reported": F.col("lost_total")},
-        inclusive=False, width=width,
-    )
-    return seen.withColumn("lost", F.col("lost_total") - F.coalesce("_reported", F.lit(0))).where(
-        "lost > 0"
-    ).drop("_reported")
+    seen = running(counters, ["host_id", "backend"], "pos", {"_reported": "lost_total"}, inclusive=False, width=width)
+    return seen.selectExpr("*", "lost_total - coalesce(_reported, 0) AS lost").where("lost > 0").drop("_reported")
 
 
 def lost_gaps(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
-    grown = lost_increases(counters, width)
-    message = F.coalesce(*[
-        F.when(F.col("backend") == backend, F.format_string(text, F.col("lost")))
-        for backend, text in QUEUE_OVERFLOW.items()
-    ])
-    return gap_events(grown, message, F.col("backend"), 1).withColumn("count", F.lit(None).cast("long"))
+    texts = " ".join(f"WHEN '{b}' THEN format_string('{t}', lost)" for b, t in QUEUE_OVERFLOW.items())
+    return gap_events(lost_increases(counters, width), f"CASE backend {texts} END", "backend", 1)
 
 
 def completeness_summary(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
@@ -134,29 +112,26 @@ def completeness_summary(counters: DataFrame, width: int | None = WIDTH) -> Data
 
 
 def gap_counts(events: DataFrame) -> DataFrame:
-    return events.where(F.col("kind") == S.GAP).groupBy("host_id", "backend").agg(
+    return events.where(f"kind = '{S.GAP}'").groupBy("host_id", "backend").agg(
         F.count(F.lit(1)).alias("count")
     )
 
 
 def batch_gaps(batches: DataFrame) -> DataFrame:
     """Quality flags of receive batches; damage is not reported on top of truncation."""
-    flag = lambda name, sub, text: F.when(
-        F.coalesce(name, F.lit(False)), F.struct(F.lit(sub).alias("sub"), F.lit(text).alias("text"))
+    flags = (
+        ("receive_overflow", RECEIVE_OVERFLOW), ("truncated", TRUNCATED), ("overrun", OVERRUN),
+        ("malformed AND NOT coalesce(truncated, false)", MALFORMED),
     )
-    column = lambda n: F.col(n) if n in batches.columns else F.lit(False)
-    reasons = F.array_compact(F.array(
-        flag(column("receive_overflow"), 0, RECEIVE_OVERFLOW),
-        flag(column("truncated"), 1, TRUNCATED),
-        flag(column("overrun"), 2, OVERRUN),
-        flag(column("malformed") & ~F.coalesce(column("truncated"), F.lit(False)), 3, MALFORMED),
-    ))
-    rows = batches.withColumn("_reason", F.explode(reasons))
-    return gap_events(rows, F.col("_reason.text"), F.lit(S.LINUX_CONNECTOR), F.col("_reason.sub"))
+    reasons = ", ".join(
+        f"CASE WHEN {flag} THEN struct({sub} AS sub, '{text}' AS text) END"
+        for sub, (flag, text) in enumerate(flags) if flag.split()[0] in batches.columns
+    )
+    rows = batches.selectExpr("*", f"explode(array_compact(array({reasons}))) AS _reason")
+    return gap_events(rows, "_reason.text", f"'{S.LINUX_CONNECTOR}'", "_reason.sub")
 
 
 def resync_gaps(manifest: DataFrame, backend: str) -> DataFrame:
     """One gap per reconciliation scan that could not be read."""
-    failed = manifest.where(~F.col("success"))
-    message = F.concat(F.lit(RESYNC_FAILED[backend]), F.coalesce(F.col("error"), F.lit("")))
-    return gap_events(failed, message, F.lit(backend))
+    return gap_events(manifest.where("NOT success"),
+                      f"concat('{RESYNC_FAILED[backend]}', coalesce(error, ''))", f"'{backend}'")

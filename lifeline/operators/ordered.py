@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
@@ -21,40 +21,41 @@ HOT_ROWS = 4_000_000     # a (host, PID) group beyond this is sliced
 HOT_KEYS = 10_000        # hot groups that may be listed; beyond it all are sliced
 
 
-def slice_of(pos: str, width: int) -> Column:
-    return F.expr(f"`{pos}` div {int(width)}L")
+def slice_of(pos: str, width: int) -> str:
+    return f"`{pos}` div {int(width)}L"
+
+
+def over(keys: Sequence[str], order: str, last: str | None = "CURRENT ROW") -> str:
+    """OVER clause of the rows of a group up to ``last``; without a frame if None."""
+    frame = f" ROWS BETWEEN UNBOUNDED PRECEDING AND {last}" if last else ""
+    return f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{order}`{frame})"
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], pos: str, latest: dict[str, Column],
+    df: DataFrame, keys: Sequence[str], pos: str, latest: dict[str, str],
     inclusive: bool = True, width: int | None = None,
 ) -> DataFrame:
-    """Greatest value of each expression over the rows up to this one.
+    """Greatest value of each SQL expression over the rows up to this one.
 
     With an expression ``struct(pos, values...)`` that is null on rows of no
     interest this is "the last such row"; with ``struct(group, -pos, value)`` it
     is "the first such row of the current group". ``keys`` must not be null.
     """
-    end = Window.currentRow if inclusive else -1
+    last = "CURRENT ROW" if inclusive else "1 PRECEDING"
     if width is None:
-        over = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({name: F.max(value).over(over) for name, value in latest.items()})
+        return df.selectExpr("*", *[f"max({e}) {over(keys, pos, last)} AS {n}" for n, e in latest.items()])
     part = [*keys, SLICE]
-    sliced = df if SLICE in df.columns else df.withColumn(SLICE, slice_of(pos, width))
-    inside = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumns({name: F.max(value).over(inside) for name, value in latest.items()})
+    sliced = df if SLICE in df.columns else df.selectExpr("*", f"{slice_of(pos, width)} AS {SLICE}")
+    local = sliced.selectExpr("*", *[f"max({e}) {over(part, pos, last)} AS {n}" for n, e in latest.items()])
     carried = (
-        sliced.groupBy(*part)
-        .agg(*[F.max(value).alias(f"_carry_{name}") for name, value in latest.items()])
-        .select(*part, *[
-            F.max(f"_carry_{name}").over(across).alias(f"_carry_{name}") for name in latest
+        sliced.groupBy(*part).agg(*[F.expr(f"max({e})").alias(f"_carry_{n}") for n, e in latest.items()])
+        .selectExpr(*[f"`{c}`" for c in part], *[
+            f"max(_carry_{n}) {over(keys, SLICE, '1 PRECEDING')} AS _carry_{n}" for n in latest
         ])
     )
-    joined = local.join(carried, part, "left")
-    return joined.select(
-        *[c for c in df.columns if c not in latest],
-        *[F.greatest(F.col(name), F.col(f"_carry_{name}")).alias(name) for name in latest],
+    return local.join(carried, part, "left").selectExpr(
+        *[f"`{c}`" for c in df.columns if c not in latest],
+        *[f"greatest({n}, _carry_{n}) AS {n}" for n in latest],
     )
 
 
@@ -63,17 +64,15 @@ def ordinals(
 ) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... by position."""
     part = [*keys, SLICE]
-    sliced = df.withColumn(SLICE, slice_of(pos, width))
-    local = sliced.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*part).orderBy(pos)).cast("long")
-    )
-    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = df.selectExpr("*", f"{slice_of(pos, width)} AS {SLICE}")
+    local = sliced.selectExpr("*", f"row_number() {over(part, pos, None)} AS _local")
     before = (
-        sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*part, F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_before"))
+        sliced.groupBy(*part).agg(F.expr("count(1) AS _rows"))
+        .selectExpr(*[f"`{c}`" for c in part],
+                    f"coalesce(sum(_rows) {over(keys, SLICE, '1 PRECEDING')}, 0L) AS _before")
     )
-    return local.join(before, part).select(
-        *df.columns, (F.col("_before") + F.col("_local") - 1).alias(name)
+    return local.join(before, part).selectExpr(
+        *[f"`{c}`" for c in df.columns], f"_before + _local - 1 AS `{name}`"
     )
 
 
@@ -88,22 +87,17 @@ def neighbours(
     slice as context (2 / width more rows) and dropped again afterwards. The
     slice column stays, so that later steps can reuse the partitioning.
     """
-    home = slice_of(ordinal, width)
-    offset = F.expr(f"`{ordinal}` % {int(width)}L")
-    spread = df.withColumn("_home", home).withColumn(
-        SLICE,
-        F.explode(F.array_compact(F.array(
-            home, F.when(offset == width - 1, home + 1), F.when(offset == 0, home - 1),
-        ))),
-    )
-    order = Window.partitionBy(*keys, SLICE).orderBy(ordinal)
-    here = F.col(ordinal)
-    found = {}
-    for name, source in (previous or {}).items():
-        found[name] = F.when(F.lag(ordinal).over(order) == here - 1, F.lag(source).over(order))
-    for name, source in (following or {}).items():
-        found[name] = F.when(F.lead(ordinal).over(order) == here + 1, F.lead(source).over(order))
-    return spread.withColumns(found).where(F.col(SLICE) == F.col("_home")).drop("_home")
+    home, offset = slice_of(ordinal, width), f"`{ordinal}` % {int(width)}L"
+    spread = df.selectExpr("*", f"""explode(array_compact(array({home},
+        CASE WHEN {offset} = {width - 1}L THEN {home} + 1 END,
+        CASE WHEN {offset} = 0 THEN {home} - 1 END))) AS {SLICE}""")
+    clause = over([*keys, SLICE], ordinal, None)
+    found = [
+        f"CASE WHEN {f}(`{ordinal}`) {clause} = `{ordinal}` {sign} 1 THEN {f}(`{source}`) {clause} END AS `{name}`"
+        for f, sign, wanted in (("lag", "-", previous), ("lead", "+", following))
+        for name, source in (wanted or {}).items()
+    ]
+    return spread.selectExpr("*", *found).where(f"{SLICE} = {home}")
 
 
 def by_heat(
@@ -132,26 +126,23 @@ def by_heat(
 
 
 def as_of(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], pos: str, fact: Column, name: str,
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], pos: str, fact: str, name: str,
     at_same_pos: bool = True, dense: bool = False, width: int = WIDTH, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Attach to each row the latest fact of its group at or before its position.
+    """Attach to each row the latest fact (SQL text over ``facts``) at or before its position.
 
     Union and running maximum: linear in both sides, no pairs of rows and facts.
     ``dense`` says the position is dense within a group (always slice).
     """
     side = 0 if at_same_pos else 1
-    fact_rows = facts.select(
-        *keys, F.col(pos).alias(pos), F.lit(side).alias("_side"), fact.alias("_fact")
-    )
-    tagged = rows.withColumn("_side", F.lit(1 - side)).withColumn("_row", F.lit(True))
-    both = tagged.unionByName(fact_rows, allowMissingColumns=True).withColumn(
-        "_at", F.col(pos) * 2 + F.col("_side")
-    )
-    seen = F.when(F.col("_row").isNull(), F.struct(F.col("_at").alias("at"), F.col("_fact").alias("fact")))
+    quoted = [f"`{k}`" for k in keys]
+    fact_rows = facts.selectExpr(*quoted, f"`{pos}`", f"{fact} AS _fact", f"`{pos}` * 2 + {side} AS _asof_at")
+    tagged = rows.selectExpr("*", "true AS _row", f"`{pos}` * 2 + {1 - side} AS _asof_at")
+    both = tagged.unionByName(fact_rows, allowMissingColumns=True)
+    seen = "CASE WHEN _row IS NULL THEN struct(_asof_at AS at, _fact AS fact) END"
 
     def carry(part: DataFrame, slices: int | None) -> DataFrame:
-        return running(part, keys, "_at", {"_asof": seen}, width=slices)
+        return running(part, keys, "_asof_at", {"_asof": seen}, width=slices)
 
     done = carry(both, width) if dense else by_heat(both, keys, carry, hot_rows, width)
-    return done.where("_row").select(*rows.columns, F.col("_asof.fact").alias(name))
+    return done.where("_row").selectExpr(*[f"`{c}`" for c in rows.columns], f"_asof.fact AS `{name}`")

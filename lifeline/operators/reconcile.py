@@ -23,12 +23,10 @@ def align_ids(previous: DataFrame, following: DataFrame) -> DataFrame:
         "host_id", "pid", F.col("process_id").alias("_id"), F.col("started_ns").alias("_started")
     )
     paired = previous.join(newcomers, ["host_id", "pid"], "left")
-    match = F.startswith(F.col("process_id"), F.lit(I.CONNECTOR + ":")) & I.same_generation(
-        F.col("pid"), F.col("process_id"), F.col("started_ns"), F.col("pid"), F.col("_id"), F.col("_started")
-    )
-    return paired.withColumn("aligned", F.coalesce(match, F.lit(False))).withColumn(
-        "process_id", F.when(F.col("aligned"), F.col("_id")).otherwise(F.col("process_id"))
-    ).drop("_id", "_started")
+    match = I.same_generation("pid", "process_id", "started_ns", "pid", "_id", "_started")
+    return paired.selectExpr(
+        "*", f"startswith(process_id, '{I.CONNECTOR}:') AND {match} AS aligned"
+    ).withColumn("process_id", F.expr("CASE WHEN aligned THEN _id ELSE process_id END")).drop("_id", "_started")
 
 
 def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None) -> DataFrame:
@@ -49,7 +47,7 @@ def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None
     marks = forced.select("host_id", (-F.col("pos")).alias("_npos")).distinct()
     upcoming = manifest.withColumn("_npos", -F.col("pos"))
     chosen = as_of(
-        marks, upcoming, ["host_id"], "_npos", F.struct(*manifest.columns), "_m",
+        marks, upcoming, ["host_id"], "_npos", f"struct({', '.join(manifest.columns)})", "_m",
         at_same_pos=False, dense=True,
     ).where(F.col("_m").isNotNull()).select("_m.*")
     return timed.unionByName(chosen).dropDuplicates(["host_id", "pos"])

@@ -18,9 +18,10 @@ memory, and only from that row to the next stop.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -59,8 +60,8 @@ def wall_times(notices: DataFrame, anchors: DataFrame, width: int = WIDTH) -> Da
         "boot_id", F.coalesce("boot_id", F.lit("")) if "boot_id" in df.columns else F.lit("")
     )
     timed = as_of(
-        fill(notices), fill(anchors), key, "pos",
-        F.struct("monotonic_ns", "wall_ns", "valid"), "_anchor", dense=True, width=width,
+        fill(notices), fill(anchors), key, "pos", "struct(monotonic_ns, wall_ns, valid)", "_anchor",
+        dense=True, width=width,
     )
     return timed.withColumn("event_ns", event_ns_of_kernel(
         F.col("kernel_ns"), F.col("_anchor.monotonic_ns"), F.col("_anchor.wall_ns"),
@@ -75,52 +76,45 @@ def candidates(notices: DataFrame) -> DataFrame:
     source always describes its processes. Otherwise it is a stand-in with a
     provisional ID, used only for a PID nothing is known of.
     """
-    n = S.conform(notices, S.NOTICE)
-    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KINDS.items()])
-    n = n.withColumn("kind", kind)
-    proc, pid, ppid, at = F.col("proc"), F.col("pid"), F.col("ppid"), F.col("event_ns")
-    linux, windows = F.col("family") == "linux", F.col("family") == "windows"
-    start, stop = F.col("kind") == S.START, F.col("kind") == S.STOP
-    readable = proc.isNotNull() & ~stop
-    detail = lambda name: F.when(readable | ~linux, proc[name])
-    began = F.coalesce(proc["started_ns"], at)
-    ids = (
-        F.when(linux & readable, proc["process_id"])
-        .when(linux, I.provisional_id(I.CONNECTOR, pid, F.col("kernel_ns")))
-        .when(windows & stop, I.provisional_id(I.ETW, pid, at))
-        .when(windows, I.process_id(pid, began))
-        .when(proc["started_ns"].isNull(), I.provisional_id(I.ES, pid, F.col("pid_version")))
-        .otherwise(I.process_id(pid, proc["started_ns"]))
+    kinds = " ".join(f"WHEN '{landed}' THEN '{kind}'" for landed, kind in KINDS.items())
+    rows = S.conform(notices, S.NOTICE).withColumn("kind", F.expr(f"CASE kind {kinds} END"))
+    linux, windows, stop = "family = 'linux'", "family = 'windows'", f"kind = '{S.STOP}'"
+    readable = f"(proc IS NOT NULL AND kind <> '{S.STOP}')"
+    process = S.process_struct(
+        process_id=f"""CASE
+            WHEN {linux} AND {readable} THEN proc.process_id
+            WHEN {linux} THEN concat_ws(':', '{I.CONNECTOR}', pid, kernel_ns)
+            WHEN {windows} AND {stop} THEN concat_ws(':', '{I.ETW}', pid, event_ns)
+            WHEN {windows} THEN concat_ws(':', pid, coalesce(proc.started_ns, event_ns))
+            WHEN proc.started_ns IS NULL THEN concat_ws(':', '{I.ES}', pid, pid_version)
+            ELSE concat_ws(':', pid, proc.started_ns) END""",
+        ppid=f"""CASE
+            WHEN {linux} AND {readable} AND kind = '{S.START}' AND ppid > 0 THEN ppid
+            WHEN {linux} AND {readable} THEN proc.ppid
+            WHEN {linux} AND kind <> '{S.START}' THEN 0
+            ELSE coalesce(ppid, 0) END""",
+        started_ns=f"""CASE
+            WHEN {linux} AND {readable} THEN proc.started_ns
+            WHEN {linux} OR ({windows} AND {stop}) THEN event_ns
+            WHEN {windows} THEN coalesce(proc.started_ns, event_ns)
+            ELSE proc.started_ns END""",
+        captured_ns="observed_ns",
+        **{c: f"CASE WHEN {readable} OR NOT ({linux}) THEN proc.`{c}` END"
+           for c in ("command", "exe", "cwd", "user", "uid", "tty", "session")},
     )
-    parents = (
-        F.when(linux & readable & start & (ppid > 0), ppid)
-        .when(linux & readable, proc["ppid"])
-        .when(linux & ~start, F.lit(0))
-        .otherwise(F.coalesce(ppid, F.lit(0)))
-    )
-    starts = (
-        F.when(linux & readable, proc["started_ns"]).when(linux | (windows & stop), at)
-        .when(windows, began).otherwise(proc["started_ns"])
-    )
-    text = {c: detail(c) for c in ("command", "exe", "cwd", "user", "uid", "tty", "session")}
-    return n.withColumn("cand", S.process_struct(
-        process_id=ids, ppid=parents, started_ns=starts, captured_ns=F.col("observed_ns"), **text
-    )).withColumn("solid", ~stop & (readable | ~linux)).select(
-        *KEY, "pos", "kind", "family", "event_ns", "observed_ns", "exit_code", "cand", "solid"
+    return rows.selectExpr(
+        *KEY, "pos", "kind", "family", "event_ns", "observed_ns", "exit_code", f"{process} AS cand",
+        f"NOT ({stop}) AND ({readable} OR NOT ({linux})) AS solid",
     )
 
 
 def table_rows(processes: DataFrame, kind: str, family: str | None = None) -> DataFrame:
     """Seed or scan rows from process-table rows that carry ``pos`` and ``observed_ns``."""
-    have = processes.columns
-    fill = [c for c in S.PROCESS_COLUMNS if c not in have]
-    full = processes.withColumns({c: F.lit(None) for c in fill}) if fill else processes
-    family_column = F.lit(family) if family else F.col("family")
-    return full.select(
-        *KEY, "pos", F.lit(kind).alias("kind"), family_column.alias("family"),
-        F.col("observed_ns").alias("event_ns"), "observed_ns",
-        F.lit(None).cast("long").alias("exit_code"), S.process_struct().alias("cand"),
-        F.lit(True).alias("solid"),
+    missing = {c: "NULL" for c in S.PROCESS_COLUMNS if c not in processes.columns}
+    return processes.selectExpr(
+        *KEY, "pos", f"'{kind}' AS kind", f"'{family}' AS family" if family else "family",
+        "observed_ns AS event_ns", "observed_ns", "CAST(NULL AS bigint) AS exit_code",
+        f"{S.process_struct(**missing)} AS cand", "true AS solid",
     )
 
 
@@ -131,21 +125,16 @@ def absences(rows: DataFrame, scans: DataFrame, width: int = WIDTH) -> DataFrame
     PID (a new row) or ends it. So there are at most as many absences as rows,
     and no product of scans and PIDs. An absence of a dead PID has no effect.
     """
-    times = scans.select("host_id", (-F.col("pos")).alias("_npos"), "pos", "observed_ns")
-    living = rows.where(F.col("kind") != S.STOP).withColumn("_npos", -F.col("pos"))
+    times = scans.selectExpr("host_id", "-pos AS _npos", "pos", "observed_ns")
+    living = rows.where(f"kind <> '{S.STOP}'").selectExpr(*KEY, "-pos AS _npos", "family")
     following = as_of(
-        living.select(*KEY, "_npos", "family"), times, ["host_id"], "_npos",
-        F.struct("pos", "observed_ns"), "_scan", at_same_pos=False, dense=True, width=width,
-    ).where(F.col("_scan").isNotNull()).select(
-        *KEY, F.col("_scan.pos").alias("pos"), "family",
-        F.col("_scan.observed_ns").alias("observed_ns"),
-    ).dropDuplicates([*KEY, "pos"])
-    present = rows.where(F.col("kind") == SCAN).select(*KEY, "pos")
-    return following.join(present, [*KEY, "pos"], "left_anti").select(
-        *KEY, "pos", F.lit(ABSENT).alias("kind"), "family",
-        F.col("observed_ns").alias("event_ns"), "observed_ns",
-        F.lit(None).cast("long").alias("exit_code"), F.lit(None).cast(S.PROCESS).alias("cand"),
-        F.lit(False).alias("solid"),
+        living, times, ["host_id"], "_npos", "struct(pos, observed_ns)", "_scan",
+        at_same_pos=False, dense=True, width=width,
+    ).where("_scan IS NOT NULL").selectExpr(*KEY, "_scan.*", "family").dropDuplicates([*KEY, "pos"])
+    present = rows.where(f"kind = '{SCAN}'").select(*KEY, "pos")
+    return following.join(present, [*KEY, "pos"], "left_anti").selectExpr(
+        *KEY, "pos", f"'{ABSENT}' AS kind", "family", "observed_ns AS event_ns", "observed_ns",
+        "CAST(NULL AS bigint) AS exit_code", f"{S.null_of(S.PROCESS)} AS cand", "false AS solid",
     )
 
 
@@ -164,79 +153,58 @@ def replay_rows(rows: DataFrame, align_all: bool = False, hot_rows: int = HOT_RO
 
 def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
             keys: list[str]) -> DataFrame:
-    kind, pos, cand = F.col("kind"), F.col("pos"), F.col("cand")
-    ends = kind.isin(S.STOP, ABSENT)
+    ends = f"kind IN ('{S.STOP}', '{ABSENT}')"
+    never = f"{-(1 << 62)}L"
     step = running(rows, keys, "pos", {
-        "_stop": F.when(ends, pos), "_live": F.when(~ends, pos),
-    }, inclusive=False, width=width)
-    found = F.coalesce(F.col("_live") > F.coalesce("_stop", F.lit(-(1 << 62))), F.lit(False))
-    step = step.withColumn("found", found)
-    known = F.col("found")
-    replaces = ~ends & ((kind == S.START) | F.col("solid") | ~known)
+        "_stop": f"CASE WHEN {ends} THEN pos END", "_live": f"CASE WHEN NOT ({ends}) THEN pos END",
+    }, inclusive=False, width=width).selectExpr(
+        "*", f"coalesce(_live > coalesce(_stop, {never}), false) AS found")
+    # Rows that replace the known process: stand-ins do so only if nothing is known.
+    replaces = f"(NOT ({ends}) AND (kind = '{S.START}' OR solid OR NOT found))"
     step = running(step, keys, "pos", {
-        "_last": F.when(replaces, F.struct(pos.alias("p"), cand.alias("c"))),
+        "_last": f"CASE WHEN {replaces} THEN struct(pos, cand AS c) END",
     }, inclusive=False, width=width)
-    last = F.col("_last.c")
-    prefix = I.is_provisional(last["process_id"]) if align_all else (
-        (F.col("family") == "linux") & F.startswith(last["process_id"], F.lit(I.CONNECTOR + ":"))
-    )
-    confirms = (kind == SCAN) & ((last["process_id"] == cand["process_id"]) | (
-        F.coalesce(prefix, F.lit(False))
-        & I.same_generation(F.col("pid"), last["process_id"], last["started_ns"],
-                            F.col("pid"), cand["process_id"], cand["started_ns"])
-    ))
-    step = step.withColumn(
-        "fresh", ~ends & ((kind == S.START) | ~known | ((kind == SCAN) & ~confirms))
-    )
-    step = running(step, keys, "pos", {"_gen": F.when(F.col("fresh"), pos)}, width=width)
+    renamed = I.is_provisional("_last.c.process_id") if align_all else \
+        f"(family = 'linux' AND startswith(_last.c.process_id, '{I.CONNECTOR}:'))"
+    near = I.same_generation("pid", "_last.c.process_id", "_last.c.started_ns",
+                             "pid", "cand.process_id", "cand.started_ns")
+    confirms = f"coalesce(_last.c.process_id = cand.process_id OR ({renamed} AND {near}), false)"
+    step = step.selectExpr(
+        "*", f"NOT ({ends}) AND (kind = '{S.START}' OR NOT found OR (kind = '{SCAN}' AND NOT {confirms})) AS fresh")
+    step = running(step, keys, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width)
     step = running(step, keys, "pos", {
-        "_first": F.when(F.col("fresh"), F.struct(pos.alias("p"), cand["captured_ns"].alias("v"))),
-        "_known": F.when(
-            replaces & cand["started_ns"].isNotNull(),
-            F.struct(F.col("_gen").alias("g"), (-pos).alias("o"), cand["started_ns"].alias("v")),
-        ),
+        "_first": "CASE WHEN fresh THEN struct(pos, cand.captured_ns AS v) END",
+        "_known": f"""CASE WHEN {replaces} AND cand.started_ns IS NOT NULL
+                      THEN struct(_gen AS gen, -pos AS o, cand.started_ns AS v) END""",
     }, inclusive=False, width=width)
-    first, first_known = F.col("_first"), F.col("_known")
-    before = F.when(known, _with(
-        last, captured_ns=first["v"], started_ns=F.when(first_known["g"] == first["p"], first_known["v"]),
-    ))
-    step = step.withColumn("before", before).withColumn("before_pos", F.when(known, first["p"]))
-    merged = (kind == S.START) & known & I.same_generation(
-        F.col("pid"), F.col("before.process_id"), F.col("before.started_ns"),
-        F.col("pid"), cand["process_id"], cand["started_ns"],
-    )
-    suspect = known & ~ends if fold_all else merged
-    step = running(step, keys, "pos", {"_merge": F.when(suspect, pos)}, width=width)
-    folded = F.coalesce(F.col("_merge") > F.coalesce("_stop", F.lit(-(1 << 62))), F.lit(False))
-    kept = F.col("before").isNotNull() & ~F.col("fresh")
-    after = (
-        F.when(ends, F.lit(None).cast(S.PROCESS))
-        .when(kept & ~F.col("solid"), F.col("before"))
-        .when(kept, _with(
-            cand, captured_ns=F.coalesce(F.col("before.captured_ns"), cand["captured_ns"]),
-            started_ns=F.coalesce(F.col("before.started_ns"), cand["started_ns"]),
-        ))
-        .otherwise(cand)
+    before = S.process_struct("_last.c", captured_ns="_first.v",
+                              started_ns="CASE WHEN _known.gen = _first.pos THEN _known.v END")
+    step = step.selectExpr(
+        "*", f"CASE WHEN found THEN {before} END AS before", "CASE WHEN found THEN _first.pos END AS before_pos")
+    merged = I.same_generation("pid", "before.process_id", "before.started_ns",
+                               "pid", "cand.process_id", "cand.started_ns")
+    suspect = f"found AND NOT ({ends})" if fold_all else f"kind = '{S.START}' AND found AND {merged}"
+    step = running(step, keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width)
+    kept = "(found AND NOT fresh)"
+    keeping = S.process_struct(
+        "cand", captured_ns="coalesce(before.captured_ns, cand.captured_ns)",
+        started_ns="coalesce(before.started_ns, cand.started_ns)")
+    step = step.selectExpr(
+        *[f"`{c}`" for c in rows.columns], "before", "before_pos",
+        f"""CASE WHEN {ends} THEN NULL WHEN {kept} AND NOT solid THEN before
+                 WHEN {kept} THEN {keeping} ELSE cand END AS after""",
+        f"CASE WHEN {ends} THEN NULL WHEN {kept} THEN before_pos ELSE pos END AS after_pos",
+        "found AND fresh AS renewed", f"coalesce(_stop, {never}) AS stretch",
+        f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded",
     )
-    step = step.withColumns({
-        "after": after, "renewed": known & F.col("fresh"), "_folded": folded,
-        "after_pos": F.when(~ends, F.when(kept, F.col("before_pos")).otherwise(pos)),
-    })
-    direct = S.conform(step.where(~F.col("_folded")), STATE_ROWS)
-    stretch = step.where("_folded").withColumn("stretch", F.coalesce("_stop", F.lit(-(1 << 62))))
+    direct = S.conform(step.where("NOT _folded"), STATE_ROWS)
     # Windows leave partitions sorted by key and position; the fold states its need anyway.
     fold = S.conform(
-        stretch.repartition(*keys).sortWithinPartitions(*keys, "pos"), _FOLD_IN
+        step.where("_folded").repartition(*keys).sortWithinPartitions(*keys, "pos"), _FOLD_IN
     ).mapInArrow(_folder(align_all), STATE_ROWS)
     return direct.unionByName(fold)
 
 
-def _with(struct: Column, **changes: Column) -> Column:
-    return F.struct(*[
-        changes.get(name, struct[name]).cast(kind).alias(name) for name, kind in S.PROCESS_FIELDS
-    ])
-
-
 def _folder(align_all: bool):
     columns = STATE_ROWS.fieldNames()
     arrow = to_arrow_schema(STATE_ROWS)
@@ -325,74 +293,62 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
     A replaced process first gets an implicit stop without exit code. Every
     notice yields its event; scan rows yield a start, an exec or nothing.
     """
-    kind, before, after = F.col("kind"), F.col("before"), F.col("after")
-    at, seen = F.col("event_ns"), F.col("observed_ns")
-
-    def event(name: str, subject: Column, sub: int, when: Column, code: Column) -> Column:
-        lived = lifetime_ms(when, subject["started_ns"], subject["captured_ns"])
-        return F.struct(
-            F.lit(name).alias("kind"), F.lit(sub).alias("sub"), when.alias("event_ns"),
-            subject.alias("p"), code.cast("long").alias("exit_code"),
-            (lived if name == S.STOP else F.lit(None).cast("long")).alias("duration_ms"),
-        )
-
-    none = F.lit(None).cast("long")
-    implicit = F.when(F.col("renewed"), event(S.STOP, before, 0, at, none))
-    fresh = F.col("renewed") | before.isNull()
-    main = (
-        F.when(kind == S.START, event(S.START, after, 1, at, none))
-        .when(kind == S.EXEC, event(S.EXEC, after, 1, at, none))
-        .when(kind == S.STOP, event(
-            S.STOP, F.coalesce(before, F.col("cand")), 1, at, F.col("exit_code")))
-        .when((kind == ABSENT) & before.isNotNull(), event(
-            S.STOP, before, 1, at, none))
-        .when((kind == SCAN) & fresh, event(
-            S.START, after, 1, F.coalesce(after["started_ns"], at), none))
-        .when(
-            (kind == SCAN) & I.changed(before["command"], before["exe"], after["command"], after["exe"]),
-            event(S.EXEC, after, 1, at, none),
-        )
-    )
-    rows = states.where(kind != SEED).withColumn(
-        "_e", F.explode(F.array_compact(F.array(implicit, main)))
-    )
-    backend = F.coalesce(*[
-        F.when(F.col("family") == f, F.lit(b)) for f, b in S.BACKEND_OF_FAMILY.items()
-    ], F.col("family"))
+    lived = lambda p: lifetime_ms("event_ns", f"{p}.started_ns", f"{p}.captured_ns")
+    none = "CAST(NULL AS bigint)"
+
+    def event(kind: str, subject: str, sub: int, when: str = "event_ns", code: str = none, duration: str = none):
+        return (f"struct('{kind}' AS kind, {sub} AS sub, {when} AS event_ns, {subject} AS p, "
+                f"CAST({code} AS bigint) AS exit_code, {duration} AS duration_ms)")
+
+    differs = I.changed("before.command", "before.exe", "after.command", "after.exe")
+    implicit = f"CASE WHEN renewed THEN {event(S.STOP, 'before', 0, duration=lived('before'))} END"
+    main = f"""CASE
+        WHEN kind = '{S.START}' THEN {event(S.START, 'after', 1)}
+        WHEN kind = '{S.EXEC}' THEN {event(S.EXEC, 'after', 1)}
+        WHEN kind = '{S.STOP}' AND before IS NOT NULL THEN
+            {event(S.STOP, 'before', 1, code='exit_code', duration=lived('before'))}
+        WHEN kind = '{S.STOP}' THEN {event(S.STOP, 'cand', 1, code='exit_code', duration=lived('cand'))}
+        WHEN kind = '{ABSENT}' AND before IS NOT NULL THEN {event(S.STOP, 'before', 1, duration=lived('before'))}
+        WHEN kind = '{SCAN}' AND (renewed OR before IS NULL) THEN
+            {event(S.START, 'after', 1, 'coalesce(after.started_ns, event_ns)')}
+        WHEN kind = '{SCAN}' AND {differs} THEN {event(S.EXEC, 'after', 1)} END"""
+    sources = " ".join(f"WHEN '{f}' THEN '{b}'" for f, b in S.BACKEND_OF_FAMILY.items())
     # A trace replaces a PID in place; a table difference stops old IDs after all starts.
-    late = (kind == ABSENT) | ((kind == SCAN) & (F.col("family") != S.TRACE))
-    phase = F.when(late & (F.col("_e.kind") == S.STOP), 2).otherwise(1)
-    flat = rows.select(
-        "host_id", S.order_key(F.col("pos"), phase, F.col("pid"), F.col("_e.sub")).alias("order_key"),
-        F.col("_e.kind").alias("kind"), F.col("_e.event_ns").alias("event_ns"), "observed_ns",
-        *[F.col(f"_e.p.{c}").alias(c) for c in S.PROCESS_COLUMNS if c not in ("started_ns", "captured_ns")],
-        F.col("_e.duration_ms").alias("duration_ms"), F.col("_e.exit_code").alias("exit_code"),
-        backend.alias("backend"), "trace_id",
+    phase = f"""CASE WHEN _e.kind = '{S.STOP}' AND (kind = '{ABSENT}' OR (kind = '{SCAN}' AND family <> '{S.TRACE}'))
+                     THEN 2 ELSE 1 END"""
+    return S.as_events(
+        states.where(f"kind <> '{SEED}'")
+        .selectExpr("*", f"explode(array_compact(array({implicit}, {main}))) AS _e")
+        .selectExpr(
+            "host_id", S.order_key("pos", phase, "pid", "_e.sub") + " AS order_key", "_e.kind AS kind",
+            "_e.event_ns AS event_ns", "observed_ns",
+            *[f"_e.p.`{c}` AS `{c}`" for c in S.PROCESS_COLUMNS if c not in ("started_ns", "captured_ns")],
+            "_e.duration_ms AS duration_ms", "_e.exit_code AS exit_code",
+            f"CASE family {sources} ELSE family END AS backend", "trace_id",
+        )
     )
-    return S.as_events(flat)
 
 
 def live_state(states: DataFrame) -> DataFrame:
     """The processes alive after the last row, as seed rows of a following batch."""
     last = states.groupBy(*KEY).agg(
-        F.max_by(F.struct("after", "after_pos", "family"), "pos").alias("s"), F.max("pos").alias("pos")
-    ).where(F.col("s.after").isNotNull())
-    return last.select(
-        *KEY, "pos", F.col("s.family").alias("family"), F.col("s.after_pos").alias("generation_pos"),
-        *[F.col(f"s.after.{c}").alias(c) for c in S.PROCESS_COLUMNS if c != "pid"],
+        F.max_by(F.struct("after", "family", "observed_ns"), "pos").alias("s"), F.max("pos").alias("pos")
+    ).where("s.after IS NOT NULL")
+    return last.selectExpr(
+        *KEY, "pos", "s.family AS family", "s.observed_ns AS observed_ns",
+        *[f"s.after.`{c}` AS `{c}`" for c in S.PROCESS_COLUMNS if c != "pid"],
     )
 
 
 def process_versions(states: DataFrame, hot_rows: int = HOT_ROWS, width: int = WIDTH) -> DataFrame:
     """One row per generation and version: valid from its position to the next row's."""
     def close(part: DataFrame, w: int | None) -> DataFrame:
-        return running(part, KEY, "_npos", {"_following": F.col("_npos")}, inclusive=False, width=w)
+        return running(part, KEY, "_npos", {"_following": "_npos"}, inclusive=False, width=w)
 
-    closed = by_heat(states.withColumn("_npos", -F.col("pos")), KEY, close, hot_rows, width)
-    return closed.where(F.col("after").isNotNull()).select(
-        *KEY, F.col("pos").alias("valid_from_pos"), (-F.col("_following")).alias("valid_to_pos"),
-        F.col("after_pos").alias("generation_pos"),
-        *[F.col(f"after.{c}").alias(c) for c in S.PROCESS_COLUMNS if c != "pid"],
+    closed = by_heat(states.selectExpr("*", "-pos AS _npos"), KEY, close, hot_rows, width)
+    return closed.where("after IS NOT NULL").selectExpr(
+        *KEY, "pos AS valid_from_pos", "-_following AS valid_to_pos", "after_pos AS generation_pos",
+        *[f"after.`{c}` AS `{c}`" for c in S.PROCESS_COLUMNS if c != "pid"],
     )
 
 
@@ -402,68 +358,66 @@ def process_lifetimes(states: DataFrame) -> DataFrame:
     Each generation ends in exactly one row - a stop, an absence or a replacement
     - and that row knows the whole generation, so nothing is grouped.
     """
-    kind, before = F.col("kind"), F.col("before")
-    ended = (kind == S.STOP) | F.col("renewed") | ((kind == ABSENT) & before.isNotNull())
-    subject = F.coalesce(before, F.col("cand"))
-    return states.where(ended).select(
-        *KEY, F.col("pos").alias("stop_pos"), F.col("before_pos").alias("generation_pos"),
-        subject["process_id"].alias("process_id"), subject["started_ns"].alias("started_ns"),
-        F.col("event_ns").alias("stop_ns"),
-        lifetime_ms(F.col("event_ns"), subject["started_ns"], subject["captured_ns"]).alias("duration_ms"),
-        F.when(kind == S.STOP, F.col("exit_code")).alias("exit_code"),
-        (kind != S.STOP).alias("implicit"),
+    ended = f"kind = '{S.STOP}' OR renewed OR (kind = '{ABSENT}' AND before IS NOT NULL)"
+    return states.where(ended).selectExpr("*", "coalesce(before, cand) AS _p").selectExpr(
+        *KEY, "pos AS stop_pos", "before_pos AS generation_pos", "_p.process_id AS process_id",
+        "_p.started_ns AS started_ns", "event_ns AS stop_ns",
+        f"{lifetime_ms('event_ns', '_p.started_ns', '_p.captured_ns')} AS duration_ms",
+        f"CASE WHEN kind = '{S.STOP}' THEN exit_code END AS exit_code", f"kind <> '{S.STOP}' AS implicit",
     )
 
 
-def _facts(states: DataFrame) -> DataFrame:
-    return states.select("host_id", F.col("pid").alias("_next"), "pos", "after")
+def version_facts(states: DataFrame) -> DataFrame:
+    """Who held each PID from which position on: the look-up side of parent searches."""
+    return states.selectExpr("host_id", "pid AS _next", "pos", "after")
 
 
-def temporal_parents(rows: DataFrame, states: DataFrame, pos: str = "pos",
+def temporal_parents(rows: DataFrame, states: DataFrame,
                      hot_rows: int = HOT_ROWS, width: int = WIDTH) -> DataFrame:
-    """Attach ``parent``: the process that held the parent PID at the row's position.
+    """Attach ``parent``: the process that held the parent PID at the row's ``pos``.
 
     An as-of look-up, linear in rows and states: a parent with many children and
-    many versions costs their sum, not their product.
+    many versions costs their sum, not their product. Pass stored states if
+    their computation is not to be repeated.
     """
-    seeking = rows.withColumn("_next", F.when(F.col("ppid") > 0, F.col("ppid")))
-    facts = _facts(states).withColumnRenamed("pos", pos) if pos != "pos" else _facts(states)
+    seeking = rows.selectExpr("*", "CASE WHEN ppid > 0 THEN ppid END AS _next")
     looked = as_of(
-        seeking.where(F.col("_next").isNotNull()), facts, ["host_id", "_next"], pos,
-        F.struct("after"), "_found", hot_rows=hot_rows, width=width,
-    ).withColumn("parent", F.col("_found.after")).drop("_found")
-    alone = seeking.where(F.col("_next").isNull()).withColumn("parent", F.lit(None).cast(S.PROCESS))
-    return looked.unionByName(alone).drop("_next")
+        seeking.where("_next IS NOT NULL"), version_facts(states), ["host_id", "_next"], "pos",
+        "struct(after)", "_found", hot_rows=hot_rows, width=width,
+    ).selectExpr(*[f"`{c}`" for c in rows.columns], "_found.after AS parent")
+    alone = seeking.where("_next IS NULL").selectExpr(
+        *[f"`{c}`" for c in rows.columns], f"{S.null_of(S.PROCESS)} AS parent")
+    return looked.unionByName(alone)
 
 
 def temporal_ancestors(rows: DataFrame, states: DataFrame, hot_rows: int = HOT_ROWS,
                        width: int = WIDTH) -> DataFrame:
     """Attach ``parent_chain`` as of each row's position; one as-of look-up per level."""
-    facts = materialise(_facts(states), "versions")
-    climbing = rows.withColumns({
-        "_next": F.when((F.col("ppid") > 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")),
-        "parent_chain": F.array().cast(_T.ArrayType(S.SUMMARY)), "_seen": F.array("pid"),
-    })
-    climbing = materialise(climbing, "climb")
-    finished = [climbing.where(F.col("_next").isNull())]
-    climbing = climbing.where(F.col("_next").isNotNull())
+    facts = materialise(version_facts(states), "versions")
+    summary = S.SUMMARY.simpleString()
+    climbing = materialise(rows.selectExpr(
+        "*", "CASE WHEN ppid > 0 AND ppid <> pid THEN ppid END AS _next",
+        f"CAST(array() AS array<{summary}>) AS parent_chain", "array(pid) AS _seen",
+    ), "climb")
+    names = climbing.columns
+    up = ", ".join(f"_found.after.`{c}`" for c in S.SUMMARY_COLUMNS)
+    finished = [climbing.where("_next IS NULL")]
+    climbing = climbing.where("_next IS NOT NULL")
     while not climbing.isEmpty():
-        looked = as_of(climbing, facts, ["host_id", "_next"], "pos", F.struct("after"), "_found",
-                       hot_rows=hot_rows, width=width)
-        up = F.col("_found.after")
-        summary = F.struct(*[up[c].alias(c) for c in S.SUMMARY_COLUMNS]).cast(S.SUMMARY)
-        looked = looked.withColumn("parent_chain", F.when(
-            up.isNotNull(), F.array_append("parent_chain", summary)).otherwise(F.col("parent_chain"))
-        ).withColumn("_seen", F.array_append("_seen", F.col("_next"))).withColumn(
-            "_next", F.when((up["ppid"] > 0) & ~F.array_contains(F.col("_seen"), up["ppid"]), up["ppid"])
-        ).drop("_found")
-        looked = materialise(looked, "climb")
-        finished.append(looked.where(F.col("_next").isNull()))
-        climbing = looked.where(F.col("_next").isNotNull())
-    chained = finished[0]
-    for part in finished[1:]:
-        chained = chained.unionByName(part)
-    return chained.drop("_next", "_seen")
+        looked = materialise(as_of(
+            climbing, facts, ["host_id", "_next"], "pos", "struct(after)", "_found",
+            hot_rows=hot_rows, width=width,
+        ).selectExpr(
+            *[f"`{c}`" for c in names if c not in ("_next", "parent_chain", "_seen")],
+            """CASE WHEN _found.after.ppid > 0 AND NOT array_contains(array_append(_seen, _next), _found.after.ppid)
+                    THEN _found.after.ppid END AS _next""",
+            f"""CASE WHEN _found.after IS NULL THEN parent_chain
+                     ELSE array_append(parent_chain, CAST(struct({up}) AS {summary})) END AS parent_chain""",
+            "array_append(_seen, _next) AS _seen",
+        ), "climb")
+        finished.append(looked.where("_next IS NULL"))
+        climbing = looked.where("_next IS NOT NULL")
+    return reduce(DataFrame.unionByName, finished).drop("_next", "_seen")
 
 
 def details_as_of(notices: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS,
@@ -473,7 +427,8 @@ def details_as_of(notices: DataFrame, processes: DataFrame, hot_rows: int = HOT_
     ``processes`` carries ``pos`` in the notices' position space. Optional: a
     collector normally delivers the details it read.
     """
-    facts = processes.select(*KEY, "pos", S.process_struct().alias("_p"))
-    return as_of(notices, facts, KEY, "pos", F.struct("_p"), "_found", at_same_pos=False,
-                 hot_rows=hot_rows, width=width) \
-        .withColumn("proc", F.coalesce("proc", "_found._p")).drop("_found")
+    missing = {c: "NULL" for c in S.PROCESS_COLUMNS if c not in processes.columns}
+    facts = processes.selectExpr(*KEY, "pos", f"{S.process_struct(**missing)} AS _p")
+    found = as_of(notices, facts, KEY, "pos", "struct(_p)", "_found", at_same_pos=False,
+                  hot_rows=hot_rows, width=width)
+    return found.withColumn("proc", F.coalesce("proc", "_found._p")).drop("_found")

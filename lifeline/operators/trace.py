@@ -39,8 +39,8 @@ def presence_runs(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
     near = neighbours(prepared, ["host_id", "pid"], "ordinal",
                       previous={"_prev": "ordinal"}, following={"_next": "ordinal"}, width=width)
     return running(near, ["host_id", "pid"], "ordinal",
-                   {"run": F.when(F.col("_prev").isNull(), F.col("ordinal"))}, width=width) \
-        .withColumn("run_ends", F.col("_next").isNull()).drop("_prev", "_next", SLICE)
+                   {"run": "CASE WHEN _prev IS NULL THEN ordinal END"}, width=width) \
+        .selectExpr(*[f"`{c}`" for c in prepared.columns], "run", "_next IS NULL AS run_ends")
 
 
 def parent_edges(runs: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
@@ -51,8 +51,7 @@ def parent_edges(runs: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
     )
     key = ["host_id", "pid", "ppid", "parent_run"]
     near = neighbours(pairs, key, "ordinal", previous={"_prev": "ordinal"}, width=width)
-    islands = running(near, key, "ordinal", {
-        "_from": F.when(F.col("_prev").isNull(), F.col("ordinal"))}, width=width)
+    islands = running(near, key, "ordinal", {"_from": "CASE WHEN _prev IS NULL THEN ordinal END"}, width=width)
     return islands.groupBy(*RUN, "ppid", "parent_run", "_from").agg(
         F.max("ordinal").alias("last")
     ).withColumnRenamed("_from", "first")
@@ -61,13 +60,10 @@ def parent_edges(runs: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
 def _first_scan(requests: DataFrame, numbered: DataFrame, wanted: str, scan_column: str,
                 inclusive: bool, name: str) -> DataFrame:
     """Ordinal of the first scan whose column is past a request's value."""
-    mark = requests.where(F.col(wanted).isNotNull()).select(
-        "trace_id", "host_id", (-F.col(wanted)).alias("_at")
-    )
-    facts = numbered.select("host_id", (-F.col(scan_column)).alias("_at"), "ordinal")
-    found = as_of(mark, facts, ["host_id"], "_at", F.struct("ordinal"), "_f",
-                  at_same_pos=inclusive, dense=True)
-    return found.select("trace_id", F.col("_f.ordinal").alias(name))
+    mark = requests.where(f"{wanted} IS NOT NULL").selectExpr("trace_id", "host_id", f"-{wanted} AS _at")
+    facts = numbered.selectExpr("host_id", f"-{scan_column} AS _at", "ordinal")
+    found = as_of(mark, facts, ["host_id"], "_at", "struct(ordinal)", "_f", at_same_pos=inclusive, dense=True)
+    return found.selectExpr("trace_id", f"_f.ordinal AS {name}")
 
 
 def trace_bounds(requests: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -154,7 +150,7 @@ def trace_finish(requests: DataFrame, members: DataFrame, hot_rows: int = HOT_RO
     )
 
     def sweep(part: DataFrame, width: int | None) -> DataFrame:
-        return running(part, ["trace_id"], "_at", {"_covered": F.col("until")}, inclusive=False, width=width)
+        return running(part, ["trace_id"], "_at", {"_covered": "until"}, inclusive=False, width=width)
 
     swept = by_heat(alive, ["trace_id"], sweep, hot_rows, WIDTH).withColumn(
         "_covered", F.greatest(F.coalesce("_covered", F.col("quiet") - 1), F.col("quiet") - 1)
@@ -198,43 +194,35 @@ def trace(prepared: DataFrame, numbered: DataFrame, requests: DataFrame,
         "since <= finish").withColumn("until", F.least("until", "finish"))
 
     seen = runs.join(live, RUN).where("ordinal BETWEEN since AND until")
-    filled = [c for c in S.PROCESS_COLUMNS if c not in seen.columns]
-    seen = seen.withColumns({c: F.lit(None) for c in filled}) if filled else seen
-    none, family = F.lit(None).cast("long"), F.lit(S.TRACE)
-    present = seen.select(
-        "trace_id", "host_id", "pid", F.col("scan_pos").alias("pos"), F.lit(SCAN).alias("kind"),
-        family.alias("family"), F.col("observed_ns").alias("event_ns"), "observed_ns",
-        none.alias("exit_code"), S.process_struct().alias("cand"), F.lit(True).alias("solid"),
+    missing = {c: "NULL" for c in S.PROCESS_COLUMNS if c not in seen.columns}
+    none, nobody, family = "CAST(NULL AS bigint) AS exit_code", f"{S.null_of(S.PROCESS)} AS cand", f"'{S.TRACE}' AS family"
+    base = ("trace_id", "host_id", "pid")
+    present = seen.selectExpr(
+        *base, "scan_pos AS pos", f"'{SCAN}' AS kind", family, "observed_ns AS event_ns", "observed_ns", none,
+        f"{S.process_struct(**missing)} AS cand", "true AS solid",
     )
     # A member missing from the next scan stops there; an active root does not.
     lost = seen.where(
-        F.col("run_ends") & F.col("next_pos").isNotNull() & (F.col("ordinal") < F.col("finish"))
-        & ((F.col("pid") != F.col("root_pid")) | F.col("after_exit"))
-    ).select(
-        "trace_id", "host_id", "pid", F.col("next_pos").alias("pos"), F.lit(ABSENT).alias("kind"),
-        family.alias("family"), F.col("next_observed_ns").alias("event_ns"),
-        F.col("next_observed_ns").alias("observed_ns"), none.alias("exit_code"),
-        F.lit(None).cast(S.PROCESS).alias("cand"), F.lit(False).alias("solid"),
+        "run_ends AND next_pos IS NOT NULL AND ordinal < finish AND (pid <> root_pid OR after_exit)"
+    ).selectExpr(
+        *base, "next_pos AS pos", f"'{ABSENT}' AS kind", family, "next_observed_ns AS event_ns",
+        "next_observed_ns AS observed_ns", none, nobody, "false AS solid",
     )
-    root = _root_process(requests := S.conform(requests, S.TRACE_REQUEST))
-    base = ("trace_id", "host_id", "pid")
-    seeds = root.select(
-        *base, "pos", F.lit(SEED).alias("kind"), family.alias("family"), "event_ns", "observed_ns",
-        none.alias("exit_code"), S.process_struct().alias("cand"), F.lit(True).alias("solid"),
+    root = _root_process(S.conform(requests, S.TRACE_REQUEST))
+    seeds = root.selectExpr(
+        *base, "pos", f"'{SEED}' AS kind", family, "event_ns", "observed_ns", none,
+        f"{S.process_struct()} AS cand", "true AS solid",
     )
     exits = root.where(
         "exited_pos IS NOT NULL AND (cancelled_pos IS NULL OR exited_pos < cancelled_pos)"
-    ).select(
-        *base, F.col("exited_pos").alias("pos"), F.lit(S.STOP).alias("kind"), family.alias("family"),
-        F.col("exited_ns").alias("event_ns"), F.col("exited_ns").alias("observed_ns"), "exit_code",
-        S.process_struct().alias("cand"), F.lit(False).alias("solid"),
+    ).selectExpr(
+        *base, "exited_pos AS pos", f"'{S.STOP}' AS kind", family, "exited_ns AS event_ns",
+        "exited_ns AS observed_ns", "exit_code", f"{S.process_struct()} AS cand", "false AS solid",
     )
     rows = present.unionByName(lost).unionByName(seeds).unionByName(exits)
     states = replay_rows(rows, align_all=True, hot_rows=hot_rows, keys=["trace_id", "host_id", "pid"])
-    opening = S.as_events(root.withColumns({
-        "kind": F.lit(S.START), "backend": F.lit(S.TRACE),
-        "order_key": S.order_key(F.col("pos"), 1, F.col("pid")),
-    }).drop("exit_code"))
+    opening = S.as_events(root.drop("exit_code").selectExpr(
+        "*", f"'{S.START}' AS kind", f"'{S.TRACE}' AS backend", f"{S.order_key('pos', 1, 'pid')} AS order_key"))
     events = opening.unionByName(lifecycle_events(states))
     for gap in _trace_gaps(settled, numbered, live, manifest):
         events = events.unionByName(gap)
@@ -268,8 +256,7 @@ def _trace_gaps(settled: DataFrame, numbered: DataFrame, live: DataFrame,
 
 
 def _labelled(rows: DataFrame, message, sub: int) -> DataFrame:
-    return S.as_events(rows.select(
-        "trace_id", "host_id", S.order_key(F.col("pos"), 3 if sub else 0, F.lit(0), sub).alias("order_key"),
-        F.lit(S.GAP).alias("kind"), F.col("observed_ns").alias("event_ns"), "observed_ns",
-        F.lit(S.TRACE).alias("backend"), message.alias("message"),
+    return S.as_events(rows.withColumn("message", message).selectExpr(
+        "trace_id", "host_id", f"{S.order_key('pos', 3 if sub else 0, 0, sub)} AS order_key",
+        f"'{S.GAP}' AS kind", "observed_ns AS event_ns", "observed_ns", f"'{S.TRACE}' AS backend", "message",
     ))

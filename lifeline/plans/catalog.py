@@ -13,6 +13,7 @@ from lifeline.functions import clock, identity
 from lifeline.functions.render import fallback_line, parent_executable
 from lifeline.operators import diff, gaps, hierarchy, reconcile, replay, trace as tracing, views
 from lifeline.plans import bindings as B
+from lifeline.session import materialise
 from lifeline.sources import dumps, fallback, notices, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,7 @@ def failed_scans(spark, sf):
 @query
 def snapshot_pair_diff(spark, sf):
     previous, following, codes = B.pair(spark, sf)
-    events = diff.pair_diff(previous, following, F.lit(B.PAIR_OBSERVED_NS), diff.last_exit_codes(codes))
+    events = diff.pair_diff(previous, following, B.PAIR_OBSERVED_NS, exit_codes=diff.last_exit_codes(codes))
     return events.select("host_id", "kind", "event_ns", "process_id", "pid", "command", "exe",
                          "duration_ms", "exit_code")
 
@@ -136,7 +137,7 @@ def process_ids(spark, sf):
         for i, p in enumerate(identity.PROVISIONAL)
     ], identity.process_id(F.col("pid"), token))
     return n.select("pos", chosen.alias("process_id")).withColumn(
-        "provisional", identity.is_provisional(F.col("process_id")))
+        "provisional", F.expr(identity.is_provisional("process_id")))
 
 
 @query
@@ -312,7 +313,7 @@ def process_versions(spark, sf):
 
 @query
 def temporal_parent(spark, sf):
-    states = replayed(spark, sf)
+    states = materialise(replayed(spark, sf), "states")
     events = replay.lifecycle_events(states).withColumn("pos", F.col("order_key.pos"))
     return replay.temporal_parents(events, states).select(
         "host_id", "pos", F.col("order_key.sub").cast("long").alias("sub"), "kind", "pid",
@@ -321,8 +322,6 @@ def temporal_parent(spark, sf):
 
 @query
 def temporal_chain(spark, sf):
-    from lifeline.session import materialise
-
     states = materialise(replayed(spark, sf), "states")
     events = replay.lifecycle_events(states).withColumn("pos", F.col("order_key.pos")).drop("parent_chain")
     return replay.temporal_ancestors(events, states).select(
@@ -357,9 +356,7 @@ def detail_asof(spark, sf):
     rows, _ = B.resync_scan(spark, sf)
     n = exit_coded(B.notice(spark, sf)).withColumn("pos", F.col("pos") * 2).withColumn(
         "proc", F.lit(None).cast(S.PROCESS))
-    filled = [c for c in S.PROCESS_COLUMNS if c not in rows.columns]
-    full = rows.withColumns({c: F.lit(None).cast("string") for c in filled})
-    return replay.details_as_of(n, full).select(
+    return replay.details_as_of(n, rows).select(
         "host_id", "pos", "pid", F.col("proc.command").alias("command"), F.col("proc.captured_ns").alias("captured_ns"))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _L, _S, _B = T.LongType(), T.StringType(), T.BooleanType()
@@ -84,36 +83,38 @@ BACKEND_OF_FAMILY = {"linux": LINUX_CONNECTOR, "windows": WINDOWS_ETW, "macos":
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select exactly the columns of ``schema``; absent ones become typed nulls."""
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in schema.fields
+    ])
 
 
-def order_key(pos: Column, phase: int | Column, pid: Column, sub: int | Column = 0) -> Column:
-    """Position of an event in a host's stream: position, then phase, then PID."""
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        pos.cast("long").alias("pos"), as_column(phase).cast("int").alias("phase"),
-        pid.cast("long").alias("pid"), as_column(sub).cast("int").alias("sub"),
+def order_key(pos: str, phase: str | int, pid: str | int = 0, sub: str | int = 0) -> str:
+    """SQL text: an event's place in its host's stream - position, phase, PID, part."""
+    return (
+        f"struct(CAST({pos} AS bigint) AS pos, CAST({phase} AS int) AS phase, "
+        f"CAST({pid} AS bigint) AS pid, CAST({sub} AS int) AS sub)"
     )
 
 
 def as_events(df: DataFrame) -> DataFrame:
     """Conform to LIFECYCLE_EVENT, deriving the timestamp from the nanoseconds."""
-    return conform(
-        df.withColumn("event_time", F.timestamp_micros(F.expr("event_ns div 1000"))),
-        LIFECYCLE_EVENT,
-    )
+    timed = df if "event_time" in df.columns else df.selectExpr(
+        "*", "timestamp_micros(event_ns div 1000) AS event_time")
+    return conform(timed, LIFECYCLE_EVENT)
 
 
-def process_struct(**overrides: Column) -> Column:
-    """Struct of the twelve process fields, taken from columns unless overridden."""
-    return F.struct(
-        *[
-            overrides.get(name, F.col(name)).cast(kind).alias(name)
-            for name, kind in PROCESS_FIELDS
-        ]
-    )
+def process_struct(source: str = "", **overrides: str) -> str:
+    """SQL text: struct of the twelve process fields, from columns unless overridden.
+
+    ``source`` is a struct column to read the fields from.
+    """
+    prefix = f"{source}." if source else ""
+    return "struct(" + ", ".join(
+        f"CAST({overrides.get(name, f'{prefix}`{name}`')} AS {kind.simpleString()}) AS `{name}`"
+        for name, kind in PROCESS_FIELDS
+    ) + ")"
+
+
+def null_of(kind: T.DataType) -> str:
+    return f"CAST(NULL AS {kind.simpleString()})"

@@ -36,11 +36,9 @@ def choose(native: DataFrame, polled: DataFrame, health: DataFrame, collector: s
     switched = F.concat(
         F.lit("backend "), F.col("_backend"), F.lit(f" failed and {collector} switched to {S.POLL}: "),
         F.coalesce("_error", F.lit("")))
-    gap = S.as_events(gaps.select(
-        "host_id",
-        S.order_key(F.when(F.col("available"), F.col("failed_pos")).otherwise(F.lit(-1)), 9, F.lit(0)).alias("order_key"),
-        F.lit(S.GAP).alias("kind"), F.col("_at").alias("event_ns"),
-        F.when(F.col("available"), F.col("_backend")).otherwise(F.lit(S.POLL)).alias("backend"),
-        F.when(F.col("available"), switched).otherwise(unavailable).alias("message"),
+    gap = S.as_events(gaps.withColumn("message", F.when(F.col("available"), switched).otherwise(unavailable)).selectExpr(
+        "host_id", S.order_key("CASE WHEN available THEN failed_pos ELSE -1 END", 9) + " AS order_key",
+        f"'{S.GAP}' AS kind", "_at AS event_ns",
+        f"CASE WHEN available THEN _backend ELSE '{S.POLL}' END AS backend", "message",
     ))
     return kept.unionByName(after).unionByName(gap)

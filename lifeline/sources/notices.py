@@ -80,10 +80,8 @@ def macos_notices(records: DataFrame) -> DataFrame:
     """Notices with their process; attach user names to ``records`` beforehand."""
     names = set(records.columns)
     filled = records if "user" in names else records.withColumn("user", F.col("uid"))
-    extra = {
-        "process_id": F.lit(None).cast("string"), "captured_ns": F.col("observed_ns"),
-    }
-    return S.conform(filled.withColumn("proc", S.process_struct(**extra)), S.NOTICE)
+    process = S.process_struct(process_id="NULL", captured_ns="observed_ns")
+    return S.conform(filled.withColumn("proc", F.expr(process)), S.NOTICE)
 
 
 def unify_notices(*families: DataFrame) -> DataFrame:
