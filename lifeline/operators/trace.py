@@ -57,36 +57,34 @@ def parent_edges(runs: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
     ).withColumnRenamed("_from", "first")
 
 
-def _first_scan(requests: DataFrame, numbered: DataFrame, wanted: str, scan_column: str,
-                inclusive: bool, name: str) -> DataFrame:
-    """Ordinal of the first scan whose column is past a request's value."""
-    mark = requests.where(f"{wanted} IS NOT NULL").selectExpr("trace_id", "host_id", f"-{wanted} AS _at")
-    facts = numbered.selectExpr("host_id", f"-{scan_column} AS _at", "ordinal")
-    found = as_of(mark, facts, ["host_id"], "_at", "struct(ordinal)", "_f", at_same_pos=inclusive, dense=True)
-    return found.selectExpr("trace_id", f"_f.ordinal AS {name}")
-
-
 def trace_bounds(requests: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Requests with the ordinals of their first scan, exit, tail end and last scan."""
-    timed = requests.withColumns({
-        "_tail_at": F.col("exited_ns") + F.greatest(F.col("tail_ns"), F.lit(1)),
-        "_quiet_at": F.col("exited_ns") + 2 * F.col("poll_ns"),
-    })
+    """Requests with the ordinals of their first scan, exit, tail end and last scan.
+
+    Each wanted moment becomes a row on the axis it is measured on (position or
+    observed time), so that one as-of look-up finds the first scan after all of them.
+    """
+    moments = requests.selectExpr("trace_id", "host_id", """explode(array(
+        struct('begin' AS name, 'pos' AS axis, -started_pos AS _m),
+        struct('cut' AS name, 'pos' AS axis, -exited_pos AS _m),
+        struct('cancel' AS name, 'pos' AS axis, -cancelled_pos AS _m),
+        struct('tail' AS name, 'time' AS axis, 1 - exited_ns - greatest(tail_ns, 1L) AS _m),
+        struct('quiet' AS name, 'time' AS axis, 1 - exited_ns - 2 * poll_ns AS _m))) AS _x""") \
+        .selectExpr("trace_id", "host_id", "_x.*").where("_m IS NOT NULL")
+    axes = numbered.selectExpr("host_id", "ordinal", """explode(array(
+        struct('pos' AS axis, -scan_pos AS _m), struct('time' AS axis, -observed_ns AS _m))) AS _x""") \
+        .selectExpr("host_id", "ordinal", "_x.*")
+    found = as_of(moments, axes, ["host_id", "axis"], "_m", "struct(ordinal)", "_f", at_same_pos=False)
+    wide = found.groupBy("trace_id").agg(*[
+        F.expr(f"max(CASE WHEN name = '{n}' THEN _f.ordinal END) AS _{n}")
+        for n in ("begin", "cut", "cancel", "tail", "quiet")
+    ])
     last = numbered.groupBy("host_id").agg(F.max("ordinal").alias("_last"))
-    bounded = requests.join(last, ["host_id"])
-    for wanted, column, inclusive, name in (
-        ("started_pos", "scan_pos", False, "begin"), ("exited_pos", "scan_pos", False, "cut"),
-        ("_tail_at", "observed_ns", True, "_tail"), ("_quiet_at", "observed_ns", True, "_quiet"),
-        ("cancelled_pos", "scan_pos", False, "_cancel"),
-    ):
-        bounded = bounded.join(
-            _first_scan(timed, numbered, wanted, column, inclusive, name), ["trace_id"], "left"
-        )
-    return bounded.withColumns({
-        "tail_end": F.when(F.col("_tail").isNotNull(), F.greatest("_tail", "cut")),
-        "quiet": F.when(F.col("_quiet").isNotNull(), F.greatest("_quiet", "cut")),
-        "final": F.least(F.col("_last"), F.col("_cancel") - 1),
-    }).drop("_last", "_tail", "_quiet", "_cancel")
+    return requests.join(last, ["host_id"]).join(wide, ["trace_id"], "left").selectExpr(
+        *[f"`{c}`" for c in requests.columns], "_begin AS begin", "_cut AS cut",
+        "CASE WHEN _tail IS NOT NULL THEN greatest(_tail, _cut) END AS tail_end",
+        "CASE WHEN _quiet IS NOT NULL THEN greatest(_quiet, _cut) END AS quiet",
+        "least(_last, _cancel - 1) AS final",
+    )
 
 
 def trace_membership(requests: DataFrame, runs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,0 +1,34 @@
+"""Feed a landed table to a stream in consecutive stretches of positions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lifeline.session import new_folder
+from lifeline.streaming import runner
+
+
+def in_stretches(
+    rows: DataFrame, pos: str, made: tuple[runner.Step, dict[str, T.StructType]], stretches: int = 3,
+    sinks: Callable[[str], list] | None = None,
+) -> tuple[str, DataFrame]:
+    """Land each stretch, then let the stream take all it finds and stop.
+
+    Every stretch is one micro-batch and every one resumes from the checkpoint.
+    Returns the stream's folder and its events.
+    """
+    spark = rows.sparkSession
+    step, states = made
+    folder, landed = new_folder(spark, "stream"), new_folder(spark, "landed")
+    low, high = rows.agg(F.min(pos), F.max(pos)).first()
+    size = (high - low) // stretches + 1
+    for i in range(stretches):
+        part = rows.where(F.col(pos).between(low + i * size, low + (i + 1) * size - 1))
+        part.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        runner.start(stream, step, folder, states, sinks(folder) if sinks else None).awaitTermination()
+    return folder, spark.read.parquet(f"{folder}/events")

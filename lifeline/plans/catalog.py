@@ -13,8 +13,10 @@ from lifeline.functions import clock, identity
 from lifeline.functions.render import fallback_line, parent_executable
 from lifeline.operators import diff, gaps, hierarchy, reconcile, replay, trace as tracing, views
 from lifeline.plans import bindings as B
+from lifeline.plans.arrivals import in_stretches
 from lifeline.session import materialise
 from lifeline.sources import dumps, fallback, notices, tables
+from lifeline.streaming import steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -459,3 +461,32 @@ def gap_counts(spark, sf):
     events = gaps.batch_gaps(B.batches(spark, sf)).unionByName(gaps.lost_gaps(B.losses(spark, sf))).unionByName(
         diff.failed_scan_gaps(B.manifest(spark, sf, True)))
     return gaps.gap_counts(events)
+
+
+@query
+def stream_sequence_gaps(spark, sf):
+    _, events = in_stretches(B.sequences(spark, sf), "pos", steps.sequence_step())
+    return positioned(events)
+
+
+@query
+def stream_replay(spark, sf):
+    n = S.conform(exit_coded(B.notice(spark, sf)), S.NOTICE)
+    _, events = in_stretches(n, "pos", steps.replay_step())
+    return replay_columns(events)
+
+
+@query
+def stream_snapshot_diff(spark, sf):
+    """Process rows and the rows that end each scan; some scans failed."""
+    rows = B.scan(spark, sf).unionByName(B.manifest(spark, sf, True), allowMissingColumns=True)
+    _, events = in_stretches(S.conform(rows, steps.SCAN_INPUT), "scan_id", steps.scan_step())
+    return events.select(*DIFF_COLUMNS, "message")
+
+
+@query
+def stream_log(spark, sf):
+    """Readable lines that a stream of notices has written."""
+    n = S.conform(exit_coded(B.notice(spark, sf)), S.NOTICE)
+    folder, _ = in_stretches(n, "pos", steps.replay_step(), 2, lambda f: [steps.log_sink(f)])
+    return spark.read.text(f"{folder}/log").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))

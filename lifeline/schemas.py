@@ -9,7 +9,7 @@ _L, _S, _B = T.LongType(), T.StringType(), T.BooleanType()
 _U64 = T.DecimalType(20, 0)
 
 
-def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+def struct_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
@@ -18,51 +18,51 @@ PROCESS_FIELDS = (
     ("cwd", _S), ("user", _S), ("uid", _S), ("tty", _S), ("session", _S),
     ("started_ns", _L), ("captured_ns", _L),
 )
-PROCESS = _struct(*PROCESS_FIELDS)
+PROCESS = struct_of(*PROCESS_FIELDS)
 PROCESS_COLUMNS = tuple(name for name, _ in PROCESS_FIELDS)
 
 SUMMARY_FIELDS = (("pid", _L), ("process_id", _S), ("command", _S), ("exe", _S), ("user", _S))
-SUMMARY = _struct(*SUMMARY_FIELDS)
+SUMMARY = struct_of(*SUMMARY_FIELDS)
 SUMMARY_COLUMNS = tuple(name for name, _ in SUMMARY_FIELDS)
 
-PROCESS_SCAN = _struct(
+PROCESS_SCAN = struct_of(
     ("host_id", _L), ("boot_id", _S), ("scan_id", _L), *PROCESS_FIELDS, ("row_pos", _L)
 )
-SCAN_MANIFEST = _struct(
+SCAN_MANIFEST = struct_of(
     ("host_id", _L), ("scan_id", _L), ("pos", _L), ("success", _B), ("error", _S),
     ("observed_ns", _L), ("booted_ns", _L), ("collector_pid", _L), ("backend", _S),
 )
-NOTICE = _struct(
+NOTICE = struct_of(
     ("host_id", _L), ("boot_id", _S), ("family", _S), ("pos", _L), ("kind", _S), ("pid", _L),
     ("ppid", _L), ("exit_code", _L), ("kernel_ns", _U64), ("event_ns", _L), ("observed_ns", _L),
     ("pid_version", _L), ("proc", PROCESS),
 )
-SEQ_RECORD = _struct(
+SEQ_RECORD = struct_of(
     ("host_id", _L), ("boot_id", _S), ("family", _S), ("pos", _L), ("cpu", _L), ("kind", _S),
     ("seq", _U64), ("global_sequence", _B), ("relevant", _B), ("observed_ns", _L),
 )
-NOTICE_BATCH = _struct(
+NOTICE_BATCH = struct_of(
     ("host_id", _L), ("batch_id", _L), ("pos", _L), ("truncated", _B), ("overrun", _B),
     ("malformed", _B), ("receive_overflow", _B), ("lost_total", _L), ("observed_ns", _L),
     ("backend", _S),
 )
-CLOCK_ANCHOR = _struct(
+CLOCK_ANCHOR = struct_of(
     ("host_id", _L), ("boot_id", _S), ("pos", _L), ("monotonic_ns", _U64), ("wall_ns", _L),
     ("valid", _B),
 )
-UID_NAME = _struct(("uid", _S), ("user", _S))
-SOURCE_HEALTH = _struct(
+UID_NAME = struct_of(("uid", _S), ("user", _S))
+SOURCE_HEALTH = struct_of(
     ("host_id", _L), ("requested", _S), ("backend", _S), ("available", _B), ("failed_pos", _L),
     ("error", _S), ("observed_ns", _L),
 )
-TRACE_REQUEST = _struct(
+TRACE_REQUEST = struct_of(
     ("trace_id", _L), ("host_id", _L), ("root_pid", _L), ("parent_pid", _L),
     ("argv", T.ArrayType(_S)), ("started_ns", _L), ("started_pos", _L), ("exited_ns", _L),
     ("exit_code", _L), ("exited_pos", _L), ("poll_ns", _L), ("tail_ns", _L),
     ("cancelled_ns", _L), ("cancelled_pos", _L),
 )
-ORDER_KEY = _struct(("pos", _L), ("phase", T.IntegerType()), ("pid", _L), ("sub", T.IntegerType()))
-LIFECYCLE_EVENT = _struct(
+ORDER_KEY = struct_of(("pos", _L), ("phase", T.IntegerType()), ("pid", _L), ("sub", T.IntegerType()))
+LIFECYCLE_EVENT = struct_of(
     ("host_id", _L), ("order_key", ORDER_KEY), ("kind", _S), ("event_ns", _L),
     ("event_time", T.TimestampType()), ("observed_ns", _L), ("process_id", _S), ("pid", _L),
     ("ppid", _L), ("command", _S), ("exe", _S), ("cwd", _S), ("user", _S), ("uid", _S),

@@ -1,0 +1,92 @@
+"""Steps for the stream runner: gaps, replay with reconciliation, scan differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from lifeline import schemas as S
+from lifeline import sinks
+from lifeline.operators import diff, gaps, replay
+from lifeline.session import materialise
+from lifeline.streaming.runner import States, Step
+
+_L, _S, _B = T.LongType(), T.StringType(), T.BooleanType()
+CURSORS = S.struct_of(("host_id", _L), ("boot_id", _S), ("cpu", _L), ("seq", _L), ("pos", _L))
+LIVE = S.struct_of(("host_id", _L), ("pos", _L), ("family", _S), ("observed_ns", _L), *S.PROCESS_FIELDS)
+SCAN_ROWS = S.struct_of(("host_id", _L), ("scan_id", _L), *S.PROCESS_FIELDS)
+SCAN_ENDS = S.struct_of(
+    ("host_id", _L), ("scan_id", _L), ("pos", _L), ("observed_ns", _L), ("success", _B), ("error", _S))
+# A scan arrives as its process rows and one row without process that ends it.
+SCAN_INPUT = T.StructType([*SCAN_ENDS.fields, *S.PROCESS.fields])
+
+
+def sequence_step() -> tuple[Step, dict[str, T.StructType]]:
+    """Sequence gaps across micro-batches; the state is one cursor per CPU."""
+    def step(rows: DataFrame, states: States) -> tuple[DataFrame, States]:
+        events = gaps.sequence_gaps(rows, cursors=states["cursors"])
+        moved = gaps.last_sequences(
+            rows.selectExpr("host_id", "boot_id" if "boot_id" in rows.columns else "'' AS boot_id",
+                            "cpu", "CAST(seq AS bigint) AS seq", "pos").unionByName(states["cursors"]))
+        return events, {"cursors": S.conform(moved, CURSORS)}
+
+    return step, {"cursors": CURSORS}
+
+
+def replay_step(**options) -> tuple[Step, dict[str, T.StructType]]:
+    """Notice replay across micro-batches; the state is the live processes."""
+    def step(rows: DataFrame, states: States) -> tuple[DataFrame, States]:
+        seeds = replay.table_rows(states["live"], replay.SEED)
+        rows = replay.candidates(rows).unionByName(seeds)
+        after = materialise(replay.replay_rows(rows, **options), "replay-batch")
+        return replay.lifecycle_events(after), {"live": S.conform(replay.live_state(after), LIVE)}
+
+    return step, {"live": LIVE}
+
+
+def scan_step(backend: str = S.POLL) -> tuple[Step, dict[str, T.StructType]]:
+    """Scan differences across micro-batches.
+
+    Input rows are SCAN_INPUT. The row that ends a scan makes its absences known;
+    process rows that arrive before it wait in the state. The rest of the state
+    is each host's last scan with its first observations.
+    """
+    def step(rows: DataFrame, states: States) -> tuple[DataFrame, States]:
+        ends = S.conform(rows.where("process_id IS NULL"), SCAN_ENDS)
+        numbered = diff.scan_ordinals(states["ends"].unionByName(ends))
+        waiting = S.conform(rows.where("process_id IS NOT NULL"), SCAN_ROWS).unionByName(states["waiting"])
+        prepared = materialise(
+            diff.attach_manifest(waiting.unionByName(states["scan"]), numbered), "scan-batch")
+        events = diff.snapshot_diff(prepared, backend).drop("lookup_ordinal").unionByName(
+            diff.failed_scan_gaps(ends, backend))
+        last = diff.first_observation(prepared).where("next_observed_ns IS NULL").drop(
+            "captured_ns", "started_ns").withColumnsRenamed(
+            {"first_captured_ns": "captured_ns", "first_started_ns": "started_ns"})
+        kept = numbered.where("next_observed_ns IS NULL").selectExpr(
+            "host_id", "scan_id", "scan_pos AS pos", "observed_ns", "true AS success")
+        return events, {
+            "scan": S.conform(last, SCAN_ROWS), "ends": S.conform(kept, SCAN_ENDS),
+            "waiting": waiting.join(ends, ["host_id", "scan_id"], "left_anti"),
+        }
+
+    return step, {"scan": SCAN_ROWS, "ends": SCAN_ENDS, "waiting": SCAN_ROWS}
+
+
+def log_sink(folder: str, show_ppid: bool = False, show_parent: bool = False):
+    """Readable lines of each batch, and gap diagnostics beside them."""
+    def write(events: DataFrame, batch: int) -> None:
+        sinks.append_log(events, f"{folder}/log/batch={batch}", show_ppid, show_parent, mode="overwrite")
+        sinks.append_diagnostics(events, f"{folder}/diagnostics/batch={batch}", mode="overwrite")
+
+    return write
+
+
+def recent_sink(folder: str):
+    """Keep the recent view current; it too has two slots, so a repeated batch is harmless."""
+    def write(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        previous = spark.read.schema(events.schema).parquet(f"{folder}/recent/slot={(batch - 1) % 2}") \
+            if batch > 0 else None
+        sinks.refresh_recent(previous, events, f"{folder}/recent/slot={batch % 2}")
+
+    return write
