@@ -54,6 +54,12 @@ def scan_ordinals(manifest: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def scan_width(numbered: DataFrame, width: int = SCAN_WIDTH) -> int | None:
+    """Slice width for a host's scans; None if no host has more scans than one slice holds."""
+    last = numbered.agg(F.max("ordinal")).first()[0]
+    return width if last is not None and last >= width else None
+
+
 def attach_manifest(scans: DataFrame, numbered: DataFrame) -> DataFrame:
     """Scan rows of successful scans with their ordinal and times.
 
@@ -72,7 +78,7 @@ def failed_scan_gaps(manifest: DataFrame, backend: str = S.POLL) -> DataFrame:
     ))
 
 
-def first_observation(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame:
+def first_observation(prepared: DataFrame, width: int | None = SCAN_WIDTH) -> DataFrame:
     """Carry the first capture and the first known start through each presence run.
 
     ``prepared`` comes from ``attach_manifest`` and is unique on (host, scan,
@@ -80,8 +86,9 @@ def first_observation(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame
     ``first_started_ns``, the previous row's command and executable, and whether
     the process is present in the next scan. Runs are cut into slices of scans;
     only a run crossing a slice border contributes one summary row per border.
+    ``width`` comes from ``scan_width``; None means one slice is enough.
     """
-    part = [*PROCESS_KEY, SLICE]
+    part = [*PROCESS_KEY, SLICE] if width else PROCESS_KEY
     local = neighbours(
         prepared, PROCESS_KEY, "ordinal",
         previous={"_prev": "ordinal", "previous_command": "command", "previous_exe": "exe"},
@@ -98,6 +105,11 @@ def first_observation(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame
         "*", "CASE WHEN _c.run = coalesce(_run, -1L) THEN _c.v END AS _captured",
         "CASE WHEN _s.run = coalesce(_run, -1L) THEN _s.v END AS _started",
     )
+    kept = [*[f"`{c}`" for c in prepared.columns], "previous_command", "previous_exe"]
+    if width is None:
+        return local.selectExpr(
+            *kept, "_run AS run_start", "_captured AS first_captured_ns", "_started AS first_started_ns",
+            "_next IS NOT NULL AS in_next_scan")
     # A slice's last scan hands its open run to the next slice.
     edge = local.where(f"ordinal % {width}L = {width - 1}L AND _next IS NOT NULL").selectExpr(
         *part, f"max(CASE WHEN _run IS NOT NULL THEN struct({SLICE} AS s, _run AS run, _captured AS v) END) "
@@ -111,15 +123,14 @@ def first_observation(prepared: DataFrame, width: int = SCAN_WIDTH) -> DataFrame
         "CASE WHEN _known.s = _head.s THEN _known.v END AS _in_started",
     )
     return local.join(carried, part, "left").selectExpr(
-        *[f"`{c}`" for c in prepared.columns], "previous_command", "previous_exe",
-        "coalesce(_run, _in_run) AS run_start",
+        *kept, "coalesce(_run, _in_run) AS run_start",
         "CASE WHEN _run IS NULL THEN coalesce(_in_captured, _captured) ELSE _captured END AS first_captured_ns",
         "CASE WHEN _run IS NULL THEN coalesce(_in_started, _started) ELSE _started END AS first_started_ns",
         "_next IS NOT NULL AS in_next_scan",
     )
 
 
-def snapshot_diff(prepared: DataFrame, backend: str = S.POLL, width: int = SCAN_WIDTH) -> DataFrame:
+def snapshot_diff(prepared: DataFrame, backend: str = S.POLL, width: int | None = SCAN_WIDTH) -> DataFrame:
     """Start, exec and stop events of every pair of successive successful scans.
 
     The first successful scan of a host is a silent baseline. Stops take their

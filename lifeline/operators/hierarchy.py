@@ -37,9 +37,10 @@ def with_ancestors(
 
     The walk ends at a parent PID of zero or less, a missing parent or a PID
     already seen. Each round is one equi-join of the rows still climbing; every
-    few rounds the lineage is cut and finished rows leave the loop.
+    few rounds the lineage is cut and finished rows leave the loop. The narrow
+    look-up side is stored once, so rounds neither recompute it nor guess its size.
     """
-    index = parent_index(processes, keys)
+    index = materialise(parent_index(processes, keys), "parents")
     climbing = rows.withColumns({
         "_next": F.when((F.col("ppid") > 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")),
         "parent_chain": F.array().cast(S.T.ArrayType(S.SUMMARY)),
@@ -83,7 +84,7 @@ def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label:
     measures otherwise, and skips PIDs that are already members.
     """
     member = [label, *keys, "pid"]
-    tree = processes.select(*keys, "pid", "ppid")
+    tree = materialise(processes.select(*keys, "pid", "ppid"), "tree")
     level = materialise(
         roots.select(*member).join(tree.select(*keys, "pid"), [*keys, "pid"], "left_semi")
         .dropDuplicates(member).withColumn("level", F.lit(0)),

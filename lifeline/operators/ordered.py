@@ -79,25 +79,33 @@ def ordinals(
 def neighbours(
     df: DataFrame, keys: Sequence[str], ordinal: str,
     previous: dict[str, str] | None = None, following: dict[str, str] | None = None,
-    width: int = SCAN_WIDTH,
+    width: int | None = SCAN_WIDTH,
 ) -> DataFrame:
     """Add columns of the row at ``ordinal - 1`` / ``ordinal + 1`` of the group.
 
     One shuffle: rows at the border of a slice are copied into the adjoining
     slice as context (2 / width more rows) and dropped again afterwards. The
-    slice column stays, so that later steps can reuse the partitioning.
+    slice column stays, so that later steps can reuse the partitioning. Without
+    a width, groups are known to be small and are not sliced.
     """
+    if width is None:
+        return df.selectExpr("*", *_adjoining(keys, ordinal, previous, following))
     home, offset = slice_of(ordinal, width), f"`{ordinal}` % {int(width)}L"
     spread = df.selectExpr("*", f"""explode(array_compact(array({home},
         CASE WHEN {offset} = {width - 1}L THEN {home} + 1 END,
         CASE WHEN {offset} = 0 THEN {home} - 1 END))) AS {SLICE}""")
-    clause = over([*keys, SLICE], ordinal, None)
-    found = [
+    found = _adjoining([*keys, SLICE], ordinal, previous, following)
+    return spread.selectExpr("*", *found).where(f"{SLICE} = {home}")
+
+
+def _adjoining(part: Sequence[str], ordinal: str, previous: dict[str, str] | None,
+               following: dict[str, str] | None) -> list[str]:
+    clause = over(part, ordinal, None)
+    return [
         f"CASE WHEN {f}(`{ordinal}`) {clause} = `{ordinal}` {sign} 1 THEN {f}(`{source}`) {clause} END AS `{name}`"
         for f, sign, wanted in (("lag", "-", previous), ("lead", "+", following))
         for name, source in (wanted or {}).items()
     ]
-    return spread.selectExpr("*", *found).where(f"{SLICE} = {home}")
 
 
 def by_heat(

@@ -198,9 +198,10 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
         f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded",
     )
     direct = S.conform(step.where("NOT _folded"), STATE_ROWS)
-    # Windows leave partitions sorted by key and position; the fold states its need anyway.
+    # Stretches are independent, so those of one hot PID spread over many tasks.
+    part = [*keys, "stretch"]
     fold = S.conform(
-        step.where("_folded").repartition(*keys).sortWithinPartitions(*keys, "pos"), _FOLD_IN
+        step.where("_folded").repartition(*part).sortWithinPartitions(*part, "pos"), _FOLD_IN
     ).mapInArrow(_folder(align_all), STATE_ROWS)
     return direct.unionByName(fold)
 
@@ -282,8 +283,9 @@ def replay(notices: DataFrame, baseline: DataFrame | None = None, scans: DataFra
     if baseline is not None:
         rows = rows.unionByName(table_rows(baseline, SEED))
     if scans is not None:
-        rows = rows.unionByName(table_rows(scans, SCAN))
-        rows = rows.unionByName(absences(rows, scan_times, options.get("width", WIDTH)))
+        rows = materialise(rows.unionByName(table_rows(scans, SCAN)), "replay-rows")
+        rows = rows.unionByName(materialise(
+            absences(rows, scan_times, options.get("width", WIDTH)), "replay-absences"))
     return replay_rows(rows, **options)
 
 

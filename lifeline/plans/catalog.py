@@ -27,8 +27,20 @@ def query(function: Query) -> Query:
     return function
 
 
-def prepared(spark: SparkSession, sf: str, failures: bool = False) -> DataFrame:
-    return diff.attach_manifest(B.scan(spark, sf), diff.scan_ordinals(B.manifest(spark, sf, failures)))
+def numbered_scans(manifest: DataFrame) -> tuple[DataFrame, int | None]:
+    """The numbered manifest, stored so that joins know its size, and the slice width it asks for."""
+    numbered = materialise(diff.scan_ordinals(manifest), "manifest")
+    return numbered, diff.scan_width(numbered)
+
+
+def prepared(spark: SparkSession, sf: str, failures: bool = False) -> tuple[DataFrame, int | None]:
+    numbered, width = numbered_scans(B.manifest(spark, sf, failures))
+    return diff.attach_manifest(B.scan(spark, sf), numbered), width
+
+
+def scan_events(spark: SparkSession, sf: str, failures: bool = False) -> DataFrame:
+    ready, width = prepared(spark, sf, failures)
+    return diff.snapshot_diff(ready, width=width)
 
 
 DIFF_COLUMNS = ("host_id", "kind", "event_ns", "observed_ns", "process_id", "pid", "ppid", "command",
@@ -37,13 +49,13 @@ DIFF_COLUMNS = ("host_id", "kind", "event_ns", "observed_ns", "process_id", "pid
 
 @query
 def snapshot_diff(spark, sf):
-    return diff.snapshot_diff(prepared(spark, sf)).select(*DIFF_COLUMNS, "lookup_ordinal")
+    return scan_events(spark, sf).select(*DIFF_COLUMNS, "lookup_ordinal")
 
 
 @query
 def failed_scans(spark, sf):
     """Diff across failed scans, with a gap for each of them."""
-    events = diff.snapshot_diff(prepared(spark, sf, True)).drop("lookup_ordinal").unionByName(
+    events = scan_events(spark, sf, True).drop("lookup_ordinal").unionByName(
         diff.failed_scan_gaps(B.manifest(spark, sf, True)))
     return events.select(*DIFF_COLUMNS, "message")
 
@@ -67,7 +79,7 @@ def started_or_stopped(spark, sf):
 
 @query
 def first_observation(spark, sf):
-    return diff.first_observation(prepared(spark, sf)).select(
+    return diff.first_observation(*prepared(spark, sf)).select(
         "host_id", "scan_id", "process_id", "run_start", "first_captured_ns", "first_started_ns", "in_next_scan")
 
 
@@ -382,7 +394,8 @@ def source_fallback(spark, sf):
     e = B.events(spark, sf)
     days = e.groupBy("scan_id").agg((F.max("event_id") * 2 + 1).alias("pos"))
     manifest = B.manifest(spark, sf).drop("pos").join(days, ["scan_id"])
-    polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), diff.scan_ordinals(manifest))).drop("lookup_ordinal")
+    numbered, width = numbered_scans(manifest)
+    polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), numbered), width=width).drop("lookup_ordinal")
     return fallback.choose(native, polled, health(spark, sf)).select(
         "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "event_ns", "backend", "message")
 
@@ -394,7 +407,7 @@ def fallback_log(spark, sf):
 
 @query
 def trace(spark, sf):
-    numbered = diff.scan_ordinals(B.manifest(spark, sf))
+    numbered, _ = numbered_scans(B.manifest(spark, sf))
     events = tracing.trace(diff.attach_manifest(B.scan(spark, sf), numbered), numbered, B.trace_requests(spark, sf))
     return events.select("trace_id", "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "process_id",
                          "command", "event_ns", "duration_ms", "exit_code", "message")
@@ -402,8 +415,8 @@ def trace(spark, sf):
 
 def chained_events(spark, sf):
     """Scan differences with the ancestors seen in the scan that shows the process."""
-    ready = prepared(spark, sf)
-    events = diff.snapshot_diff(ready).drop("parent_chain").withColumnRenamed("lookup_ordinal", "ordinal")
+    ready, width = prepared(spark, sf)
+    events = diff.snapshot_diff(ready, width=width).drop("parent_chain").withColumnRenamed("lookup_ordinal", "ordinal")
     return hierarchy.with_ancestors(events, ready, ["host_id", "ordinal"])
 
 
@@ -436,7 +449,7 @@ def search(spark, sf):
 @query
 def recent_view(spark, sf):
     """A page of the latest events in each of the four orders."""
-    view = views.recent(diff.snapshot_diff(prepared(spark, sf)).drop("lookup_ordinal"), 500)
+    view = materialise(views.recent(scan_events(spark, sf).drop("lookup_ordinal"), 500), "recent")
     pages = None
     for mode in (views.TIMELINE, views.DURATION, views.PID, views.COMMAND):
         part = views.page(view, mode, scroll=7, limit=40).withColumn("mode", F.lit(mode))
@@ -446,13 +459,13 @@ def recent_view(spark, sf):
 
 @query
 def recent_hosts(spark, sf):
-    events = diff.snapshot_diff(prepared(spark, sf)).drop("lookup_ordinal")
+    events = scan_events(spark, sf).drop("lookup_ordinal")
     return views.recent_per_host(events, 50).select("host_id", "kind", "pid", "observed_ns")
 
 
 @query
 def recent_summary(spark, sf):
-    events = diff.snapshot_diff(prepared(spark, sf)).drop("lookup_ordinal")
+    events = scan_events(spark, sf).drop("lookup_ordinal")
     return views.summary(views.recent(events))
 
 

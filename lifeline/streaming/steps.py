@@ -53,13 +53,14 @@ def scan_step(backend: str = S.POLL) -> tuple[Step, dict[str, T.StructType]]:
     """
     def step(rows: DataFrame, states: States) -> tuple[DataFrame, States]:
         ends = S.conform(rows.where("process_id IS NULL"), SCAN_ENDS)
-        numbered = diff.scan_ordinals(states["ends"].unionByName(ends))
+        numbered = materialise(diff.scan_ordinals(states["ends"].unionByName(ends)), "manifest")
+        width = diff.scan_width(numbered)
         waiting = S.conform(rows.where("process_id IS NOT NULL"), SCAN_ROWS).unionByName(states["waiting"])
         prepared = materialise(
             diff.attach_manifest(waiting.unionByName(states["scan"]), numbered), "scan-batch")
-        events = diff.snapshot_diff(prepared, backend).drop("lookup_ordinal").unionByName(
+        events = diff.snapshot_diff(prepared, backend, width).drop("lookup_ordinal").unionByName(
             diff.failed_scan_gaps(ends, backend))
-        last = diff.first_observation(prepared).where("next_observed_ns IS NULL").drop(
+        last = diff.first_observation(prepared, width).where("next_observed_ns IS NULL").drop(
             "captured_ns", "started_ns").withColumnsRenamed(
             {"first_captured_ns": "captured_ns", "first_started_ns": "started_ns"})
         kept = numbered.where("next_observed_ns IS NULL").selectExpr(
