@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 from lifeline.operators.ordered import WIDTH, running
 
+BEFORE, AFTER = 0, 3  # phases around the events of a position
 CPU_KEY = ["host_id", "boot_id", "cpu"]
 # Sequence numbers of the connector wrap at 32 bits; message texts.
 SEQUENCE_MODULUS = 4_294_967_296
@@ -29,10 +30,14 @@ RESYNC_FAILED = {
 
 
 def gap_events(rows: DataFrame, message: str, backend: str, sub: str | int = 0,
-               event_ns: str = "observed_ns") -> DataFrame:
-    """Gap events at the rows' positions (SQL texts); rows need host_id, pos and observed_ns."""
+               event_ns: str = "observed_ns", phase: int = BEFORE) -> DataFrame:
+    """Gap events at the rows' positions (SQL texts); rows need host_id, pos and observed_ns.
+
+    Sequence and batch diagnostics precede the notice of their position; a grown
+    loss counter is noticed after it. The forced scan follows at a later position.
+    """
     return S.as_events(rows.selectExpr(
-        "host_id", f"{S.order_key('pos', 0, 0, sub)} AS order_key", f"'{S.GAP}' AS kind",
+        "host_id", f"{S.order_key('pos', phase, 0, sub)} AS order_key", f"'{S.GAP}' AS kind",
         f"{event_ns} AS event_ns", "observed_ns", f"{backend} AS backend", f"{message} AS message",
     ))
 
@@ -101,7 +106,7 @@ def lost_increases(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
 
 def lost_gaps(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
     texts = " ".join(f"WHEN '{b}' THEN format_string('{t}', lost)" for b, t in QUEUE_OVERFLOW.items())
-    return gap_events(lost_increases(counters, width), f"CASE backend {texts} END", "backend", 1)
+    return gap_events(lost_increases(counters, width), f"CASE backend {texts} END", "backend", phase=AFTER)
 
 
 def completeness_summary(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:

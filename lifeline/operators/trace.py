@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 from lifeline.functions import identity as I
 from lifeline.operators.diff import one_per_pid
-from lifeline.operators.hierarchy import surviving_pids
+from lifeline.operators.hierarchy import surviving_pids, with_ancestors
 from lifeline.operators.ordered import (
     HOT_ROWS, SCAN_WIDTH, SLICE, WIDTH, as_of, by_heat, neighbours, running,
 )
@@ -179,14 +179,49 @@ def _root_process(requests: DataFrame) -> DataFrame:
     )
 
 
+def root_parents(requests: DataFrame, runs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The root's parent, per trace, in the last scan before the trace began."""
+    scans = numbered.selectExpr("host_id", "scan_pos AS _m", "ordinal")
+    begun = requests.selectExpr("trace_id", "host_id", "parent_pid AS pid", "started_pos AS _m")
+    last = as_of(begun, scans, ["host_id"], "_m", "struct(ordinal)", "_f", at_same_pos=False, dense=True)
+    summary = f"CAST(struct({', '.join(f'`{c}`' for c in S.SUMMARY_COLUMNS)}) AS {S.SUMMARY.simpleString()}) AS parent"
+    filled = runs if "user" in runs.columns else runs.selectExpr("*", "CAST(NULL AS string) AS user")
+    return last.where("pid > 0").selectExpr("trace_id", "host_id", "pid", "_f.ordinal AS ordinal").join(
+        filled.selectExpr("host_id", "ordinal", "pid", summary), ["host_id", "ordinal", "pid"]
+    ).select("trace_id", "parent")
+
+
+def _with_root_parents(opening: DataFrame, parents: DataFrame) -> DataFrame:
+    return S.as_events(opening.drop("parent_chain").join(parents, ["trace_id"], "left").selectExpr(
+        "*", "array_compact(array(parent)) AS parent_chain"))
+
+
+def _with_chains(events: DataFrame, runs: DataFrame, members: DataFrame, settled: DataFrame,
+                 numbered: DataFrame) -> DataFrame:
+    filled = lambda df: df if "user" in df.columns else df.selectExpr("*", "CAST(NULL AS string) AS user")
+    located = materialise(
+        events.drop("parent_chain").selectExpr("*", "order_key.pos AS scan_pos")
+        .join(numbered.select("host_id", "scan_pos", "ordinal"), ["host_id", "scan_pos"], "left")
+        .join(settled.selectExpr("trace_id", "coalesce(cut - 1, final) AS _exit"), ["trace_id"]), "trace-events")
+    shown = with_ancestors(located.where("kind <> 'stop'"), filled(runs), ["host_id", "ordinal"])
+    stops = located.where("kind = 'stop'").withColumn("ordinal", F.expr("coalesce(ordinal - 1, _exit)"))
+    ended = with_ancestors(stops, filled(members), ["trace_id", "host_id", "ordinal"])
+    return S.as_events(shown.unionByName(ended))
+
+
 def trace(prepared: DataFrame, numbered: DataFrame, requests: DataFrame,
-          manifest: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Start, exec, stop and gap events of every requested trace."""
+          manifest: DataFrame | None = None, chains: bool = False, hot_rows: int = HOT_ROWS,
+          width: int = SCAN_WIDTH) -> DataFrame:
+    """Start, exec, stop and gap events of every requested trace.
+
+    ``chains`` adds ancestors: a starting root knows its direct parent; starts and
+    execs see their whole scan; stops see the members of the scan before.
+    """
     runs = materialise(presence_runs(one_per_pid(
         prepared, ["host_id", "scan_id", "ordinal", "scan_pos", "observed_ns", "next_observed_ns", "next_pos"]
-    )), "trace-runs")
+    ), width), "trace-runs")
     bounds = materialise(trace_bounds(S.conform(requests, S.TRACE_REQUEST), numbered), "trace-bounds")
-    members = trace_membership(bounds, runs, parent_edges(runs))
+    members = trace_membership(bounds, runs, parent_edges(runs, width))
     settled = materialise(trace_finish(bounds, members, hot_rows), "trace-bounds")
     live = members.join(settled.select("trace_id", "root_pid", "finish"), ["trace_id"]).where(
         "since <= finish").withColumn("until", F.least("until", "finish"))
@@ -221,7 +256,11 @@ def trace(prepared: DataFrame, numbered: DataFrame, requests: DataFrame,
     states = replay_rows(rows, align_all=True, hot_rows=hot_rows, keys=["trace_id", "host_id", "pid"])
     opening = S.as_events(root.drop("exit_code").selectExpr(
         "*", f"'{S.START}' AS kind", f"'{S.TRACE}' AS backend", f"{S.order_key('pos', 1, 'pid')} AS order_key"))
-    events = opening.unionByName(lifecycle_events(states))
+    later = lifecycle_events(states)
+    if chains:
+        opening = _with_root_parents(opening, root_parents(bounds, runs, numbered))
+        later = _with_chains(later, runs, seen, settled, numbered)
+    events = opening.unionByName(later)
     for gap in _trace_gaps(settled, numbered, live, manifest):
         events = events.unionByName(gap)
     return events

@@ -101,6 +101,24 @@ def history(rng, host, length):
     return scans
 
 
+def walk(table, pid):
+    chain, seen, up = [], {pid}, table[pid]["ppid"] if pid in table else 0
+    while up > 0 and up not in seen and up in table:
+        chain.append(up)
+        seen.add(up)
+        up = table[up]["ppid"]
+    return chain
+
+
+SCAN = ("host_id long, scan_id long, process_id string, pid long, ppid long, command string, "
+        "exe string, started_ns long, captured_ns long, row_pos long")
+MANIFEST = "host_id long, scan_id long, pos long, success boolean, error string, observed_ns long"
+
+
+def request(**given):
+    return tuple(given.get(f) for f in S.TRACE_REQUEST.fieldNames())
+
+
 def test_trace_equals_simulation(spark):
     rng = random.Random(5)
     rows, manifest, requests, expected = [], [], [], {}
@@ -122,11 +140,8 @@ def test_trace_equals_simulation(spark):
                        cancelled_ns=None, cancelled_pos=None)
             requests.append(tuple(req[f] for f in S.TRACE_REQUEST.fieldNames()))
             expected[req["trace_id"]] = simulate(scans, req)
-    scan_schema = "host_id long, scan_id long, process_id string, pid long, ppid long, command string, " \
-                  "exe string, started_ns long, captured_ns long, row_pos long"
-    scans = spark.createDataFrame(rows, scan_schema)
-    table = spark.createDataFrame(manifest, "host_id long, scan_id long, pos long, success boolean, "
-                                            "error string, observed_ns long")
+    scans = spark.createDataFrame(rows, SCAN)
+    table = spark.createDataFrame(manifest, MANIFEST)
     numbered = D.scan_ordinals(table)
     got = trace(D.attach_manifest(scans, numbered), numbered,
                 spark.createDataFrame(requests, S.TRACE_REQUEST))
@@ -137,3 +152,31 @@ def test_trace_equals_simulation(spark):
         key = lambda e: tuple(str(v) for v in e)
         assert sorted(actual.get(trace_id, []), key=key) == sorted(events, key=key), trace_id
     assert sum(len(e) for e in expected.values()) > 300
+
+
+def test_chains_gaps_and_cancellation(spark):
+    s = SECOND
+    row = lambda scan, pid, ppid: (0, scan, f"{pid}:1", pid, ppid, f"c{pid}", f"/b/{pid}", None, scan * s, 0)
+    tables = {0: [(1, 0), (2, 1)], 1: [(1, 0), (2, 1), (5, 2), (6, 5)], 3: [(1, 0), (2, 1), (5, 2), (6, 5), (7, 6)],
+              4: [(1, 0), (2, 1), (5, 2), (6, 5)], 5: [(1, 0), (5, 1), (6, 5)]}
+    scans = spark.createDataFrame([row(k, p, q) for k, t in tables.items() for p, q in t], SCAN)
+    manifest = spark.createDataFrame(
+        [(0, k, k * 10, k in tables, None if k in tables else "E", (k + 1) * s) for k in range(6)], MANIFEST)
+    numbered = D.scan_ordinals(manifest)
+    base = dict(host_id=0, root_pid=5, parent_pid=2, argv=["c5"], started_ns=0, started_pos=5, poll_ns=1, tail_ns=0)
+    requests = spark.createDataFrame([
+        request(trace_id=1, exited_ns=5 * s + 1, exited_pos=45, exit_code=9, **base),
+        request(trace_id=2, cancelled_ns=4 * s + 5, cancelled_pos=35, **base)], S.TRACE_REQUEST)
+    events = trace(D.attach_manifest(scans, numbered), numbered, requests, manifest, chains=True)
+    got = {1: [], 2: []}
+    for r in events.orderBy("order_key").collect():
+        chain = [p["pid"] for p in r["parent_chain"] or []]
+        got[r["trace_id"]].append((r["kind"], r["pid"], r["order_key"]["pos"], chain, r["message"]))
+    failed = "trace snapshot failed; expected a complete process table, received error E"
+    opening = [("start", 5, 5, [2], None), ("stop", 5, 10, [], None), ("start", 5, 10, [2, 1], None),
+               ("start", 6, 10, [5, 2, 1], None), ("gap", None, 20, [], failed), ("start", 7, 30, [6, 5, 2, 1], None)]
+    assert got[1] == opening + [
+        ("stop", 7, 40, [6, 5], None), ("stop", 5, 45, [], None),
+        ("gap", None, 50, [], "trace tail ended with observed descendant process ids [6] still running")]
+    assert got[2] == opening + [
+        ("gap", None, 35, [], "trace stopped before the command and all observed descendants completed")]
