@@ -14,6 +14,7 @@ from lifeline.functions.render import fallback_line, parent_executable
 from lifeline.operators import diff, gaps, hierarchy, reconcile, replay, trace as tracing, views
 from lifeline.plans import bindings as B
 from lifeline.plans.arrivals import in_stretches
+from lifeline.plans.watch import watch_notices, watch_poll
 from lifeline.session import materialise
 from lifeline.sources import dumps, fallback, notices, tables
 from lifeline.streaming import steps
@@ -476,6 +477,25 @@ def gap_counts(spark, sf):
     return gaps.gap_counts(events)
 
 
+WATCHED = ("host_id", "kind", "pid", "process_id", "event_ns", "duration_ms", "backend", "message")
+
+
+@query
+def polled_watch(spark, sf):
+    """Scans with failures, user names and chains, as one event table."""
+    events = watch_poll(B.scan(spark, sf), B.manifest(spark, sf, True), B.uid_names(spark, sf))
+    return events.select(F.col("order_key.pos").alias("pos"), *WATCHED, "user", chain_text("parent_chain").alias("chain"))
+
+
+@query
+def noticed_watch(spark, sf):
+    """Notices with chains, and the gaps of sequences, batches and counters."""
+    events = watch_notices(
+        exit_coded(B.notice(spark, sf)), records=B.sequences(spark, sf), endpoint_records=B.endpoint_sequences(spark, sf),
+        batches=B.batches(spark, sf), counters=B.losses(spark, sf))
+    return events.select(F.col("order_key.pos").alias("pos"), *WATCHED, chain_text("parent_chain").alias("chain"))
+
+
 @query
 def stream_sequence_gaps(spark, sf):
     _, events = in_stretches(B.sequences(spark, sf), "pos", steps.sequence_step())

@@ -13,8 +13,10 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[8]").appName("lifeline-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        # Inputs are tiny: compiling plans would take longer than running them.
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
