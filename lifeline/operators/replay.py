@@ -11,8 +11,8 @@ A row's effect depends only on rows of its own (host, PID), so one shuffle and
 one sort serve all windows. Whether a start on a live PID begins a new
 generation can depend on a chain of earlier answers (start times within two
 seconds of the first one). The windows assume that it does; a stretch where the
-assumption first fails is handed to a streaming fold that keeps one process in
-memory, and only from that row to the next stop.
+assumption first fails is handed, from that row to the next stop, to a streaming
+fold over IDs and start times that keeps one of each in memory.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lifeline import schemas as S
 from lifeline.functions import identity as I
@@ -47,10 +46,6 @@ STATE_ROWS = _T.StructType([
         ("renewed", _T.BooleanType()), ("cand", S.PROCESS), ("trace_id", _T.LongType()),
     )]
 ])
-_FOLD_IN = _T.StructType([
-    *[f for f in STATE_ROWS.fields],
-    _T.StructField("solid", _T.BooleanType()), _T.StructField("stretch", _T.LongType()),
-])
 
 
 def wall_times(notices: DataFrame, anchors: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -184,90 +179,109 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
     merged = I.same_generation("pid", "before.process_id", "before.started_ns",
                                "pid", "cand.process_id", "cand.started_ns")
     suspect = f"found AND NOT ({ends})" if fold_all else f"kind = '{S.START}' AND found AND {merged}"
-    step = running(step, keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width)
+    step = running(step, keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width).selectExpr(
+        *[f"`{c}`" for c in rows.columns], "before", "before_pos", "found", "fresh",
+        f"coalesce(_stop, {never}) AS stretch", f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded")
+    direct = _outcome(step.where("NOT _folded"))
+    return direct.unionByName(_folded(step.where("_folded").drop("_folded"), width, align_all, keys))
+
+
+def _outcome(step: DataFrame) -> DataFrame:
+    """State rows from rows with their state ``before`` and whether they are ``fresh``."""
     kept = "(found AND NOT fresh)"
     keeping = S.process_struct(
         "cand", captured_ns="coalesce(before.captured_ns, cand.captured_ns)",
         started_ns="coalesce(before.started_ns, cand.started_ns)")
-    step = step.selectExpr(
-        *[f"`{c}`" for c in rows.columns], "before", "before_pos",
-        f"""CASE WHEN {ends} THEN NULL WHEN {kept} AND NOT solid THEN before
-                 WHEN {kept} THEN {keeping} ELSE cand END AS after""",
+    moved = S.process_struct("before", ppid="cand.ppid")
+    ends = f"kind IN ('{S.STOP}', '{ABSENT}')"
+    return S.conform(step.selectExpr(
+        "*",
+        f"""CASE WHEN {ends} THEN NULL WHEN {kept} AND solid THEN {keeping}
+                 WHEN {kept} AND kind = '{S.START}' THEN {moved} WHEN {kept} THEN before ELSE cand END AS after""",
         f"CASE WHEN {ends} THEN NULL WHEN {kept} THEN before_pos ELSE pos END AS after_pos",
-        "found AND fresh AS renewed", f"coalesce(_stop, {never}) AS stretch",
-        f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded",
-    )
-    direct = S.conform(step.where("NOT _folded"), STATE_ROWS)
-    # Stretches are independent, so those of one hot PID spread over many tasks.
-    part = [*keys, "stretch"]
-    fold = S.conform(
-        step.where("_folded").repartition(*part).sortWithinPartitions(*part, "pos"), _FOLD_IN
-    ).mapInArrow(_folder(align_all), STATE_ROWS)
-    return direct.unionByName(fold)
+        "found AND fresh AS renewed",
+    ), STATE_ROWS)
 
 
-def _folder(align_all: bool):
-    columns = STATE_ROWS.fieldNames()
-    arrow = to_arrow_schema(STATE_ROWS)
+def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]) -> DataFrame:
+    """State rows of stretches whose starts depend on a chain of earlier answers.
 
+    Each stretch opens with its exact state. A fold over IDs and start times
+    decides which rows are fresh; stretches are independent, so those of one hot
+    PID spread over many tasks. The states then follow by windows as usual.
+    """
+    part = [*keys, "stretch"]
+    decided = step.selectExpr(
+        "*", "cand.process_id AS _id", "cand.started_ns AS _start",
+        "before.process_id AS _old_id", "before.started_ns AS _old_start",
+    ).repartition(*part).sortWithinPartitions(*part, "pos").mapInArrow(
+        _decider(align_all, part),
+        _T.StructType([*step.schema.fields, _T.StructField("opens", _T.BooleanType())]),
+    )
+    # The state before a stretch's first row becomes a row of its own, half a position earlier.
+    columns = [c for c in decided.columns if c not in ("before", "opens")]
+    seed = {"kind": f"'{SEED}'", "pos": "pos * 2 - 1", "cand": "before", "solid": "true", "fresh": "true"}
+    as_row = lambda changes: "struct(" + ", ".join(f"{changes.get(c, f'`{c}`')} AS `{c}`" for c in columns) + ")"
+    both = decided.selectExpr(f"""explode(array_compact(array(
+        CASE WHEN opens THEN {as_row(seed)} END, {as_row({'pos': 'pos * 2'})}))) AS _r""").select("_r.*")
+    rows = running(both, part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width)
+    rows = running(rows, part, "pos", {
+        "_last": "CASE WHEN fresh OR solid THEN struct(pos, cand AS c) END",
+        "_ppid": f"CASE WHEN fresh OR solid OR kind = '{S.START}' THEN struct(pos, cand.ppid AS v) END",
+        "_first": f"""CASE WHEN fresh THEN struct(pos, cand.captured_ns AS v,
+                      CASE WHEN kind = '{SEED}' THEN before_pos ELSE pos div 2 END AS at) END""",
+        "_known": """CASE WHEN (fresh OR solid) AND cand.started_ns IS NOT NULL
+                     THEN struct(_gen AS gen, -pos AS o, cand.started_ns AS v) END""",
+    }, inclusive=False, width=width)
+    before = S.process_struct("_last.c", ppid="_ppid.v", captured_ns="_first.v",
+                              started_ns="CASE WHEN _known.gen = _first.pos THEN _known.v END")
+    kept = [f"`{c}`" for c in step.columns if c not in ("pos", "before", "before_pos", "found")]
+    return _outcome(rows.where("pos % 2 = 0").selectExpr(
+        *kept, "pos div 2 AS pos", f"{before} AS before", "_first.at AS before_pos", "true AS found"))
+
+
+def _decider(align_all: bool, part: list[str]):
     def provisional(text: str) -> bool:
-        return text is not None and ":" in text and text.split(":", 1)[0] in I.PROVISIONAL
+        return ":" in text and text.split(":", 1)[0] in I.PROVISIONAL
 
-    def near(a: dict, b: dict) -> bool:
-        if a["started_ns"] is None or b["started_ns"] is None:
+    def same(old: str, old_start: int | None, new: str, new_start: int | None) -> bool:
+        if old == new:
+            return True
+        if old_start is None or new_start is None or not (provisional(old) or provisional(new)):
             return False
-        return abs(a["started_ns"] - b["started_ns"]) <= I.GENERATION_TOLERANCE_NS
+        return abs(old_start - new_start) <= I.GENERATION_TOLERANCE_NS
 
-    def same(a: dict, b: dict) -> bool:
-        if a["process_id"] == b["process_id"]:
-            return True
-        return (provisional(a["process_id"]) or provisional(b["process_id"])) and near(a, b)
+    def alignable(family: str, old: str) -> bool:
+        return (align_all and provisional(old)) or (family == "linux" and old.startswith(I.CONNECTOR + ":"))
 
-    def confirmed(state: dict, row: dict) -> bool:
-        if state["process_id"] == row["cand"]["process_id"]:
-            return True
-        own = row["family"] == "linux" and state["process_id"].startswith(I.CONNECTOR + ":")
-        return (own or (align_all and provisional(state["process_id"]))) and same(state, row["cand"])
-
-    def keep_first(state: dict, new: dict) -> dict:
-        first = {k: state[k] if state[k] is not None else new[k] for k in ("captured_ns", "started_ns")}
-        return {**new, **first}
-
-    def apply(row: dict, state: dict | None) -> tuple[dict | None, bool]:
-        """Process after the row, and whether it replaced another one."""
-        kind, new = row["kind"], row["cand"]
-        if kind in (S.STOP, ABSENT):
-            return None, False
-        if state is None:
-            return new, False
-        if kind == S.START:
-            if not same(state, new):
-                return new, True
-            return (keep_first(state, new), False) if row["solid"] else ({**state, "ppid": new["ppid"]}, False)
-        if kind == SCAN and not confirmed(state, row):
-            return new, True
-        return (keep_first(state, new) if row["solid"] else state), False
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, began = None, None, None
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, old, old_start = None, None, None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                stretch = (row["trace_id"], row["host_id"], row["pid"], row["stretch"])
-                if stretch != current:
-                    current, state, began = stretch, row["before"], row["before_pos"]
-                before, before_pos = state, began
-                state, renewed = apply(row, state)
-                if state is None:
-                    began = None
-                elif renewed or before is None:
-                    began = row["pos"]
-                row.update(before=before, before_pos=before_pos, after=state, after_pos=began,
-                           renewed=renewed)
-                out.append({c: row[c] for c in columns})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    return fold
+            read = lambda *names: zip(*[batch.column(n).to_pylist() for n in names])
+            fresh, opens = [], []
+            places = read(*part)
+            rows = read("kind", "solid", "family", "_id", "_start", "_old_id", "_old_start")
+            for place, (kind, solid, family, new, start, before, before_start) in zip(places, rows):
+                first = place != stretch
+                if first:
+                    stretch, old, old_start = place, before, before_start
+                opens.append(first)
+                if kind == S.START:
+                    renews = not same(old, old_start, new, start)
+                elif kind == SCAN:
+                    renews = old != new and not (alignable(family, old) and same(old, old_start, new, start))
+                else:
+                    renews = False
+                fresh.append(renews)
+                if renews:
+                    old, old_start = new, start
+                elif solid:
+                    old, old_start = new, start if old_start is None else old_start
+            names = [n for n in batch.schema.names if not n.startswith("_")]
+            kept = [pa.array(fresh, pa.bool_()) if n == "fresh" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(opens, pa.bool_())], names=[*names, "opens"])
+
+    return decide
 
 
 def replay(notices: DataFrame, baseline: DataFrame | None = None, scans: DataFrame | None = None,
