@@ -150,10 +150,12 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
             keys: list[str]) -> DataFrame:
     ends = f"kind IN ('{S.STOP}', '{ABSENT}')"
     never = f"{-(1 << 62)}L"
+    stored = _stored(width)
     step = running(rows, keys, "pos", {
         "_stop": f"CASE WHEN {ends} THEN pos END", "_live": f"CASE WHEN NOT ({ends}) THEN pos END",
     }, inclusive=False, width=width).selectExpr(
         "*", f"coalesce(_live > coalesce(_stop, {never}), false) AS found")
+    step = stored(step)
     # Rows that replace the known process: stand-ins do so only if nothing is known.
     replaces = f"(NOT ({ends}) AND (kind = '{S.START}' OR solid OR NOT found))"
     step = running(step, keys, "pos", {
@@ -166,7 +168,7 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
     confirms = f"coalesce(_last.c.process_id = cand.process_id OR ({renamed} AND {near}), false)"
     step = step.selectExpr(
         "*", f"NOT ({ends}) AND (kind = '{S.START}' OR NOT found OR (kind = '{SCAN}' AND NOT {confirms})) AS fresh")
-    step = running(step, keys, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width)
+    step = stored(running(stored(step), keys, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width))
     step = running(step, keys, "pos", {
         "_first": "CASE WHEN fresh THEN struct(pos, cand.captured_ns AS v) END",
         "_known": f"""CASE WHEN {replaces} AND cand.started_ns IS NOT NULL
@@ -179,13 +181,19 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
     merged = I.same_generation("pid", "before.process_id", "before.started_ns",
                                "pid", "cand.process_id", "cand.started_ns")
     suspect = f"found AND NOT ({ends})" if fold_all else f"kind = '{S.START}' AND found AND {merged}"
-    step = running(step, keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width).selectExpr(
+    step = running(stored(step), keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width).selectExpr(
         *[f"`{c}`" for c in rows.columns], "before", "before_pos", "found", "fresh",
         f"coalesce(_stop, {never}) AS stretch", f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded")
+    step = stored(step)
     direct = _outcome(step.where("NOT _folded"))
     return direct.unionByName(_folded(step.where("_folded").drop("_folded"), width, align_all, keys))
 
 
+def _stored(width: int | None):
+    """Sliced steps read their input twice; chained ones are stored, so that hot rows cost linearly."""
+    return (lambda df: materialise(df, "hot-rows")) if width else (lambda df: df)
+
+
 def _outcome(step: DataFrame) -> DataFrame:
     """State rows from rows with their state ``before`` and whether they are ``fresh``."""
     kept = "(found AND NOT fresh)"
@@ -224,7 +232,8 @@ def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]
     as_row = lambda changes: "struct(" + ", ".join(f"{changes.get(c, f'`{c}`')} AS `{c}`" for c in columns) + ")"
     both = decided.selectExpr(f"""explode(array_compact(array(
         CASE WHEN opens THEN {as_row(seed)} END, {as_row({'pos': 'pos * 2'})}))) AS _r""").select("_r.*")
-    rows = running(both, part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width)
+    stored = _stored(width)
+    rows = stored(running(stored(both), part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width))
     rows = running(rows, part, "pos", {
         "_last": "CASE WHEN fresh OR solid THEN struct(pos, cand AS c) END",
         "_ppid": f"CASE WHEN fresh OR solid OR kind = '{S.START}' THEN struct(pos, cand.ppid AS v) END",
