@@ -360,7 +360,7 @@ def reconcile_events(spark, sf):
 
 @query
 def due_scans(spark, sf):
-    """Reconciliation scans due every two days' worth of polling, or forced by a gap."""
+    """Daily scans are further apart than any reconciliation interval, so all are due, forced or not."""
     forced = B.losses(spark, sf).where("lost_total % 5 = 0").select("host_id", (F.col("pos") * 0 + F.expr(
         f"(observed_ns - {B.EPOCH_NS}) div {B.DAY_NS}") * 10 + 5).alias("pos"))
     return reconcile.due_scans(B.manifest(spark, sf), 3_000_000_000, forced).select("host_id", "scan_id", "pos")
