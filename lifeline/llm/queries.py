@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm import quality_rules, sharding
+from lifeline.llm import ngram_join, quality_rules, sharding
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
 
@@ -26,7 +26,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"),
+        F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op5_ngram_join": op5_ngram_join,
 }
