@@ -112,6 +112,18 @@ def compile_patterns(items: Iterable[tuple[str, str]], n: int) -> dict[int, Patt
     return by_length
 
 
+_compiled: dict[tuple, dict[int, Patterns]] = {}
+
+
+def compiled(items: list[tuple[str, str]], n: int) -> dict[int, Patterns]:
+    """The patterns of the part this worker last used are kept for its next task."""
+    key = (n, len(items), hash(tuple(items)))
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = compile_patterns(items, n)
+    return _compiled[key]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -124,7 +136,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _searcher(items, n: int, text: str):
     def search(batches):
-        held = compile_patterns(items.value, n)
+        held = compiled(items.value, n)
         for piece in bytescan.pieces(batches, text):
             found, data = bytescan.words(piece, bytescan.ALPHANUMERIC), bytescan.FOLD[piece.data]
             spans = [[(s["start"], s["end"]) for s in x] for x in piece.batch.column("hit_spans").to_pylist()]

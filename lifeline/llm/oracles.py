@@ -76,3 +76,27 @@ SELECT doc_id, slot, shard
 FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 3203 AS slot FROM documents)
 JOIN filled USING (slot)
 """
+
+ORACLES["op10_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), pat AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS w
+  FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS r(p) WHERE len(ws) > 0
+), win AS (
+  SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w
+  FROM d, (SELECT DISTINCT n FROM pat) AS lengths, unnest(range(1, len(ws) - n + 2)) AS r(p)
+), hit AS (
+  SELECT doc_id, p, pat.n, item_id FROM win JOIN pat ON win.w = pat.w AND win.n = pat.n
+), counted AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + n)) AS r(q) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
