@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm import decontaminate, ngram_join, quality_rules, sharding
+from lifeline.llm import decontaminate, ngram_join, quality_rules, sharding, suffix_dedup
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
 
@@ -33,6 +33,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -46,5 +51,6 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op5_ngram_join": op5_ngram_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
