@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm import decontaminate, ngram_join, quality_rules, sharding, suffix_dedup
+from lifeline.llm import decontaminate, ngram_join, quality_rules, secret_scan, sharding, suffix_dedup
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
 
@@ -38,6 +38,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.default_models(docs))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.joined("assign", "access", "hex"), 256).alias("base_sha256"),
+        secret_scan.joined(*secret_scan.KINDS).alias("spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -52,5 +61,6 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_ngram_join": op5_ngram_join,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
