@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm import decontaminate, ngram_join, quality_rules, secret_scan, sharding, suffix_dedup
+from lifeline.llm import decontaminate, ngram_join, pii_crf, quality_rules, secret_scan, sharding, suffix_dedup
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
 
@@ -26,6 +26,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS)
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_crf.find_personal(docs, pii_crf.default_field(docs))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id", *[F.size(_of_kind("pii_base", k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS],
+        F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+
+
+def _of_kind(spans: str, kind: str):
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
     return found.select(
@@ -59,6 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_pii_crf": op4_pii_crf,
     "op5_ngram_join": op5_ngram_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
