@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm import decontaminate, ngram_join, pii_crf, quality_rules, secret_scan, sharding, suffix_dedup
+from lifeline.llm import (
+    decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding, suffix_dedup,
+)
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
 
@@ -26,6 +28,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    # The documents have no paths: source, language and groups of doc_ids serve as directories.
+    group = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 50).cast("string")
+    path = F.concat_ws("/", "source", "lang", *group, F.col("doc_id").cast("string"))
+    return license_scan.scan(docs, path, file_share=0.1)
+
+
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_crf.find_personal(docs, pii_crf.default_field(docs))
@@ -54,6 +64,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+# Domains of the labelled table (quality, toxic), and the token shares wanted of them.
+DOMAINS = (("1", "0"), ("1", "1"), ("0", "0"), ("0", "1"))
+SHARES = (0.94, 0.02, 0.035, 0.005)
+HEADROOM = 1.1
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"), DOMAINS)
+    return mixing.mix(docs, model, SHARES, headroom=HEADROOM)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.default_models(docs))
@@ -63,6 +85,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined(*secret_scan.KINDS).alias("spans"))
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    ensemble = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = rule_ensemble.score(docs, ensemble)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -75,9 +105,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
     "op4_pii_crf": op4_pii_crf,
     "op5_ngram_join": op5_ngram_join,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_rule_ensemble": op9_rule_ensemble,
     "op10_decontaminate": op10_decontaminate,
 }
