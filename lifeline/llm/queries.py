@@ -30,9 +30,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    # The documents have no paths: source, language and groups of doc_ids serve as directories.
-    group = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 50).cast("string")
-    path = F.concat_ws("/", "source", "lang", *group, F.col("doc_id").cast("string"))
+    # The documents have no paths: sources, languages and groups of ids serve as directories.
+    parts = ("source",), ("source", "lang"), ("source", "lang", F.floor(F.col("doc_id") / 3000).cast("string"))
+    paths = [F.concat_ws("/", *p, F.col("doc_id").cast("string")) for p in parts]
+    depth = F.pmod("doc_id", F.lit(3))
+    path = F.when(depth == 0, paths[0]).when(depth == 1, paths[1]).otherwise(paths[2])
     return license_scan.scan(docs, path, file_share=0.1)
 
 
