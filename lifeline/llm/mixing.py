@@ -184,16 +184,16 @@ def totals(rows: DataFrame, errors: np.ndarray, domains: int) -> np.ndarray:
 
 def fit_rates(rows: DataFrame, shares: Sequence[float], rounds: int = 40, tolerance: float = 1e-4,
               headroom: float = 1.0) -> np.ndarray:
-    """Weighted errors of the rounds. The wanted totals are ``shares`` of the largest mixture in which
-    no domain is wanted more than ``headroom`` times as often as it is there."""
+    """Weighted errors of the rounds. The wanted totals are ``shares`` of a mixture in which the
+    domain of the largest share is wanted ``headroom`` times as often as it is there; a domain
+    in short supply gets rates above one and, drawn at most once, stays short."""
     target = np.array(shares, float) / sum(shares)
     domains, errors = len(target), np.zeros((0, len(target)))
     start = totals(rows, errors, domains)
     if not start[0]:
         return errors
     there = start[1:] / start[0]
-    with np.errstate(divide="ignore"):
-        size = headroom * (there[target > 0] / target[target > 0]).min()
+    size = headroom * there[target.argmax()] / target.max()
     for _ in range(rounds):
         error = totals(rows, errors, domains)[1:] / start[0] - size * target
         if np.abs(error).max() <= tolerance:
