@@ -185,17 +185,17 @@ def totals(rows: DataFrame, errors: np.ndarray, domains: int) -> np.ndarray:
 def fit_rates(rows: DataFrame, shares: Sequence[float], rounds: int = 40, tolerance: float = 1e-4,
               headroom: float = 1.0) -> np.ndarray:
     """Weighted errors of the rounds. The wanted totals are ``shares`` of a mixture in which the
-    domain of the largest share is wanted ``headroom`` times as often as it is there; a domain
-    in short supply gets rates above one and, drawn at most once, stays short."""
+    domain of the largest share is wanted ``headroom`` times as often as it is there; so is
+    a domain in shorter supply, and the others less often."""
     target = np.array(shares, float) / sum(shares)
     domains, errors = len(target), np.zeros((0, len(target)))
     start = totals(rows, errors, domains)
     if not start[0]:
         return errors
     there = start[1:] / start[0]
-    size = headroom * there[target.argmax()] / target.max()
+    wanted = headroom * np.minimum(there, there[target.argmax()] / target.max() * target)
     for _ in range(rounds):
-        error = totals(rows, errors, domains)[1:] / start[0] - size * target
+        error = totals(rows, errors, domains)[1:] / start[0] - wanted
         if np.abs(error).max() <= tolerance:
             break
         errors = np.vstack([errors, np.where(there > 1e-12, error / np.maximum(there, 1e-12), 0.0)])
