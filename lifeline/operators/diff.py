@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeline import schemas as S
@@ -20,23 +20,18 @@ SCAN_FAILED = "process snapshot failed; expected a complete process table, recei
 
 def dedup_scan(scans: DataFrame) -> DataFrame:
     """One row per process ID of a scan: the last one written wins."""
-    rest = [c for c in scans.columns if c not in (*SCAN_KEY, "process_id")]
-    return (
-        scans.groupBy(*SCAN_KEY, "process_id")
-        .agg(F.max_by(F.struct(*rest), F.col("row_pos")).alias("_last"))
-        .select(*SCAN_KEY, "process_id", *[F.col(f"_last.{c}").alias(c) for c in rest])
-    )
+    return _first(scans, [*SCAN_KEY, "process_id"], F.col("row_pos").desc())
 
 
 def one_per_pid(processes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per PID: latest start wins, then the greatest process ID."""
-    keys = [*(keys or SCAN_KEY), "pid"]
-    rest = [c for c in processes.columns if c not in keys]
-    return (
-        processes.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct("started_ns", "process_id")).alias("_best"))
-        .select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
-    )
+    return _first(processes, [*(keys or SCAN_KEY), "pid"], F.col("started_ns").desc_nulls_last(), F.col("process_id").desc())
+
+
+def _first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key. Ranks are cut off before the shuffle (window group limit)."""
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where("_rank = 1").select(*keys, *[c for c in rows.columns if c not in keys])
 
 
 def scan_ordinals(manifest: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -9,7 +9,7 @@ from lifeline import schemas as S
 from lifeline.operators.ordered import WIDTH, running
 
 BEFORE, AFTER = 0, 3  # phases around the events of a position
-CPU_KEY = ["host_id", "boot_id", "cpu"]
+CPU_KEY = ["host_id", "boot_id", "client", "cpu"]
 # Sequence numbers of the connector wrap at 32 bits; message texts.
 SEQUENCE_MODULUS = 4_294_967_296
 SEQUENCE_GAP = "process connector sequence gap on cpu %d; expected sequence %d, received %d"
@@ -33,19 +33,21 @@ def gap_events(rows: DataFrame, message: str, backend: str, sub: str | int = 0,
                event_ns: str = "observed_ns", phase: int = BEFORE) -> DataFrame:
     """Gap events at the rows' positions (SQL texts); rows need host_id, pos and observed_ns.
 
-    Sequence and batch diagnostics precede the notice of their position; a grown
-    loss counter is noticed after it. The forced scan follows at a later position.
+    Diagnostics of a receive batch precede all its notices: rows with ``batch_pos``
+    (the batch's first position) stand there, others before the notice of their own
+    position. A grown loss counter is noticed after it. The forced scan follows at a
+    later position.
     """
+    at = "coalesce(batch_pos, pos)" if "batch_pos" in rows.columns else "pos"
     return S.as_events(rows.selectExpr(
-        "host_id", f"{S.order_key('pos', phase, 0, sub)} AS order_key", f"'{S.GAP}' AS kind",
+        "host_id", f"{S.order_key(at, phase, 0, sub)} AS order_key", f"'{S.GAP}' AS kind",
         f"{event_ns} AS event_ns", "observed_ns", f"{backend} AS backend", f"{message} AS message",
     ))
 
 
-def _with_boot(df: DataFrame) -> DataFrame:
-    if "boot_id" in df.columns:
-        return df.withColumn("boot_id", F.coalesce("boot_id", F.lit("")))
-    return df.withColumn("boot_id", F.lit(""))
+def _filled(df: DataFrame, *names: str) -> DataFrame:
+    """Optional key columns; a missing or null one is one key of its own."""
+    return df.withColumns({n: F.coalesce(n, F.lit("")) if n in df.columns else F.lit("") for n in names})
 
 
 def sequence_breaks(records: DataFrame, width: int | None = WIDTH,
@@ -53,10 +55,11 @@ def sequence_breaks(records: DataFrame, width: int | None = WIDTH,
     """Rows whose 32-bit sequence does not follow the previous one of their CPU.
 
     Arrival order counts; every record moves the cursor, thread records too, so
-    irrelevant records must not be filtered out before. ``cursors`` (host_id,
-    boot_id, cpu, seq) continues from an earlier batch.
+    irrelevant records must not be filtered out before. ``client`` (optional)
+    tells the collector's runs apart: each counts from its own first record.
+    ``cursors`` (host_id, boot_id, client, cpu, seq) continues from an earlier batch.
     """
-    rows = _with_boot(records).withColumn("seq", F.expr("CAST(seq AS bigint)"))
+    rows = _filled(records, "boot_id", "client").withColumn("seq", F.expr("CAST(seq AS bigint)"))
     seen = running(rows, CPU_KEY, "pos", {"_prev": "struct(pos, seq)"}, inclusive=False, width=width)
     previous = "_prev.seq"
     if cursors is not None:
@@ -76,7 +79,7 @@ def sequence_gaps(records: DataFrame, width: int | None = WIDTH,
 
 def last_sequences(records: DataFrame) -> DataFrame:
     """Cursor of each CPU after these records."""
-    return _with_boot(records).groupBy(*CPU_KEY).agg(
+    return _filled(records, "boot_id", "client").groupBy(*CPU_KEY).agg(
         F.expr("max_by(CAST(seq AS bigint), pos) AS seq"), F.max("pos").alias("pos")
     )
 
@@ -84,10 +87,12 @@ def last_sequences(records: DataFrame) -> DataFrame:
 def endpoint_breaks(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
     """Breaks of the endpoint sequence: one global cursor if flagged, else one per kind.
 
-    Sequence 0 is ignored and does not move a cursor.
+    Sequence 0 is ignored and does not move a cursor. Every run of the collector
+    (``client``, optional) has cursors of its own.
     """
-    rows = records.where("seq <> 0").selectExpr("*", "CASE WHEN global_sequence THEN '' ELSE kind END AS _cursor")
-    seen = running(rows, ["host_id", "_cursor"], "pos", {"_prev": "struct(pos, seq)"}, inclusive=False, width=width)
+    rows = _filled(records, "client").where("seq <> 0").selectExpr(
+        "*", "CASE WHEN global_sequence THEN '' ELSE kind END AS _cursor")
+    seen = running(rows, ["host_id", "client", "_cursor"], "pos", {"_prev": "struct(pos, seq)"}, inclusive=False, width=width)
     return seen.selectExpr("*", "_prev.seq + 1 AS expected_seq").where("seq <> expected_seq").drop("_prev", "_cursor")
 
 
@@ -99,8 +104,11 @@ def endpoint_gaps(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
 
 
 def lost_increases(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
-    """Rows where a cumulative loss counter passes everything reported before, with the growth."""
-    seen = running(counters, ["host_id", "backend"], "pos", {"_reported": "lost_total"}, inclusive=False, width=width)
+    """Rows where a cumulative loss counter passes everything its run reported before, with the growth.
+
+    A restarted collector (another ``client``, optional) counts from zero again.
+    """
+    seen = running(_filled(counters, "client"), ["host_id", "backend", "client"], "pos", {"_reported": "lost_total"}, inclusive=False, width=width)
     return seen.selectExpr("*", "lost_total - coalesce(_reported, 0) AS lost").where("lost > 0").drop("_reported")
 
 
@@ -123,7 +131,10 @@ def gap_counts(events: DataFrame) -> DataFrame:
 
 
 def batch_gaps(batches: DataFrame) -> DataFrame:
-    """Quality flags of receive batches; damage is not reported on top of truncation."""
+    """Quality flags of receive batches; damage is not reported on top of truncation.
+
+    With ``batch_pos`` they stand before the batch's first notice.
+    """
     flags = (
         ("receive_overflow", RECEIVE_OVERFLOW), ("truncated", TRUNCATED), ("overrun", OVERRUN),
         ("malformed AND NOT coalesce(truncated, false)", MALFORMED),

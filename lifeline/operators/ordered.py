@@ -136,16 +136,18 @@ def by_heat(
 def as_of(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], pos: str, fact: str, name: str,
     at_same_pos: bool = True, dense: bool = False, width: int = WIDTH, hot_rows: int = HOT_ROWS,
+    strict: str = "false",
 ) -> DataFrame:
     """Attach to each row the latest fact (SQL text over ``facts``) at or before its position.
 
     Union and running maximum: linear in both sides, no pairs of rows and facts.
-    ``dense`` says the position is dense within a group (always slice).
+    ``dense`` says the position is dense within a group (always slice). Rows for
+    which ``strict`` (SQL text) holds never see facts of their own position.
     """
     side = 0 if at_same_pos else 1
     quoted = [f"`{k}`" for k in keys]
     fact_rows = facts.selectExpr(*quoted, f"`{pos}`", f"{fact} AS _fact", f"`{pos}` * 2 + {side} AS _asof_at")
-    tagged = rows.selectExpr("*", "true AS _row", f"`{pos}` * 2 + {1 - side} AS _asof_at")
+    tagged = rows.selectExpr("*", "true AS _row", f"`{pos}` * 2 + CASE WHEN {strict} THEN -1 ELSE {1 - side} END AS _asof_at")
     both = tagged.unionByName(fact_rows, allowMissingColumns=True)
     seen = "CASE WHEN _row IS NULL THEN struct(_asof_at AS at, _fact AS fact) END"
 

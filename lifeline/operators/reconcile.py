@@ -35,8 +35,9 @@ def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None
     The first attempt in each reconciliation interval of a host, and the first
     attempt after each forcing position (``forced``: host_id, pos of gaps).
     """
-    interval = resync_interval_ns(F.lit(poll_ns))
-    slot = F.floor(F.col("observed_ns") / interval)
+    interval = resync_interval_ns(F.lit(poll_ns).cast("long"))
+    # The start of the interval, in whole nanoseconds; a division would round.
+    slot = F.col("observed_ns") - F.pmod(F.col("observed_ns"), interval)
     timed = manifest.groupBy("host_id", slot.alias("_slot")).agg(
         F.min_by(F.struct(*manifest.columns), "pos").alias("_m")
     ).select("_m.*")

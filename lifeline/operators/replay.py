@@ -397,18 +397,23 @@ def version_facts(states: DataFrame) -> DataFrame:
     return states.selectExpr("host_id", "pid AS _next", "pos", "after")
 
 
+def _before_itself(rows: DataFrame) -> str:
+    return f"kind = '{S.STOP}'" if "kind" in rows.columns else "false"
+
+
 def temporal_parents(rows: DataFrame, states: DataFrame,
                      hot_rows: int = HOT_ROWS, width: int = WIDTH) -> DataFrame:
     """Attach ``parent``: the process that held the parent PID at the row's ``pos``.
 
     An as-of look-up, linear in rows and states: a parent with many children and
     many versions costs their sum, not their product. Pass stored states if
-    their computation is not to be repeated.
+    their computation is not to be repeated. Stops see the table before their
+    position: at a scan, a parent that vanishes or is replaced with its child.
     """
     seeking = rows.selectExpr("*", "CASE WHEN ppid > 0 THEN ppid END AS _next")
     looked = as_of(
         seeking.where("_next IS NOT NULL"), version_facts(states), ["host_id", "_next"], "pos",
-        "struct(after)", "_found", hot_rows=hot_rows, width=width,
+        "struct(after)", "_found", hot_rows=hot_rows, width=width, strict=_before_itself(rows),
     ).selectExpr(*[f"`{c}`" for c in rows.columns], "_found.after AS parent")
     alone = seeking.where("_next IS NULL").selectExpr(
         *[f"`{c}`" for c in rows.columns], f"{S.null_of(S.PROCESS)} AS parent")
@@ -417,7 +422,7 @@ def temporal_parents(rows: DataFrame, states: DataFrame,
 
 def temporal_ancestors(rows: DataFrame, states: DataFrame, hot_rows: int = HOT_ROWS,
                        width: int = WIDTH) -> DataFrame:
-    """Attach ``parent_chain`` as of each row's position; one as-of look-up per level."""
+    """Attach ``parent_chain`` as of each row's position (stops: before it); one as-of look-up per level."""
     facts = materialise(version_facts(states), "versions")
     summary = S.SUMMARY.simpleString()
     climbing = materialise(rows.selectExpr(
@@ -431,7 +436,7 @@ def temporal_ancestors(rows: DataFrame, states: DataFrame, hot_rows: int = HOT_R
     while not climbing.isEmpty():
         looked = materialise(as_of(
             climbing, facts, ["host_id", "_next"], "pos", "struct(after)", "_found",
-            hot_rows=hot_rows, width=width,
+            hot_rows=hot_rows, width=width, strict=_before_itself(rows),
         ).selectExpr(
             *[f"`{c}`" for c in names if c not in ("_next", "parent_chain", "_seen")],
             """CASE WHEN _found.after.ppid > 0 AND NOT array_contains(array_append(_seen, _next), _found.after.ppid)

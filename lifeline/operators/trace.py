@@ -196,6 +196,14 @@ def _with_root_parents(opening: DataFrame, parents: DataFrame) -> DataFrame:
         "*", "array_compact(array(parent)) AS parent_chain"))
 
 
+def _with_root_stops(events: DataFrame, settled: DataFrame, parents: DataFrame) -> DataFrame:
+    """The reaped root's stop sees the members and its own parent from before the trace."""
+    known = settled.select("trace_id", "root_pid", "exited_pos").join(parents, ["trace_id"])
+    own = "kind = 'stop' AND pid = root_pid AND order_key.pos = exited_pos AND size(parent_chain) = 0 AND parent IS NOT NULL"
+    return S.as_events(events.join(known, ["trace_id"], "left").withColumn(
+        "parent_chain", F.expr(f"CASE WHEN {own} THEN array(parent) ELSE parent_chain END")))
+
+
 def _with_chains(events: DataFrame, runs: DataFrame, members: DataFrame, settled: DataFrame,
                  numbered: DataFrame) -> DataFrame:
     filled = lambda df: df if "user" in df.columns else df.selectExpr("*", "CAST(NULL AS string) AS user")
@@ -258,8 +266,9 @@ def trace(prepared: DataFrame, numbered: DataFrame, requests: DataFrame,
         "*", f"'{S.START}' AS kind", f"'{S.TRACE}' AS backend", f"{S.order_key('pos', 1, 'pid')} AS order_key"))
     later = lifecycle_events(states)
     if chains:
-        opening = _with_root_parents(opening, root_parents(bounds, runs, numbered))
-        later = _with_chains(later, runs, seen, settled, numbered)
+        parents = materialise(root_parents(bounds, runs, numbered), "trace-parents")
+        opening = _with_root_parents(opening, parents)
+        later = _with_root_stops(_with_chains(later, runs, seen, settled, numbered), settled, parents)
     events = opening.unionByName(later)
     for gap in _trace_gaps(settled, numbered, live, manifest):
         events = events.unionByName(gap)

@@ -238,14 +238,15 @@ SQL["v_seq"] = """
 
 
 def endpoint_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered per host (hosts below 5) or per host and kind; some zeros, some lost."""
+    """Numbered per run of the collector on a host (hosts below 5) or there per kind; some zeros, some lost."""
     from lifeline.operators.ordered import ordinals
 
-    e = events(spark, sf_dir).withColumn("global_sequence", F.col("host_id") < 5).withColumn(
+    e = events(spark, sf_dir).withColumn("client", F.expr("CAST(event_id div 3000 AS string)")).withColumn(
+        "global_sequence", F.col("host_id") < 5).withColumn(
         "_cursor", F.when(F.col("global_sequence"), "").otherwise(F.col("event_type")))
-    numbered = ordinals(e, ["host_id", "_cursor"], "event_id", "_n")
+    numbered = ordinals(e, ["host_id", "client", "_cursor"], "event_id", "_n")
     return numbered.where("event_id % 97 <> 0").select(
-        "host_id", F.col("event_id").alias("pos"), F.col("event_type").alias("kind"),
+        "host_id", "client", F.col("event_id").alias("pos"), F.col("event_type").alias("kind"),
         F.when(F.col("event_id") % 89 == 0, 0).otherwise(F.col("_n") + 1).cast("long").alias("seq"),
         "global_sequence", F.col("ts_ns").alias("event_ns"), F.col("ts_ns").alias("observed_ns"),
     )
@@ -253,48 +254,49 @@ def endpoint_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["v_seq_kind"] = """
   SELECT * FROM (SELECT host_id, event_id AS pos, CASE WHEN host_id < 5 THEN '' ELSE event_type END AS cursor_key,
-         CASE WHEN event_id % 89 = 0 THEN 0 ELSE row_number() OVER (
-           PARTITION BY host_id, CASE WHEN host_id < 5 THEN '' ELSE event_type END ORDER BY event_id) END AS seq,
+         event_id // 3000 AS client, CASE WHEN event_id % 89 = 0 THEN 0 ELSE row_number() OVER (
+           PARTITION BY host_id, event_id // 3000, CASE WHEN host_id < 5 THEN '' ELSE event_type END ORDER BY event_id) END AS seq,
          ts_ns AS observed_ns FROM v_event) WHERE pos % 97 <> 0"""
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A loss counter read at each error event: a tenth of the host's errors so far."""
+    """A loss counter read at each event: a fiftieth of the host's events since the collector's start."""
     from lifeline.operators.ordered import ordinals
 
-    errors = events(spark, sf_dir).where("event_type = 'error'")
-    return ordinals(errors, ["host_id"], "event_id", "_n").select(
-        "host_id", F.col("event_id").alias("pos"),
-        F.expr("(_n + 1) div 10").alias("lost_total"), F.col("ts_ns").alias("observed_ns"),
+    runs = events(spark, sf_dir).withColumn("client", F.expr("CAST(event_id div 3000 AS string)"))
+    return ordinals(runs, ["host_id", "client"], "event_id", "_n").select(
+        "host_id", "client", F.col("event_id").alias("pos"),
+        F.expr("(_n + 1) div 50").alias("lost_total"), F.col("ts_ns").alias("observed_ns"),
         F.when(F.col("host_id") % 2 == 0, "windows-etw").otherwise("macos-endpoint-security").alias("backend"),
     )
 
 
 SQL["v_lost"] = """
   SELECT host_id, event_id AS pos, ts_ns AS observed_ns,
-         row_number() OVER (PARTITION BY host_id ORDER BY event_id) // 10 AS lost_total,
+         CAST(event_id // 3000 AS VARCHAR) AS client,
+         row_number() OVER (PARTITION BY host_id, event_id // 3000 ORDER BY event_id) // 50 AS lost_total,
          CASE WHEN host_id % 2 = 0 THEN 'windows-etw' ELSE 'macos-endpoint-security' END AS backend
-  FROM v_event WHERE event_type = 'error'"""
+  FROM v_event"""
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receive batches of a hundred events with quality flags."""
     return events(spark, sf_dir).groupBy(F.expr("event_id div 100").alias("batch_id")).agg(
-        F.max("event_id").alias("pos"), F.max("ts_ns").alias("observed_ns")
+        F.max("event_id").alias("pos"), F.min("event_id").alias("batch_pos"), F.max("ts_ns").alias("observed_ns")
     ).select(
-        F.lit(0).cast("long").alias("host_id"), "batch_id", "pos", "observed_ns",
+        F.lit(0).cast("long").alias("host_id"), "batch_id", "pos", "batch_pos", "observed_ns",
         (F.col("batch_id") % 7 == 0).alias("truncated"), (F.col("batch_id") % 11 == 0).alias("overrun"),
         (F.col("batch_id") % 3 == 0).alias("malformed"), (F.col("batch_id") % 13 == 5).alias("receive_overflow"),
     )
 
 
 SQL["v_batch"] = """
-  SELECT event_id // 100 AS batch_id, max(event_id) AS pos, max(ts_ns) AS observed_ns FROM v_event GROUP BY 1"""
+  SELECT event_id // 100 AS batch_id, min(event_id) AS pos, max(ts_ns) AS observed_ns FROM v_event GROUP BY 1"""
 
 
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Provisional processes of all signups, and the same PIDs with stable IDs and shifted starts."""
-    signup = events(spark, sf_dir).where("event_type = 'signup'").select(
+    """A provisional process of every event, and the same PIDs with stable IDs and shifted starts."""
+    signup = events(spark, sf_dir).select(
         "host_id", F.col("event_id").alias("pid"), "event_id", "ts_ns")
     previous = signup.select(
         "host_id", "pid",
@@ -307,19 +309,20 @@ def aligned_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return previous, following
 
 
-SQL["v_signup"] = "SELECT host_id, event_id AS pid, event_id, ts_ns FROM v_event WHERE event_type = 'signup'"
+SQL["v_signup"] = "SELECT host_id, event_id AS pid, event_id, ts_ns FROM v_event"
 
 
 def uid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of UIDs 1000 to 1004, derived from the users that hold them."""
+    """Names of UIDs 1000 to 1004 on each host, derived from the users that hold them."""
     uid = F.lit(1000) + F.col("user_id") % 7
     return events(spark, sf_dir).where("user_id % 7 < 5").select(
-        uid.cast("string").alias("uid"), F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("user")
+        "host_id", uid.cast("string").alias("uid"),
+        F.concat_ws("-", F.lit("user"), (F.col("user_id") % 7).cast("string"), F.col("host_id").cast("string")).alias("user")
     ).distinct()
 
 
 SQL["v_uid"] = """
-  SELECT DISTINCT CAST(1000 + user_id % 7 AS VARCHAR) AS uid, 'user' || (user_id % 7) AS "user"
+  SELECT DISTINCT host_id, CAST(1000 + user_id % 7 AS VARCHAR) AS uid, 'user-' || (user_id % 7) || '-' || host_id AS "user"
   FROM v_event WHERE user_id % 7 < 5"""
 
 
@@ -376,8 +379,9 @@ def native_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return macos, windows
 
 
-def raw_linux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("user_id % 3 = 0")
+def raw_linux(spark: SparkSession, sf_dir: str, hosts: str = "user_id % 3 = 0") -> DataFrame:
+    """Linux records; of a mixed fleet a third of the users', else of all."""
+    e = events(spark, sf_dir).where(hosts)
     what = F.when(F.col("event_type") == "signup", 0x00000001).when(
         F.col("event_type").isin("click", "view"), 0x00000002).when(
         F.col("event_type") == "purchase", 0x80000000).otherwise(0x00000004)

@@ -219,7 +219,7 @@ NOTICE_COLUMNS = ("host_id", "family", "pos", "kind", "pid", "ppid", "exit_code"
 
 @query
 def linux_records(spark, sf):
-    return notices.linux_records(B.raw_linux(spark, sf)).select(
+    return notices.linux_records(B.raw_linux(spark, sf, "true")).select(
         "pos", "cpu", "seq", "kind", "relevant", F.when(F.col("relevant"), F.col("pid")).alias("pid"),
         F.when(F.col("relevant"), F.col("ppid")).alias("ppid"),
         F.when(F.col("relevant"), F.col("exit_code")).alias("exit_code"))
@@ -360,10 +360,12 @@ def reconcile_events(spark, sf):
 
 @query
 def due_scans(spark, sf):
-    """Daily scans are further apart than any reconciliation interval, so all are due, forced or not."""
-    forced = B.losses(spark, sf).where("lost_total % 5 = 0").select("host_id", (F.col("pos") * 0 + F.expr(
-        f"(observed_ns - {B.EPOCH_NS}) div {B.DAY_NS}") * 10 + 5).alias("pos"))
-    return reconcile.due_scans(B.manifest(spark, sf), 3_000_000_000, forced).select("host_id", "scan_id", "pos")
+    """An attempt at each event, in time sped up so far that many share an interval; some gaps force one."""
+    attempts = B.events(spark, sf).select(
+        "host_id", F.col("event_id").alias("scan_id"), (F.col("event_id") * 10).alias("pos"),
+        F.expr("ts_ns div 20000").alias("observed_ns"))
+    forced = gaps.lost_increases(B.losses(spark, sf)).where("lost_total % 5 = 0").select("host_id", (F.col("pos") * 10 + 5).alias("pos"))
+    return reconcile.due_scans(attempts, 3_000_000_000, forced).select("host_id", "scan_id", "pos")
 
 
 @query
@@ -395,7 +397,7 @@ def source_fallback(spark, sf):
     e = B.events(spark, sf)
     days = e.groupBy("scan_id").agg((F.max("event_id") * 2 + 1).alias("pos"))
     manifest = B.manifest(spark, sf).drop("pos").join(days, ["scan_id"])
-    numbered, width = numbered_scans(manifest)
+    numbered, width = numbered_scans(fallback.polled_attempts(manifest, health(spark, sf)))
     polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), numbered), width=width).drop("lookup_ordinal")
     return fallback.choose(native, polled, health(spark, sf)).select(
         "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "event_ns", "backend", "message")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +21,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only if none is named."""
+    """The cluster's checkpoint folder; in local mode a temporary one, with a warning, if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -26,12 +30,47 @@ def shared_folder(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a temporary folder of this machine", stacklevel=2)
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lifeline-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_stored: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own; removed at the end of the innermost ``stored`` block, or of Python."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored[-1].append((spark, path))
+    return path
+
+
+def _remove(folders: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in folders:
+        if spark.sparkContext._jsc is None:              # the session has ended
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    folders.clear()
+
+
+@contextmanager
+def stored() -> Iterator[None]:
+    """Remove the intermediate tables made inside once their results have been written."""
+    _stored.append([])
+    try:
+        yield
+    finally:
+        _remove(_stored.pop())
+
+
+@atexit.register
+def _at_exit() -> None:
+    for folders in _stored:
+        try:
+            _remove(folders)
+        except Exception:  # noqa: BLE001  the engine may have ended before Python
+            return
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:

@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 
 
+def polled_attempts(manifest: DataFrame, health: DataFrame) -> DataFrame:
+    """Scan attempts that polling makes itself: those after the failure, or all of them.
+
+    Falling back starts a new polling watch, whose first table is a silent baseline.
+    Number and diff these attempts only, so that no scan from before takes part.
+    """
+    h = health.select("host_id", "requested", "available", "failed_pos")
+    auto = F.col("requested") == S.AUTO
+    return manifest.join(h, ["host_id"]).where(
+        (F.col("requested") == S.POLL) | (auto & ~F.col("available")) | (auto & (F.col("pos") > F.col("failed_pos")))
+    ).select(*manifest.columns)
+
+
 def choose(native: DataFrame, polled: DataFrame, health: DataFrame, collector: str = "collector") -> DataFrame:
     """Native events up to the first failure, polled events after it, and one gap.
 
     ``health`` has one row per host. ``auto`` falls back at the start if the native
     source is unavailable, or for good at its first failure; a named source never
-    falls back. Gap rows leave the observation time unset.
+    falls back. ``polled`` comes from ``polled_attempts``. Gap rows leave the
+    observation time unset.
     """
     h = health.select(
         "host_id", "requested", "available", "failed_pos",

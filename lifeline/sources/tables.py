@@ -72,13 +72,14 @@ def windows_processes(raw: DataFrame) -> DataFrame:
 
 
 def resolve_users(df: DataFrame, names: DataFrame) -> DataFrame:
-    """User of each UID; an unknown UID names itself and a blank one stays blank.
+    """User of each host's UID; an unknown UID names itself and a blank one stays blank.
 
-    A plain left join on a unique key: Spark broadcasts the names if they are
-    small by its own measure, and otherwise splits skewed UIDs (AQE).
+    A plain left join: Spark broadcasts the names if they are small by its own
+    measure, and otherwise splits skewed keys (AQE). Of several names of one
+    (host, UID) the greatest counts, so that no row is multiplied.
     """
-    known = names.select("uid", F.col("user").alias("_name"))
-    return df.join(known, ["uid"], "left").withColumn(
+    known = names.groupBy("host_id", "uid").agg(F.max("user").alias("_name"))
+    return df.join(known, ["host_id", "uid"], "left").withColumn(
         "user", F.coalesce(blank_to_null(F.col("_name")), blank_to_null(F.col("uid")))
     ).drop("_name")
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lifeline.session import stored
+
 States = dict[str, DataFrame]
 Step = Callable[[DataFrame, States], tuple[DataFrame, States]]
 
@@ -42,14 +44,15 @@ def start(
             if batch > 0 else spark.createDataFrame([], schema)
             for name, schema in states.items()
         }
-        events, after = step(rows, before)
         place = f"{folder}/events/batch={batch}"
-        events.write.mode("overwrite").parquet(place)
-        for name, table in after.items():
-            table.write.mode("overwrite").parquet(_slot(folder, name, batch))
-        stored = spark.read.schema(events.schema).parquet(place)
+        with stored():
+            events, after = step(rows, before)
+            events.write.mode("overwrite").parquet(place)
+            for name, table in after.items():
+                table.write.mode("overwrite").parquet(_slot(folder, name, batch))
+        written = spark.read.schema(events.schema).parquet(place)
         for sink in sinks or []:
-            sink(stored, batch)
+            sink(written, batch)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

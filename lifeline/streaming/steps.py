@@ -12,7 +12,7 @@ from lifeline.session import materialise
 from lifeline.streaming.runner import States, Step
 
 _L, _S, _B = T.LongType(), T.StringType(), T.BooleanType()
-CURSORS = S.struct_of(("host_id", _L), ("boot_id", _S), ("cpu", _L), ("seq", _L), ("pos", _L))
+CURSORS = S.struct_of(("host_id", _L), ("boot_id", _S), ("client", _S), ("cpu", _L), ("seq", _L), ("pos", _L))
 LIVE = S.struct_of(("host_id", _L), ("pos", _L), ("family", _S), ("observed_ns", _L), *S.PROCESS_FIELDS)
 SCAN_ROWS = S.struct_of(("host_id", _L), ("scan_id", _L), *S.PROCESS_FIELDS)
 SCAN_ENDS = S.struct_of(
@@ -26,7 +26,7 @@ def sequence_step() -> tuple[Step, dict[str, T.StructType]]:
     def step(rows: DataFrame, states: States) -> tuple[DataFrame, States]:
         events = gaps.sequence_gaps(rows, cursors=states["cursors"])
         moved = gaps.last_sequences(
-            rows.selectExpr("host_id", "boot_id" if "boot_id" in rows.columns else "'' AS boot_id",
+            rows.selectExpr("host_id", *[c if c in rows.columns else f"'' AS {c}" for c in ("boot_id", "client")],
                             "cpu", "CAST(seq AS bigint) AS seq", "pos").unionByName(states["cursors"]))
         return events, {"cursors": S.conform(moved, CURSORS)}
 

@@ -5,6 +5,8 @@ import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(HERE), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

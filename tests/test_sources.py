@@ -53,10 +53,11 @@ def test_platform_defaults(spark):
 
 
 def test_users(spark):
-    df = spark.createDataFrame([("1000",), ("1",), ("",), (None,)], "uid string")
-    names = spark.createDataFrame([("1000", "jer"), ("1", "")], "uid string, user string")
-    got = {r["uid"]: r["user"] for r in tables.resolve_users(df, names).collect()}
-    assert got == {"1000": "jer", "1": "1", "": None, None: None}
+    df = spark.createDataFrame([(0, "1000"), (1, "1000"), (0, "1"), (0, ""), (0, None)], "host_id long, uid string")
+    names = spark.createDataFrame([(0, "1000", "jer"), (1, "1000", "ann"), (1, "1000", "amy"), (0, "1", "")],
+                                  "host_id long, uid string, user string")
+    got = sorted(((r["host_id"], r["uid"], r["user"]) for r in tables.resolve_users(df, names).collect()), key=str)
+    assert got == [(0, "", None), (0, "1", "1"), (0, "1000", "jer"), (0, None, None), (1, "1000", "ann")]
 
 
 def test_linux_records(spark):

@@ -176,7 +176,7 @@ def test_chains_gaps_and_cancellation(spark):
     opening = [("start", 5, 5, [2], None), ("stop", 5, 10, [], None), ("start", 5, 10, [2, 1], None),
                ("start", 6, 10, [5, 2, 1], None), ("gap", None, 20, [], failed), ("start", 7, 30, [6, 5, 2, 1], None)]
     assert got[1] == opening + [
-        ("stop", 7, 40, [6, 5], None), ("stop", 5, 45, [], None),
+        ("stop", 7, 40, [6, 5], None), ("stop", 5, 45, [2], None),
         ("gap", None, 50, [], "trace tail ended with observed descendant process ids [6] still running")]
     assert got[2] == opening + [
         ("gap", None, 35, [], "trace stopped before the command and all observed descendants completed")]
