@@ -36,43 +36,38 @@ def with_ancestors(
     """Attach ``parent_chain``, nearest first, from a table unique on keys and PID.
 
     The walk ends at a parent PID of zero or less, a missing parent or a PID
-    already seen. Each round is one equi-join of the rows still climbing; every
-    few rounds the lineage is cut and finished rows leave the loop. The narrow
+    already seen. Siblings share their walk: each distinct parent climbs once, as a
+    narrow row, and the chain is joined on at the end, cut off where the row's own
+    PID comes up. Each round is one equi-join of the parents still climbing; every
+    few rounds the lineage is cut and finished ones leave the loop. The narrow
     look-up side is stored once, so rounds neither recompute it nor guess its size.
     """
     index = materialise(parent_index(processes, keys), "parents")
-    climbing = rows.withColumns({
-        "_next": F.when((F.col("ppid") > 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")),
-        "parent_chain": F.array().cast(S.T.ArrayType(S.SUMMARY)),
-        "_seen": F.array(F.col("pid")),
+    sought = rows.withColumn("_first", F.when((F.col("ppid") > 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")))
+    climbing = sought.where("_first IS NOT NULL").select(*keys, "_first").distinct().withColumns({
+        "_next": F.col("_first"), "_chain": F.array().cast(S.T.ArrayType(S.SUMMARY)), "_seen": F.array().cast("array<bigint>"),
     })
     finished = []
     while True:
         for _ in range(rounds_per_step):
-            found = climbing.join(index, [*keys, "_next"], "left").withColumn(
-                "_hit", F.col("_parent").isNotNull()
-            )
-            seen = F.when(
-                F.col("_hit"), F.array_append("_seen", F.col("_next"))
-            ).otherwise(F.col("_seen"))
-            climbing = found.withColumn(
-                "parent_chain",
-                F.when(F.col("_hit"), F.array_append("parent_chain", F.col("_parent")))
-                .otherwise(F.col("parent_chain")),
-            ).withColumn("_seen", seen).withColumn(
-                "_next",
-                F.when(
-                    F.col("_hit") & (F.col("_parent_ppid") > 0)
-                    & ~F.array_contains(F.col("_seen"), F.col("_parent_ppid")),
-                    F.col("_parent_ppid"),
-                ),
-            ).drop("_parent", "_parent_ppid", "_hit")
+            found = climbing.join(index, [*keys, "_next"], "left").withColumn("_hit", F.col("_parent").isNotNull())
+            climbing = found.withColumns({
+                "_chain": F.when(F.col("_hit"), F.array_append("_chain", F.col("_parent"))).otherwise(F.col("_chain")),
+                "_seen": F.when(F.col("_hit"), F.array_append("_seen", F.col("_next").cast("bigint"))).otherwise(F.col("_seen")),
+            }).withColumn("_next", F.when(
+                F.col("_hit") & (F.col("_parent_ppid") > 0)
+                & ~F.array_contains(F.col("_seen"), F.col("_parent_ppid").cast("bigint")), F.col("_parent_ppid"),
+            )).drop("_parent", "_parent_ppid", "_hit")
         climbing = materialise(climbing, "ancestors")
-        finished.append(climbing.where(F.col("_next").isNull()))
+        finished.append(climbing.where(F.col("_next").isNull()).select(*keys, "_first", "_chain"))
         climbing = climbing.where(F.col("_next").isNotNull())
         if climbing.isEmpty():
             break
-    return reduce(DataFrame.unionByName, finished).drop("_next", "_seen")
+    own = F.array_position(F.transform("_chain", lambda p: p["pid"]), F.col("pid"))
+    chain = F.when(own > 0, F.slice("_chain", 1, (own - 1).cast("int"))).otherwise(F.col("_chain"))
+    return sought.join(reduce(DataFrame.unionByName, finished), [*keys, "_first"], "left").select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        F.coalesce(chain, F.array().cast(S.T.ArrayType(S.SUMMARY))).alias("parent_chain"))
 
 
 def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label: str = "trace_id") -> DataFrame:
@@ -80,8 +75,8 @@ def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label:
 
     ``roots`` has the label, the keys and ``pid``; ``processes`` is unique on the
     keys and PID. All labels advance together, one level per round; a round joins
-    only the newest level, which stays small enough to broadcast unless Spark
-    measures otherwise, and skips PIDs that are already members.
+    only the newest level. A process has one parent, so it is reached once, except
+    for roots below roots or in a cycle: those are skipped.
     """
     member = [label, *keys, "pid"]
     tree = materialise(processes.select(*keys, "pid", "ppid"), "tree")
@@ -90,7 +85,7 @@ def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label:
         .dropDuplicates(member).withColumn("level", F.lit(0)),
         "descendants",
     )
-    members = level
+    members = first = level
     depth = 0
     while not level.isEmpty():
         depth += 1
@@ -98,8 +93,7 @@ def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label:
             tree.withColumnRenamed("pid", "_child")
             .join(level.select(label, *keys, F.col("pid").alias("ppid")), [*keys, "ppid"])
             .select(label, *keys, F.col("_child").alias("pid"))
-            .dropDuplicates(member)
-            .join(members.select(*member), member, "left_anti")
+            .join(first.select(*member), member, "left_anti")
             .withColumn("level", F.lit(depth))
         )
         level = materialise(grown, "descendants")

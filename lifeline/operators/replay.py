@@ -425,20 +425,21 @@ def temporal_ancestors(rows: DataFrame, states: DataFrame, hot_rows: int = HOT_R
     """Attach ``parent_chain`` as of each row's position (stops: before it); one as-of look-up per level."""
     facts = materialise(version_facts(states), "versions")
     summary = S.SUMMARY.simpleString()
-    climbing = materialise(rows.selectExpr(
-        "*", "CASE WHEN ppid > 0 AND ppid <> pid THEN ppid END AS _next",
-        f"CAST(array() AS array<{summary}>) AS parent_chain", "array(pid) AS _seen",
-    ), "climb")
-    names = climbing.columns
+    sought = rows.selectExpr(
+        "*", "CASE WHEN ppid > 0 AND ppid <> pid THEN ppid END AS _first", f"{_before_itself(rows)} AS _strict")
+    # Only who seeks climbs, as narrow rows; the chain is joined on at the end.
+    key = ["host_id", "pid", "pos", "_first", "_strict"]
+    climbing = materialise(sought.where("_first IS NOT NULL").select(*key).distinct().selectExpr(
+        "*", "_first AS _next", f"CAST(array() AS array<{summary}>) AS parent_chain", "array(pid) AS _seen"), "climb")
     up = ", ".join(f"_found.after.`{c}`" for c in S.SUMMARY_COLUMNS)
     finished = [climbing.where("_next IS NULL")]
     climbing = climbing.where("_next IS NOT NULL")
     while not climbing.isEmpty():
         looked = materialise(as_of(
             climbing, facts, ["host_id", "_next"], "pos", "struct(after)", "_found",
-            hot_rows=hot_rows, width=width, strict=_before_itself(rows),
+            hot_rows=hot_rows, width=width, strict="_strict",
         ).selectExpr(
-            *[f"`{c}`" for c in names if c not in ("_next", "parent_chain", "_seen")],
+            *key,
             """CASE WHEN _found.after.ppid > 0 AND NOT array_contains(array_append(_seen, _next), _found.after.ppid)
                     THEN _found.after.ppid END AS _next""",
             f"""CASE WHEN _found.after IS NULL THEN parent_chain
@@ -447,7 +448,9 @@ def temporal_ancestors(rows: DataFrame, states: DataFrame, hot_rows: int = HOT_R
         ), "climb")
         finished.append(looked.where("_next IS NULL"))
         climbing = looked.where("_next IS NOT NULL")
-    return reduce(DataFrame.unionByName, finished).drop("_next", "_seen")
+    chains = reduce(DataFrame.unionByName, finished).select(*key, "parent_chain")
+    return sought.join(chains, key, "left").selectExpr(
+        *[f"`{c}`" for c in rows.columns], f"coalesce(parent_chain, CAST(array() AS array<{summary}>)) AS parent_chain")
 
 
 def details_as_of(notices: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS,
