@@ -13,23 +13,28 @@ def connected(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Data
 
     ``links`` has long columns a and b. Each half round is one combined minimum and one
     join on the node, whose hot side adaptive execution can split; links never multiply.
-    Rounds are written, so a lost executor costs a task. Null ends and self links are
-    ignored; repeated links count once; no links give an empty table.
+    Rounds are written, so a lost executor costs a task; they end when the table's count
+    and sum of hashes stay. Null ends and self links are ignored; repeated links count
+    once; no links give an empty table.
     """
     edges = scratch.keep(_both_ways(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")), "links")
+    state = _state(edges)
     for _ in range(most_rounds):
         large = _star(_mirrored(edges), larger=True)
         small = scratch.keep(_star(large, larger=False), "links")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
         scratch.drop(edges)
-        edges = small
-        if not changed:
+        edges, before, state = small, state, _state(small)
+        if state == before:
             roots = edges.select(F.col("b").alias("root")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 roots.select(F.col("root").alias("node"), "root"))
     raise RuntimeError("components did not settle")
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -44,9 +49,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("m"))
     joined = edges.join(least, edges["a"] == least["node"])
-    if larger:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select(F.col("node").alias("a"), F.col("m").alias("b")))
+    if larger:                                           # repeats go with the small star's
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        least.select(F.col("node").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()

@@ -8,19 +8,19 @@ Steps, each a Spark job over the whole table:
    (``SLOTS``), ties by hash. Any consistent order gives the same links; the counts only
    make groups small.
 3. Two sets that are similar enough share an n-gram among the first ones of that order.
-   Classes meet in the group of every such n-gram that another class has as well. A
-   bitmap bounds the overlap of two sets from above, so most pairs end here.
-4. Sets with a possible partner go, ordered, to the group most of them share. There
-   they are stored in a prefix tree (most frequent n-gram first, so that long beginnings
-   are shared); a traversal carries the overlap along shared paths and prunes a subtree
-   once the remaining lengths cannot reach the wanted overlap. A group reports a
-   spanning forest of its links.
-5. Components so far are numbered, and only pairs of different components are looked at
-   again: once more bitmaps, then prefix trees of the two components' sets. Links are
-   lost nowhere, and a group of n near copies costs about n, not n squared.
-
-A group is cut into blocks of ``BLOCK`` classes. In step 4 one pivot joins all blocks; in
-step 5 blocks of the largest component of a group meet only blocks of the others.
+   Classes meet in the group of every such n-gram that another class of a fitting size has
+   as well (groups of equal members meet once). A bitmap bounds the overlap of two sets from above, and
+   classes joined by possible pairs form a cluster. No set is sent so far.
+4. The sets of a cluster meet, ordered, in a prefix tree (most frequent n-gram first, so
+   that long beginnings are shared). A traversal carries the overlap along shared paths
+   and prunes a subtree once the remaining lengths cannot reach the wanted overlap. A
+   group reports a spanning forest of its links, so n near copies give n - 1 of them.
+5. Components of the links name the result.
+
+Groups and clusters of more than ``BLOCK`` classes are cut into blocks. Blocks first meet
+on their own, with one pivot in all of them; then only members that are still apart meet:
+blocks of the largest part with blocks of the others, and the others among themselves.
+Links are lost nowhere, and a large group of near copies costs about its size.
 
 Defined results: null and empty texts have no n-grams, size 0 and are linked with nothing
 (their component is their own id); texts of fewer words than n count as one n-gram;
@@ -44,8 +44,9 @@ from lifeline.llm.store import Scratch
 
 SLOTS = 1 << 22          # counts that set the global order: 16 MB broadcast, fixed
 FILTER_BITS = 1 << 23    # 1 MB filter of the classes whose sets are sent
-BLOCK = 512              # classes of a group that meet in one task
+BLOCK = 768              # classes of a group that meet at once
 MIN_BITS = 64
+BITS_EACH = 4            # bitmap bits for each element of a set
 
 
 class Shape:
@@ -100,8 +101,8 @@ def class_ids(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Parity of the set's n-grams in each of about as many bits as the set has elements."""
-    bits = max(MIN_BITS, 1 << (len(grams) - 1).bit_length()) if len(grams) else MIN_BITS
+    """Parity of the set's n-grams in each of a few times as many bits as it has elements."""
+    bits = max(MIN_BITS, BITS_EACH << max(0, len(grams) - 1).bit_length())
     counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -165,20 +166,15 @@ def forest(ids: list[int], sequences: list[np.ndarray], shape: Shape) -> list[tu
     """A spanning forest of the links within a group: no link is lost, none repeated."""
     tree = PrefixTree(sequences, shape)
     root = np.arange(len(ids))
-    links = []
-
-    def join(i: int, j: int) -> None:
-        a, b = root[i], root[j]
-        if a != b:
-            root[root == max(a, b)] = min(a, b)
-            links.append((ids[tree.order[i]], ids[tree.order[j]]))
-
     for i in range(len(ids)):
         if i and root[i] == root[i - 1] and (root == root[i]).all():
             break
         for j in tree.similar(tree.sequences[i], root == root[i]):
-            join(i, j)
-    return links
+            a, b = root[i], root[j]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+    # As stars: they settle sooner than chains.
+    return [(ids[tree.order[i]], ids[tree.order[r]]) for i, r in enumerate(root.tolist()) if i != r]
 
 
 # Streams of grouped rows
@@ -256,7 +252,7 @@ def _ordered(grams: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _prefixes(docs: DataFrame, text: str, shape: Shape, counts) -> DataFrame:
-    """Rows (gram, node) for the leading n-grams of each set."""
+    """Rows (gram, node, size) for the leading n-grams of each set."""
     def lead(batches):
         for piece in bytescan.pieces(batches, "text"):
             grams, cuts = ngram_sets(piece, shape.n)
@@ -266,22 +262,55 @@ def _prefixes(docs: DataFrame, text: str, shape: Shape, counts) -> DataFrame:
             rank = np.arange(len(grams)) - np.repeat(cuts[:-1], size)
             chosen = rank < np.repeat(take, size)
             yield pa.RecordBatch.from_arrays(
-                [signed(grams[chosen]), signed(np.repeat(nodes, take))], ["gram", "node"])
+                [signed(grams[chosen]), signed(np.repeat(nodes, take)), pa.array(np.repeat(size, take), pa.int32())],
+                ["gram", "node", "size"])
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(lead, "gram bigint, node bigint, size int")
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(lead, "gram bigint, node bigint")
+
+def _shared(leading: DataFrame) -> DataFrame:
+    """The leading rows whose n-gram is met in another class, too."""
+    several = leading.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
+    several = Scratch(leading.sparkSession, "grams").keep(several, "several")
+    held = _filter(leading, several)
+
+    def passing(batches):
+        bits = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_filter_slot(np.asarray(batch.column(0)).view(np.uint64))]))
+
+    # The filter is of a fixed size and lets some others through; the join is exact.
+    return leading.mapInArrow(passing, leading.schema).join(several, "gram", "left_semi").distinct()
+
+
+def _fitting(shared: DataFrame, shape: Shape) -> DataFrame:
+    """The rows with another class of a fitting size next to them in their group.
+
+    Rows are ordered by (gram, size) over the cluster, so a hot n-gram spreads over tasks;
+    only neighbours matter, and rows at the border of a task stay.
+    """
+    def fits(batches):
+        gram, node, size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        kept = False                                     # of the row held over: already known to fit
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = not len(gram)
+            gram, node, size = (np.append(old, batch.column(c).to_numpy()) for old, c in ((gram, "gram"), (node, "node"), (size, "size")))
+            near = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * 100 >= shape.percent * size[1:])
+            good = np.append(first or kept, near) | np.append(near, False)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][good[:-1]]) for x in (gram, node, size)], ["gram", "node", "size"])
+            gram, node, size, kept = gram[-1:], node[-1:], size[-1:], bool(good[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, node, size)], ["gram", "node", "size"])
+
+    return shared.repartitionByRange("gram", "size").sortWithinPartitions("gram", "size").mapInArrow(fits, shared.schema)
 
 
 def _sets(docs: DataFrame, text: str, n: int, counts, wanted: DataFrame) -> DataFrame:
     """Rows (node, grams) of the wanted classes, in global order. A filter of a fixed size
     keeps most other classes back; the join afterwards removes the rest."""
     nodes = wanted.select("node").distinct()
-
-    def slot(batches):
-        for batch in batches:
-            yield _filter_slot(np.asarray(batch.column(0)).view(np.uint64))
-
-    held = fixed.summed(nodes, FILTER_BITS, slot) > 0
-    keep = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+    keep = _filter(docs, nodes)
 
     def send(batches):
         bits = np.unpackbits(keep.value).astype(bool)
@@ -299,95 +328,86 @@ def _sets(docs: DataFrame, text: str, n: int, counts, wanted: DataFrame) -> Data
     return sent.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _filter(docs: DataFrame, values: DataFrame):
+    """Broadcast bits of the values of a long column, of a fixed size; false hits only."""
+    def slot(batches):
+        for batch in batches:
+            yield _filter_slot(np.asarray(batch.column(0)).view(np.uint64))
+
+    return docs.sparkSession.sparkContext.broadcast(np.packbits(fixed.summed(values, FILTER_BITS, slot) > 0))
+
+
 def _filter_slot(nodes: np.ndarray) -> np.ndarray:
     return (bytescan.mix(nodes) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _trees(assigned: DataFrame, sets: DataFrame, shape: Shape, *keys: str) -> DataFrame:
-    """Links (a, b) found by the prefix trees of the groups."""
+def _trees(assigned: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """Links (a, b) found by the prefix trees of the groups (key, x, y)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def grow(batches):
         def links():
-            for _, rows in groups(batches, len(keys)):
+            for _, rows in groups(batches, 3):
                 if len(rows) > 1:
                     yield from forest([r[0] for r in rows], [np.frombuffer(r[1], np.uint64)[::-1] for r in rows], shape)
         yield from streamed(schema, links())
 
-    rows = assigned.join(sets, "node").select(*keys, "node", "grams")
-    return by_key(rows, *keys).mapInArrow(grow, "a bigint, b bigint")
+    rows = assigned.join(sets, "node").select("key", "x", "y", "node", "grams")
+    return by_key(rows, "key", "x", "y").mapInArrow(grow, "a bigint, b bigint")
 
 
-def _first_groups(members: DataFrame, shape: Shape) -> DataFrame:
-    """For each class with a possible partner, the group (gram, block) that most of them share."""
-    schema = pa.schema([("gram", pa.int64()), ("block", pa.int64()), ("node", pa.int64()), ("partners", pa.int64())])
+def _possible(grouped: DataFrame, shape: Shape) -> DataFrame:
+    """A spanning forest of the pairs in each group (key, x, y) whose bitmaps allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches):
-        def rows():
-            for key, held in groups(batches, 2):
+        def pairs():
+            for _, held in groups(batches, 3):
                 if len(held) < 2:
                     continue
-                maps = [(int.from_bytes(bits, "little"), 8 * len(bits), size) for _, size, bits in held]
-                partners = [0] * len(held)
-                for i, x in enumerate(maps):
-                    for j in range(i):
-                        y = maps[j]
-                        if most_common(*x, *y) >= shape.overlap(x[2], y[2]):
-                            partners[i] += 1
-                            partners[j] += 1
-                yield from ((*key, r[0], p) for r, p in zip(held, partners) if p)
-        yield from streamed(schema, rows())
-
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    own = members.select("gram", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "size", "bits")
-    pivot = members.where((F.col("node") == F.col("pivot")) & (blocks > 1)).select(
-        "gram", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "size", "bits")
-    met = by_key(own.unionByName(pivot).distinct(), "gram", "block").mapInArrow(
-        meet, "gram bigint, block bigint, node bigint, partners bigint")
-    best = met.groupBy("node").agg(F.max(F.struct("partners", "gram")).alias("best"), F.max("partners").alias("most"))
-    # Every block of the chosen n-gram the class stands in: one, or all of them for a pivot.
-    return met.join(best, "node").where("gram = best.gram").select("gram", "block", "node").distinct()
-
-
-def _later_groups(members: DataFrame, parts: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs of component blocks with possible links between them, and the classes concerned."""
-    schema = pa.schema([(c, pa.int64()) for c in ("root1", "block1", "root2", "block2", "node")])
-
-    def meet(batches):
-        def rows():
-            for _, held in groups(batches, 3):
-                seen = set()
                 maps = [(int.from_bytes(r[2], "little"), 8 * len(r[2]), r[1]) for r in held]
-                for i, x in enumerate(held):
+                root = list(range(len(held)))
+                for i, x in enumerate(maps):
                     for j in range(i):
-                        y = held[j]
-                        if x[3] != y[3] and most_common(*maps[i], *maps[j]) >= shape.overlap(x[1], y[1]):
-                            a, b = sorted([(x[3], x[4]), (y[3], y[4])])
-                            seen |= {(*a, *b, x[0]), (*a, *b, y[0])}
-                yield from seen
-        yield from streamed(schema, rows())
-
-    sized = parts.groupBy("root").agg(F.count(F.lit(1)).alias("classes"))
-    parts = parts.join(sized, "root").select(
-        "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("classes") / BLOCK)).cast("long").alias("part"))
-    placed = members.join(parts, "node", "left").select(
-        "gram", "node", "size", "bits", F.coalesce("root", "node").alias("root"), F.coalesce("part", F.lit(0).cast("long")).alias("part"))
-    per = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("gram").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("top.n < `all`")
-    placed = placed.join(main, "gram").select(
-        "gram", "node", "size", "bits", "root", "part", (F.col("root") == F.col("top.root")).alias("is_main"),
-        F.ceil(F.col("top.n") / BLOCK).cast("long").alias("mains"),
-        F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("long").alias("others"))
-    # Blocks 0 .. others - 1 hold the other components, the next ones the largest.
-    own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(
-        F.pmod(F.xxhash64("node"), F.col("others")))
-    facing = F.when(F.col("is_main"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1))
-    spread = placed.select("*", own.alias("own"), F.explode(facing).alias("facing")).select(
-        "gram", F.least("own", "facing").alias("x"), F.greatest("own", "facing").alias("y"),
-        "node", "size", "bits", "root", "part")
-    return by_key(spread, "gram", "x", "y").mapInArrow(
-        meet, "root1 bigint, block1 bigint, root2 bigint, block2 bigint, node bigint").distinct()
+                        a, b = root[i], root[j]
+                        if a != b and most_common(*x, *maps[j]) >= shape.overlap(x[2], maps[j][2]):
+                            root = [min(a, b) if r == a or r == b else r for r in root]
+                yield from ((held[i][0], held[r][0]) for i, r in enumerate(root) if i != r)
+        yield from streamed(schema, pairs())
+
+    return by_key(grouped.select("key", "x", "y", "node", "size", "bits"), "key", "x", "y").mapInArrow(
+        meet, "a bigint, b bigint")
+
+
+def blocks_first(rows: DataFrame) -> DataFrame:
+    """Groups (key, x, y) of the blocks of each key, the key's pivot in every block.
+
+    ``rows`` has key, node, members (rows of the key) and pivot (one of its nodes).
+    """
+    count = F.ceil(F.col("members") / BLOCK).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), count - 1)
+    own = F.array(F.pmod(F.xxhash64("node"), count))
+    return rows.select("*", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(own)).alias("x")).withColumn(
+        "y", F.col("x"))
+
+
+def blocks_apart(rows: DataFrame) -> DataFrame:
+    """Groups (key, x, y) in which all members of a key meet that have different parts.
+
+    ``rows`` has key, node and part. Members of a key's largest part meet the others only.
+    """
+    per = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where("top.n < `all`")
+    placed = rows.join(top, "key").select(
+        *[F.col(f"`{c}`") for c in rows.columns], (F.col("part") == F.col("top.part")).alias("_main"),
+        F.ceil(F.col("top.n") / BLOCK).cast("long").alias("_mains"),
+        F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("long").alias("_others"))
+    # Blocks 0 .. others - 1 hold the other parts, the next ones the largest.
+    own = F.when(F.col("_main"), F.col("_others") + F.pmod(F.xxhash64("node"), F.col("_mains"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("_others")))
+    last = F.when(F.col("_main"), F.col("_others") - 1).otherwise(F.col("_others") + F.col("_mains") - 1)
+    return placed.select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_facing")).select(
+        *[F.col(f"`{c}`") for c in rows.columns], F.least("_own", "_facing").alias("x"), F.greatest("_own", "_facing").alias("y"))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90,
@@ -400,21 +420,39 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     counts = spark.sparkContext.broadcast(_counts(docs, text, n, slots))
 
     leading = scratch.keep(_prefixes(docs, text, shape, counts).where("node <> 0"), "leading")
-    shared = leading.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other")
-    pairs = scratch.keep(leading.join(shared.select("gram", "pivot"), "gram").distinct(), "shared")
+    shared = scratch.keep(_shared(leading), "shared")
     scratch.drop(leading)
-    facts = rows.where("node <> 0").join(pairs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.first("size").alias("size"), F.first("bits").alias("bits"))
-    counted = pairs.groupBy("gram").agg(F.countDistinct("node").alias("members"))
-    members = scratch.keep(pairs.join(counted, "gram").join(facts, "node"), "members")
-
-    first = scratch.keep(_first_groups(members, shape), "first")
-    links = scratch.keep(_trees(first, _sets(docs, text, n, counts, first), shape, "gram", "block"), "links")
+    fitting = scratch.keep(_fitting(shared, shape), "fitting")
+    # Of the groups with the same members one is enough.
+    chosen = fitting.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"),
+        F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").groupBy(
+        "n", "sum", "pivot", "other").agg(F.min("gram").alias("gram")).select(
+        F.col("gram").alias("key"), F.col("n").alias("members"), "pivot")
+    met = fitting.drop("size").withColumnRenamed("gram", "key").join(chosen, "key")
+    facts = rows.where("node <> 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    members = scratch.keep(met.join(facts, "node"), "members")
+
+    pairs = scratch.keep(_possible(blocks_first(members), shape), "pairs")
+    clusters = connected(pairs, scratch)
+    large = members.where(F.col("members") > BLOCK)
+    if large.limit(1).count():
+        parts = large.join(clusters, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        pairs = pairs.unionByName(scratch.keep(_possible(blocks_apart(parts), shape), "pairs"))
+        clusters = connected(pairs, scratch)
+
+    sized = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    placed = scratch.keep(clusters.join(sized, "root").select(
+        F.col("root").alias("key"), "node", "members", F.col("root").alias("pivot")), "clusters")
+    first = blocks_first(placed)
+    links = scratch.keep(_trees(first, _sets(docs, text, n, counts, placed), shape), "links")
     parts = connected(links, scratch)
-    later = scratch.keep(_later_groups(members, parts, shape), "later")
-    more = scratch.keep(_trees(
-        later, _sets(docs, text, n, counts, later), shape, "root1", "block1", "root2", "block2"), "links")
-    parts = connected(links.unionByName(more), scratch)
+    large = placed.where(F.col("members") > BLOCK)
+    if large.limit(1).count():
+        apart = scratch.keep(blocks_apart(large.join(parts, "node", "left").withColumn(
+            "part", F.coalesce("root", "node")).drop("root")), "apart")
+        links = links.unionByName(scratch.keep(_trees(apart, _sets(docs, text, n, counts, apart), shape), "links"))
+        parts = connected(links, scratch)
 
     classes = rows.where("node <> 0").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least")
