@@ -100,3 +100,89 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLES["op5_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS s
+  FROM d, unnest(range(1, greatest(len(ws) - 1, 2))) AS r(p) WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) AS c USING (doc_id)
+"""
+
+ORACLES["op3_license_scan"] = r"""
+WITH t(licence, variant, txt) AS (VALUES
+  ('AGPL-3.0', 0, 'This work is licensed under the GNU Affero General Public License, version 3.'),
+  ('Apache-2.0', 0, 'Licensed under the Apache License, Version 2.0.'),
+  ('BSD-3-Clause', 0, 'Redistribution and use in source and binary forms are permitted under the BSD License.'),
+  ('CC-BY-4.0', 0, 'Licensed under CC BY 4.0.'),
+  ('CC-BY-4.0', 1, 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+  ('CC-BY-NC-4.0', 0, 'Licensed under CC BY-NC 4.0.'),
+  ('CC-BY-NC-4.0', 1, 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
+  ('CC0-1.0', 0, 'Dedicated to the public domain under the CC0 1.0 Universal dedication.'),
+  ('GPL-3.0', 0, 'This work is licensed under the GNU General Public License, version 3.'),
+  ('LGPL-3.0', 0, 'This work is licensed under the GNU Lesser General Public License, version 3.'),
+  ('MIT', 0, 'Released under the MIT License.'),
+  ('MIT', 1, 'Permission is hereby granted, free of charge, under the MIT License.'),
+  ('MPL-2.0', 0, 'This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.')
+), tt AS (
+  SELECT licence, variant, term, count(*) AS tf FROM (
+    SELECT licence, variant, unnest(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) AS term FROM t) GROUP BY ALL
+), line AS (
+  SELECT doc_id, p AS line, string_split(text, chr(10))[p] AS x FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(p)
+), pass AS (
+  SELECT doc_id, line, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS ws FROM line
+  WHERE regexp_matches(x, '(?i)(licen[cs]ed?|copyright|redistribution|permission|public domain|creative commons|\bcc0\b)')
+), f AS (
+  SELECT doc_id, line, len(ws) AS words, term, count(*) AS tf FROM pass, unnest(ws) AS u(term) GROUP BY ALL
+), nn AS (
+  SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, line FROM f)
+), idf AS (
+  SELECT term, ln((1.0::DOUBLE + (SELECT n FROM nn)) / (1 + coalesce(df, 0))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) LEFT JOIN (SELECT term, count(*) AS df FROM f GROUP BY term) USING (term)
+), tv AS (
+  SELECT licence, variant, term, tf * idf AS w FROM tt JOIN idf USING (term)
+), tn AS (
+  SELECT licence, variant, sqrt(sum(w * w)) AS tn FROM tv GROUP BY ALL
+), v AS (
+  SELECT doc_id, line, words, term, tf * coalesce(idf, ln(1.0::DOUBLE + (SELECT n FROM nn)) + 1) AS v FROM f LEFT JOIN idf USING (term)
+), vn AS (
+  SELECT doc_id, line, words, sqrt(sum(v * v)) AS vn FROM v GROUP BY ALL
+), c AS (
+  SELECT doc_id, line, words, licence, round(p / (vn * tn), 6) AS cosine
+  FROM (SELECT doc_id, line, licence, variant, sum(v * w) AS p FROM v JOIN tv USING (term) GROUP BY ALL)
+  JOIN tn USING (licence, variant) JOIN vn USING (doc_id, line)
+), best AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, licence) = 1
+), good AS (
+  SELECT * FROM best WHERE cosine >= 0.75
+), own AS (
+  SELECT doc_id, count(*) AS n_passages, sum(words) AS inside, first(licence ORDER BY cosine DESC, licence, line) AS own_licence,
+         max(cosine) AS own_cosine FROM good GROUP BY doc_id
+), j AS (
+  SELECT d.doc_id, d.source, d.lang, coalesce(n_passages, 0)::BIGINT AS n_passages, own_licence, own_cosine,
+         coalesce(own_licence IS NOT NULL AND inside >= 0.1::DOUBLE * len(regexp_extract_all(text, '[\p{L}\p{N}]+')), false) AS is_licence_file,
+         CASE d.doc_id % 3 WHEN 0 THEN [source] WHEN 1 THEN [source || '/' || lang, source]
+              ELSE [source || '/' || lang || '/' || (d.doc_id // 3000), source || '/' || lang, source] END || [''] AS dirs
+  FROM documents d LEFT JOIN own USING (doc_id)
+), speaks AS (
+  SELECT dirs[1] AS dir, first(own_licence ORDER BY own_cosine DESC, own_licence) AS licence FROM j WHERE is_licence_file GROUP BY 1
+), near AS (
+  SELECT doc_id, first(speaks.licence ORDER BY far) AS licence, first(speaks.dir ORDER BY far) AS dir
+  FROM (SELECT doc_id, far, dirs[far] AS dir FROM j, unnest(range(1, len(dirs) + 1)) AS r(far) WHERE own_licence IS NULL) JOIN speaks USING (dir) GROUP BY doc_id
+)
+SELECT j.doc_id, source, lang, n_passages, own_licence, own_cosine, is_licence_file, coalesce(own_licence, near.licence) AS licence, near.dir AS inherited_from
+FROM j LEFT JOIN near USING (doc_id)
+"""
