@@ -111,6 +111,17 @@ def words(piece: Piece, is_word: np.ndarray, fold: bool = True) -> Words:
     return Words(start, end, row, range_hash(prefix_sums(data), start, end), first)
 
 
+def word_counts(piece: Piece, is_word: np.ndarray) -> np.ndarray:
+    """Words of each row, without their hashes."""
+    inside = is_word[piece.data]
+    left = inside.copy()
+    left[1:] &= ~inside[:-1]
+    borders = piece.cuts[1:-1]
+    borders = borders[borders < len(inside)]
+    left[borders] = inside[borders]
+    return np.diff(np.searchsorted(np.flatnonzero(left), piece.cuts))
+
+
 def ngrams(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive words of a row, and the index of each one's first word."""
     h, total = found.hash, len(found.hash)

@@ -38,7 +38,7 @@ SHAPES = 6
 SAMPLE = 3000
 ADDED = ("n_tokens", "posterior", "rate", "taken")
 
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"#*$%&|<>")] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
@@ -58,13 +58,15 @@ class Rows:
 
 def described(piece: bytescan.Piece) -> Rows:
     found = bytescan.words(piece, bytescan.ALPHANUMERIC)
-    tokens = np.diff(bytescan.words(piece, bytescan.NOT_SPACE).first) if piece.rows else np.zeros(0, np.int64)
+    tokens = bytescan.word_counts(piece, bytescan.NOT_SPACE)
     code = found.row.astype(np.int64) * SLOTS + (found.hash & np.uint64(SLOTS - 1)).astype(np.int64)
     code, times = np.unique(code, return_counts=True)
     row = code // SLOTS
     size = np.sqrt(np.bincount(row, weights=np.ones(len(row)), minlength=piece.rows))
-    owner = np.repeat(np.arange(piece.rows), np.diff(piece.cuts))
-    kinds = np.bincount(owner * 5 + _CLASS[piece.data], minlength=piece.rows * 5).reshape(-1, 5)
+    kind = _CLASS[piece.data]
+    at = np.flatnonzero(kind)
+    owner = np.searchsorted(piece.cuts, at, "right") - 1
+    kinds = np.bincount(owner * 5 + kind[at], minlength=piece.rows * 5).reshape(-1, 5)
     bytes_ = np.maximum(np.diff(piece.cuts), 1)
     words_ = np.maximum(np.diff(found.first), 1)
     shape = np.stack([*(np.sqrt(kinds[:, k] / bytes_) for k in (1, 2, 3, 4)),
