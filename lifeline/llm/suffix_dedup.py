@@ -177,16 +177,24 @@ def _occurrences(docs: DataFrame, text: str, length: int, repeated, mixed, hot)
             s = Samples(piece, length)
             at = slot(s.name)
             is_hot, is_mixed = bits[2][at], bits[1][at]
-            send = (bits[0][at] & ~s.extra & ~is_hot) | s.known
+            # Further occurrences of a sample within its text are known; runs of them are one row.
+            joined = s.extra & np.append(False, s.extra[:-1] & (s.row[1:] == s.row[:-1]) & (s.first[1:] == s.last[:-1] + 1))
+            last = s.last.copy()
+            heads = np.flatnonzero(~joined)
+            if len(heads):
+                last[heads] = s.last[np.append(heads[1:], len(joined)) - 1]
+            send = ((bits[0][at] & ~s.extra & ~is_hot) | s.known) & ~joined
             offset = piece.cuts[s.row]
             node = np.array([digest(piece.text(r))[0] if c else 0 for r, c in enumerate(
                 np.bincount(s.row[send | is_hot], minlength=piece.rows).tolist())], np.int64)
             chosen = np.flatnonzero(send)
             with_text = (is_mixed & ~s.extra)[chosen].tolist()
             data = piece.data
+            # They match nothing any more and are dealt out by their place.
+            key = np.where(s.extra[chosen], mix(node[s.row[chosen]].view(np.uint64) + s.first[chosen].astype(np.uint64)), s.name[chosen])
             yield pa.RecordBatch.from_arrays([
-                signed(s.name[chosen]), signed(s.context[chosen]), pa.array(node[s.row[chosen]]),
-                pa.array(s.first[chosen] - offset[chosen]), pa.array(s.last[chosen] - offset[chosen]),
+                signed(key), signed(s.context[chosen]), pa.array(node[s.row[chosen]]),
+                pa.array(s.first[chosen] - offset[chosen]), pa.array(last[chosen] - offset[chosen]),
                 pa.array(s.known[chosen]),
                 pa.array([data[a:b + length].tobytes() if t else None for a, b, t in zip(
                     s.first[chosen].tolist(), s.last[chosen].tolist(), with_text)], pa.binary()),
