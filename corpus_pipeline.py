@@ -36,7 +36,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = Scratch(spark, "groups").keep(ngram_join.similar_groups(docs, n=5, percent=80), "groups")
     stays = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(stays, "doc_id", "left_semi")
+    # The ids that stay grow with the documents: never a broadcast, at any size.
+    kept = docs.select(*COLUMNS).join(stays.hint("merge"), "doc_id", "left_semi")
     if groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
         kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
