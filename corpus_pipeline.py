@@ -8,6 +8,7 @@ columns of ``documents``. Each works on all that its predecessor kept:
    document of the least id stays; documents without any word are no copies of each other;
 3. benchmark decontamination: documents holding a window of a benchmark item go;
 4. mixing: documents are drawn so that the labelled domains' token shares meet their targets;
+   rates above one give a document as several rows, also after stage 2 left one of its group;
 5. sharding: the slot and shard of each document are added.
 
 Rows without an id pass stage 2 as they are; rows of one id count as one document there.
@@ -52,7 +53,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.train(docs, labels, ("quality", "toxic"), DOMAINS)
-    return mixing.mix(docs.select(*COLUMNS), model, SHARES, headroom=HEADROOM, keep_text=True).where("taken").select(*COLUMNS)
+    return mixing.drawn(mixing.mix(docs.select(*COLUMNS), model, SHARES, headroom=HEADROOM, keep_text=True)).select(*COLUMNS)
 
 
 def placed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

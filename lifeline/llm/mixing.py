@@ -5,13 +5,20 @@
   statistics. It gives each document a posterior, a soft membership in every domain.
 * Rates r of all documents are fitted by projected gradient on the least-squares distance
   between expected domain totals, sum of r * tokens * posterior, and the targets; they
-  start at one and stay at or above zero. A gradient step needs only the totals of all
+  start at one and stay between zero and ``MOST``. A gradient step needs only the totals of all
   documents, so each round is one pass over a narrow table and one small sum; a row's
   rate follows from the rounds' errors (``rounds`` short vectors), hence nothing of
   the documents is held or rewritten between rounds. Distances are weighted by a domain's
   own total and steps scaled by a document's tokens; then a step of one never overshoots,
-  however long a document or rare a domain is.
-* ``taken`` draws each document with its rate as probability, by a hash of its key.
+  however long a document or rare a domain is. If the rounds do not reach the tolerance
+  (posteriors that overlap), ``CLOSING`` more take the domains' overlap into account.
+* Rates above one are realised as repeated copies: ``copies`` is the whole part of a rate, and
+  one more with the rest as probability, drawn by a hash of the key. So the expected totals
+  are the fitted ones, and a domain in short supply is repeated. ``taken`` are the documents
+  of at least one copy; ``drawn`` gives the copies as rows.
+* No document has more than ``MOST`` copies: else a few chance documents would stand for an
+  absent domain thousands of times. A target out of their reach is missed, and a warning
+  names the domain.
 
 Defined results: null and empty texts have no tokens and a posterior like any other;
 repeated rows are rated alike; without labels all posteriors are equal; domains that no
@@ -21,6 +28,7 @@ input columns named like an added one are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,7 +44,9 @@ from lifeline.llm.store import Scratch
 SLOTS = 1 << 13          # hashed words
 SHAPES = 6
 SAMPLE = 3000
-ADDED = ("n_tokens", "posterior", "rate", "taken")
+CLOSING = 40
+MOST = 4                 # copies of a document
+ADDED = ("n_tokens", "posterior", "rate", "taken", "copies")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"#*$%&|<>")] = 1
@@ -145,7 +155,7 @@ def replayed(posterior: np.ndarray, errors: np.ndarray) -> np.ndarray:
     """Rates after the given rounds."""
     rate = np.ones(len(posterior))
     for e in errors:
-        rate = np.maximum(0.0, rate - posterior @ e)
+        rate = np.clip(rate - posterior @ e, 0.0, MOST)
     return rate
 
 
@@ -184,29 +194,55 @@ def totals(rows: DataFrame, errors: np.ndarray, domains: int) -> np.ndarray:
     return np.array([v or 0.0 for v in parts.agg(*[F.sum(f"t{i}") for i in range(domains + 1)]).first()])
 
 
+def overlap(rows: DataFrame, domains: int) -> np.ndarray:
+    """Sums over all rows of tokens times posterior times posterior, by pairs of domains."""
+    def add(batches):
+        out = np.zeros((domains, domains))
+        for batch in batches:
+            p = batch.column(1).flatten().to_numpy().reshape(-1, domains)
+            out += (p * batch.column(0).to_numpy().astype(float)[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out.ravel()], [f"t{i}" for i in range(domains ** 2)])
+
+    parts = rows.select("n_tokens", "posterior").mapInArrow(add, ", ".join(f"t{i} double" for i in range(domains ** 2)))
+    return np.array([v or 0.0 for v in parts.agg(*[F.sum(f"t{i}") for i in range(domains ** 2)]).first()]).reshape(domains, domains)
+
+
 def fit_rates(rows: DataFrame, shares: Sequence[float], rounds: int = 40, tolerance: float = 1e-4,
               headroom: float = 1.0) -> np.ndarray:
     """Weighted errors of the rounds. The wanted totals are ``shares`` of a mixture in which the
-    domain of the largest share is wanted ``headroom`` times as often as it is there; so is
-    a domain in shorter supply, and the others less often."""
+    domain of the largest share is wanted ``headroom`` times as often as it is there; others
+    are wanted in proportion. A domain out of reach of ``MOST`` copies is wanted ``headroom`` times
+    as often as it is there, with a warning."""
     target = np.array(shares, float) / sum(shares)
     domains, errors = len(target), np.zeros((0, len(target)))
     start = totals(rows, errors, domains)
     if not start[0]:
         return errors
     there = start[1:] / start[0]
-    wanted = headroom * np.minimum(there, there[target.argmax()] / target.max() * target)
-    for _ in range(rounds):
+    stated = headroom * there[target.argmax()] / target.max() * target
+    wanted = np.where(stated <= MOST * there, stated, np.minimum(stated, headroom * there))
+    if (short := np.flatnonzero(wanted < stated)).size:
+        warnings.warn("mixing: targets out of reach, as (domain, stated, wanted) in all tokens: " + ", ".join(
+            f"({c}, {stated[c]:.4g}, {wanted[c]:.4g})" for c in short), stacklevel=2)
+    weight = None
+    for k in range(rounds + CLOSING):
         error = totals(rows, errors, domains)[1:] / start[0] - wanted
         if np.abs(error).max() <= tolerance:
             break
-        errors = np.vstack([errors, np.where(there > 1e-12, error / np.maximum(there, 1e-12), 0.0)])
+        if k < rounds:
+            step = np.where(there > 1e-12, error / np.maximum(there, 1e-12), 0.0)
+        else:
+            # Rows at zero only shorten such a step, so it never overshoots either.
+            if weight is None:
+                weight = np.linalg.pinv(overlap(rows, domains) / start[0], rcond=1e-6, hermitian=True)
+            step = weight @ error
+        errors = np.vstack([errors, step])
     return errors
 
 
 def mix(docs: DataFrame, model: Classifier, shares: Sequence[float], key: str = "doc_id", text: str = "text",
         rounds: int = 40, headroom: float = 1.0, keep_text: bool = False) -> DataFrame:
-    """Add n_tokens, posterior, rate and taken; the text stays only if asked for."""
+    """Add n_tokens, posterior, rate, taken and copies; the text stays only if asked for."""
     scratch = Scratch(docs.sparkSession, "mixing")
     scored = posteriors(docs, model, text)
     rows = scratch.keep(scored if keep_text else scored.drop(text), "rows")
@@ -220,4 +256,10 @@ def mix(docs: DataFrame, model: Classifier, shares: Sequence[float], key: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, shipped.value))], [*batch.schema.names, "rate"])
 
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
-    return rows.mapInArrow(rate, done.schema).withColumn("taken", draw < F.col("rate"))
+    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return rows.mapInArrow(rate, done.schema).withColumn("taken", copies > 0).withColumn("copies", copies)
+
+
+def drawn(mixed: DataFrame) -> DataFrame:
+    """The mixture's rows: each document as often as it has copies."""
+    return mixed.where("taken").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(*ADDED)

@@ -131,3 +131,22 @@ def test_mixing(docs, labels, none):
     assert mixing.mix(none, model, shares).count() == 0
     blank = mixing.train(none, labels, ("quality", "toxic"), domains)
     assert not blank.weights.any()
+
+
+def test_scarce_domains_are_repeated_to_meet_their_shares(spark):
+    """Four documents in a hundred are of a domain that a tenth of the tokens is wanted of."""
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(i, ("rare " if i % 25 == 0 else "plain ") * 20) for i in range(4000)], schema)
+    labels = df.selectExpr("doc_id", "CAST(doc_id % 25 = 0 AS INT) AS rare")
+    model = mixing.train(df, labels, ("rare",), (("0",), ("1",)))
+    mixed = mixing.mix(df, model, (0.9, 0.1), keep_text=True)
+    got = mixed.collect()
+    rates, copies = np.array([r.rate for r in got]), np.array([r.copies for r in got])
+    assert all(r.taken == (r.copies > 0) and abs(r.copies - r.rate) < 1 for r in got)
+    p, tokens = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got])
+    fitted, reached = (tokens * rates) @ p, (tokens * copies) @ p
+    assert abs(fitted[1] / fitted.sum() - 0.1) < 1e-3 and abs(reached[1] / reached.sum() - 0.1) < 0.01
+    rows = mixing.drawn(mixed)
+    assert rows.columns == ["doc_id", "text"] and rows.count() == copies.sum()
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.fit_rates(mixed, (0.8, 0.2), rounds=3)
