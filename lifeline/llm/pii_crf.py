@@ -19,6 +19,7 @@ on built-in examples); input columns named like an added one are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,7 @@ def base_spans(text: str) -> list[Span]:
 TOKEN = re.compile(r"[^\s,;:!?#*$&<>|\"'\[\]{}]+")
 TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT)\b")
 STRONG = re.compile(r"@|[0-9]{3}|\(at\)|(?i:\bat [A-Za-z0-9-]+ dot\b)")
+BORDER = re.compile(r"[ \n]")
 NEAR = 3                 # tokens kept around a trigger
 CUES = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "fax"), "email": ("mail", "email", "contact"),
@@ -113,16 +115,14 @@ def zones(text: str) -> list[list[tuple[int, int]]]:
     """Stretches of tokens around triggers; texts without a strong one have none."""
     if not STRONG.search(text):
         return []
-    out: list[list[tuple[int, int]]] = []
+    out: list[tuple[int, int]] = []
+    borders = [m.start() for m in BORDER.finditer(text)]
     for m in STRONG.finditer(text):
-        if out and out[-1][0] <= m.start() < out[-1][1]:
-            continue
-        lo = m.start()
-        for _ in range(NEAR + 1):                        # token borders to the left
-            lo = max(text.rfind(" ", 0, lo), text.rfind("\n", 0, lo), 0)
-        hi = m.end()
-        for _ in range(LONGEST + NEAR):
-            hi = min([x for x in (text.find(" ", hi + 1), text.find("\n", hi + 1)) if x >= 0], default=len(text))
+        k = bisect_left(borders, m.start()) - (NEAR + 1)  # token borders to the left
+        lo = borders[k] if k >= 0 else 0
+        k = bisect_left(borders, m.end() + 1) + LONGEST + NEAR - 1
+        hi = borders[k] if k < len(borders) else len(text)
+        # A trigger inside the last zone widens it: what it starts may end behind it.
         if out and lo < out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:

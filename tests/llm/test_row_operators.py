@@ -137,3 +137,15 @@ def test_licences(spark, none):
         6: (None, None), 7: (None, None), 8: ("MIT", "a")}
     assert license_scan.scan(df, F.col("path")).count() == len(rows)
     assert license_scan.scan(none, F.col("score")).count() == 0
+
+
+def field_of_built_in():
+    known = pii_crf.BUILT_IN * 4 + [("contact ann@example.com today", [(0, 8, 23)]), ("mail from joe@some-site.org came", [(0, 10, 27)])] * 4
+    return pii_crf.train(known + [x for t, s in known for x in pii_crf.rewritten(t, s)])
+
+
+def test_later_triggers_widen_a_zone():
+    field, address = field_of_built_in(), "ann at example dot com"
+    for n in range(3, 20):
+        text = "order 123 " + "word " * n + address + " and more words follow here"
+        assert address in [text[a:b] for k, a, b in pii_crf.added_spans(text, [], field) if k == 0], n
