@@ -31,7 +31,7 @@ from lifeline.llm.columns import without
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-LONGEST = 6              # tokens of a segment
+LONGEST = 12             # tokens of a segment; a spelled address of five labels has eleven
 MARGIN = 1.0             # log odds a segment must have over leaving its tokens out
 ADDED = ("pii_base", "pii_spans")
 
@@ -107,7 +107,7 @@ SHAPES = (
     ("word", re.compile(r"[^\W\d]+")),
 )
 FEATURES = ("bias", *(f"shape:{s}" for s, _ in SHAPES), "shape:none", *(f"digits:{d}" for d in ("0", "1-6", "7-9", "10-12", "13-19", "20+")),
-            "luhn", "octets", *(f"tokens:{n}" for n in range(1, LONGEST + 1)), *(f"cue:{c}" for c in CUES), "at", "edge")
+            "luhn", "octets", *(f"tokens:{n}" for n in range(1, 7)), *(f"cue:{c}" for c in CUES), "at", "edge")
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -146,7 +146,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[i
     span = text[start:end]
     digits = only_digits(span)
     n = len(digits)
-    names = ["bias", "tokens:%d" % (j - i)]
+    names = ["bias", "tokens:%d" % min(j - i, 6)]       # six stands for more
     names.append("shape:" + next((s for s, p in SHAPES if p.fullmatch(span)), "none"))
     names.append("digits:" + ("0" if not n else "1-6" if n < 7 else "7-9" if n < 10 else "10-12" if n < 13 else "13-19" if n < 20 else "20+"))
     if 13 <= n <= 19 and luhn(digits):
@@ -249,7 +249,8 @@ Example = tuple[str, list[Span]]
 BUILT_IN: list[Example] = [
     ("write to ann.lee@mail.example.com today", [(0, 9, 33)]), ("the host 10.20.30.40 answered", [(1, 9, 20)]),
     ("paid with 4111 1111 1111 1111 then", [(2, 10, 29)]), ("paid with 4111111111111111 then", [(2, 10, 26)]),
-    ("call +1 (212) 555-0100 now", [(3, 5, 22)]),
+    ("call +1 (212) 555-0100 now", [(3, 5, 22)]), ("contact ann@mail.example.com today", [(0, 8, 28)]),
+    ("ask joe@mail.example.co.uk for it", [(0, 4, 26)]),
     ("version 1.2.3 of 2024-05-06 has 12345 lines in 300 files", []), ("order 4111111111111112 and 12 345 678 units", []),
     ("we met at 1200 hours at gate 310 dot", []), ("room 555 and 0100 and 20250101 at 900", []),
 ]
@@ -276,13 +277,14 @@ def train(examples: list[Example], rounds: int = 25, rate: float = 0.5, decay: f
     prepared = []
     for text, spans in examples:
         tokens = tokens_of(text, 0, len(text))
-        gold = {}
+        gold, fits = {}, True
         for kind, a, b in spans:
             inside = [k for k, (s, e) in enumerate(tokens) if s < b and a < e]
-            if inside and len(inside) <= LONGEST:
+            fits &= len(inside) <= LONGEST               # else its tokens would be labelled as nothing
+            if inside:
                 gold[inside[0], inside[-1] + 1] = kind + 1
         found = segments(text, tokens)
-        if tokens and all(k in found for k in gold):
+        if tokens and fits and all(k in found for k in gold):
             covered = {t for i, j in gold for t in range(i, j)}
             gold |= {(k, k + 1): 0 for k in range(len(tokens)) if k not in covered}
             prepared.append((len(tokens), found, sorted((i, j, y) for (i, j), y in gold.items())))

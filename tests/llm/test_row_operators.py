@@ -149,3 +149,10 @@ def test_later_triggers_widen_a_zone():
     for n in range(3, 20):
         text = "order 123 " + "word " * n + address + " and more words follow here"
         assert address in [text[a:b] for k, a, b in pii_crf.added_spans(text, [], field) if k == 0], n
+
+
+def test_addresses_of_several_labels_are_segments():
+    field = field_of_built_in()
+    for address in ("ann at mail dot example dot com", "ann at example dot co dot uk", "ann at a dot mail dot example dot co dot uk"):
+        text = f"please write to {address} today"
+        assert address in [text[a:b] for k, a, b in pii_crf.added_spans(text, [], field) if k == 0], address
