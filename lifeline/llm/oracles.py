@@ -186,3 +186,42 @@ WITH t(licence, variant, txt) AS (VALUES
 SELECT j.doc_id, source, lang, n_passages, own_licence, own_cosine, is_licence_file, coalesce(own_licence, near.licence) AS licence, near.dir AS inherited_from
 FROM j LEFT JOIN near USING (doc_id)
 """
+
+ORACLES["op12_source_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(
+           translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), size AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), total AS (
+  SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (t.n + 5 * s.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 5) // (s.n + 5 * s.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN size s USING (lang) JOIN total t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY 1, 2, 3
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

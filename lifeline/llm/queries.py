@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeline.llm import (
-    decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding, suffix_dedup,
+    decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding,
+    source_audit, suffix_dedup,
 )
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(32))
@@ -104,6 +105,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -115,4 +120,5 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_decontaminate": op10_decontaminate,
+    "op12_source_audit": op12_source_audit,
 }
