@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeline.llm import (
-    decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding,
+    conversation_repair, decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding,
     source_audit, suffix_dedup,
 )
 
@@ -109,6 +109,11 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damaged(turns))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -121,4 +126,5 @@ QUERIES = {
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_decontaminate": op10_decontaminate,
     "op12_source_audit": op12_source_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
