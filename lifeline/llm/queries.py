@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeline.llm import (
-    conversation_repair, decontaminate, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding,
+    conversation_repair, decontaminate, html_extraction, license_scan, mixing, ngram_join, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding,
     source_audit, suffix_dedup,
 )
 
@@ -105,6 +105,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -125,6 +129,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_decontaminate": op10_decontaminate,
+    "op11_html_extraction": op11_html_extraction,
     "op12_source_audit": op12_source_audit,
     "op13_conversation_repair": op13_conversation_repair,
 }
