@@ -66,7 +66,7 @@ def test_small_blocks_pieces_and_tiles(spark, monkeypatch):
     found = Counter()
     for batch in runs(iter(table.to_batches(max_chunksize=7))):
         terms = [t for t in batch.column("term").to_pylist() if t is not None]
-        assert terms == sorted(terms) and len(terms) < 10
+        assert terms == sorted(terms) and len(terms) < 10 and len(set(batch.column("source").to_pylist())) == 1
         for r in batch.to_pylist():
             found[r["source"], r["term"]] += r["n"]
     want = Counter((r[2], t) for r in rows for t in re.findall("[a-z]+", r[0]))
