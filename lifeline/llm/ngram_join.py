@@ -223,18 +223,20 @@ def signed(x: np.ndarray) -> pa.Array:
 # The join
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    schema = "id bigint, size bigint, node bigint, bits binary"
+def _classes(docs: DataFrame, key: str, text: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    kinds = dict(docs.dtypes)
+    schema = "id bigint, size bigint, node bigint, bits binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
 
     def describe(batches):
         for piece in bytescan.pieces(batches, "text"):
             grams, cuts = ngram_sets(piece, n)
             maps = [bitmap(grams[cuts[r]:cuts[r + 1]]) if cuts[r + 1] > cuts[r] else None for r in range(piece.rows)]
             yield pa.RecordBatch.from_arrays(
-                [piece.batch.column(0), pa.array(np.diff(cuts)), signed(class_ids(grams, cuts)), pa.array(maps, pa.binary())],
-                ["id", "size", "node", "bits"])
+                [piece.batch.column(0), pa.array(np.diff(cuts)), signed(class_ids(grams, cuts)), pa.array(maps, pa.binary()),
+                 *(piece.batch.column(c) for c in carry)],
+                ["id", "size", "node", "bits", *carry])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(describe, schema)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), *carry).mapInArrow(describe, schema)
 
 
 def _counts(docs: DataFrame, text: str, n: int, slots: int) -> np.ndarray:
@@ -411,12 +413,16 @@ def blocks_apart(rows: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90,
-                   slots: int = SLOTS) -> DataFrame:
+                   slots: int = SLOTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, n_shingles, component) for every document row: its set's size and the
-    least id it reaches by links of at least ``percent`` Jaccard similarity."""
+    least id it reaches by links of at least ``percent`` Jaccard similarity.
+
+    ``carry`` names columns that go along with each row; then ``group`` is added too, one
+    number per component (null for empty sets), which holds without ids or with repeated ones.
+    """
     spark, shape = docs.sparkSession, Shape(n, percent)
     scratch = Scratch(spark, "ngrams")
-    rows = scratch.keep(_classes(docs, key, text, n), "rows")
+    rows = scratch.keep(_classes(docs, key, text, n, carry), "rows")
     counts = spark.sparkContext.broadcast(_counts(docs, text, n, slots))
 
     leading = scratch.keep(_prefixes(docs, text, shape, counts).where("node <> 0"), "leading")
@@ -456,7 +462,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     classes = rows.where("node <> 0").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least")
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select(
+        "node", "component", F.col("root").alias("group"))
     return rows.join(named, "node", "left").select(
         "id", F.col("size").alias("n_shingles"),
-        F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+        F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component")).alias("component"),
+        *((*carry, "group") if carry else ()))

@@ -52,3 +52,16 @@ def test_clean_documents_stay_in_the_mix(stages, spark):
 def test_run_is_the_stages(stages, spark):
     got = {r.doc_id: (r.text, r.slot, r.shard) for r in pipeline.run(spark, SF).collect()}
     assert got == {k: (r.text, r.slot, r.shard) for k, r in stages["sharding"][1].items()}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Lists, not dicts: the second row of an id is unique, the first copies another; some have no id or no word."""
+    first, second = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta"))
+    rows = [(3, first), (5, first), (5, second), (7, "other words that stand alone here"), (None, second), (None, None),
+            (None, "only here is this text to be found"), (8, " "), (8, ""), (9, first + " more"), (5, second)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(pipeline.STAGES)["ngram_join"]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, first), (5, second), rows[3], rows[5], rows[6], rows[7], rows[8]], key=str)
+    assert stage(spark, docs.limit(0), SF).collect() == []
