@@ -5,13 +5,12 @@ columns of ``documents``. Each works on all that its predecessor kept:
 
 1. quality rules: failing lines are removed from the texts, rejected documents go;
 2. n-gram Jaccard join: of each group of near copies (five-word n-grams, 80 percent) the
-   document of the least id stays; documents without any word are no copies of each other;
+   document of the least id stays; documents without any word are no copies of each other
+   and all stay; rows that share an id are documents of their own, rows without one come last;
 3. benchmark decontamination: documents holding a window of a benchmark item go;
 4. mixing: documents are drawn so that the labelled domains' token shares meet their targets;
    rates above one give a document as several rows, also after stage 2 left one of its group;
 5. sharding: the slot and shard of each document are added.
-
-Rows without an id pass stage 2 as they are; rows of one id count as one document there.
 """
 
 from __future__ import annotations
@@ -35,14 +34,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = Scratch(spark, "groups").keep(ngram_join.similar_groups(docs, n=5, percent=80), "groups")
-    stays = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    # The ids that stay grow with the documents: never a broadcast, at any size.
-    kept = docs.select(*COLUMNS).join(stays.hint("merge"), "doc_id", "left_semi")
-    if groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    # A row is known by its id and text, so rows that share an id are told apart.
+    place = ["_none", "_id", "_digest"]
+    rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
+    groups = ngram_join.similar_groups(rows, n=5, percent=80, carry=("_none", "_id", "_digest"))
+    least = groups.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
+    stays = Scratch(spark, "groups").keep(least, "stays")
+    # What stays grows with the documents: never a broadcast, at any size.
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.where(worded).join(stays.hint("merge"), place, "left_semi")
+    # Equal rows (id and text) are one document; the join has brought them together.
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("n_chars"))).where("_n = 1")
+    return kept.select(*COLUMNS).unionByName(rows.where(~worded).select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
