@@ -30,7 +30,7 @@ RESYNC_FAILED = {
 
 
 def gap_events(rows: DataFrame, message: str, backend: str, sub: str | int = 0,
-               event_ns: str = "observed_ns", phase: int = BEFORE) -> DataFrame:
+               event_ns: str = "observed_ns", phase: str | int = BEFORE) -> DataFrame:
     """Gap events at the rows' positions (SQL texts); rows need host_id, pos and observed_ns.
 
     Diagnostics of a receive batch precede all its notices: rows with ``batch_pos``
@@ -45,6 +45,20 @@ def gap_events(rows: DataFrame, message: str, backend: str, sub: str | int = 0,
     ))
 
 
+def sequence_text(cpu: str, expected: str, seq: str) -> str:
+    """SQL text of a message, from SQL texts; so are the next two."""
+    return f"format_string('{SEQUENCE_GAP}', {cpu}, {expected}, {seq})"
+
+
+def endpoint_text(expected: str, seq: str) -> str:
+    return f"format_string('{ENDPOINT_SEQUENCE_GAP}', CAST({expected} AS string), CAST({seq} AS string))"
+
+
+def lost_text(backend: str, lost: str) -> str:
+    texts = " ".join(f"WHEN '{b}' THEN format_string('{t}', {lost})" for b, t in QUEUE_OVERFLOW.items())
+    return f"CASE {backend} {texts} END"
+
+
 def _filled(df: DataFrame, *names: str) -> DataFrame:
     """Optional key columns; a missing or null one is one key of its own."""
     return df.withColumns({n: F.coalesce(n, F.lit("")) if n in df.columns else F.lit("") for n in names})
@@ -73,8 +87,7 @@ def sequence_breaks(records: DataFrame, width: int | None = WIDTH,
 def sequence_gaps(records: DataFrame, width: int | None = WIDTH,
                   cursors: DataFrame | None = None) -> DataFrame:
     breaks = sequence_breaks(records, width, cursors)
-    return gap_events(breaks, f"format_string('{SEQUENCE_GAP}', cpu, expected_seq, seq)",
-                      f"'{S.LINUX_CONNECTOR}'", "cpu")
+    return gap_events(breaks, sequence_text("cpu", "expected_seq", "seq"), f"'{S.LINUX_CONNECTOR}'", "cpu")
 
 
 def last_sequences(records: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def endpoint_breaks(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
 
 def endpoint_gaps(records: DataFrame, width: int | None = WIDTH) -> DataFrame:
     """Endpoint breaks as events; they carry the event time of their notice if known."""
-    text = f"format_string('{ENDPOINT_SEQUENCE_GAP}', CAST(expected_seq AS string), CAST(seq AS string))"
+    text = endpoint_text("expected_seq", "seq")
     stamp = "event_ns" if "event_ns" in records.columns else "observed_ns"
     return gap_events(endpoint_breaks(records, width), text, f"'{S.MACOS_ENDPOINT}'", event_ns=stamp)
 
@@ -113,8 +126,7 @@ def lost_increases(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
 
 
 def lost_gaps(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:
-    texts = " ".join(f"WHEN '{b}' THEN format_string('{t}', lost)" for b, t in QUEUE_OVERFLOW.items())
-    return gap_events(lost_increases(counters, width), f"CASE backend {texts} END", "backend", phase=AFTER)
+    return gap_events(lost_increases(counters, width), lost_text("backend", "lost"), "backend", phase=AFTER)
 
 
 def completeness_summary(counters: DataFrame, width: int | None = WIDTH) -> DataFrame:

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 from lifeline.functions import identity as I
 from lifeline.functions.clock import event_ns_of_kernel, lifetime_ms
+from lifeline.operators import fold
 from lifeline.operators.ordered import HOT_ROWS, WIDTH, as_of, by_heat, running
 from lifeline.session import materialise
 
 KEY = ["host_id", "pid"]
-SEED, SCAN, ABSENT = "seed", "scan", "absent"
+SEED, SCAN, ABSENT = fold.SEED, fold.SCAN, fold.ABSENT
 # Notice kinds as landed and as emitted.
 KINDS = {"fork": S.START, "exec": S.EXEC, "exit": S.STOP, "start": S.START, "stop": S.STOP}
 
@@ -250,19 +251,6 @@ def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]
 
 
 def _decider(align_all: bool, part: list[str]):
-    def provisional(text: str) -> bool:
-        return ":" in text and text.split(":", 1)[0] in I.PROVISIONAL
-
-    def same(old: str, old_start: int | None, new: str, new_start: int | None) -> bool:
-        if old == new:
-            return True
-        if old_start is None or new_start is None or not (provisional(old) or provisional(new)):
-            return False
-        return abs(old_start - new_start) <= I.GENERATION_TOLERANCE_NS
-
-    def alignable(family: str, old: str) -> bool:
-        return (align_all and provisional(old)) or (family == "linux" and old.startswith(I.CONNECTOR + ":"))
-
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch, old, old_start = None, None, None
         for batch in batches:
@@ -276,9 +264,10 @@ def _decider(align_all: bool, part: list[str]):
                     stretch, old, old_start = place, before, before_start
                 opens.append(first)
                 if kind == S.START:
-                    renews = not same(old, old_start, new, start)
+                    renews = not fold.same_process(old, old_start, new, start)
                 elif kind == SCAN:
-                    renews = old != new and not (alignable(family, old) and same(old, old_start, new, start))
+                    renews = old != new and not (
+                        fold.alignable(family, old, align_all) and fold.same_process(old, old_start, new, start))
                 else:
                     renews = False
                 fresh.append(renews)
@@ -321,7 +310,7 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
     lived = lambda p: lifetime_ms("event_ns", f"{p}.started_ns", f"{p}.captured_ns")
     none = "CAST(NULL AS bigint)"
 
-    def event(kind: str, subject: str, sub: int, when: str = "event_ns", code: str = none, duration: str = none):
+    def event(kind: str, subject: str, sub: int | str, when: str = "event_ns", code: str = none, duration: str = none):
         return (f"struct('{kind}' AS kind, {sub} AS sub, {when} AS event_ns, {subject} AS p, "
                 f"CAST({code} AS bigint) AS exit_code, {duration} AS duration_ms)")
 
@@ -337,19 +326,23 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
         WHEN kind = '{SCAN}' AND (renewed OR before IS NULL) THEN
             {event(S.START, 'after', 1, 'coalesce(after.started_ns, event_ns)')}
         WHEN kind = '{SCAN}' AND {differs} THEN {event(S.EXEC, 'after', 1)} END"""
+    # Rows of streams may be gaps, with their message and part of the position.
+    reported = "message" in states.columns
+    gap = f", CASE WHEN kind = '{S.GAP}' THEN {event(S.GAP, S.null_of(S.PROCESS), 'part')} END" if reported else ""
     sources = " ".join(f"WHEN '{f}' THEN '{b}'" for f, b in S.BACKEND_OF_FAMILY.items())
     # A trace replaces a PID in place; a table difference stops old IDs after all starts.
-    phase = f"""CASE WHEN _e.kind = '{S.STOP}' AND (kind = '{ABSENT}' OR (kind = '{SCAN}' AND family <> '{S.TRACE}'))
+    phase = f"""CASE WHEN _e.kind = '{S.GAP}' THEN CASE WHEN _e.sub = 0 THEN 0 ELSE 3 END
+                     WHEN _e.kind = '{S.STOP}' AND (kind = '{ABSENT}' OR (kind = '{SCAN}' AND family <> '{S.TRACE}'))
                      THEN 2 ELSE 1 END"""
     return S.as_events(
         states.where(f"kind <> '{SEED}'")
-        .selectExpr("*", f"explode(array_compact(array({implicit}, {main}))) AS _e")
+        .selectExpr("*", f"explode(array_compact(array({implicit}, {main}{gap}))) AS _e")
         .selectExpr(
-            "host_id", S.order_key("pos", phase, "pid", "_e.sub") + " AS order_key", "_e.kind AS kind",
+            "host_id", S.order_key("pos", phase, "coalesce(pid, 0)", "_e.sub") + " AS order_key", "_e.kind AS kind",
             "_e.event_ns AS event_ns", "observed_ns",
             *[f"_e.p.`{c}` AS `{c}`" for c in S.PROCESS_COLUMNS if c not in ("started_ns", "captured_ns")],
             "_e.duration_ms AS duration_ms", "_e.exit_code AS exit_code",
-            f"CASE family {sources} ELSE family END AS backend", "trace_id",
+            f"CASE family {sources} ELSE family END AS backend", "trace_id", *(["message"] if reported else []),
         )
     )
 

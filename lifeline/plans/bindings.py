@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lifeline.session import configure
+from lifeline import schemas as S
+from lifeline.session import configure, new_folder
 
 DAY_NS = 86_400_000_000_000
 EPOCH_NS = 1_704_067_200_000_000_000  # 2024-01-01, the first day of the event table
@@ -454,6 +456,17 @@ def trace_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed(rows: DataFrame, pos: str, schema: T.StructType, files: int = 3) -> str:
+    """A folder with the rows in files of successive positions, as collectors append them."""
+    folder = new_folder(rows.sparkSession, "landed")
+    low, high = rows.agg(F.min(pos), F.max(pos)).first()
+    for i in range(files if low is not None else 0):
+        size = (high - low) // files + 1
+        part = rows.where(F.col(pos).between(low + i * size, low + (i + 1) * size - 1))
+        S.conform(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def with_views(query: str, *names: str) -> str:
     """Prefix a query with the views it needs, in order."""
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + query

@@ -13,11 +13,10 @@ from lifeline.functions import clock, identity
 from lifeline.functions.render import fallback_line, parent_executable
 from lifeline.operators import diff, gaps, hierarchy, reconcile, replay, trace as tracing, views
 from lifeline.plans import bindings as B
-from lifeline.plans.arrivals import in_stretches
 from lifeline.plans.watch import watch_notices, watch_poll
-from lifeline.session import materialise
+from lifeline.session import materialise, new_folder
 from lifeline.sources import dumps, fallback, notices, tables
-from lifeline.streaming import steps
+from lifeline.streaming import audit, engine, replay as replaying, scans as scanning, trace as live_tracing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,12 +407,24 @@ def fallback_log(spark, sf):
     return health(spark, sf).select("host_id", fallback_line(F.col("backend"), F.col("error")).alias("line"))
 
 
+def trace_columns(events):
+    return events.select("trace_id", "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "process_id",
+                         "command", "event_ns", "duration_ms", "exit_code", "message")
+
+
 @query
 def trace(spark, sf):
     numbered, _ = numbered_scans(B.manifest(spark, sf))
-    events = tracing.trace(diff.attach_manifest(B.scan(spark, sf), numbered), numbered, B.trace_requests(spark, sf))
-    return events.select("trace_id", "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "process_id",
-                         "command", "event_ns", "duration_ms", "exit_code", "message")
+    return trace_columns(tracing.trace(
+        diff.attach_manifest(B.scan(spark, sf), numbered), numbered, B.trace_requests(spark, sf)))
+
+
+@query
+def stream_trace(spark, sf):
+    """The same traces, followed while the scans arrive."""
+    rows = live_tracing.request_rows(B.trace_requests(spark, sf)).unionByName(
+        live_tracing.scan_rows(B.scan(spark, sf), B.manifest(spark, sf)))
+    return trace_columns(streamed(spark, rows, "pos", live_tracing.INPUT, live_tracing.trace_events))
 
 
 def chained_events(spark, sf):
@@ -498,30 +509,55 @@ def noticed_watch(spark, sf):
     return events.select(F.col("order_key.pos").alias("pos"), *WATCHED, chain_text("parent_chain").alias("chain"))
 
 
+def streamed(spark, rows, pos, schema, make, files: int = 3):
+    """All that a stream writes that takes one landed file after the other, a micro-batch each."""
+    folder = new_folder(spark, "stream")
+    events = make(engine.landed(spark, B.landed(rows, pos, schema, files), schema, 1))
+    engine.start(events, folder).awaitTermination()
+    return engine.output(spark, folder, events.schema)
+
+
 @query
 def stream_sequence_gaps(spark, sf):
-    _, events = in_stretches(B.sequences(spark, sf), "pos", steps.sequence_step())
-    return positioned(events)
+    return positioned(streamed(spark, audit.sequence_rows(B.sequences(spark, sf)), "pos", audit.INPUT, audit.audit_events))
+
+
+@query
+def stream_endpoint_gaps(spark, sf):
+    return positioned(streamed(spark, audit.endpoint_rows(B.endpoint_sequences(spark, sf)), "pos", audit.INPUT, audit.audit_events))
+
+
+@query
+def stream_lost(spark, sf):
+    return positioned(streamed(spark, audit.lost_rows(B.losses(spark, sf)), "pos", audit.INPUT, audit.audit_events))
 
 
 @query
 def stream_replay(spark, sf):
-    n = S.conform(exit_coded(B.notice(spark, sf)), S.NOTICE)
-    _, events = in_stretches(n, "pos", steps.replay_step())
-    return replay_columns(events)
+    rows = replaying.notice_rows(exit_coded(B.notice(spark, sf)))
+    return replay_columns(streamed(spark, rows, "pos", replaying.INPUT, replaying.replay_events))
+
+
+@query
+def stream_reconcile(spark, sf):
+    """Notices with the daily scans as reconciliation, in one stream."""
+    n = exit_coded(B.notice(spark, sf)).withColumn("pos", F.col("pos") * 2)
+    rows = replaying.notice_rows(n).unionByName(replaying.scan_rows(*B.resync_scan(spark, sf)))
+    return replay_columns(streamed(spark, rows, "pos", replaying.INPUT, replaying.replay_events))
 
 
 @query
 def stream_snapshot_diff(spark, sf):
     """Process rows and the rows that end each scan; some scans failed."""
     rows = B.scan(spark, sf).unionByName(B.manifest(spark, sf, True), allowMissingColumns=True)
-    _, events = in_stretches(S.conform(rows, steps.SCAN_INPUT), "scan_id", steps.scan_step())
-    return events.select(*DIFF_COLUMNS, "message")
+    return streamed(spark, rows, "scan_id", scanning.INPUT, scanning.scan_events).select(*DIFF_COLUMNS, "message")
 
 
 @query
 def stream_log(spark, sf):
-    """Readable lines that a stream of notices has written."""
-    n = S.conform(exit_coded(B.notice(spark, sf)), S.NOTICE)
-    folder, _ = in_stretches(n, "pos", steps.replay_step(), 2, lambda f: [steps.log_sink(f)])
+    """Readable lines that a stream of notices has written, a folder per micro-batch."""
+    rows = replaying.notice_rows(exit_coded(B.notice(spark, sf)))
+    folder = new_folder(spark, "stream")
+    events = replaying.replay_events(engine.landed(spark, B.landed(rows, "pos", replaying.INPUT, 2), replaying.INPUT, 1))
+    engine.start_batches(events, folder, sinks.log_batches(f"{folder}/log")).awaitTermination()
     return spark.read.text(f"{folder}/log").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))

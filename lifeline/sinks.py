@@ -20,11 +20,23 @@ def log_lines(events: DataFrame, show_ppid: bool = False, show_parent: bool = Fa
     return events.withColumn("line", log_line(show_ppid, show_parent))
 
 
+def _ordered(lines: DataFrame) -> DataFrame:
+    """Each host's lines in its order; hosts are dealt to tasks by ranges, a long one to several."""
+    return lines.repartitionByRange("host_id", "order_key.pos").sortWithinPartitions("host_id", "order_key").select("line")
+
+
 def append_log(events: DataFrame, path: str, show_ppid: bool = False, show_parent: bool = False,
                mode: str = "append") -> None:
-    """Readable lines, range-partitioned into files by position; errors surface as job failures."""
-    lines = log_lines(events, show_ppid, show_parent)
-    lines.sort("order_key.pos", "order_key", "host_id").select("line").write.mode(mode).text(path)
+    """Readable lines, each host's in order from file to file; errors surface as job failures."""
+    _ordered(log_lines(events, show_ppid, show_parent)).write.mode(mode).text(path)
+
+
+def log_batches(path: str, show_ppid: bool = False, show_parent: bool = False):
+    """Sink of a stream: the lines of each micro-batch in a folder of its own, so that a repeated one leaves one copy."""
+    def write(events: DataFrame, batch: int) -> None:
+        append_log(events, f"{path}/batch={batch}", show_ppid, show_parent, mode="overwrite")
+
+    return write
 
 
 def diagnostics(events: DataFrame) -> DataFrame:
@@ -33,8 +45,8 @@ def diagnostics(events: DataFrame) -> DataFrame:
 
 
 def append_diagnostics(events: DataFrame, path: str, mode: str = "append") -> None:
-    diagnostics(events).sort("order_key.pos", "order_key", "host_id").select("line") \
-        .write.mode(mode).text(path)
+    lines = events.where(F.col("kind") == S.GAP).withColumn("line", diagnostic_line())
+    _ordered(lines).write.mode(mode).text(path)
 
 
 def refresh_recent(previous: DataFrame | None, events: DataFrame, path: str) -> None:
