@@ -1,13 +1,14 @@
-"""Streams equal their batch twins for several splits, over restarts."""
+"""Streams equal their batch twins for several splits of what lands, over restarts."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from lifeline import schemas as S
-from lifeline.operators import diff as D, replay as R
-from lifeline.plans.arrivals import in_stretches
-from lifeline.streaming import steps
-from tests_support import LANDED, history, stream
+from lifeline.operators import diff as D, gaps as G, replay as R
+from lifeline.plans.bindings import landed
+from lifeline.plans.catalog import streamed
+from lifeline.streaming import audit, engine, replay as live, scans as scanning
+from tests_support import LANDED, SCANS, history, stream
 
 COLUMNS = ["host_id", "kind", "pid", "process_id", "event_ns", "duration_ms", "exit_code", "message"]
 
@@ -16,29 +17,87 @@ def rows(df):
     return sorted(str(tuple(r)) for r in df.selectExpr("order_key.pos", *COLUMNS).collect())
 
 
-@pytest.mark.parametrize("stretches", [2, 5])
-def test_replay(spark, stretches):
-    landed, _, _ = stream(9, hosts=3, length=120)
-    notices = S.conform(spark.createDataFrame(landed, LANDED), S.NOTICE).cache()
-    folder, events = in_stretches(notices, "pos", steps.replay_step(), stretches,
-                                  lambda f: [steps.log_sink(f), steps.recent_sink(f)])
-    batch = R.lifecycle_events(R.replay(notices))
-    assert rows(events) == rows(batch)
-    assert spark.read.text(f"{folder}/log").count() == batch.count()
-    assert spark.read.parquet(f"{folder}/recent/slot={(stretches - 1) % 2}").count() == batch.count()
+@pytest.fixture(scope="module")
+def fed(spark):
+    """Notices of three families with crowded starts, and reconciliation scans among them."""
+    notices, scans, times = stream(9, hosts=3, length=120)
+    return (S.conform(spark.createDataFrame(notices, LANDED), S.NOTICE), spark.createDataFrame(scans, SCANS),
+            spark.createDataFrame(times, "host_id long, pos long, observed_ns long"))
+
+
+@pytest.mark.parametrize("files", [2, 5])
+def test_replay(spark, fed, files):
+    notices, scans, times = fed
+    both = live.notice_rows(notices).unionByName(live.scan_rows(scans, times))
+    events = streamed(spark, both, "pos", live.INPUT, live.replay_events, files)
+    assert rows(events) == rows(R.lifecycle_events(R.replay(notices, scans=scans, scan_times=times)))
+
+
+def test_restart_continues(spark, fed, tmp_path):
+    """A query that ended continues from its checkpoint when more files have landed."""
+    notices = live.notice_rows(fed[0])
+    middle = notices.selectExpr("percentile_approx(pos, 0.5) AS p").first().p
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (f"pos <= {middle}", f"pos > {middle}"):
+        notices.where(part).coalesce(1).write.mode("append").parquet(source)
+        events = live.replay_events(engine.landed(spark, source, live.INPUT))
+        engine.start(events, folder).awaitTermination()
+    assert rows(engine.output(spark, folder, events.schema)) == rows(R.lifecycle_events(R.replay(fed[0])))
+    assert spark.conf.get(engine.PROVIDER, None) != engine.ROCKSDB
 
 
 def test_scans_with_late_ends(spark):
     """Process rows may arrive in an earlier batch than the row that ends their scan."""
-    landed, manifest, _ = history(21, hosts=3, length=9)
-    scans = spark.createDataFrame([r[:-1] for r in landed], "host_id long, scan_id long, process_id string, pid long, "
+    found, manifest, _ = history(21, hosts=3, length=9)
+    scans = spark.createDataFrame([r[:-1] for r in found], "host_id long, scan_id long, process_id string, pid long, "
                                   "ppid long, command string, exe string, started_ns long, captured_ns long")
     ends = spark.createDataFrame(manifest, "host_id long, scan_id long, pos long, success boolean, error string, observed_ns long")
+    schema = S.T.StructType([*scanning.INPUT.fields, S.T.StructField("arrival", S.T.LongType())])
     mixed = S.conform(
         scans.withColumn("arrival", F.col("scan_id") * 2).unionByName(
-            ends.withColumn("arrival", F.col("scan_id") * 2 + 1), allowMissingColumns=True),
-        S.T.StructType([*steps.SCAN_INPUT.fields, S.T.StructField("arrival", S.T.LongType())])).cache()
-    _, events = in_stretches(mixed, "arrival", steps.scan_step(), 6)
+            ends.withColumn("arrival", F.col("scan_id") * 2 + 1), allowMissingColumns=True), schema).cache()
+    events = streamed(spark, mixed, "arrival", schema, scanning.scan_events, 6)
     batch = D.snapshot_diff(D.attach_manifest(scans, D.scan_ordinals(ends))).drop("lookup_ordinal").unionByName(
         D.failed_scan_gaps(ends))
     assert rows(events) == rows(batch)
+
+
+def test_many_rows_wait_for_an_end(spark):
+    """A table of more rows than one state value holds; large integers beside nulls keep their digits."""
+    base = 1_700_000_000_123_456_789
+    shown = lambda scan, skip: spark.range(3 * engine.PACK).where(f"id % 7 <> {skip}").selectExpr(
+        "1L AS host_id", f"{scan}L AS scan_id", "CAST(id AS string) AS process_id", "id AS pid", "1L AS ppid", "'c' AS command",
+        "'/c' AS exe", f"CASE WHEN id % 2 = 0 THEN {base}L + id END AS started_ns", f"{base}L + id AS captured_ns")
+    scans = shown(0, 3).unionByName(shown(1, 5))
+    ends = spark.range(2).selectExpr("1L AS host_id", "id AS scan_id", "id AS pos", "true AS success",
+                                     f"{base}L + 9000000000 * (id + 1) AS observed_ns")
+    mixed = scans.withColumn("arrival", F.col("scan_id") * 2).unionByName(
+        ends.withColumn("arrival", F.col("scan_id") * 2 + 1), allowMissingColumns=True)
+    schema = S.T.StructType([*scanning.INPUT.fields, S.T.StructField("arrival", S.T.LongType())])
+    make = lambda df: scanning.scan_events(df, buckets=1)
+    events = streamed(spark, mixed, "arrival", schema, make, 4)
+    assert rows(events) == rows(D.snapshot_diff(D.attach_manifest(scans, D.scan_ordinals(ends.withColumn("error", F.lit(None).cast("string"))))).drop("lookup_ordinal"))
+
+
+def test_audits_and_known_cursors(spark):
+    """All three audits in one stream; cursors known before it count."""
+    seq = spark.createDataFrame([(0, p, p % 2, s, p * 10) for p, s in enumerate([5, 4294967295, 6, 0, 9, 2])],
+                                "host_id long, pos long, cpu long, seq long, observed_ns long")
+    end = spark.createDataFrame(
+        [(0, p, k, s, k == "g", p * 10, p) for p, (k, s) in enumerate([("g", 3), ("a", 1), ("g", 0), ("g", 5), ("a", 2), ("b", 7), ("a", 9)])],
+        "host_id long, pos long, kind string, seq long, global_sequence boolean, observed_ns long, event_ns long")
+    lost = spark.createDataFrame([(0, p, n, p, "windows-etw") for p, n in enumerate([0, 2, 2, 5, 1, 7])],
+                                 "host_id long, pos long, lost_total long, observed_ns long, backend string")
+    both = audit.sequence_rows(seq).unionByName(audit.endpoint_rows(end)).unionByName(audit.lost_rows(lost))
+    batch = G.sequence_gaps(seq).unionByName(G.endpoint_gaps(end)).unionByName(G.lost_gaps(lost))
+    assert rows(streamed(spark, both, "pos", audit.INPUT, audit.audit_events, 3)) == rows(batch)
+    known = audit.sequence_rows(spark.createDataFrame([(0, -1, 0, 2, 0)], seq.schema))
+    found = streamed(spark, both, "pos", audit.INPUT, lambda df: audit.audit_events(df, known), 2)
+    assert [r for r in rows(found) if r not in rows(batch)] == [
+        "(0, 0, 'gap', None, None, 0, None, None, 'process connector sequence gap on cpu 0; expected sequence 3, received 5')"]
+    assert len(rows(found)) == len(rows(batch)) + 1
+
+
+def test_landed_files_are_in_order(spark):
+    folder = landed(spark.range(10).selectExpr("id AS pos"), "pos", S.struct_of(("pos", S.T.LongType())), 3)
+    assert sorted(r.pos for r in spark.read.parquet(folder).collect()) == list(range(10))

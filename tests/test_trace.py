@@ -1,4 +1,4 @@
-"""Traces against a literal scan-by-scan simulation."""
+"""Traces against closure over a graph of (PID, scan), in batch and as a stream."""
 
 import random
 
@@ -7,77 +7,84 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 from lifeline.operators import diff as D
 from lifeline.operators.trace import trace
+from lifeline.plans.catalog import streamed
+from lifeline.streaming import trace as live
 
 SECOND = 10**9
 COLUMNS = ["kind", "pid", "process_id", "command", "event_ns", "duration_ms", "exit_code", "message"]
 
 
-def simulate(scans, req):
-    """Events of one trace over [(pos, observed_ns, {pid: process})], written scan by scan."""
-    root = dict(process_id=f"trace:{req['root_pid']}:{req['started_ns']}", pid=req["root_pid"],
-                command=" ".join(req["argv"]), exe=req["argv"][0], started_ns=req["started_ns"],
-                captured_ns=req["started_ns"])
-    observed, tracked, out = {root["pid"]: root}, {root["pid"]}, []
-
-    def emit(kind, p, at, duration=None, code=None):
-        out.append((kind, p["pid"], p["process_id"], p["command"], at, duration, code, None))
-
-    def stop(p, at, code=None):
-        began = p["started_ns"] if p["started_ns"] is not None else p["captured_ns"]
-        emit("stop", p, at, max(0, (at - began)) // 10**6, code)
-
-    def generation(a, b):
-        if a["process_id"] == b["process_id"]:
-            return True
-        if not a["process_id"].startswith("trace:"):
-            return False
-        return b["started_ns"] is not None and abs(a["started_ns"] - b["started_ns"]) <= 2 * SECOND
-
-    emit("start", root, req["started_ns"])
-    exited = False
-    for pos, now, table in scans:
-        if pos < req["started_pos"]:
-            continue
-        if not exited and req["exited_pos"] is not None and pos > req["exited_pos"]:
-            exited = True
-            stop(observed.pop(root["pid"]), req["exited_ns"], req["exit_code"])
-            tracked.discard(root["pid"])
-        selected = {p for p in tracked if p in table}
-        while True:
-            more = {p for p, r in table.items() if p not in selected and r["ppid"] in selected}
-            if not more:
-                break
-            selected |= more
-        for pid in sorted(selected):
-            new = dict(table[pid])
-            old = observed.get(pid)
-            if old is not None and generation(old, new):
-                new["captured_ns"] = old["captured_ns"]
-                if old["started_ns"] is not None:
-                    new["started_ns"] = old["started_ns"]
-                if (old["command"], old["exe"]) != (new["command"], new["exe"]):
-                    emit("exec", new, now)
-            else:
-                if old is not None:
-                    stop(old, now)
-                emit("start", new, new["started_ns"] if new["started_ns"] is not None else now)
-            observed[pid] = new
-            tracked.add(pid)
-        for pid in sorted(observed):
-            if pid in selected or (pid == root["pid"] and not exited):
-                continue
-            stop(observed.pop(pid), now)
-            tracked.discard(pid)
-        if exited:
-            since = now - req["exited_ns"]
-            if (not observed and since >= 2 * req["poll_ns"]) or req["tail_ns"] == 0 or since >= req["tail_ns"]:
-                if observed:
-                    pids = " ".join(map(str, sorted(observed)))
-                    out.append(("gap", None, None, None, now, None, None,
-                                f"trace tail ended with observed descendant process ids [{pids}] still running"))
-                return out
-    if not exited and req["exited_pos"] is not None:
-        stop(observed.pop(root["pid"]), req["exited_ns"], req["exit_code"])
+def reach(scans, req):
+    """Member nodes (PID, scan number), the scan of the exit and the last scan, by closure over a graph.
+
+    Sources are the root's places before the exit. Edges lead from a PID to itself in the
+    next scan (the root's only after the exit), and from a parent to its children in a scan.
+    """
+    tables = [table for _, _, table in scans]
+    root, cut = req["root_pid"], len(scans)
+    if req["exited_pos"] is not None:
+        cut = next((i for i, (pos, _, _) in enumerate(scans) if pos > req["exited_pos"]), cut)
+    begun = next((i for i, (pos, _, _) in enumerate(scans) if pos > req["started_pos"]), len(scans))
+    nodes = {(root, i) for i in range(begun, cut) if root in tables[i]}
+    while True:
+        later = {(p, i + 1) for p, i in nodes if i + 1 < len(scans) and p in tables[i + 1] and not (p == root and i < cut)}
+        below = {(c, i) for p, i in nodes for c, r in tables[i].items() if r["ppid"] == p > 0 and c != p}
+        if (later | below) <= nodes:
+            break
+        nodes |= later | below
+    for i in range(max(cut, begun), len(scans)):
+        since = scans[i][1] - req["exited_ns"]
+        if since >= max(req["tail_ns"], 1) or (since >= 2 * req["poll_ns"] and not any(n == i for _, n in nodes)):
+            return {(p, n) for p, n in nodes if n <= i}, cut, i
+    return nodes, cut, None
+
+
+def spell(seen, ended, code):
+    """Events of one PID from what was seen of it, [(moment, process)], to its end (a moment or None)."""
+    out, life = [], []
+
+    def close(at, code=None):
+        first = next((p["started_ns"] for _, p in life if p["started_ns"] is not None), life[0][1]["captured_ns"])
+        last = life[-1][1]
+        out.append(("stop", last["pid"], last["process_id"], last["command"], at, max(0, at - first) // 10**6, code, None))
+
+    for at, p in seen:
+        known = next((x["started_ns"] for _, x in life if x["started_ns"] is not None), None)
+        near = known is not None and p["started_ns"] is not None and abs(known - p["started_ns"]) <= 2 * SECOND
+        goes_on = life and (p["process_id"] == life[-1][1]["process_id"] or (life[-1][1]["process_id"].startswith("trace:") and near))
+        if life and not goes_on:
+            close(at)
+            life.clear()
+        what = (p["pid"], p["process_id"], p["command"])
+        if not life:
+            out.append(("start", *what, at if p["started_ns"] is None else p["started_ns"], None, None, None))
+        elif (life[-1][1]["command"], life[-1][1]["exe"]) != (p["command"], p["exe"]):
+            out.append(("exec", *what, at, None, None, None))
+        life.append((at, p))
+    if ended is not None:
+        close(ended, code)
+    return out
+
+
+def expected_events(scans, req):
+    """Events of one trace over [(pos, observed_ns, {pid: process})], PID by PID."""
+    nodes, cut, finish = reach(scans, req)
+    last = len(scans) - 1 if finish is None else finish
+    root, begun = req["root_pid"], req["started_ns"]
+    asked = dict(process_id=f"trace:{root}:{begun}", pid=root, command=" ".join(req["argv"]), exe=req["argv"][0],
+                 started_ns=begun, captured_ns=begun)
+    at = lambda p, i: (scans[i][1], scans[i][2][p])
+    out = spell([(begun, asked)] + [at(root, i) for i in range(cut) if (root, i) in nodes], req["exited_ns"], req["exit_code"])
+    for pid in {p for p, _ in nodes}:
+        places = [i for i in range(last + 1) if (pid, i) in nodes and not (pid == root and i < cut)]
+        first = [i for i in places if i - 1 not in places]
+        for begin, following in zip(first, [*first[1:], last + 2]):
+            span = [i for i in places if begin <= i < following]
+            out += spell([at(pid, i) for i in span], scans[span[-1] + 1][1] if span[-1] < last else None, None)
+    if finish is not None and (left := sorted(p for p, i in nodes if i == finish)):
+        text = " ".join(map(str, left))
+        out.append(("gap", None, None, None, scans[finish][1], None, None,
+                    f"trace tail ended with observed descendant process ids [{text}] still running"))
     return out
 
 
@@ -119,7 +126,7 @@ def request(**given):
     return tuple(given.get(f) for f in S.TRACE_REQUEST.fieldNames())
 
 
-def test_trace_equals_simulation(spark):
+def test_trace_equals_closure(spark):
     rng = random.Random(5)
     rows, manifest, requests, expected = [], [], [], {}
     for host in range(12):
@@ -139,18 +146,20 @@ def test_trace_equals_simulation(spark):
                        poll_ns=rng.choice([2, 6, 15]) * SECOND, tail_ns=rng.choice([0, 15, 40, 500]) * SECOND,
                        cancelled_ns=None, cancelled_pos=None)
             requests.append(tuple(req[f] for f in S.TRACE_REQUEST.fieldNames()))
-            expected[req["trace_id"]] = simulate(scans, req)
+            expected[req["trace_id"]] = expected_events(scans, req)
     scans = spark.createDataFrame(rows, SCAN)
     table = spark.createDataFrame(manifest, MANIFEST)
     numbered = D.scan_ordinals(table)
     got = trace(D.attach_manifest(scans, numbered), numbered,
                 spark.createDataFrame(requests, S.TRACE_REQUEST))
-    actual = {}
-    for row in got.orderBy("trace_id", "order_key").select("trace_id", *COLUMNS).collect():
-        actual.setdefault(row[0], []).append(tuple(row[1:]))
-    for trace_id, events in expected.items():
-        key = lambda e: tuple(str(v) for v in e)
-        assert sorted(actual.get(trace_id, []), key=key) == sorted(events, key=key), trace_id
+    landed = live.request_rows(spark.createDataFrame(requests, S.TRACE_REQUEST)).unionByName(live.scan_rows(scans, table))
+    key = lambda e: tuple(str(v) for v in e)
+    for found in (got, streamed(spark, landed, "pos", live.INPUT, live.trace_events, 5)):
+        actual = {}
+        for row in found.select("trace_id", *COLUMNS).collect():
+            actual.setdefault(row[0], []).append(tuple(row[1:]))
+        for trace_id, events in expected.items():
+            assert sorted(actual.get(trace_id, []), key=key) == sorted(events, key=key), trace_id
     assert sum(len(e) for e in expected.values()) > 300
 
 
@@ -178,5 +187,9 @@ def test_chains_gaps_and_cancellation(spark):
     assert got[1] == opening + [
         ("stop", 7, 40, [6, 5], None), ("stop", 5, 45, [2], None),
         ("gap", None, 50, [], "trace tail ended with observed descendant process ids [6] still running")]
+    landed = live.request_rows(requests).unionByName(live.scan_rows(scans, manifest))
+    brief = lambda df: sorted((r["trace_id"], r["order_key"]["pos"], r["kind"], str(r["pid"]), str(r["message"]))
+                              for r in df.collect())
+    assert brief(streamed(spark, landed, "pos", live.INPUT, live.trace_events, 4)) == brief(events)
     assert got[2] == opening + [
         ("gap", None, 35, [], "trace stopped before the command and all observed descendants completed")]
