@@ -151,17 +151,17 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
             keys: list[str]) -> DataFrame:
     ends = f"kind IN ('{S.STOP}', '{ABSENT}')"
     never = f"{-(1 << 62)}L"
-    stored = _stored(width)
-    step = running(rows, keys, "pos", {
-        "_stop": f"CASE WHEN {ends} THEN pos END", "_live": f"CASE WHEN NOT ({ends}) THEN pos END",
-    }, inclusive=False, width=width).selectExpr(
-        "*", f"coalesce(_live > coalesce(_stop, {never}), false) AS found")
-    step = stored(step)
+    step = running(rows, keys, "pos", {"_stop": f"CASE WHEN {ends} THEN pos END"}, inclusive=False, width=width).selectExpr(
+        "*", f"coalesce(_stop, {never}) AS stretch")
+    # What follows a stop depends on nothing before it: a hot PID spreads over its stretches.
+    part = [*keys, "stretch"] if width else keys
+    step = running(step, part, "pos", {"_live": f"CASE WHEN NOT ({ends}) THEN pos END"}, inclusive=False).selectExpr(
+        "*", "coalesce(_live > stretch, false) AS found")
     # Rows that replace the known process: stand-ins do so only if nothing is known.
     replaces = f"(NOT ({ends}) AND (kind = '{S.START}' OR solid OR NOT found))"
-    step = running(step, keys, "pos", {
+    step = running(step, part, "pos", {
         "_last": f"CASE WHEN {replaces} THEN struct(pos, cand AS c) END",
-    }, inclusive=False, width=width)
+    }, inclusive=False)
     renamed = I.is_provisional("_last.c.process_id") if align_all else \
         f"(family = 'linux' AND startswith(_last.c.process_id, '{I.CONNECTOR}:'))"
     near = I.same_generation("pid", "_last.c.process_id", "_last.c.started_ns",
@@ -169,12 +169,12 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
     confirms = f"coalesce(_last.c.process_id = cand.process_id OR ({renamed} AND {near}), false)"
     step = step.selectExpr(
         "*", f"NOT ({ends}) AND (kind = '{S.START}' OR NOT found OR (kind = '{SCAN}' AND NOT {confirms})) AS fresh")
-    step = stored(running(stored(step), keys, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width))
-    step = running(step, keys, "pos", {
+    step = running(step, part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"})
+    step = running(step, part, "pos", {
         "_first": "CASE WHEN fresh THEN struct(pos, cand.captured_ns AS v) END",
         "_known": f"""CASE WHEN {replaces} AND cand.started_ns IS NOT NULL
                       THEN struct(_gen AS gen, -pos AS o, cand.started_ns AS v) END""",
-    }, inclusive=False, width=width)
+    }, inclusive=False)
     before = S.process_struct("_last.c", captured_ns="_first.v",
                               started_ns="CASE WHEN _known.gen = _first.pos THEN _known.v END")
     step = step.selectExpr(
@@ -182,17 +182,11 @@ def _replay(rows: DataFrame, width: int | None, align_all: bool, fold_all: bool,
     merged = I.same_generation("pid", "before.process_id", "before.started_ns",
                                "pid", "cand.process_id", "cand.started_ns")
     suspect = f"found AND NOT ({ends})" if fold_all else f"kind = '{S.START}' AND found AND {merged}"
-    step = running(stored(step), keys, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}, width=width).selectExpr(
-        *[f"`{c}`" for c in rows.columns], "before", "before_pos", "found", "fresh",
-        f"coalesce(_stop, {never}) AS stretch", f"coalesce(_merge > coalesce(_stop, {never}), false) AS _folded")
-    step = stored(step)
+    step = running(step, part, "pos", {"_merge": f"CASE WHEN {suspect} THEN pos END"}).selectExpr(
+        *[f"`{c}`" for c in rows.columns], "before", "before_pos", "found", "fresh", "stretch",
+        "coalesce(_merge > stretch, false) AS _folded")
     direct = _outcome(step.where("NOT _folded"))
-    return direct.unionByName(_folded(step.where("_folded").drop("_folded"), width, align_all, keys))
-
-
-def _stored(width: int | None):
-    """Sliced steps read their input twice; chained ones are stored, so that hot rows cost linearly."""
-    return (lambda df: materialise(df, "hot-rows")) if width else (lambda df: df)
+    return direct.unionByName(_folded(step.where("_folded").drop("_folded"), align_all, keys))
 
 
 def _outcome(step: DataFrame) -> DataFrame:
@@ -212,7 +206,7 @@ def _outcome(step: DataFrame) -> DataFrame:
     ), STATE_ROWS)
 
 
-def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]) -> DataFrame:
+def _folded(step: DataFrame, align_all: bool, keys: list[str]) -> DataFrame:
     """State rows of stretches whose starts depend on a chain of earlier answers.
 
     Each stretch opens with its exact state. A fold over IDs and start times
@@ -233,8 +227,7 @@ def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]
     as_row = lambda changes: "struct(" + ", ".join(f"{changes.get(c, f'`{c}`')} AS `{c}`" for c in columns) + ")"
     both = decided.selectExpr(f"""explode(array_compact(array(
         CASE WHEN opens THEN {as_row(seed)} END, {as_row({'pos': 'pos * 2'})}))) AS _r""").select("_r.*")
-    stored = _stored(width)
-    rows = stored(running(stored(both), part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"}, width=width))
+    rows = running(both, part, "pos", {"_gen": "CASE WHEN fresh THEN pos END"})
     rows = running(rows, part, "pos", {
         "_last": "CASE WHEN fresh OR solid THEN struct(pos, cand AS c) END",
         "_ppid": f"CASE WHEN fresh OR solid OR kind = '{S.START}' THEN struct(pos, cand.ppid AS v) END",
@@ -242,7 +235,7 @@ def _folded(step: DataFrame, width: int | None, align_all: bool, keys: list[str]
                       CASE WHEN kind = '{SEED}' THEN before_pos ELSE pos div 2 END AS at) END""",
         "_known": """CASE WHEN (fresh OR solid) AND cand.started_ns IS NOT NULL
                      THEN struct(_gen AS gen, -pos AS o, cand.started_ns AS v) END""",
-    }, inclusive=False, width=width)
+    }, inclusive=False)
     before = S.process_struct("_last.c", ppid="_ppid.v", captured_ns="_first.v",
                               started_ns="CASE WHEN _known.gen = _first.pos THEN _known.v END")
     kept = [f"`{c}`" for c in step.columns if c not in ("pos", "before", "before_pos", "found")]

@@ -27,20 +27,17 @@ def query(function: Query) -> Query:
     return function
 
 
-def numbered_scans(manifest: DataFrame) -> tuple[DataFrame, int | None]:
-    """The numbered manifest, stored so that joins know its size, and the slice width it asks for."""
-    numbered = materialise(diff.scan_ordinals(manifest), "manifest")
-    return numbered, diff.scan_width(numbered)
+def numbered_scans(manifest: DataFrame) -> DataFrame:
+    """The numbered manifest, stored so that joins know its size."""
+    return materialise(diff.scan_ordinals(manifest), "manifest")
 
 
-def prepared(spark: SparkSession, sf: str, failures: bool = False) -> tuple[DataFrame, int | None]:
-    numbered, width = numbered_scans(B.manifest(spark, sf, failures))
-    return diff.attach_manifest(B.scan(spark, sf), numbered), width
+def prepared(spark: SparkSession, sf: str, failures: bool = False) -> DataFrame:
+    return diff.attach_manifest(B.scan(spark, sf), numbered_scans(B.manifest(spark, sf, failures)))
 
 
 def scan_events(spark: SparkSession, sf: str, failures: bool = False) -> DataFrame:
-    ready, width = prepared(spark, sf, failures)
-    return diff.snapshot_diff(ready, width=width)
+    return diff.snapshot_diff(prepared(spark, sf, failures))
 
 
 DIFF_COLUMNS = ("host_id", "kind", "event_ns", "observed_ns", "process_id", "pid", "ppid", "command",
@@ -396,8 +393,8 @@ def source_fallback(spark, sf):
     e = B.events(spark, sf)
     days = e.groupBy("scan_id").agg((F.max("event_id") * 2 + 1).alias("pos"))
     manifest = B.manifest(spark, sf).drop("pos").join(days, ["scan_id"])
-    numbered, width = numbered_scans(fallback.polled_attempts(manifest, health(spark, sf)))
-    polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), numbered), width=width).drop("lookup_ordinal")
+    numbered = numbered_scans(fallback.polled_attempts(manifest, health(spark, sf)))
+    polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), numbered)).drop("lookup_ordinal")
     return fallback.choose(native, polled, health(spark, sf)).select(
         "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "event_ns", "backend", "message")
 
@@ -414,7 +411,7 @@ def trace_columns(events):
 
 @query
 def trace(spark, sf):
-    numbered, _ = numbered_scans(B.manifest(spark, sf))
+    numbered = numbered_scans(B.manifest(spark, sf))
     return trace_columns(tracing.trace(
         diff.attach_manifest(B.scan(spark, sf), numbered), numbered, B.trace_requests(spark, sf)))
 
@@ -429,8 +426,8 @@ def stream_trace(spark, sf):
 
 def chained_events(spark, sf):
     """Scan differences with the ancestors seen in the scan that shows the process."""
-    ready, width = prepared(spark, sf)
-    events = diff.snapshot_diff(ready, width=width).drop("parent_chain").withColumnRenamed("lookup_ordinal", "ordinal")
+    ready = prepared(spark, sf)
+    events = diff.snapshot_diff(ready).drop("parent_chain").withColumnRenamed("lookup_ordinal", "ordinal")
     return hierarchy.with_ancestors(events, ready, ["host_id", "ordinal"])
 
 

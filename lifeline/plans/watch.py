@@ -22,7 +22,7 @@ def watch_poll(scans: DataFrame, manifest: DataFrame, names: DataFrame | None =
     """
     numbered = materialise(diff.scan_ordinals(manifest), "manifest")
     ready = diff.attach_manifest(tables.resolve_users(scans, names) if names is not None else scans, numbered)
-    events = diff.snapshot_diff(ready, backend, diff.scan_width(numbered))
+    events = diff.snapshot_diff(ready, backend)
     if chains:
         index = diff.one_per_pid(ready.select("host_id", "ordinal", "started_ns", "ppid", *S.SUMMARY_COLUMNS),
                                  ["host_id", "ordinal"])

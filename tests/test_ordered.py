@@ -58,14 +58,28 @@ def test_as_of(spark, data, options, same):
     assert got.columns == [*df.columns, "found"] and got.count() == len(rows)
 
 
-@pytest.mark.parametrize("hot_rows, hot_keys, widths", [(1000, 10, {None}), (100, 10, {None, 4}), (1, 2, {4})])
-def test_by_heat_takes_each_row_once(data, hot_rows, hot_keys, widths):
+@pytest.mark.parametrize("hot_rows", [1000, 100, 1])
+def test_by_heat_takes_each_row_once(data, hot_rows):
+    """One plan at every size: only the groups beyond the limit take the sliced way."""
     rows, df = data
-    used = set()
+    work = lambda part, width: ordered.running(part, ["host_id"], "pos", {"m": "v"}, width=width).selectExpr(
+        "*", f"{width is not None} AS sliced")
+    done = ordered.by_heat(df, ["host_id"], work, hot_rows, 4).collect()
+    assert len(done) == len(rows)
+    size = {h: sum(r[0] == h for r in rows) for h in range(4)}
+    assert {(r["host_id"], r["sliced"]) for r in done} == {(h, n > hot_rows) for h, n in size.items()}
 
-    def work(part, width):
-        used.add(width)
-        return ordered.running(part, ["host_id"], "pos", {"m": "v"}, width=width)
 
-    done = ordered.by_heat(df, ["host_id"], work, hot_rows, 4, hot_keys)
-    assert done.count() == len(rows) and used == widths
+def test_sparse_hot_group_is_summarised_in_levels(spark):
+    """Positions far apart give a slice each; summaries of summaries keep every window small."""
+    rng = random.Random(6)
+    places = sorted(rng.sample(range(1 << 60), 300))
+    df = spark.createDataFrame([(0, p, i % 5 and i or None) for i, p in enumerate(places)], "host_id long, pos long, v long")
+    got = ordered.running(df, ["host_id"], "pos", {"last": "CASE WHEN v IS NOT NULL THEN struct(pos, v) END"}, width=ordered.WIDTH)
+    expected, last = [], None
+    for i, p in enumerate(places):
+        last = i if i % 5 else last
+        expected.append((p, last))
+    assert sorted((r["pos"], r["last"] and r["last"]["v"]) for r in got.collect()) == expected
+    numbered = ordered.ordinals(df, ["host_id"], "pos", "n")
+    assert sorted((r["pos"], r["n"]) for r in numbered.collect()) == [(p, i) for i, p in enumerate(places)]
