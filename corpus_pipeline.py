@@ -34,15 +34,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A row is known by its id and text, so rows that share an id are told apart.
-    place = ["_none", "_id", "_digest"]
+    # A row is known by its id and 128 bits of its text's hashes, so rows that share an id are told apart.
+    place = ["_none", "_id", "_hash", "_more"]
+    text = F.coalesce("text", F.lit(""))
     rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"),
-                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
-    groups = ngram_join.similar_groups(rows, n=5, percent=80, carry=("_none", "_id", "_digest"))
+                       F.xxhash64(text).alias("_hash"), F.xxhash64(F.lit("more"), text).alias("_more"))
+    groups = ngram_join.similar_groups(rows, n=5, percent=80, carry=tuple(place))
     least = groups.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
     stays = Scratch(spark, "groups").keep(least, "stays")
     # What stays grows with the documents: never a broadcast, at any size.
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
     kept = rows.where(worded).join(stays.hint("merge"), place, "left_semi")
     # Equal rows (id and text) are one document; the join has brought them together.
     kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("n_chars"))).where("_n = 1")
