@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lifeline.functions import identity as I
 from lifeline.functions.clock import resync_interval_ns
+from lifeline.operators.doubling import reached
+from lifeline.operators.ordered import WIDTH, as_of, ordinals, running
+from lifeline.session import materialise
 
 
 def align_ids(previous: DataFrame, following: DataFrame) -> DataFrame:
@@ -29,26 +32,32 @@ def align_ids(previous: DataFrame, following: DataFrame) -> DataFrame:
     ).withColumn("process_id", F.expr("CASE WHEN aligned THEN _id ELSE process_id END")).drop("_id", "_started")
 
 
-def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None) -> DataFrame:
-    """Scan attempts that act as reconciliation.
+def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """Scan attempts that act as reconciliation: a timer that every one of them re-arms.
 
-    The first attempt in each reconciliation interval of a host, and the first
-    attempt after each forcing position (``forced``: host_id, pos of gaps).
+    A host's first attempt acts, and so does the first one after each forcing position
+    (``forced``: host_id, pos of gaps). After any of these the next one acts that comes
+    an interval or more later. Which those are follows attempt by attempt; here every
+    attempt names its successor, and the chains from the forced ones are followed by
+    doubling. Time does not run backwards: an attempt with an earlier clock counts as
+    simultaneous with the latest before it.
     """
-    interval = resync_interval_ns(F.lit(poll_ns).cast("long"))
-    # The start of the interval, in whole nanoseconds; a division would round.
-    slot = F.col("observed_ns") - F.pmod(F.col("observed_ns"), interval)
-    timed = manifest.groupBy("host_id", slot.alias("_slot")).agg(
-        F.min_by(F.struct(*manifest.columns), "pos").alias("_m")
-    ).select("_m.*")
-    if forced is None:
-        return timed
-    from lifeline.operators.ordered import as_of
-
-    marks = forced.select("host_id", (-F.col("pos")).alias("_npos")).distinct()
-    upcoming = manifest.withColumn("_npos", -F.col("pos"))
-    chosen = as_of(
-        marks, upcoming, ["host_id"], "_npos", f"struct({', '.join(manifest.columns)})", "_m",
-        at_same_pos=False, dense=True,
-    ).where(F.col("_m").isNotNull()).select("_m.*")
-    return timed.unionByName(chosen).dropDuplicates(["host_id", "pos"])
+    host, interval = ["host_id"], resync_interval_ns(F.lit(poll_ns).cast("long"))
+    attempts = running(ordinals(manifest, host, "pos", "_n", width), host, "_n", {"_clock": "observed_ns"}, width=width)
+    attempts = materialise(attempts.withColumn("_until", F.col("_clock") + interval), "attempts")
+    begins = attempts.where("_n = 0").select("host_id", "_n")
+    if forced is not None:
+        following = as_of(forced.selectExpr("host_id", "-pos AS _m").distinct(), attempts.selectExpr("host_id", "-pos AS _m", "_n"),
+                          host, "_m", "struct(_n)", "_f", at_same_pos=False, dense=True, width=width)
+        begins = begins.unionByName(following.where("_f IS NOT NULL").selectExpr("host_id", "_f._n AS _n")).distinct()
+    begins = materialise(begins, "begins")
+    # A forced attempt re-arms the timer too, so no chain goes past the next one.
+    marked = attempts.join(begins.withColumn("_begins", F.lit(True)), [*host, "_n"], "left")
+    marked = materialise(running(marked, host, "_n", {"_from": "CASE WHEN _begins THEN _n END"}, width=width).select(
+        "host_id", "_n", "_from", "_clock", "_until"), "attempts")
+    later = as_of(marked.selectExpr("host_id", "_n", "_from", "-_until AS _m"),
+                  marked.selectExpr("host_id", "-_clock AS _m", "struct(-_n AS n, _from AS begun) AS _j"),
+                  host, "_m", "_j", "_f", dense=True, width=width)
+    jumps = later.selectExpr("host_id", "_n", "CASE WHEN _f.begun = _from THEN -_f.n END AS _to")
+    acting = reached(begins, jumps, host, "_n", "_to")
+    return attempts.join(acting, [*host, "_n"]).select(*manifest.columns)

@@ -252,4 +252,26 @@ def test_alignment_and_due_scans(spark):
                                      "host_id long, scan_id long, pos long, success boolean, observed_ns long")
     forced = spark.createDataFrame([(0, 22), (0, 25)], "host_id long, pos long")
     assert sorted(r["scan_id"] for r in due_scans(manifest, SECOND // 5).collect()) == [0, 4]
-    assert sorted(r["scan_id"] for r in due_scans(manifest, SECOND // 5, forced).collect()) == [0, 3, 4]
+    # 3 is forced and re-arms the timer: the next one is due at 7.
+    assert sorted(r["scan_id"] for r in due_scans(manifest, SECOND // 5, forced).collect()) == [0, 3, 7]
+
+
+def test_due_scans_equal_a_timer(spark):
+    rng = random.Random(12)
+    rows, marks, expected = [], [], set()
+    for host in range(5):
+        at, armed, places = 0, None, sorted(rng.sample(range(1000), 120))
+        forcing = sorted(rng.sample(range(1000), 0 if host == 0 else 8))
+        for i, pos in enumerate(places):
+            at += rng.choice([-SECOND // 3, 0, SECOND // 9, SECOND // 2, 3 * SECOND])
+            rows.append((host, i, pos, True, at))
+            now = max(r[4] for r in rows if r[0] == host)
+            before = places[i - 1] if i else -1
+            if armed is None or now >= armed or any(before <= f < pos for f in forcing):
+                expected.add((host, pos))
+                armed = now + 2 * SECOND
+        marks += [(host, f) for f in forcing]
+    manifest = spark.createDataFrame(rows, "host_id long, scan_id long, pos long, success boolean, observed_ns long")
+    forced = spark.createDataFrame(marks, "host_id long, pos long")
+    got = due_scans(manifest, SECOND // 5, forced, width=16)
+    assert got.columns == manifest.columns and {(r["host_id"], r["pos"]) for r in got.collect()} == expected
