@@ -159,7 +159,14 @@ def batch_gaps(batches: DataFrame) -> DataFrame:
     return gap_events(rows, "_reason.text", f"'{S.LINUX_CONNECTOR}'", "_reason.sub")
 
 
-def resync_gaps(manifest: DataFrame, backend: str) -> DataFrame:
-    """One gap per reconciliation scan that could not be read."""
-    return gap_events(manifest.where("NOT success"),
-                      f"concat('{RESYNC_FAILED[backend]}', coalesce(error, ''))", f"'{backend}'")
+def damaged(batches: DataFrame) -> DataFrame:
+    """Receive batches that force a reconciliation."""
+    flags = [f for f in ("receive_overflow", "truncated", "overrun", "malformed") if f in batches.columns]
+    return batches.where(" OR ".join(f"coalesce({f}, false)" for f in flags) or "false")
+
+
+def resync_gaps(manifest: DataFrame, backend: str | None = None) -> DataFrame:
+    """One gap per reconciliation scan that could not be read; without a backend, of the rows' own (``backend``)."""
+    source = f"'{backend}'" if backend else "backend"
+    texts = " ".join(f"WHEN '{b}' THEN '{t}'" for b, t in RESYNC_FAILED.items())
+    return gap_events(manifest.where("NOT success"), f"concat(CASE {source} {texts} END, coalesce(error, ''))", source)

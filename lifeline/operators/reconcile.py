@@ -32,17 +32,19 @@ def align_ids(previous: DataFrame, following: DataFrame) -> DataFrame:
     ).withColumn("process_id", F.expr("CASE WHEN aligned THEN _id ELSE process_id END")).drop("_id", "_started")
 
 
-def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+def due_scans(manifest: DataFrame, poll_ns: int, forced: DataFrame | None = None, width: int = WIDTH,
+              interval_ns: int | None = None) -> DataFrame:
     """Scan attempts that act as reconciliation: a timer that every one of them re-arms.
 
     A host's first attempt acts, and so does the first one after each forcing position
     (``forced``: host_id, pos of gaps). After any of these the next one acts that comes
     an interval or more later. Which those are follows attempt by attempt; here every
     attempt names its successor, and the chains from the forced ones are followed by
-    doubling. Time does not run backwards: an attempt with an earlier clock counts as
+    doubling. ``interval_ns`` replaces the interval that follows from the poll. Time does not run backwards: an attempt with an earlier clock counts as
     simultaneous with the latest before it.
     """
-    host, interval = ["host_id"], resync_interval_ns(F.lit(poll_ns).cast("long"))
+    host = ["host_id"]
+    interval = resync_interval_ns(F.lit(poll_ns).cast("long")) if interval_ns is None else F.lit(interval_ns).cast("long")
     attempts = running(ordinals(manifest, host, "pos", "_n", width), host, "_n", {"_clock": "observed_ns"}, width=width)
     attempts = materialise(attempts.withColumn("_until", F.col("_clock") + interval), "attempts")
     begins = attempts.where("_n = 0").select("host_id", "_n")

@@ -441,6 +441,12 @@ def resync_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows, times.select("host_id", "pos", "observed_ns")
 
 
+def resync_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily scans as attempts among the notices (positions doubled); some fail."""
+    days = events(spark, sf_dir).groupBy("scan_id").agg((F.max("event_id") * 2 + 1).alias("pos"))
+    return manifest(spark, sf_dir, True).drop("pos").join(days, ["scan_id"])
+
+
 def trace_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user is the root of one trace, begun on its first day (scan positions times ten)."""
     first = events(spark, sf_dir).groupBy("user_id", "host_id", "pid", "ppid").agg(

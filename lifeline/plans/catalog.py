@@ -13,7 +13,7 @@ from lifeline.functions import clock, identity
 from lifeline.functions.render import fallback_line, parent_executable
 from lifeline.operators import diff, gaps, hierarchy, reconcile, replay, trace as tracing, views
 from lifeline.plans import bindings as B
-from lifeline.plans.watch import watch_notices, watch_poll
+from lifeline.plans.watch import watch_native, watch_notices, watch_poll
 from lifeline.session import materialise, new_folder
 from lifeline.sources import dumps, fallback, notices, tables
 from lifeline.streaming import audit, engine, replay as replaying, scans as scanning, trace as live_tracing
@@ -286,12 +286,9 @@ def batch_quality(spark, sf):
 @query
 def resync_failures(spark, sf):
     """Failed scans of hosts whose sources are native."""
-    manifest = B.manifest(spark, sf, True)
-    events = None
-    for i, backend in enumerate((S.LINUX_CONNECTOR, S.WINDOWS_ETW, S.MACOS_ENDPOINT)):
-        part = gaps.resync_gaps(manifest.where(F.col("host_id") % 3 == i), backend)
-        events = part if events is None else events.unionByName(part)
-    return positioned(events)
+    native = F.element_at(F.array(*[F.lit(b) for b in (S.LINUX_CONNECTOR, S.WINDOWS_ETW, S.MACOS_ENDPOINT)]),
+                          (F.col("host_id") % 3 + 1).cast("int"))
+    return positioned(gaps.resync_gaps(B.manifest(spark, sf, True).withColumn("backend", native)))
 
 
 REPLAY_COLUMNS = ("kind", "process_id", "pid", "ppid", "command", "exe", "event_ns", "duration_ms", "exit_code")
@@ -506,6 +503,23 @@ def noticed_watch(spark, sf):
     return events.select(F.col("order_key.pos").alias("pos"), *WATCHED, chain_text("parent_chain").alias("chain"))
 
 
+@query
+def native_watch(spark, sf):
+    """Notices, rare readings of loss counters, and daily scans of which forced and due ones act; some fail.
+
+    Columns pos, phase, order_pid and sub are the place of each event in its host's order.
+    """
+    n = exit_coded(B.notice(spark, sf)).withColumn("pos", F.col("pos") * 2)
+    counters = B.losses(spark, sf).where("pos % 500 = 0").withColumn("pos", F.col("pos") * 2)
+    attempts = B.resync_attempts(spark, sf).withColumn("backend", F.lit(S.LINUX_CONNECTOR))
+    scans = B.scan(spark, sf).withColumn("family", F.lit("linux"))
+    events = watch_native(n, scans, attempts, 3_000_000_000, counters=counters, interval_ns=3 * B.DAY_NS)
+    return events.select(
+        "host_id", F.col("order_key.pos").alias("pos"), *[F.col(f"order_key.{c}").cast("long").alias(a) for c, a in
+                                                           (("phase", "phase"), ("pid", "order_pid"), ("sub", "sub"))],
+        "kind", "process_id", "pid", "ppid", "command", "event_ns", "duration_ms", "exit_code", "message")
+
+
 def streamed(spark, rows, pos, schema, make, files: int = 3):
     """All that a stream writes that takes one landed file after the other, a micro-batch each."""
     folder = new_folder(spark, "stream")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from lifeline import schemas as S
-from lifeline.operators import diff, gaps, replay
+from lifeline.operators import diff, gaps, reconcile, replay
 from lifeline.operators.hierarchy import with_ancestors
 from lifeline.session import materialise
 from lifeline.sources import tables
@@ -48,3 +48,28 @@ def watch_notices(
               (gaps.batch_gaps, batches), (gaps.lost_gaps, counters))
     found = [audit(rows) for audit, rows in audits if rows is not None]
     return reduce(DataFrame.unionByName, [events, *found])
+
+
+def watch_native(
+    notices: DataFrame, scans: DataFrame, attempts: DataFrame, poll_ns: int, baseline: DataFrame | None = None,
+    records: DataFrame | None = None, endpoint_records: DataFrame | None = None, batches: DataFrame | None = None,
+    counters: DataFrame | None = None, chains: bool = False, interval_ns: int | None = None,
+) -> DataFrame:
+    """A native source as a closed loop, in one order of positions.
+
+    Missing or damaged records are gaps; each gap forces the next scan attempt
+    (``attempts``: a manifest with ``backend``), which re-arms the reconciliation timer. A readable
+    acting scan replaces the known processes, an unreadable one is a gap and leaves them.
+    """
+    audits = ((gaps.sequence_breaks, gaps.sequence_gaps, records), (gaps.endpoint_breaks, gaps.endpoint_gaps, endpoint_records),
+              (gaps.damaged, gaps.batch_gaps, batches), (gaps.lost_increases, gaps.lost_gaps, counters))
+    audits = [(breaks, events, rows) for breaks, events, rows in audits if rows is not None]
+    forcing = [breaks(rows).select("host_id", "pos") for breaks, _, rows in audits]
+    acting = materialise(reconcile.due_scans(
+        attempts, poll_ns, reduce(DataFrame.unionByName, forcing) if forcing else None, interval_ns=interval_ns), "acting")
+    good = acting.where("success")
+    shown = scans.join(good.select("host_id", "scan_id", "pos", "observed_ns"), ["host_id", "scan_id"])
+    found = [events(rows) for _, events, rows in audits]
+    return reduce(DataFrame.unionByName, [
+        watch_notices(notices, baseline, scans=shown, scan_times=good.select("host_id", "pos", "observed_ns"), chains=chains),
+        gaps.resync_gaps(acting), *found])
