@@ -16,7 +16,7 @@ from lifeline.plans import bindings as B
 from lifeline.plans.watch import watch_native, watch_notices, watch_poll
 from lifeline.session import materialise, new_folder
 from lifeline.sources import dumps, fallback, notices, tables
-from lifeline.streaming import audit, engine, replay as replaying, scans as scanning, trace as live_tracing
+from lifeline.streaming import audit, engine, fallback as switching, recent as live_view, replay as replaying, scans as scanning, trace as live_tracing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,8 +392,11 @@ def source_fallback(spark, sf):
     manifest = B.manifest(spark, sf).drop("pos").join(days, ["scan_id"])
     numbered = numbered_scans(fallback.polled_attempts(manifest, health(spark, sf)))
     polled = diff.snapshot_diff(diff.attach_manifest(B.scan(spark, sf), numbered)).drop("lookup_ordinal")
-    return fallback.choose(native, polled, health(spark, sf)).select(
-        "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "event_ns", "backend", "message")
+    return fallback_columns(fallback.choose(native, polled, health(spark, sf)))
+
+
+def fallback_columns(events):
+    return events.select("host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "event_ns", "backend", "message")
 
 
 @query
@@ -572,3 +575,21 @@ def stream_log(spark, sf):
     events = replaying.replay_events(engine.landed(spark, B.landed(rows, "pos", replaying.INPUT, 2), replaying.INPUT, 1))
     engine.start_batches(events, folder, sinks.log_batches(f"{folder}/log")).awaitTermination()
     return spark.read.text(f"{folder}/log").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def stream_fallback(spark, sf):
+    """Native notices until each host's source fails, scans afterwards, in one stream."""
+    n = exit_coded(B.notice(spark, sf)).withColumn("pos", F.col("pos") * 2)
+    manifest = B.resync_attempts(spark, sf).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
+    rows = switching.health_rows(health(spark, sf)).unionByName(switching.notice_rows(n)).unionByName(
+        switching.scan_rows(B.scan(spark, sf), manifest))
+    return fallback_columns(streamed(spark, rows, "pos", switching.INPUT, switching.fallback_events))
+
+
+@query
+def stream_recent(spark, sf):
+    """The latest 2,048 events of a stream, of which each trigger passes on what enters."""
+    events = S.conform(scan_events(spark, sf), S.LIFECYCLE_EVENT).withColumn("_pos", F.col("order_key.pos"))
+    passed = streamed(spark, events, "_pos", S.LIFECYCLE_EVENT, live_view.entering)
+    return live_view.view(passed).select("host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "command", "observed_ns")

@@ -40,9 +40,9 @@ def scan_rows(scans: DataFrame, ends: DataFrame) -> DataFrame:
     return S.conform(table_rows(scans, fold.SCAN), INPUT).unionByName(S.conform(finished, INPUT))
 
 
-def unpacked(row: Row) -> tuple:
-    """The values of an INPUT row; the engine hands nested values over as dictionaries."""
-    return tuple(tuple(v.values()) if isinstance(v, dict) else v for v in row[:len(INPUT)])
+def unpacked(row: Row, columns: int = len(INPUT)) -> tuple:
+    """The values of a row's columns; the engine hands nested values over as dictionaries."""
+    return tuple(tuple(v.values()) if isinstance(v, dict) else v for v in row[:columns])
 
 
 def stored(row: tuple) -> tuple:
