@@ -16,7 +16,7 @@ from lifeline.plans import bindings as B
 from lifeline.plans.watch import watch_native, watch_notices, watch_poll
 from lifeline.session import materialise, new_folder
 from lifeline.sources import dumps, fallback, notices, tables
-from lifeline.streaming import audit, engine, fallback as switching, recent as live_view, replay as replaying, scans as scanning, trace as live_tracing
+from lifeline.streaming import audit, batches, engine, fallback as switching, recent as live_view, replay as replaying, scans as scanning, trace as live_tracing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,3 +593,13 @@ def stream_recent(spark, sf):
     events = S.conform(scan_events(spark, sf), S.LIFECYCLE_EVENT).withColumn("_pos", F.col("order_key.pos"))
     passed = streamed(spark, events, "_pos", S.LIFECYCLE_EVENT, live_view.entering)
     return live_view.view(passed).select("host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "command", "observed_ns")
+
+
+@query
+def stream_sink(spark, sf):
+    """Replayed events read back from the sink that names its batches."""
+    rows = replaying.notice_rows(exit_coded(B.notice(spark, sf)))
+    events = replaying.replay_events(engine.landed(spark, B.landed(rows, "pos", replaying.INPUT), replaying.INPUT, 1))
+    folder = new_folder(spark, "sink")
+    batches.start(events, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return replay_columns(batches.written(spark, f"{folder}/rows", events.schema))

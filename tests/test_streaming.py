@@ -101,3 +101,61 @@ def test_audits_and_known_cursors(spark):
 def test_landed_files_are_in_order(spark):
     folder = landed(spark.range(10).selectExpr("id AS pos"), "pos", S.struct_of(("pos", S.T.LongType())), 3)
     assert sorted(r.pos for r in spark.read.parquet(folder).collect()) == list(range(10))
+
+
+def test_fallback(spark):
+    """One host of each kind; what lands around the failure is told apart by position."""
+    from lifeline.sources import fallback as F10
+    from lifeline.streaming import fallback as switching
+
+    notices, _, _ = stream(3, hosts=5, length=60)
+    frame = S.conform(spark.createDataFrame(notices, LANDED), S.NOTICE)
+    health = spark.createDataFrame(
+        [(0, "auto", True, 31), (1, "auto", False, None), (2, "poll", True, None), (3, "named", True, 20), (4, "auto", True, None)],
+        "host_id long, requested string, available boolean, failed_pos long").selectExpr(
+        "*", "'native' AS backend", "'E' AS error", "host_id AS observed_ns")
+    scans = spark.range(5).selectExpr("id AS host_id", "explode(sequence(0, 5)) AS scan_id").selectExpr(
+        "host_id", "CAST(scan_id AS bigint) AS scan_id", "explode(sequence(1, 6)) AS pid").where("(pid + scan_id + host_id) % 4 <> 0").selectExpr(
+        "host_id", "scan_id", "concat(pid, ':1') AS process_id", "CAST(pid AS bigint) AS pid", "1L AS ppid",
+        "concat('c', scan_id div 3) AS command", "'/c' AS exe", "CASE WHEN pid % 2 = 0 THEN scan_id * 1000000 END AS started_ns",
+        "scan_id * 1000000 + 1 AS captured_ns")
+    manifest = spark.range(5).selectExpr("id AS host_id", "explode(sequence(0, 5)) AS k").selectExpr(
+        "host_id", "CAST(k AS bigint) AS scan_id", "k * 10L + 1 AS pos", "true AS success", "CAST(NULL AS string) AS error", "k * 1000000L + 500 AS observed_ns")
+    rows_in = switching.health_rows(health).unionByName(switching.notice_rows(frame)).unionByName(switching.scan_rows(scans, manifest))
+    got = streamed(spark, rows_in, "pos", switching.INPUT, switching.fallback_events, 3)
+    numbered = D.scan_ordinals(F10.polled_attempts(manifest, health))
+    polled = D.snapshot_diff(D.attach_manifest(scans, numbered)).drop("lookup_ordinal")
+    assert rows(got) == rows(F10.choose(R.lifecycle_events(R.replay(frame)), polled, health))
+
+
+def test_recent_view(spark):
+    from lifeline.operators import views
+    from lifeline.streaming import recent
+
+    notices, _, _ = stream(5, hosts=4, length=80)
+    events = R.lifecycle_events(R.replay(S.conform(spark.createDataFrame(notices, LANDED), S.NOTICE))).cache()
+    make = lambda df: recent.entering(df, 20, 2)
+    passed = streamed(spark, events.withColumn("_pos", F.col("order_key.pos")), "_pos", S.LIFECYCLE_EVENT, make, 4)
+    assert rows(recent.view(passed, 20)) == rows(views.recent(events, 20)) and passed.count() < events.count()
+
+
+def test_repeated_batch_leaves_one_copy(spark, tmp_path):
+    from lifeline.streaming import batches
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10).coalesce(1).write.mode("append").parquet(source)
+    stream_of = lambda: spark.readStream.schema("id long").parquet(source).selectExpr("id", "id * 2 AS twice")
+    batches.start(stream_of(), out, str(tmp_path / "a")).awaitTermination()
+    # Another checkpoint begins with batch 0 again: its rows replace those of the first try.
+    batches.start(stream_of(), out, str(tmp_path / "b")).awaitTermination()
+    got = batches.written(spark, out, S.struct_of(("id", S.T.LongType()), ("twice", S.T.LongType())))
+    assert sorted(r.twice for r in got.collect()) == list(range(0, 20, 2))
+    writer = batches.BatchWriter(out, got.schema)
+    import pyarrow as pa
+
+    left = writer.write(iter([pa.RecordBatch.from_pydict({"id": [1], "twice": [2]})]))
+    writer.abort([left, None], 1)
+    assert got.count() == 10 and not list((tmp_path / "out" / batches.STAGED).iterdir())
+    with pytest.raises(Exception):
+        batches.start(spark.readStream.schema("id long").parquet(source).selectExpr("raise_error('x') AS id"), out, str(tmp_path / "c")).awaitTermination()
+    assert got.count() == 10
