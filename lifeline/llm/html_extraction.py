@@ -59,6 +59,8 @@ NAMES = frozenset((
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert modal popup overlay newsletter "
     "subscribe subscription signup login search share sharing social related recommended recommendations trending teaser comment "
     "comments disqus respond reply replies pagination pager skip toolbar widget rail outbrain taboola copyright").split())
+#: Words that make a name tell about something else than the element itself.
+ABOUT = frozenset("has with no without not free wrapper container layout".split())
 #: Elements that hold whole pages are not left out for their class.
 PAGE = frozenset("html body main".split())
 #: Elements that an opening one closes when it was left open.
@@ -99,7 +101,14 @@ class Run(NamedTuple):
     heading: bool
 
 
-def is_no_content(name: str, more: str, around: Counter) -> bool:
+def names_no_content(word: str) -> bool:
+    """Whether a class or id names what is no content; ``has-sidebar`` or ``ad-free`` do not."""
+    parts = WORD_OF_NAME.findall(HUMPS.sub(" ", word).lower())
+    told = next((i for i, p in enumerate(parts) if p in ABOUT), len(parts))
+    return told == len(parts) and not NAMES.isdisjoint(parts)
+
+
+def is_no_content(name: str, more: str, around: Counter, names: bool = True) -> bool:
     if name in NO_CONTENT:
         return True
     if name == "header" and not around["article"] and not around["main"]:
@@ -117,7 +126,7 @@ def is_no_content(name: str, more: str, around: Counter) -> bool:
         if what == "role" and value.lower() in ROLES:
             return True
         if what in ("class", "id") and name not in PAGE:
-            if NAMES.intersection(WORD_OF_NAME.findall(HUMPS.sub(" ", value).lower())):
+            if names and any(map(names_no_content, value.split())):
                 return True
     return False
 
@@ -125,7 +134,8 @@ def is_no_content(name: str, more: str, around: Counter) -> bool:
 class Page:
     """Open elements of a page while its tokens pass."""
 
-    def __init__(self):
+    def __init__(self, names: bool = True):
+        self.by_names = names
         self.runs: list[Run] = []
         self.open: list[tuple[str, bool, int]] = []      # name, no content, the mark it sets
         self.names: Counter = Counter()
@@ -157,7 +167,7 @@ class Page:
     def enter(self, name: str, more: str, alone: bool) -> None:
         if self.open and self.open[-1][0] in CLOSES.get(name, ()):
             self.leave()
-        gone = is_no_content(name, more, self.names)
+        gone = is_no_content(name, more, self.names, self.by_names)
         mark = 0
         if not gone and not self.gone:
             mark = 1 if name == "article" else 2 if name == "main" or MAIN.search(more) else 0
@@ -189,9 +199,9 @@ class Page:
                 pass
 
 
-def runs_of(page: str) -> list[Run]:
-    """The page's runs of words and its tags, in order."""
-    state = Page()
+def runs_of(page: str, names: bool = True) -> list[Run]:
+    """The page's runs of words and its tags, in order; ``names`` says whether class and id count."""
+    state = Page(names)
     at, size = 0, len(page)
     while at < size:
         found = TOKEN.search(page, at)
@@ -277,8 +287,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def content(page: str | None, scores: dict[str, float]) -> str:
-    """The main text of one page."""
-    runs = runs_of(page or "")
+    """The main text of one page; where class and id leave none, they are not heeded."""
+    return _content(page or "", scores, True) or _content(page or "", scores, False)
+
+
+def _content(page: str, scores: dict[str, float], names: bool) -> str:
+    runs = runs_of(page, names)
     marked = any(r.inside for r in runs)
     plain = score("<>", 0, 0)
     values = [0.0 if not r.kept and r.words else scores.get(k, plain) * (r.words or not r.text) for r, k in zip(runs, kinds(runs, marked))]

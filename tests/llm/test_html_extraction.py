@@ -31,6 +31,8 @@ PAGES = {
     "hidden": f'<article>{BODY}<p hidden>Nothing to see here.</p><p style="display: none">Nor here.</p></article>',
     "inline": f"<article>{BODY.replace('river', '<b>ri</b>ver').replace('old mill', 'old<br>mill').replace('children', '  <i>children</i>' + chr(10))}</article>",
     "raw": f"<script>if (a < b) document.write('<p>not this</p>');</script><style>p > b {{}}</style><!-- <p>nor this</p> --><article>{BODY}</article>",
+    "telling names": f'<body><div class="layout has-sidebar"><div class="ad-free page">{BODY}</div><div class="sidebar"><p>Other tales of this land.</p></div></div></body>',
+    "misleading name": f'<body><div id="widget"><article>{BODY}</article></div></body>',
     "odd attributes": f"<div title='a > b' data-x=\"it's\"><article data-n=1>{BODY}</article></div>",
 }
 
