@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifeline import schemas as S
 from lifeline.session import materialise
 
-ROUNDS_PER_STEP = 4
-
 
 def parent_index(processes: DataFrame, keys: list[str]) -> DataFrame:
     """Look-up side of parent joins: unique on the keys and ``_next`` (a PID)."""
@@ -30,75 +26,60 @@ def with_parent(rows: DataFrame, processes: DataFrame, keys: list[str]) -> DataF
     )
 
 
-def with_ancestors(
-    rows: DataFrame, processes: DataFrame, keys: list[str], rounds_per_step: int = ROUNDS_PER_STEP
-) -> DataFrame:
+def with_ancestors(rows: DataFrame, processes: DataFrame, keys: list[str]) -> DataFrame:
     """Attach ``parent_chain``, nearest first, from a table unique on keys and PID.
 
     The walk ends at a parent PID of zero or less, a missing parent or a PID
-    already seen. Siblings share their walk: each distinct parent climbs once, as a
-    narrow row, and the chain is joined on at the end, cut off where the row's own
-    PID comes up. Each round is one equi-join of the parents still climbing; every
-    few rounds the lineage is cut and finished ones leave the loop. The narrow
-    look-up side is stored once, so rounds neither recompute it nor guess its size.
+    already seen. Siblings share their walk: each distinct parent holds one chain, which
+    is joined on at the end, cut off where the row's own PID comes up. Every round
+    appends to each chain the chain of its last element, so chains double and a
+    depth of n takes log2(n) rounds; in a cycle they end with their first repetition.
     """
-    index = materialise(parent_index(processes, keys), "parents")
     sought = rows.withColumn("_first", F.when((F.col("ppid") > 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")))
-    climbing = sought.where("_first IS NOT NULL").select(*keys, "_first").distinct().withColumns({
-        "_next": F.col("_first"), "_chain": F.array().cast(S.T.ArrayType(S.SUMMARY)), "_seen": F.array().cast("array<bigint>"),
-    })
-    finished = []
-    while True:
-        for _ in range(rounds_per_step):
-            found = climbing.join(index, [*keys, "_next"], "left").withColumn("_hit", F.col("_parent").isNotNull())
-            climbing = found.withColumns({
-                "_chain": F.when(F.col("_hit"), F.array_append("_chain", F.col("_parent"))).otherwise(F.col("_chain")),
-                "_seen": F.when(F.col("_hit"), F.array_append("_seen", F.col("_next").cast("bigint"))).otherwise(F.col("_seen")),
-            }).withColumn("_next", F.when(
-                F.col("_hit") & (F.col("_parent_ppid") > 0)
-                & ~F.array_contains(F.col("_seen"), F.col("_parent_ppid").cast("bigint")), F.col("_parent_ppid"),
-            )).drop("_parent", "_parent_ppid", "_hit")
-        climbing = materialise(climbing, "ancestors")
-        finished.append(climbing.where(F.col("_next").isNull()).select(*keys, "_first", "_chain"))
-        climbing = climbing.where(F.col("_next").isNotNull())
-        if climbing.isEmpty():
-            break
+    asked = sought.where("_first IS NOT NULL").select(*keys, F.col("_first").alias("_next"))
+    passed = processes.where("ppid > 0").select(*keys, F.col("ppid").alias("_next"))
+    climbing = materialise(asked.unionByName(passed).distinct().join(parent_index(processes, keys), [*keys, "_next"]).select(
+        *keys, F.col("_next").alias("_first"), F.array("_parent").alias("_chain"),
+        F.when(F.col("_parent_ppid") > 0, F.col("_parent_ppid")).alias("_next")), "ancestors")
+    while not climbing.where("_next IS NOT NULL").isEmpty():
+        further = climbing.select(*keys, F.col("_first").alias("_next"), F.col("_chain").alias("_more"), F.col("_next").alias("_beyond"))
+        longer = climbing.join(further, [*keys, "_next"], "left").withColumn(
+            "_both", F.when(F.col("_more").isNull(), F.col("_chain")).otherwise(F.concat("_chain", "_more")))
+        once = F.array_distinct("_both")
+        climbing = materialise(longer.select(
+            *keys, "_first", once.alias("_chain"), F.when(F.size(once) == F.size("_both"), F.col("_beyond")).alias("_next")), "ancestors")
     own = F.array_position(F.transform("_chain", lambda p: p["pid"]), F.col("pid"))
     chain = F.when(own > 0, F.slice("_chain", 1, (own - 1).cast("int"))).otherwise(F.col("_chain"))
-    return sought.join(reduce(DataFrame.unionByName, finished), [*keys, "_first"], "left").select(
+    return sought.join(climbing.drop("_next"), [*keys, "_first"], "left").select(
         *[F.col(f"`{c}`") for c in rows.columns],
         F.coalesce(chain, F.array().cast(S.T.ArrayType(S.SUMMARY))).alias("parent_chain"))
 
 
 def descendants(roots: DataFrame, processes: DataFrame, keys: list[str], label: str = "trace_id") -> DataFrame:
-    """Every process reachable downwards from each label's roots, roots included.
+    """Every process reachable downwards from each label's roots, roots included, with its ``level``.
 
     ``roots`` has the label, the keys and ``pid``; ``processes`` is unique on the
-    keys and PID. All labels advance together, one level per round; a round joins
-    only the newest level. A process has one parent, so it is reached once, except
-    for roots below roots or in a cycle: those are skipped.
+    keys and PID. Round k knows the ancestor 2^k levels above every process and adds what
+    lies that far below anything found, so levels double. A process has one
+    parent, so it is reached once, except for roots below roots or in a cycle: the
+    least level counts.
     """
     member = [label, *keys, "pid"]
     tree = materialise(processes.select(*keys, "pid", "ppid"), "tree")
-    level = materialise(
+    found = materialise(
         roots.select(*member).join(tree.select(*keys, "pid"), [*keys, "pid"], "left_semi")
-        .dropDuplicates(member).withColumn("level", F.lit(0)),
-        "descendants",
-    )
-    members = first = level
-    depth = 0
-    while not level.isEmpty():
-        depth += 1
-        grown = (
-            tree.withColumnRenamed("pid", "_child")
-            .join(level.select(label, *keys, F.col("pid").alias("ppid")), [*keys, "ppid"])
-            .select(label, *keys, F.col("_child").alias("pid"))
-            .join(first.select(*member), member, "left_anti")
-            .withColumn("level", F.lit(depth))
-        )
-        level = materialise(grown, "descendants")
-        members = members.unionByName(level)
-    return members
+        .dropDuplicates(member).withColumn("level", F.lit(0)), "descendants")
+    above, distance = tree.select(*keys, F.col("pid").alias("_child"), F.col("ppid").alias("pid")), 1
+    while True:
+        below = above.join(found, [*keys, "pid"]).groupBy(label, *keys, F.col("_child").alias("pid")).agg(
+            (F.min("level") + distance).alias("level"))
+        fresh = materialise(below.join(found.select(*member), member, "left_anti").select(*member, "level"), "descendants")
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)
+        further = above.select(*keys, F.col("_child").alias("pid"), F.col("pid").alias("_beyond"))
+        above = materialise(above.join(further, [*keys, "pid"]).select(*keys, "_child", F.col("_beyond").alias("pid")), "above")
+        distance *= 2
 
 
 def surviving_pids(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,6 +28,7 @@ def good(host, scan, seconds):
 
 
 def test_literal_cases(spark):
+    # Literal cases of the behaviour that must be met.
     s = SECOND
     rows = [
         (1, 0, "7:1", 7, 1, "a", "/a", 10 * s, 20 * s, 0), (1, 1, "7:1", 7, 1, "a", "/a", 11 * s, 21 * s, 0),

@@ -11,9 +11,9 @@ def table(spark, parents, host=0):
     return spark.createDataFrame([(host, p, q, f"{p}:1", f"c{p}", f"/b/{p}", "u") for p, q in parents], TABLE)
 
 
-def chains(spark, parents, **options):
+def chains(spark, parents):
     rows = table(spark, parents)
-    got = H.with_ancestors(rows.select("host_id", "pid", "ppid"), rows, ["host_id"], **options)
+    got = H.with_ancestors(rows.select("host_id", "pid", "ppid"), rows, ["host_id"])
     return {r["pid"]: [p["pid"] for p in r["parent_chain"]] for r in got.collect()}
 
 
@@ -32,12 +32,24 @@ def test_chains(spark):
     got = chains(spark, cycle)
     assert got == {1: [2, 3], 2: [3, 1], 3: [1, 2], 4: [1, 2, 3], 5: [], 6: [], 7: [], 8: [6]}
     deep = [(i, i - 1) for i in range(1, 24)]
-    assert chains(spark, deep, rounds_per_step=5)[23] == list(range(22, 0, -1))
+    assert chains(spark, deep)[23] == list(range(22, 0, -1))
     rng = random.Random(1)
     wild = [(p, rng.randrange(0, 40)) for p in range(1, 40)]
     assert chains(spark, wild) == {p: walk(wild, p) for p, _ in wild}
 
 
+def test_rounds_are_logarithmic(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(H, "materialise", lambda df, name="step", keep=H.materialise: rounds.append(name) or keep(df, name))
+    rows = table(spark, [(i, i - 1) for i in range(1, 1001)])
+    got = H.with_ancestors(rows.select("host_id", "pid", "ppid").where("pid > 998"), rows, ["host_id"])
+    assert {r["pid"]: len(r["parent_chain"]) for r in got.collect()} == {999: 998, 1000: 999} and len(rounds) <= 12
+    rounds.clear()
+    root = spark.createDataFrame([(1, 0, 1)], "trace_id long, host_id long, pid long")
+    levels = {r["pid"]: r["level"] for r in H.descendants(root, rows, ["host_id"]).collect()}
+    assert levels == {i: i - 1 for i in range(1, 1001)} and rounds.count("above") <= 11
+
+
 def test_parent_lookup(spark):
     rows = table(spark, [(1, 0), (2, 1), (3, 9)])
     got = {r["pid"]: r["parent"] and r["parent"]["process_id"] for r in H.with_parent(rows, rows, ["host_id"]).collect()}
