@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifeline import schemas as S
 from lifeline.operators import replay as R
 from lifeline.operators.reconcile import align_ids, due_scans
+from lifeline.session import materialise
 
 SECOND = 10**9
 PROC = S.PROCESS.fieldNames()
@@ -215,7 +216,7 @@ def test_versions_parents_and_chains(spark):
         notice(3, "fork", 12, at=3, kernel=3, ppid=11), notice(4, "exit", 10, at=4, kernel=4, code=0),
         notice(5, "exec", 12, at=5, kernel=5), notice(6, "fork", 10, at=6, kernel=6, ppid=12),
         notice(7, "exit", 12, at=7, kernel=7, code=0)]
-    states = run(spark, rows)
+    states = materialise(run(spark, rows), "states")     # read many times below
     events = R.lifecycle_events(states).withColumn("pos", F.col("order_key.pos"))
     for options in ({}, {"hot_rows": 1, "width": 2}):
         parents = {r["pos"]: r["parent"] and r["parent"]["process_id"]

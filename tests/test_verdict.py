@@ -25,11 +25,12 @@ def test_restarted_collectors_count_anew(spark):
     assert gaps.endpoint_breaks(df).count() == 0
 
 
-def test_scans_a_nanosecond_apart(spark):
-    border = 1_700_000_010_000_000_000
-    rows = [(0, 1, 10, border - 1), (0, 2, 20, border)]
+def test_the_interval_is_exact_to_the_nanosecond(spark):
+    """A poll of one second gives ten seconds: one nanosecond less is not due, all of them are."""
+    first, interval = 1_700_000_010_000_000_000, 10_000_000_000
+    rows = [(0, 1, 10, first), (0, 2, 20, first + interval - 1), (0, 3, 30, first + interval)]
     manifest = spark.createDataFrame(rows, "host_id long, scan_id long, pos long, observed_ns long")
-    assert due_scans(manifest, 1_000_000_000).count() == 2
+    assert sorted(r["scan_id"] for r in due_scans(manifest, 1_000_000_000).collect()) == [1, 3]
 
 
 def test_parents_that_vanish_with_their_child(spark):
