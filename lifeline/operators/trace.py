@@ -17,14 +17,13 @@ from lifeline.functions import identity as I
 from lifeline.operators.diff import one_per_pid
 from lifeline.operators.hierarchy import surviving_pids, with_ancestors
 from lifeline.operators.ordered import (
-    HOT_ROWS, SCAN_WIDTH, SLICE, WIDTH, as_of, by_heat, neighbours, running,
+    HOT_ROWS, SCAN_WIDTH, SLICE, WIDTH, as_of, by_heat, neighbours, ordinals, running,
 )
 from lifeline.operators.replay import ABSENT, SCAN, SEED, lifecycle_events, replay_rows
 from lifeline.session import materialise
 
 RUN = ["host_id", "pid", "run"]
 MEMBER = ["trace_id", *RUN, "after_exit"]
-WINDOW_BUCKET = 1000  # positions per bucket when failed scans meet trace windows
 # Gap texts.
 SCAN_FAILED = "trace snapshot failed; expected a complete process table, received error "
 TAIL_ENDED = "trace tail ended with observed descendant process ids %s still running"
@@ -289,18 +288,28 @@ def _trace_gaps(settled: DataFrame, numbered: DataFrame, live: DataFrame,
         "trace_id", "host_id", F.col("cancelled_pos").alias("pos"), F.col("cancelled_ns").alias("observed_ns"))
     gaps.append(_labelled(stopped, F.lit(CANCELLED), 9))
     if manifest is not None:
-        last_pos = numbered.select("host_id", F.col("ordinal").alias("finish"), F.col("scan_pos").alias("_to"))
-        bucket = lambda c: F.expr(f"{c} div {WINDOW_BUCKET}L")
-        failed = manifest.where(~F.col("success")).select(
-            "host_id", "pos", "observed_ns", "error", bucket("pos").alias("_bucket"))
-        within = settled.join(last_pos, ["host_id", "finish"]).select(
-            "trace_id", "host_id", "started_pos", "_to",
-            F.explode(F.sequence(bucket("started_pos"), bucket("_to"))).alias("_bucket"),
-        ).join(failed, ["host_id", "_bucket"]).where("pos > started_pos AND pos < _to")
+        within = _failed_within(settled, numbered, manifest.where("NOT success").select("host_id", "pos", "observed_ns", "error"))
         gaps.append(_labelled(within, F.concat(F.lit(SCAN_FAILED), F.coalesce("error", F.lit(""))), 0))
     return gaps
 
 
+def _failed_within(settled: DataFrame, numbered: DataFrame, failed: DataFrame) -> DataFrame:
+    """Failed scans after each trace's start and before its last scan.
+
+    They are numbered per host. Two as-of look-ups give a trace the numbers it
+    spans, so that it meets exactly those, however sparse positions are.
+    """
+    counted = materialise(ordinals(failed, ["host_id"], "pos", "_n"), "trace-failed")
+    spans = settled.join(
+        numbered.select("host_id", F.col("ordinal").alias("finish"), F.col("scan_pos").alias("_to")), ["host_id", "finish"])
+    ends = spans.selectExpr("trace_id", "host_id", "explode(array(struct('low' AS name, started_pos AS _m), "
+                            "struct('high' AS name, _to - 1 AS _m))) AS _x").select("trace_id", "host_id", "_x.*")
+    found = as_of(ends, counted.withColumnRenamed("pos", "_m"), ["host_id"], "_m", "struct(_n)", "_f", dense=True)
+    return found.groupBy("trace_id", "host_id").agg(*[
+        F.expr(f"coalesce(max(CASE WHEN name = '{n}' THEN _f._n END), -1L) AS _{n}") for n in ("low", "high")
+    ]).where("_high > _low").withColumn("_n", F.explode(F.expr("sequence(_low + 1, _high)"))).join(counted, ["host_id", "_n"])
+
+
 def _labelled(rows: DataFrame, message, sub: int) -> DataFrame:
     return S.as_events(rows.withColumn("message", message).selectExpr(
         "trace_id", "host_id", f"{S.order_key('pos', 3 if sub else 0, 0, sub)} AS order_key",

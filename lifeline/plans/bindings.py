@@ -26,14 +26,15 @@ def ns(column: str):
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with host, PID, parent PID, day and nanoseconds."""
+def events(spark: SparkSession, sf_dir: str, pace: int = 1) -> DataFrame:
+    """Events with host, PID, parent PID, day and nanoseconds; time runs ``pace`` times faster."""
     return table(spark, sf_dir, "events").select(
         F.expr("user_id % 10").alias("host_id"), (F.col("user_id") + 1).alias("pid"),
         F.expr("""CASE WHEN user_id div 10 = 0 THEN 0
                   ELSE 10 * ((user_id div 10) div 3) + user_id % 10 + 1 END""").alias("ppid"),
         F.expr(f"(unix_micros(CAST(ts AS timestamp)) * 1000 - {EPOCH_NS}) div {DAY_NS}").alias("scan_id"),
-        ns("ts").alias("ts_ns"), "event_id", "user_id", "event_type", "value",
+        (ns("ts") if pace == 1 else F.expr(f"{EPOCH_NS} + (unix_micros(CAST(ts AS timestamp)) * 1000 - {EPOCH_NS}) div {pace}"))
+        .alias("ts_ns"), "event_id", "user_id", "event_type", "value",
     )
 
 
@@ -381,9 +382,9 @@ def native_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return macos, windows
 
 
-def raw_linux(spark: SparkSession, sf_dir: str, hosts: str = "user_id % 3 = 0") -> DataFrame:
+def raw_linux(spark: SparkSession, sf_dir: str, hosts: str = "user_id % 3 = 0", pace: int = 1) -> DataFrame:
     """Linux records; of a mixed fleet a third of the users', else of all."""
-    e = events(spark, sf_dir).where(hosts)
+    e = events(spark, sf_dir, pace).where(hosts)
     what = F.when(F.col("event_type") == "signup", 0x00000001).when(
         F.col("event_type").isin("click", "view"), 0x00000002).when(
         F.col("event_type") == "purchase", 0x80000000).otherwise(0x00000004)
@@ -397,8 +398,8 @@ def raw_linux(spark: SparkSession, sf_dir: str, hosts: str = "user_id % 3 = 0")
     )
 
 
-def raw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("user_id % 3 = 1")
+def raw_windows(spark: SparkSession, sf_dir: str, pace: int = 1) -> DataFrame:
+    e = events(spark, sf_dir, pace).where("user_id % 3 = 1")
     i = F.col("event_id")
     return e.select(
         "host_id", i.alias("pos"), F.when(i % 10 == 0, "other").otherwise("process").alias("provider"),
@@ -413,8 +414,8 @@ def raw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_macos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("user_id % 3 = 2")
+def raw_macos(spark: SparkSession, sf_dir: str, pace: int = 1) -> DataFrame:
+    e = events(spark, sf_dir, pace).where("user_id % 3 = 2")
     i = F.col("event_id")
     kind = F.when(F.col("event_type") == "signup", "fork").when(
         F.col("event_type").isin("click", "view"), "exec").when(F.col("event_type") == "error", "other").otherwise("exit")
@@ -462,6 +463,17 @@ def trace_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ended_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests; a sixth of them is cancelled, half of those without an exit."""
+    stop = F.col("started_pos") + F.lit(32) + F.col("trace_id") % 4 * 10
+    asked = trace_requests(spark, sf_dir)
+    exits = {c: F.when(F.col("trace_id") % 12 != 5, F.col(c)) for c in ("exited_ns", "exit_code", "exited_pos")}
+    halted = F.col("trace_id") % 6 == 5
+    return asked.withColumns({
+        **exits, "cancelled_pos": F.when(halted, stop),
+        "cancelled_ns": F.when(halted, F.expr("started_ns") + (stop - F.col("started_pos")) * (DAY_NS // 10))})
+
+
 def landed(rows: DataFrame, pos: str, schema: T.StructType, files: int = 3) -> str:
     """A folder with the rows in files of successive positions, as collectors append them."""
     folder = new_folder(rows.sparkSession, "landed")
@@ -473,6 +485,6 @@ def landed(rows: DataFrame, pos: str, schema: T.StructType, files: int = 3) -> s
     return folder
 
 
-def with_views(query: str, *names: str) -> str:
-    """Prefix a query with the views it needs, in order."""
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + query
+def with_views(query: str, *names: str, **changed: str) -> str:
+    """Prefix a query with the views it needs, in order; ``changed`` states some of them otherwise."""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({changed.get(n, SQL[n])})" for n in names) + "\n" + query

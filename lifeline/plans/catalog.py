@@ -221,12 +221,12 @@ def linux_records(spark, sf):
         F.when(F.col("relevant"), F.col("exit_code")).alias("exit_code"))
 
 
-def all_notices(spark, sf):
+def all_notices(spark, sf, pace=1):
     return notices.unify_notices(
-        notices.linux_notices(notices.linux_records(B.raw_linux(spark, sf))),
-        notices.windows_notices(B.raw_windows(spark, sf)),
+        notices.linux_notices(notices.linux_records(B.raw_linux(spark, sf, pace=pace))),
+        notices.windows_notices(B.raw_windows(spark, sf, pace)),
         notices.macos_notices(tables.resolve_users(
-            notices.macos_records(B.raw_macos(spark, sf)), B.uid_names(spark, sf))))
+            notices.macos_records(B.raw_macos(spark, sf, pace)), B.uid_names(spark, sf))))
 
 
 @query
@@ -241,7 +241,16 @@ def notice_normalise(spark, sf):
 @query
 def mixed_replay(spark, sf):
     """Replay of all three families together."""
-    events = replay.lifecycle_events(replay.replay(all_notices(spark, sf)))
+    return mixed_columns(replay.lifecycle_events(replay.replay(all_notices(spark, sf))))
+
+
+@query
+def crowded_replay(spark, sf):
+    """The same notices within two minutes: notices of a PID follow each other within about two seconds."""
+    return mixed_columns(replay.lifecycle_events(replay.replay(all_notices(spark, sf, 20_000))))
+
+
+def mixed_columns(events):
     return events.select("host_id", F.col("order_key.pos").alias("pos"), F.col("order_key.sub").cast("long").alias("sub"),
                          "kind", "process_id", "pid", "ppid", "command", "event_ns", "duration_ms", "exit_code", "backend")
 
@@ -404,9 +413,9 @@ def fallback_log(spark, sf):
     return health(spark, sf).select("host_id", fallback_line(F.col("backend"), F.col("error")).alias("line"))
 
 
-def trace_columns(events):
+def trace_columns(events, *more):
     return events.select("trace_id", "host_id", F.col("order_key.pos").alias("pos"), "kind", "pid", "process_id",
-                         "command", "event_ns", "duration_ms", "exit_code", "message")
+                         "command", "event_ns", "duration_ms", "exit_code", "message", *more)
 
 
 @query
@@ -424,6 +433,16 @@ def stream_trace(spark, sf):
     return trace_columns(streamed(spark, rows, "pos", live_tracing.INPUT, live_tracing.trace_events))
 
 
+@query
+def trace_chains(spark, sf):
+    """Traces over scans of which some fail, with cancelled requests and the ancestors of every event."""
+    manifest = B.manifest(spark, sf, True)
+    numbered = numbered_scans(manifest)
+    events = tracing.trace(diff.attach_manifest(B.scan(spark, sf), numbered), numbered, B.ended_requests(spark, sf),
+                           manifest, chains=True)
+    return trace_columns(events.withColumn("chain", chain_text("parent_chain")), "chain")
+
+
 def chained_events(spark, sf):
     """Scan differences with the ancestors seen in the scan that shows the process."""
     ready = prepared(spark, sf)
@@ -443,6 +462,16 @@ def log_lines(spark, sf):
     return both.select("host_id", "kind", "pid", "observed_ns", "plain", "with_ppid", "with_parent", "with_both")
 
 
+@query
+def long_names(spark, sf):
+    """Log lines of processes whose parents' executables have names of up to 24 characters and beyond."""
+    tree = B.tree(spark, sf).withColumn("exe", F.concat(
+        F.lit("/opt/"), "exe", F.when(F.col("pid") % 3 != 0, F.concat(F.lit(" "), F.expr("left(command, pid % 12)"))).otherwise("")))
+    found = hierarchy.with_parent(tree, tree, ["host_id"]).selectExpr(
+        "*", f"'{S.START}' AS kind", "CAST(NULL AS bigint) AS event_ns", "array_compact(array(parent)) AS parent_chain")
+    return sinks.log_lines(S.as_events(found), True, True).select("pid", "line")
+
+
 @query
 def diagnostics_log(spark, sf):
     return sinks.diagnostics(diff.failed_scan_gaps(B.manifest(spark, sf, True))).select("host_id", "line")
