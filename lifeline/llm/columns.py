@@ -40,3 +40,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator is about to add, whatever their case."""
     new = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of the input has them, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found

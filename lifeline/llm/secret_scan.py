@@ -13,8 +13,8 @@ scan reads all of every text. No shuffle in the scan: each row is judged on its
 Offsets are code points. Defined results: null and empty texts have no spans; repeated
 rows are judged each on its own; an empty table gives an empty table, and a model
 trained on generated strings and smoothing alone; input columns named like an added
-one are replaced. Finding many spans in one text costs their number squared in
-reference copies, not in text.
+one are replaced. Places of many spans in one text cost their number, and its 64th
+part squared in reference copies.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifeline.llm.columns import whole_text, without
+from lifeline.llm.columns import let, unused, whole_text, without
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"()(AKIA[A-Z0-9]{16,})"
@@ -34,6 +34,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 SIZE = len(ALPHABET) + 1                                 # and one for any other character
 LEAST_VALUE = 6
+BLOCK = 64                                               # matches whose places are summed together
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 ADDED = (*KINDS, "n_assign", "n_access", "n_hex", "n_random")
 
@@ -42,10 +43,9 @@ def marked_spans(text: Column, pattern: str, least: int = 1) -> Column:
     """Leftmost non-overlapping matches with places; group 2 must have ``least`` characters.
 
     Matches are wrapped in control characters that the text itself no longer has, and the
-    lengths of the pieces between them add up to the places.
+    lengths of the pieces between them add up to the places: first over blocks of pieces,
+    then inside each block, so that no array grows match by match.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x03"), "\x01", -1)
-
     def step(state: Column, piece: Column) -> Column:
         head = F.instr(piece, "\x02") - 1
         tail = F.instr(piece, "\x03") - 1
@@ -57,19 +57,33 @@ def marked_spans(text: Column, pattern: str, least: int = 1) -> Column:
             (state["at"] + F.length(piece) - 2).alias("at"),
             F.when(tail - head - 1 >= least, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.length(F.get(pieces, F.lit(0))).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), start, step, lambda s: s["out"])
+    def of_block(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda s: s["out"])
+
+    def places(blocks: Column, first: Column) -> Column:
+        """Where each block begins, and behind them the end of the text."""
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + F.length(p) - 2))
+        return F.aggregate(sizes, F.array(first), lambda known, n: F.concat(known, F.array(F.element_at(known, -1) + n)))
+
+    def spans(pieces: Column) -> Column:
+        first = F.length(F.get(pieces, F.lit(0))).cast("long")
+        blocks = F.transform(F.sequence(F.lit(2), F.size(pieces), F.lit(BLOCK)), lambda i: F.slice(pieces, i, F.lit(BLOCK)))
+        several = let(blocks, lambda b: F.flatten(F.zip_with(b, F.slice(places(b, first), F.lit(1), F.size(b)), of_block)))
+        few = of_block(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), first)
+        return F.when(F.size(pieces) <= BLOCK, few).otherwise(several)
+
+    return let(F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x03"), "\x01", -1), spans)
 
 
-def shaped(docs: DataFrame, text: str) -> DataFrame:
-    """Add the spans of the fixed shapes."""
-    clean = F.regexp_replace(whole_text(F.col(f"`{text}`")), "[\x01-\x03]", "\x04")
-    found = without(docs, *ADDED).select("*", clean.alias("_clean"))
+def shaped(docs: DataFrame, text: str, clean: str = "_clean") -> DataFrame:
+    """Add the text without marks, as ``clean``, and the spans of the fixed shapes."""
+    plain = F.regexp_replace(whole_text(F.col(f"`{text}`")), "[\x01-\x03]", "\x04")
+    found = without(docs, *ADDED).select("*", plain.alias(clean))
     return found.select(
-        "*", marked_spans(F.col("_clean"), ASSIGN, LEAST_VALUE).alias("assign"),
-        F.when(F.contains("_clean", F.lit("AKIA")), marked_spans(F.col("_clean"), ACCESS)).otherwise(
+        "*", marked_spans(F.col(clean), ASSIGN, LEAST_VALUE).alias("assign"),
+        F.when(F.contains(clean, F.lit("AKIA")), marked_spans(F.col(clean), ACCESS)).otherwise(
             F.array().cast(SPAN)).alias("access"),
-        marked_spans(F.col("_clean"), HEX).alias("hex"))
+        marked_spans(F.col(clean), HEX).alias("hex"))
 
 
 def codes(value: Column) -> Column:
@@ -89,7 +103,7 @@ def labelled_strings(docs: DataFrame, text: str, key: str, sample: int, generate
     """Rows (value, random) of the training sample."""
     spark = docs.sparkSession
     share = max(1, docs.count() // max(1, sample))
-    rows = shaped(docs.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(share)) == 0).select(f"`{text}`"), text)
+    rows = shaped(docs.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(share)) == 0).select(F.col(f"`{text}`").alias("text")), "text")
     values = rows.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select("s.value")
     words = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.col("_clean"), ASSIGN, " "), HEX, " "), r"[^A-Za-z]+"),
                      lambda w: F.length(w) >= 3)
@@ -136,18 +150,19 @@ def scan(docs: DataFrame, models: Models, text: str = "text", least_ratio: float
     A candidate counts with a summed ratio of at least ``least_ratio`` and an average of
     ``least_mean`` a transition, and if it mixes letters with digits or cases.
     """
-    found = shaped(docs, text)
+    clean_, base_, long_ = unused(docs, "_clean", "_base", "_long")
+    found = shaped(docs, text, clean_)
     base = F.concat("assign", "access", "hex")
 
     def fits(s: Column) -> Column:
         mixed = s["value"].rlike("[A-Za-z]") & (s["value"].rlike("[0-9]") | (s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")))
         score = models.score(s["value"])
-        clear = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        clear = ~F.exists(base_, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return mixed & clear & (score >= F.greatest(F.lit(float(least_ratio)), F.lit(float(least_mean)) * (s["end"] - s["start"])))
 
     kept = [F.col(f"`{c}`") for c in without(docs, *ADDED).columns]
-    return found.select("*", base.alias("_base"), marked_spans(F.col("_clean"), CANDIDATE).alias("_long")).select(
-        *kept, "assign", "access", "hex", F.filter("_long", fits).alias("random"))
+    return found.select("*", base.alias(base_), marked_spans(F.col(clean_), CANDIDATE).alias(long_)).select(
+        *kept, "assign", "access", "hex", F.filter(long_, fits).alias("random"))
 
 
 def joined(*kinds: str) -> Column:

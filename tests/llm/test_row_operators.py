@@ -1,10 +1,12 @@
 """Operators that judge each row on its own, against plain restatements."""
 
+import re
+
 import brute
 import pytest
 from pyspark.sql import functions as F
 
-from lifeline.llm import decontaminate, license_scan, pii_crf, quality_rules, secret_scan, sharding
+from lifeline.llm import decontaminate, license_scan, pii_crf, quality_rules, rule_ensemble, secret_scan, sharding
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -33,6 +35,33 @@ def test_lines_are_cleaned_first(spark):
     assert not got[1].kept
 
 
+def test_helper_names_do_not_clash(spark, docs):
+    plain = docs.select("doc_id", "text").where("doc_id < 1000")
+    names = ("_text", "_Words", "_lines", "_judged", "_row", "_path", "_size", "_in", "_best", "_dir", "_near", "_clean", "_base",
+             "_long", "_w", "_l", "_chars", "_digits", "__text", "digits", "Pipes", "n_lines_x")
+    wide = plain.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"))
+    models = secret_scan.train(spark.createDataFrame([("aB3xK9", True), ("user_name", False)], "value string, random boolean"))
+    rules = rule_ensemble.Ensemble(((((0, True, 3.0), (6, False, 0.5)), 1.5),), 0.1)
+    for work in (quality_rules.quality_rules, lambda d: license_scan.scan(d, path), lambda d: secret_scan.scan(d, models),
+                 lambda d: rule_ensemble.score(d, rules)):
+        few, many = work(plain), work(wide)
+        assert set(many.columns) == set(few.columns) | set(names)
+        assert by_text(many.select(*few.columns).collect()) == by_text(few.collect())
+        assert {tuple(r) for r in many.select(*names).collect()} == {tuple(range(len(names)))}
+
+
+def test_many_spans_of_one_text(spark):
+    """Places over several blocks of matches, and long lists in linear time."""
+    each = [f"x{i} {i:024x}" for i in range(20_000)]
+    text = "\n".join(each)
+    df = spark.createDataFrame([(1, text), (2, "\n".join(each[:64])), (3, "\n".join(each[:63])), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.hex for r in secret_scan.shaped(df, "text").select("doc_id", "hex").collect()}
+    for key, n in ((1, 20_000), (2, 64), (3, 63), (4, 0)):
+        assert [(s.start, s.end, s.value) for s in got[key]] == [
+            (m.start(), m.end(), m.group()) for m in re.finditer("(?<![0-9a-f])[0-9a-f]{24,}", text)][:n]
+
+
 def test_sharding(docs, none):
     shards = [f"s{i}" for i in range(7)]
     size = sharding.table_size(7)
