@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeline.llm.columns import whole_text, without
+from lifeline.llm.columns import unused, whole_text, without
 from lifeline.llm.store import Scratch
 
 # Licence notices as they are commonly written; fixed values.
@@ -110,6 +110,7 @@ def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text",
          file_share: float = 0.5, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """Add the licence columns to every row of ``docs``; the text is left out."""
     raw = without(docs, *ADDED)
+    row_, path_, size_, in_, best_, dir_, near_ = unused(raw, "_row", "_path", "_size", "_in", "_best", "_dir", "_near")
     # A row is known by its key and digest: null or repeated keys do not mix texts.
     row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     size = F.size(F.filter(F.split(whole_text(F.col(f"`{text}`")), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
@@ -119,29 +120,29 @@ def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text",
         found.join(copies, "row").withColumn("tf", (F.col("tf") / F.col("copies")).cast("long")).drop("copies"), "passages")
     good = cosines(found, templates).where(F.col("cosine") >= least)
     of_row = good.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_passages"), F.sum("words").alias("_in"),
-        F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"), F.col("line"))).alias("_best"))
+        F.count(F.lit(1)).alias("n_passages"), F.sum("words").alias(in_),
+        F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"), F.col("line"))).alias(best_))
     kept = [F.col(f"`{c}`") for c in raw.columns if c != text]
-    rows = raw.select(*kept, row.alias("_row"), path.alias("_path"),
-                      F.when(F.col(f"`{text}`").rlike(ANCHOR), size).otherwise(F.lit(0)).alias("_size"))
-    judged = rows.join(of_row.withColumnRenamed("row", "_row"), "_row", "left").select(
-        *kept, "_path", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
-        F.col("_best.licence").alias("own_licence"), F.col("_best.cosine").alias("own_cosine"),
-        (F.col("_best").isNotNull() & (F.element_at(F.split("_path", "/"), -1).rlike(FILE_NAME) | (
-            F.col("_in") >= F.col("_size") * F.lit(file_share)))).alias("is_licence_file"))
+    rows = raw.select(*kept, row.alias(row_), path.alias(path_),
+                      F.when(F.col(f"`{text}`").rlike(ANCHOR), size).otherwise(F.lit(0)).alias(size_))
+    judged = rows.join(of_row.withColumnRenamed("row", row_), row_, "left").select(
+        *kept, path_, F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
+        F.col(best_)["licence"].alias("own_licence"), F.col(best_)["cosine"].alias("own_cosine"),
+        (F.col(best_).isNotNull() & (F.element_at(F.split(path_, "/"), -1).rlike(FILE_NAME) | (
+            F.col(in_) >= F.col(size_) * F.lit(file_share)))).alias("is_licence_file"))
     judged = judged.withColumn("is_licence_file", F.coalesce("is_licence_file", F.lit(False)))
-    files = judged.where("is_licence_file AND _path IS NOT NULL").select(
-        F.get(directories(F.col("_path")), F.lit(0)).alias("_dir"), "own_licence", "own_cosine")
+    files = judged.where(F.col("is_licence_file") & F.col(path_).isNotNull()).select(
+        F.get(directories(F.col(path_)), F.lit(0)).alias("_dir"), "own_licence", "own_cosine")
     speaks = files.groupBy("_dir").agg(F.min_by("own_licence", F.struct(-F.col("own_cosine"), F.col("own_licence"))).alias("_licence"))
     # Without a licence of its own: the directories of many rows are the same few, so each
     # distinct directory is looked up once.
-    places = judged.where("own_licence IS NULL AND _path IS NOT NULL").select(
-        F.get(directories(F.col("_path")), F.lit(0)).alias("_dir")).distinct()
+    places = judged.where(F.col("own_licence").isNull() & F.col(path_).isNotNull()).select(
+        F.get(directories(F.col(path_)), F.lit(0)).alias("_dir")).distinct()
     above = places.select("_dir", F.posexplode(F.concat(F.array("_dir"), F.when(
         F.col("_dir") != "", directories(F.col("_dir"))).otherwise(F.array().cast("array<string>")))).alias("_far", "_up"))
     nearest = above.join(speaks.withColumnRenamed("_dir", "_up"), "_up").groupBy("_dir").agg(
-        F.min(F.struct("_far", "_up", "_licence")).alias("_near"))
-    home = F.when(F.col("own_licence").isNull(), F.get(directories(F.col("_path")), F.lit(0)))
-    return judged.withColumn("_dir", home).join(nearest, "_dir", "left").select(
+        F.min(F.struct("_far", "_up", "_licence")).alias(near_)).withColumnRenamed("_dir", dir_)
+    home = F.when(F.col("own_licence").isNull(), F.get(directories(F.col(path_)), F.lit(0)))
+    return judged.withColumn(dir_, home).join(nearest, dir_, "left").select(
         *kept, "n_passages", "own_licence", "own_cosine", "is_licence_file",
-        F.coalesce("own_licence", "_near._licence").alias("licence"), F.col("_near._up").alias("inherited_from"))
+        F.coalesce("own_licence", F.col(near_)["_licence"]).alias("licence"), F.col(near_)["_up"].alias("inherited_from"))

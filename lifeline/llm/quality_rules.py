@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifeline.llm.columns import SPACE, characters, let, occurrences, whole_text, without, words
+from lifeline.llm.columns import SPACE, characters, let, occurrences, whole_text, unused, without, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -81,31 +81,32 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = 0.3, mi
     characters of non-blank lines that may be removed.
     """
     whole = whole_text(F.col(f"`{text}`"))
+    text_, words_, lines_, judged_ = unused(docs, "_text", "_words", "_lines", "_judged")
     judged = docs.select(
-        "*", whole.alias("_text"), words(whole).alias("_words"),
-        F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"))
-    judged = judged.select("*", F.transform("_lines", lambda x: F.struct(
-        x.alias("line"), line_verdict(x).alias("rule"))).alias("_judged"))
+        "*", whole.alias(text_), words(whole).alias(words_),
+        F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias(lines_))
+    judged = judged.select("*", F.transform(lines_, lambda x: F.struct(
+        x.alias("line"), line_verdict(x).alias("rule"))).alias(judged_))
 
     def failing(rule: str) -> Column:
-        return F.size(F.filter("_judged", lambda x: x["rule"] == rule)).cast("long")
+        return F.size(F.filter(judged_, lambda x: x["rule"] == rule)).cast("long")
 
     def chars(lines: Column) -> Column:
         return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
 
-    good = F.transform(F.filter("_judged", lambda x: x["rule"].isNull()), lambda x: x["line"])
+    good = F.transform(F.filter(judged_, lambda x: x["rule"].isNull()), lambda x: x["line"])
     counted = judged.select(
         *[F.col(f"`{c}`") for c in without(docs, *ADDED).columns],
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        characters(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size(words_).cast("long").alias("n_words"),
+        F.length(F.translate(text_, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        characters(F.col(text_), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(words_)).alias("n_repeat_words"),
+        F.size(lines_).cast("long").alias("n_lines"),
         failing("punctuation").alias("n_bad_punctuation"),
         failing("navigation").alias("n_navigation"),
         failing("boilerplate").alias("n_boilerplate"),
-        chars(F.col("_lines")).alias("line_chars"),
+        chars(F.col(lines_)).alias("line_chars"),
         chars(good).alias("clean_chars"),
         F.array_join(good, "\n").alias("clean_text"),
     )

@@ -12,18 +12,19 @@ the key, from rows the caller lets through; it is the only thing the driver rece
 Defined results: null and empty texts have statistics of zero and a score like any other;
 rows without a label do not train, repeated labels count as often as they stand; with
 labels of one class or none the score is that class's smoothed share (0.5 for none);
-an empty table gives an empty table; input columns named like an added one are replaced.
+an empty table gives an empty table; an input column named like the score is replaced, all others stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifeline.llm.columns import SPACE, let, occurrences, whole_text, without, words
+from lifeline.llm.columns import SPACE, let, occurrences, unused, whole_text, without, words
 
 FEATURES = ("n_words", "word_length", "distinct", "repeats", "symbols", "capitals", "digits", "pipes", "marks",
             "sentences", "line_words", "same_lines", "decorated")
@@ -54,18 +55,26 @@ def statistics(text: Column) -> dict[str, Column]:
             "_chars": F.length(whole)}
 
 
+def feature_names(docs: DataFrame) -> list[str]:
+    """Names of the statistics beside the columns of ``docs``."""
+    return unused(docs, *FEATURES)
+
+
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the statistics; texts are read once."""
-    raw = without(docs, *FEATURES)
-    kept = [F.col(f"`{c}`") for c in raw.columns]
-    n = F.greatest(F.col("_w.n"), F.lit(1))
-    return raw.select(*kept, *[c.alias(a) for a, c in statistics(F.col(f"`{text}`")).items()]).select(
-        *kept, F.col("_w.n").cast("double").alias("n_words"), (F.col("_chars") / n).alias("word_length"),
-        F.col("_w.distinct").alias("distinct"), F.col("_w.repeats").alias("repeats"),
-        F.col("_symbols").alias("symbols"), F.col("_capitals").alias("capitals"), F.col("_digits").alias("digits"),
-        F.col("_pipes").alias("pipes"), F.col("_marks").alias("marks"), (F.col("_sentences") / n).alias("sentences"),
-        (F.col("_w.n") / F.greatest(F.col("_l.n"), F.lit(1))).alias("line_words"), F.col("_l.same").alias("same_lines"),
-        (F.col("_decorated") / n).alias("decorated"))
+    """Add the statistics under ``feature_names``; texts are read once."""
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    raw = statistics(F.col(f"`{text}`"))
+    at = dict(zip(raw, unused(docs, *raw)))
+    col = lambda name, field=None: F.col(at[name]) if field is None else F.col(at[name])[field]
+    n = F.greatest(col("_w", "n"), F.lit(1))
+    features = {
+        "n_words": col("_w", "n").cast("double"), "word_length": col("_chars") / n, "distinct": col("_w", "distinct"),
+        "repeats": col("_w", "repeats"), "symbols": col("_symbols"), "capitals": col("_capitals"), "digits": col("_digits"),
+        "pipes": col("_pipes"), "marks": col("_marks"), "sentences": col("_sentences") / n,
+        "line_words": col("_w", "n") / F.greatest(col("_l", "n"), F.lit(1)), "same_lines": col("_l", "same"),
+        "decorated": col("_decorated") / n}
+    return docs.select(*kept, *[c.alias(at[a]) for a, c in raw.items()]).select(
+        *kept, *[features[f].alias(name) for f, name in zip(FEATURES, feature_names(docs))])
 
 
 def grow(x: np.ndarray, residual: np.ndarray, depth: int, least: int, path: Rule, rules: list[Rule], out: np.ndarray,
@@ -143,13 +152,13 @@ class Ensemble:
     rules: tuple[tuple[Rule, float], ...]
     bias: float
 
-    def score(self) -> Column:
+    def score(self, names: Sequence[str] = FEATURES) -> Column:
         """The compiled score over the statistics' columns, from 0 to 1."""
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             fits = F.lit(True)
             for f, greater, t in rule:
-                fits = fits & ((F.col(FEATURES[f]) > t) if greater else (F.col(FEATURES[f]) <= t))
+                fits = fits & ((F.col(names[f]) > t) if greater else (F.col(names[f]) <= t))
             total = total + F.when(fits, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -196,5 +205,5 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
 def score(docs: DataFrame, ensemble: Ensemble, text: str = "text", name: str = "score") -> DataFrame:
     """Add the score of each text."""
-    raw = without(docs, name, *FEATURES)
-    return with_features(raw, text).select(*[F.col(f"`{c}`") for c in raw.columns], ensemble.score().alias(name))
+    kept = [F.col(f"`{c}`") for c in without(docs, name).columns]
+    return with_features(docs, text).select(*kept, ensemble.score(feature_names(docs)).alias(name))
