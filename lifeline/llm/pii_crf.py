@@ -8,8 +8,10 @@ a cost linear in its tokens. Segments it finds beyond the base (numbers without
 sign, spelled-out addresses) are added if they beat the reading without them clearly.
 
 It is trained here by gradient ascent on the log-likelihood. Labels come from the base
-spans of at most ``sample`` zones (documented bound, chosen by hash), each also rewritten
-in the forms the base does not know, and from the unlabelled rest of the zones.
+spans of at most ``sample`` zones (documented bound, chosen by hash: of the first four zones
+of a document those of up to 400 characters), each also rewritten in forms the base does not
+know, with and without a cue before it, and from the unlabelled rest of the zones. Segments
+of several tokens stay on one line and within 80 characters.
 
 Offsets are code points. Defined results: null texts are empty and have no spans; repeated
 rows are judged each on its own; an empty table gives an empty table (the model then rests
@@ -98,16 +100,19 @@ CUES = {
 }
 SHAPES = (
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+")),
-    ("spelled", re.compile(r"(?i)[\w.%+-]+ (at|\(at\)) [\w-]+( (dot|\(dot\)) [\w-]+| ?\.[\w.-]+)+")),
+    ("spelled", re.compile(r"(?i)[\w.%+-]+ (at|\(at\)) [\w-]+( (dot|\(dot\)) [\w-]+| ?\.[\w.-]+)*( (dot|\(dot\)) [\w-]+)")),
+    ("half", re.compile(r"(?i)[\w.%+-]+ (at|\(at\)) [\w-]+(\.[\w-]+)+")),
     ("ip", re.compile(r"([0-9]{1,3}\.){3}[0-9]{1,3}")),
     ("plus", re.compile(r"\+[0-9][ ().0-9-]+[0-9]")),
     ("grouped", re.compile(r"(1[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
-    ("block4", re.compile(r"([0-9]{4}[ -]){3}[0-9]{1,7}")),
+    ("national", re.compile(r"\(?0[0-9]{1,4}\)?([ ./-][0-9]{2,8}){1,4}")),
+    ("block4", re.compile(r"([0-9]{4}[ .-]){3}[0-9]{1,7}")),
     ("solid", re.compile(r"[0-9]+")),
     ("word", re.compile(r"[^\W\d]+")),
 )
 FEATURES = ("bias", *(f"shape:{s}" for s, _ in SHAPES), "shape:none", *(f"digits:{d}" for d in ("0", "1-6", "7-9", "10-12", "13-19", "20+")),
             "luhn", "octets", *(f"tokens:{n}" for n in range(1, 7)), *(f"cue:{c}" for c in CUES), "at", "edge")
+SHAPE = dict(SHAPES)
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -131,12 +136,17 @@ def zones(text: str) -> list[list[tuple[int, int]]]:
 
 
 def tokens_of(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Tokens without closing stops, and without brackets around them or opened before and closed behind."""
     tokens = []
     for m in TOKEN.finditer(text, lo, hi):
-        end = m.end()
-        while end > m.start() + 1 and text[end - 1] in ".)" and not (text[end - 1] == ")" and "(" in text[m.start():end]):
+        start, end = m.span()
+        while end > start + 1 and text[end - 1] in ".)" and not (text[end - 1] == ")" and "(" in text[start:end]):
             end -= 1
-        tokens.append((m.start(), end))
+        if end - start > 7 and text[start] == "(" and text[end - 1] == ")":
+            start, end = start + 1, end - 1
+        while end > start + 1 and text[start] == "(" and text.count("(", start, end) > text.count(")", start, end):
+            start += 1
+        tokens.append((start, end))
     return tokens
 
 
@@ -250,25 +260,48 @@ BUILT_IN: list[Example] = [
     ("write to ann.lee@mail.example.com today", [(0, 9, 33)]), ("the host 10.20.30.40 answered", [(1, 9, 20)]),
     ("paid with 4111 1111 1111 1111 then", [(2, 10, 29)]), ("paid with 4111111111111111 then", [(2, 10, 26)]),
     ("call +1 (212) 555-0100 now", [(3, 5, 22)]), ("contact ann@mail.example.com today", [(0, 8, 28)]),
-    ("ask joe@mail.example.co.uk for it", [(0, 4, 26)]),
+    ("ask joe@mail.example.co.uk for it", [(0, 4, 26)]), ("reach sue@firm.org soon", [(0, 6, 18)]),
+    ("the list of lee@some-site.net is here", [(0, 12, 29)]),
     ("version 1.2.3 of 2024-05-06 has 12345 lines in 300 files", []), ("order 4111111111111112 and 12 345 678 units", []),
     ("we met at 1200 hours at gate 310 dot", []), ("room 555 and 0100 and 20250101 at 900", []),
+    ("more at www.example.com in 300 words", []), ("look at example.net or 2024-05-06 10:15:00", []),
+    ("between 100-200-300 and 2001-2002 or 2024.05.06", []), ("level 0 12 15 of 1000 000 000 in all", []),
 ]
+NEUTRAL = ("to", "and", "see", "now", "under", "or")   # words that stand in for a cue
 
 
-def rewritten(text: str, spans: list[Span]) -> list[Example]:
-    """The same text with its spans in forms that the base does not know."""
+def forms(kind: int, old: str) -> list[str]:
+    """A span of the base in forms that the base does not know."""
+    digits = only_digits(old)
+    if kind == 0:
+        local, domain = old.split("@")
+        labels = domain.split(".")
+        return [f"{local} at {' dot '.join(labels)}", f"{local} at {' dot '.join(labels[-2:])}",
+                f"{local} (at) {' (dot) '.join(labels)}", f"{local} (at) {domain}"]
+    if kind == 2:
+        return [".".join(digits[i:i + 4] for i in range(0, len(digits), 4))] if len(digits) == 16 else []
+    if kind == 3 and len(digits) >= 10:
+        x, y, z = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return [f"({x}) {y}-{z}", f"{x}-{y}-{z}", f"0{x} {y} {z}", f"{x}.{y}.{z}", f"0{x}/{y}{z}", f"{x} {y} {z}"]
+    return []
+
+
+def rewritten(text: str, spans: list[Span], turn: int | None = None) -> list[Example]:
+    """The text with each span in other forms, as it stands and with no cue before it.
+
+    All forms, or two of them each if a ``turn`` is given, so that many texts share them out.
+    """
     out = []
     for kind, a, b in spans:
-        old = text[a:b]
-        if kind == 0:
-            new = old.replace("@", " at ").replace(".", " dot ") if "." not in old.split("@")[0] else old.replace("@", " at ")
-        elif kind == 3:
-            new = re.sub(r"^\+[0-9]{1,2}[ .-]", "", old)
-        else:
-            continue
-        if new != old:
-            out.append((text[:a] + new + text[b:], [(kind, a, a + len(new))]))
+        known = forms(kind, text[a:b])
+        for shift in (0, 1):
+            for n, new in enumerate(known):
+                if turn is not None and (n - turn - shift) % len(known) not in (0, 2):
+                    continue
+                before, word = re.fullmatch(r"(?s)(.*?)(\S*)", text[:a].rstrip(" ")).groups() if shift else (text[:a], "")
+                if shift and word:
+                    before += NEUTRAL[((turn or 0) + n) % len(NEUTRAL)] + " "
+                out.append((before + new + text[b:], [(kind, len(before), len(before) + len(new))]))
     return out
 
 
@@ -331,12 +364,16 @@ def plausible(kind: int, text: str, a: int, b: int) -> bool:
     if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
         return False
     if kind == 0:
-        return SHAPES[0][1].fullmatch(span) is not None or SHAPES[1][1].fullmatch(span) is not None
+        return shaped(span, "email", "spelled") or "(at)" in span and shaped(span, "half")
     if kind == 1:
-        return SHAPES[2][1].fullmatch(span) is not None and all(int(p) <= 255 for p in span.split("."))
+        return shaped(span, "ip") and all(int(p) <= 255 for p in span.split("."))
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return SHAPES[3][1].fullmatch(span) is not None or SHAPES[4][1].fullmatch(span) is not None
+    return shaped(span, "plus", "grouped") or 9 <= len(digits) <= 12 and shaped(span, "national")
+
+
+def shaped(span: str, *names: str) -> bool:
+    return any(SHAPE[n].fullmatch(span) is not None for n in names)
 
 
 # Spark
@@ -368,7 +405,8 @@ def labelled_zones(docs: DataFrame, text: str, key: str, sample: int) -> list[Ex
 
 def default_field(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 300) -> Field:
     examples = labelled_zones(docs, text, key, sample)
-    return train(BUILT_IN * 4 + examples + [x for t, s in BUILT_IN * 4 + examples for x in rewritten(t, s)])
+    return train(BUILT_IN * 4 + examples + [x for t, s in BUILT_IN * 4 for x in rewritten(t, s)]
+                 + [x for n, (t, s) in enumerate(examples) for x in rewritten(t, s, n)])
 
 
 def find_personal(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

@@ -185,3 +185,22 @@ def test_addresses_of_several_labels_are_segments():
     for address in ("ann at mail dot example dot com", "ann at example dot co dot uk", "ann at a dot mail dot example dot co dot uk"):
         text = f"please write to {address} today"
         assert address in [text[a:b] for k, a, b in pii_crf.added_spans(text, [], field) if k == 0], address
+
+
+def test_recall_of_held_out_forms(spark):
+    """The field that the query trains, on forms, names and sentences it has not seen."""
+    forms = {0: ("joe at mail dot example dot org", "ann at example dot com", "mary.jones (at) firm (dot) net",
+                 "p.k (at) uni-bonn.de", "x_y at a dot co dot uk"),
+             2: ("4111.1111.1111.1111", "5500.0000.0000.0004"),
+             3: ("(212) 555-0123", "212-555-0123", "212.555.0123", "0171 555 0123", "0221/4567890", "415 555 0199")}
+    sentences = ("please call or write to {} about it today", "contact {} now", "The reader may find {} in the third list of names.",
+                 "{} is what they gave us", "Our office in Leeds ({}) opens at nine")
+    others = ("it took 2024-05-06 to 2024-06-07 and 300 units", "version 10.4.200 of 12.03.2021", "more at www.example.com today 123",
+              "isbn 978-3-16-148410-0 in 1999", "pages 100-200-300 at 1200", "total 1 234 567 890 of 2020",
+              "they sat at the table dot 100", "sum 0 100 200 300 and 0.25 or 007")
+    field = pii_crf.default_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    added = lambda t: pii_crf.added_spans(t, pii_crf.base_spans(t), field)
+    found = [form in [text[a:b] for k, a, b in added(text) if k == kind]
+             for kind, known in forms.items() for form in known for text in (s.format(form) for s in sentences)]
+    assert sum(found) >= 0.9 * len(found)
+    assert not any(added(t) for t in others)
