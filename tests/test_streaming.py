@@ -159,3 +159,28 @@ def test_repeated_batch_leaves_one_copy(spark, tmp_path):
     with pytest.raises(Exception):
         batches.start(spark.readStream.schema("id long").parquet(source).selectExpr("raise_error('x') AS id"), out, str(tmp_path / "c")).awaitTermination()
     assert got.count() == 10
+
+
+def test_no_task_meets_a_whole_cursor(spark):
+    """Of one cursor's rows only breaks and ends of slices go to its state; the slices' order is that of positions."""
+    lacking = "id % 97 <> 0 AND id % 100 <> 1"
+    seq = spark.range(4_000).where(lacking).selectExpr("0L AS host_id", "id AS pos", "0L AS cpu", "id + 4294965296 AS seq", "id AS observed_ns") \
+        .withColumn("seq", F.expr("seq % 4294967296"))
+    cut = audit.cut(audit.sequence_rows(seq), 500)
+    assert cut.where("first OR last").count() == 16 and cut.count() < 120
+    lost = spark.range(4_000).selectExpr("0L AS host_id", "id AS pos", "(id * 7919) % 3989 AS lost_total", "id AS observed_ns", "'windows-etw' AS backend")
+    both = audit.sequence_rows(seq).unionByName(audit.lost_rows(lost))
+    got = streamed(spark, both, "pos", audit.INPUT, lambda df: audit.audit_events(df, width=500), 3)
+    assert rows(got) == rows(G.sequence_gaps(seq).unionByName(G.lost_gaps(lost)))
+
+
+def test_parts_land_as_many_files(spark):
+    """A part is written by all tasks, and large inputs land in more parts than asked for."""
+    from lifeline.plans.bindings import landings
+
+    schema = S.struct_of(("pos", S.T.LongType()))
+    seen = [spark.read.parquet(folder).count() for folder in landings(spark.range(1_000, numPartitions=4).selectExpr("id AS pos"), "pos", schema, 2, 100)]
+    assert seen == list(range(100, 1_001, 100))
+    folder = landed(spark.range(1_000, numPartitions=4).selectExpr("id AS pos"), "pos", schema, 1)
+    assert len(spark.read.parquet(folder).inputFiles()) > 1
+    assert [spark.read.parquet(f).count() for f in landings(spark.range(0).selectExpr("id AS pos"), "pos", schema, 1)] == [0]
