@@ -1,6 +1,7 @@
 """The latest events while they arrive: each trigger passes on only what enters the view.
 
-Every bucket of hosts keeps the places of its latest ``size`` events as list state and
+Every task first drops what cannot be among the latest ``size`` of its own rows. Every
+bucket of hosts keeps the places of its latest ``size`` events as list state and
 passes on rows that come after the least of them. The view is the latest ``size`` of all
 that was passed on, at most ``size`` rows per bucket and trigger, whatever arrived.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +30,28 @@ def place(row: Row) -> tuple:
     return key["pos"], key["phase"], key["pid"], key["sub"], row.host_id, row.kind
 
 
+def _latest(size: int):
+    """Of a task's rows the latest ``size``, few more than that held at any time."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows > 4 * size:
+                held = _top(held, size)
+        if held is not None:
+            yield from _top(held, size).combine_chunks().to_batches()
+
+    return keep
+
+
+def _top(table: pa.Table, size: int) -> pa.Table:
+    key = table["order_key"].combine_chunks()
+    parts = {**{c: key.field(c) for c in ("pos", "phase", "pid", "sub")}, "host_id": table["host_id"], "kind": table["kind"]}
+    order = pa.table(parts).append_column("_row", pa.array(range(table.num_rows), pa.int64())).sort_by([(c, "descending") for c in parts])
+    return table.take(order["_row"][:size])
+
+
 class Latest(StatefulProcessor):
     """State: the places of the latest events of a bucket."""
 
@@ -50,7 +74,8 @@ class Latest(StatefulProcessor):
 
 def entering(events: DataFrame, size: int = RETAINED, buckets: int = BUCKETS) -> DataFrame:
     """The rows of a stream of LIFECYCLE_EVENT that enter the view."""
-    return stateful(dealt(events, "host_id", buckets=buckets), ["bucket"], Latest(size), S.LIFECYCLE_EVENT)
+    own = S.conform(events, S.LIFECYCLE_EVENT).mapInArrow(_latest(size), S.LIFECYCLE_EVENT)
+    return stateful(dealt(own, "host_id", buckets=buckets), ["bucket"], Latest(size), S.LIFECYCLE_EVENT)
 
 
 def view(passed_on: DataFrame, size: int = RETAINED) -> DataFrame:

@@ -184,3 +184,13 @@ def test_parts_land_as_many_files(spark):
     folder = landed(spark.range(1_000, numPartitions=4).selectExpr("id AS pos"), "pos", schema, 1)
     assert len(spark.read.parquet(folder).inputFiles()) > 1
     assert [spark.read.parquet(f).count() for f in landings(spark.range(0).selectExpr("id AS pos"), "pos", schema, 1)] == [0]
+
+
+def test_recent_view_drops_early(spark):
+    """A task hands on no more rows than the view holds, the latest ones."""
+    from lifeline.streaming import recent
+
+    events = S.as_events(spark.range(3_000, numPartitions=1).selectExpr(
+        "0L AS host_id", f"{S.order_key('(id * 7919) % 3001', 1, 'id % 3')} AS order_key", "'start' AS kind", "id AS event_ns"))
+    kept = events.mapInArrow(recent._latest(20), S.LIFECYCLE_EVENT).select("order_key.pos").collect()
+    assert sorted(r.pos for r in kept) == sorted((i * 7919) % 3001 for i in range(3_000))[-20:]
