@@ -193,3 +193,17 @@ def test_chains_gaps_and_cancellation(spark):
     assert brief(streamed(spark, landed, "pos", live.INPUT, live.trace_events, 4)) == brief(events)
     assert got[2] == opening + [
         ("gap", None, 35, [], "trace stopped before the command and all observed descendants completed")]
+
+
+def test_stream_packs_tables(spark):
+    """A scan's rows reach the traces as one value per task that read them, with all that they tell."""
+    scans = spark.range(0, 600, 1, 2).selectExpr(
+        "id % 2 AS host_id", "id % 3 AS scan_id", "CAST(id AS string) AS process_id", "id AS pid", "1L AS ppid", "'c' AS command",
+        "CASE WHEN id % 2 = 0 THEN 1700000000123456789 + id END AS started_ns", "id AS captured_ns").cache()
+    manifest = spark.range(6).selectExpr(
+        "id % 2 AS host_id", "id div 2 AS scan_id", "id div 2 AS pos", "true AS success", "CAST(NULL AS string) AS error", "id AS observed_ns")
+    rows = live.scan_rows(scans, manifest).where(f"what = '{live.PROCESS}'").coalesce(1)
+    tables = live.packed_tables(rows).collect()
+    assert len(tables) == 6
+    found = {(t.host_id, t.scan_id, *p) for t in tables for p in live.unpacked_table(t.table)}
+    assert found == {(r.host_id, r.scan_id, *r.proc) for r in rows.collect()} and len(found) == 600
