@@ -207,3 +207,21 @@ def test_stream_packs_tables(spark):
     assert len(tables) == 6
     found = {(t.host_id, t.scan_id, *p) for t in tables for p in live.unpacked_table(t.table)}
     assert found == {(r.host_id, r.scan_id, *r.proc) for r in rows.collect()} and len(found) == 600
+
+
+def test_replay_reads_stored_rows(spark, monkeypatch):
+    """What the replay reads several times is stored: events with chains no longer read the runs they come from."""
+    from lifeline.operators import trace as tracing
+
+    read, store = {}, tracing.materialise
+    monkeypatch.setattr(tracing, "materialise", lambda df, name: read.update({name: df.inputFiles()}) or store(df, name))
+    scans = spark.range(40).selectExpr(
+        "0L AS host_id", "id div 10 AS scan_id", "CAST(id % 10 AS string) AS process_id", "id % 10 AS pid", "0L AS ppid", "'c' AS command",
+        "'/c' AS exe", "CAST(NULL AS string) AS uid", "id AS started_ns", "id AS captured_ns")
+    manifest = spark.range(4).selectExpr("0L AS host_id", "id AS scan_id", "id * 10 AS pos", "true AS success", "id AS observed_ns")
+    numbered = D.scan_ordinals(manifest)
+    asked = spark.createDataFrame([request(trace_id=1, host_id=0, root_pid=5, parent_pid=0, argv=["c"], started_ns=0, started_pos=-5,
+                                           poll_ns=1, tail_ns=0)], S.TRACE_REQUEST)
+    trace(D.attach_manifest(scans, numbered), numbered, asked, chains=True)
+    files = read["trace-events"]
+    assert any("/trace-rows-" in f for f in files) and not any("/trace-runs-" in f for f in files)
