@@ -194,3 +194,84 @@ def test_recent_view_drops_early(spark):
         "0L AS host_id", f"{S.order_key('(id * 7919) % 3001', 1, 'id % 3')} AS order_key", "'start' AS kind", "id AS event_ns"))
     kept = events.mapInArrow(recent._latest(20), S.LIFECYCLE_EVENT).select("order_key.pos").collect()
     assert sorted(r.pos for r in kept) == sorted((i * 7919) % 3001 for i in range(3_000))[-20:]
+
+
+def test_crowded_positions_land_in_parts(spark):
+    """Rows may stand at the last positions, as those of large scans do; no part has more than asked for, and none is lost."""
+    from lifeline.plans.bindings import landings
+
+    schema = S.struct_of(("pos", S.T.LongType()), ("id", S.T.LongType()))
+    crowded = spark.range(1_000, numPartitions=4).selectExpr("CASE WHEN id < 100 THEN id * 1000 ELSE 99900 + id div 10 END AS pos", "id")
+    seen = [spark.read.parquet(folder).agg(F.count("*"), F.max("pos")).first() for folder in landings(crowded, "pos", schema, 3, 200)]
+    counts = [c for c, _ in seen]
+    assert counts[-1] == 1_000 and max(b - a for a, b in zip([0, *counts], counts)) <= 200
+    assert all(seen[i][1] <= seen[i + 1][1] for i in range(len(seen) - 1))
+    last = [spark.read.parquet(folder) for folder in landings(crowded, "pos", schema, 3, 200)][-1]
+    assert sorted(last.collect()) == sorted(crowded.collect())
+
+
+def test_replay_reaches_the_state_as_tables(spark):
+    """The engine hands over a few values per key, not a row per notice, and they hold every row."""
+    notices = spark.range(6_000, numPartitions=2).selectExpr(
+        "id % 3 AS host_id", "id AS pos", "id % 50 AS pid", "'start' AS kind", "CASE WHEN id % 2 = 0 THEN id + 1700000000123456789 END AS event_ns")
+    dealt = engine.dealt(S.conform(notices, live.INPUT), "pid", "false", 4)
+    tables = engine.tables_of(dealt, ["host_id", "bucket"], live.INPUT)
+    assert tables.count() <= 2 * 3 * 4
+    assert sorted(map(str, engine.rows_of(tables, live.INPUT).collect())) == sorted(map(str, dealt.select(*live.INPUT.fieldNames()).collect()))
+    one_host = tables.where("host_id = 1 AND bucket = 0")
+    assert engine.rows_of(one_host, live.INPUT).exceptAll(dealt.where("host_id = 1 AND bucket = 0").drop("bucket")).count() == 0
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+def test_columns_equal_a_row_after_another(pieces):
+    """Scans that failed, ended late, never ended or have a row twice, unknown families and kinds, missing starts."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rng, rows = random.Random(17), []
+    process = lambda pid, at: {**dict.fromkeys(S.PROCESS.fieldNames()), "process_id": rng.choice([f"connector:{pid}:{at}", f"{pid}:1", str(pid)]),
+                               "pid": pid, "ppid": rng.choice([None, 0, 4]), "command": rng.choice("ab"),
+                               "started_ns": rng.choice([None, at]), "captured_ns": rng.choice([None, at + 1])}
+    for pos in range(0, 600, 2):
+        pid, at = rng.randrange(6), 1_700_000_000_123_456_789 + pos * 400_000_000
+        same = {**dict.fromkeys(live.INPUT.fieldNames()), "host_id": 1, "pos": pos, "observed_ns": at}
+        rows.append({**same, "pid": pid, "kind": rng.choice(["start", "exec", "stop", None]), "family": rng.choice(["linux", "windows", None]),
+                     "event_ns": rng.choice([None, at]), "exit_code": rng.choice([None, 3]), "cand": process(pid, at), "solid": rng.random() < 0.5})
+        if pos % 30 == 0:
+            shown = [{**same, "pos": pos + 1, "pid": p, "kind": "scan", "family": "linux", "event_ns": at, "cand": process(p, at), "solid": True}
+                     for p in rng.sample(range(6), 3)]
+            rows += [*shown, shown[0]] + [{**same, "pos": pos + 1, "kind": live.SCAN_END, "success": rng.choice([True, True, False, None])}] * (pos % 90 != 0)
+
+    class Plain(dict):
+        put = dict.__setitem__
+        get = dict.get
+        all = lambda self: [p for p, v in self.items() if v is not None]
+
+    values = lambda r: tuple(tuple(v.values()) if isinstance(v, dict) else v for v in r.values())
+    known, waiting, want = Plain(), [], []
+    for r in rows:
+        host, pid, pos, kind, family, _, at, *_ = row = values(r)
+        if kind == "scan":
+            waiting.append(row)
+        elif kind == live.SCAN_END:
+            here = {w[1]: w for w in waiting if w[2] == pos}
+            waiting = [w for w in waiting if w[2] > pos]
+            if row[10]:
+                want += [live.apply(known, host, p, pos, "absent", known.get(p)[2], at, at, None, None, False) for p in known.all() if p not in here]
+                want += [live.apply(known, *w[:10]) for w in here.values()]
+        else:
+            want.append(live.apply(known, *row[:10]))
+
+    schema = to_arrow_schema(live.INPUT)
+    left, open_rows, got = pa.Table.from_pylist([], to_arrow_schema(live.LIVE)), pa.Table.from_pylist([], schema), []
+    for i in range(pieces):
+        part = rows[len(rows) * i // pieces:len(rows) * (i + 1) // pieces]
+        rng.shuffle(part)
+        landed_rows = pa.concat_tables([open_rows, pa.Table.from_pylist(part, schema)]).combine_chunks()
+        stored = engine.get_tables([v for v, in engine.put_tables(left)], left.schema)
+        states, left, open_rows = live.folded(stored, landed_rows)
+        got += [values(r) for r in states.to_pylist()]
+    assert len(got) > 300 and sorted(map(str, got)) == sorted(str(tuple(w)) for w in want)
+    assert {p: known[p] for p in known.all()} == {r["pid"]: (tuple(r["process"].values()), r["pos"], r["family"]) for r in left.to_pylist()}
