@@ -7,18 +7,24 @@ a named source never changes. The first table after the change is a silent basel
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lifeline import schemas as S
 from lifeline.operators import fold
 from lifeline.operators.replay import candidates, lifecycle_events
-from lifeline.streaming.engine import BUCKETS, dealt, get_rows, packed, put_rows, stateful
-from lifeline.streaming.replay import KNOWN, PID, Known, apply, unpacked
-from lifeline.streaming.scans import TABLE, WAITING, compared
+from lifeline.streaming.engine import (
+    TABLE, TABLE_ROWS, TableRow, dealt, get_tables, put_table, put_tables, replace_tables, rows_of, stateful, table_of, tables_of, tuples)
+from lifeline.streaming.replay import REPLAY_BUCKETS, Known, apply
+from lifeline.streaming.scans import TABLE as POLLED, WAITING, compared
 from lifeline.streaming.trace import FOUND, FoundRow
 
 HEALTH, FAILURE, NOTICE, PROCESS, SCAN_END = "health", "failure", "notice", "process", "scan_end"
@@ -63,17 +69,29 @@ class Fallback(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.choice = handle.getValueState("choice", CHOICE)
-        self.live = handle.getMapState("live", PID, KNOWN)
-        self.table = handle.getListState("table", packed(TABLE))
-        self.waiting = handle.getListState("waiting", packed(WAITING))
+        self.live = handle.getListState("live", TABLE)
+        self.table = handle.getListState("table", TABLE)
+        self.waiting = handle.getListState("waiting", TABLE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        landed = get_tables((r.rows for r in rows), to_arrow_schema(INPUT))
+        found = self.found(key, landed)
+        while part := [tuple(row) for row in islice(found, TABLE_ROWS)]:
+            yield TableRow(put_table(table_of(part, FOUND)))
+
+    def found(self, key, landed: pa.Table) -> Iterator[Row]:
         host, bucket = key
         requested, source, backend, begun = self.choice.get() if self.choice.exists() else (None, None, None, False)
-        known, waiting = Known(self.live), [(r[0], tuple(r[1])) for r in get_rows(self.waiting)]
-        before = [(tuple(r[0]), r[1], r[2]) for r in get_rows(self.table)] if begun else None
+        known, waiting, before = Known(self.live), defaultdict(list), None
+        # Process rows wait unread until an end lands.
+        if pc.any(pc.equal(landed["what"], SCAN_END)).as_py():
+            for scan, process in tuples(get_tables((v[0] for v in self.waiting.get()), to_arrow_schema(WAITING))):
+                waiting[scan].append(process)
+            self.waiting.clear()
+            if begun:
+                before = tuples(get_tables((v[0] for v in self.table.get()), to_arrow_schema(POLLED)))
         # Every value of a row by its name's place; the first ten are those of a replay.
-        for row in sorted(map(unpacked_row, rows), key=lambda r: (r[AT["pos"]], ORDER[r[AT["what"]]])):
+        for row in sorted(tuples(landed), key=lambda r: (r[AT["pos"]], ORDER[r[AT["what"]]])):
             what, pos, at_ns, error = (row[AT[c]] for c in ("what", "pos", "observed_ns", "error"))
             if what == HEALTH:
                 requested, backend, available = row[AT["requested"]], row[AT["backend"]], row[AT["available"]]
@@ -89,10 +107,9 @@ class Fallback(StatefulProcessor):
             elif what == NOTICE and source not in (None, S.POLL):
                 yield FoundRow(*apply(known, *row[:10]), None, None)
             elif what == PROCESS:
-                waiting.append((row[AT["scan_id"]], row[AT["cand"]]))
+                waiting[row[AT["scan_id"]]].append(row[AT["cand"]])
             elif what == SCAN_END:
-                shown = [p for s, p in waiting if s == row[AT["scan_id"]]]
-                waiting = [w for w in waiting if w[0] != row[AT["scan_id"]]]
+                shown = waiting.pop(row[AT["scan_id"]], [])
                 if source == S.POLL and row[AT["success"]]:
                     previous = {r[0][fold.ID]: r[0] for r in before or ()}
                     before, changes = compared(before, shown)
@@ -100,9 +117,11 @@ class Fallback(StatefulProcessor):
                         yield self.change(host, pos, at_ns, kind, previous.get(process[fold.ID]), first(process, captured, started))
         known.write()
         if before is not None:
-            put_rows(self.table, before)
-        put_rows(self.waiting, waiting)
-        self.choice.update((requested, source, backend, before is not None))
+            replace_tables(self.table, table_of(before, POLLED))
+        left = put_tables(table_of([(scan, process) for scan, shown in waiting.items() for process in shown], WAITING))
+        if left:
+            self.waiting.appendList(left)
+        self.choice.update((requested, source, backend, begun or before is not None))
 
     @staticmethod
     def change(host: int, pos: int, at_ns: int, kind: str, old: tuple | None, process: tuple) -> Row:
@@ -126,11 +145,8 @@ def first(process: tuple, captured: int | None, started: int | None) -> tuple:
     return tuple(values)
 
 
-def unpacked_row(row: Row) -> tuple:
-    return unpacked(row, len(INPUT))
-
-
-def fallback_events(rows: DataFrame, collector: str = "collector", buckets: int = BUCKETS) -> DataFrame:
+def fallback_events(rows: DataFrame, collector: str = "collector", buckets: int = REPLAY_BUCKETS) -> DataFrame:
     """Events of a stream of INPUT rows: native, then polled ones, and a gap where they meet."""
+    key = ["host_id", "bucket"]
     spread = dealt(rows, "pid", f"what IN ('{HEALTH}', '{FAILURE}', '{SCAN_END}')", buckets)
-    return lifecycle_events(stateful(spread, ["host_id", "bucket"], Fallback(collector), FOUND))
+    return lifecycle_events(rows_of(stateful(tables_of(spread, key, INPUT), key, Fallback(collector), TABLE), FOUND))

@@ -22,7 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lifeline import schemas as S
 from lifeline.operators import fold
 from lifeline.operators.replay import STATE_ROWS, candidates, lifecycle_events, table_rows
-from lifeline.streaming.engine import TABLE, dealt, get_tables, put_tables, rows_of, stateful, tables_of
+from lifeline.streaming.engine import (
+    TABLE, TableRow, dealt, get_tables, listed, put_tables, replace_tables, rows_of, stateful, table_of, tables_of, tuples)
 
 SCAN_END = "scan_end"
 _L, _S, _B = T.LongType(), T.StringType(), T.BooleanType()
@@ -37,7 +38,6 @@ REPLAY_BUCKETS = 32      # a bucket's rows of a micro-batch are in memory at onc
 NUMBER = S.PROCESS_COLUMNS.index("command")
 NOTHING = (None, None, None)
 StateRow = Row(*STATE_ROWS.fieldNames())
-TableRow = Row(*TABLE.fieldNames())
 
 
 def notice_rows(notices: DataFrame) -> DataFrame:
@@ -51,38 +51,24 @@ def scan_rows(scans: DataFrame, ends: DataFrame) -> DataFrame:
     return S.conform(table_rows(scans, fold.SCAN), INPUT).unionByName(S.conform(finished, INPUT))
 
 
-def unpacked(row: Row, columns: int = len(INPUT)) -> tuple:
-    """The values of a row's columns; the engine hands nested values over as dictionaries."""
-    return tuple(tuple(v.values()) if isinstance(v, dict) else v for v in row[:columns])
-
-
 class Known:
-    """The live processes of one key: read when asked for, written back at the end of a batch."""
+    """The live processes of one key: read at once, written back at the end of a batch if any has changed."""
 
     def __init__(self, store):
-        self.store, self.seen, self.changed = store, {}, set()
+        self.store, self.changed = store, False
+        found = get_tables((v[0] for v in store.get()), to_arrow_schema(LIVE))
+        self.live = {pid: state for pid, *state in tuples(found)}
 
     def get(self, pid: int):
-        if pid not in self.seen:
-            found = self.store.getValue((pid,))
-            self.seen[pid] = None if found is None else (tuple(found[0]), found[1], found[2])
-        return self.seen[pid]
+        return self.live.get(pid)
 
     def put(self, pid: int, value) -> None:
-        self.seen[pid] = value
-        self.changed.add(pid)
-
-    def all(self) -> list[int]:
-        for (pid,), found in self.store.iterator():
-            self.seen.setdefault(pid, (tuple(found[0]), found[1], found[2]))
-        return sorted(pid for pid, value in self.seen.items() if value is not None)
+        self.changed = True
+        self.live.pop(pid, None) if value is None else self.live.update({pid: value})
 
     def write(self) -> None:
-        for pid in self.changed:
-            if self.seen[pid] is not None:
-                self.store.updateValue((pid,), self.seen[pid])
-            elif self.store.containsKey((pid,)):
-                self.store.removeKey((pid,))
+        if self.changed:
+            replace_tables(self.store, table_of([(pid, *state) for pid, state in self.live.items()], LIVE))
 
 
 def apply(known: Known, host: int, pid: int, pos: int, kind: str, family: str | None, event_ns, observed_ns,
@@ -96,17 +82,6 @@ def apply(known: Known, host: int, pid: int, pos: int, kind: str, family: str |
                     before is not None and fresh, cand, None)
 
 
-def listed(column: pa.Array | pa.ChunkedArray) -> list:
-    """A column's values as Python's; integers beside nulls keep their digits."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not pa.types.is_integer(values.type):
-        return values.to_numpy(zero_copy_only=False).tolist()
-    found = values.fill_null(0).to_numpy().tolist()
-    for i in np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)):
-        found[i] = None
-    return found
-
-
 def thin(processes: pa.StructArray) -> list[tuple | None]:
     """What a step looks at of each process; in place of its command, its number."""
     read = {c: listed(processes.field(c)) for c in ("process_id", "ppid", "started_ns", "captured_ns")}
@@ -203,8 +178,7 @@ class Replay(StatefulProcessor):
         if waiting.num_rows:
             self.waiting.appendList(put_tables(waiting))
         if states.num_rows:
-            kept = put_tables(live)
-            self.live.put(kept) if kept else self.live.clear()
+            replace_tables(self.live, live)
         yield from map(TableRow, (v for v, in put_tables(states)))
 
     def close(self) -> None:

@@ -275,3 +275,17 @@ def test_columns_equal_a_row_after_another(pieces):
         got += [values(r) for r in states.to_pylist()]
     assert len(got) > 300 and sorted(map(str, got)) == sorted(str(tuple(w)) for w in want)
     assert {p: known[p] for p in known.all()} == {r["pid"]: (tuple(r["process"].values()), r["pos"], r["family"]) for r in left.to_pylist()}
+
+
+def test_tables_keep_rows():
+    """Rows become columns and rows again: null structs, integers beyond doubles beside nulls, no rows."""
+    from lifeline.streaming.trace import FOUND
+
+    big = 1_700_000_000_123_456_789
+    process = (f"1:{big}", 1, None, "c", None, None, None, None, None, None, big, None)
+    width = len(FOUND) - 1
+    rows = [(1, *(None,) * width), tuple(process if f.name in ("before", "after") else {"long": big, "string": "x", "boolean": False, "integer": 3}.get(
+        f.dataType.typeName()) for f in FOUND.fields)]
+    for some in (rows, rows[:1], []):
+        values = engine.put_tables(engine.table_of(some, FOUND))
+        assert engine.tuples(engine.get_tables((v for v, in values), engine.to_arrow_schema(FOUND))) == some
