@@ -15,41 +15,60 @@ import zstandard
 from pyspark.sql import DataFrame
 
 BLOCK = 1 << 17
+SCHEMA = "block int, counts binary"
 
 
-def summed(df: DataFrame, size: int, slots: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
-    """Count how often each slot below ``size`` is named by ``slots`` over the whole table."""
-    blocks = -(-size // BLOCK)
+class Counts:
+    """Counts of slots as one task fills them, in blocks that are made once a slot of theirs is named."""
 
-    def send(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for b, c in counts.items():
-            packed = zstandard.compress(c.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
+    def __init__(self, size: int):
+        self.blocks = -(-size // BLOCK)
+        self.held: dict[int, np.ndarray] = {}
 
-    def fill(batches):
-        counts: dict[int, np.ndarray] = {}
-        for found in slots(batches):
-            found = np.sort(found)
-            cut = np.searchsorted(found, np.arange(blocks + 1) * BLOCK)
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                more = np.bincount(found[cut[b]:cut[b + 1]] - b * BLOCK, minlength=BLOCK)
-                if b in counts:
-                    counts[b] += more
-                else:
-                    counts[b] = more
-        yield from send(counts)
+    def add(self, found: np.ndarray) -> None:
+        found = np.sort(found)
+        cut = np.searchsorted(found, np.arange(self.blocks + 1) * BLOCK)
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            self.more(b, np.bincount(found[cut[b]:cut[b + 1]] - b * BLOCK, minlength=BLOCK))
 
+    def more(self, block: int, counts: np.ndarray) -> None:
+        if block in self.held:
+            self.held[block] = self.held[block] + counts
+        else:
+            self.held[block] = counts
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        for b, c in self.held.items():
+            yield b, zstandard.compress(c.tobytes(), 1)
+
+
+def total(sent: DataFrame, size: int) -> np.ndarray:
+    """The sum of rows (block, counts) as ``Counts.packed`` gives them."""
     def add(batches):
-        counts: dict[int, np.ndarray] = {}
+        counts = Counts(size)
         for batch in batches:
             for b, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                more = np.frombuffer(zstandard.decompress(packed), np.int64)
-                counts[b] = counts[b] + more if b in counts else more
-        yield from send(counts)
+                counts.more(b, np.frombuffer(zstandard.decompress(packed), np.int64))
+        yield from _rows(counts)
 
-    schema = "block int, counts binary"
-    whole = df.mapInArrow(fill, schema).repartition(min(blocks, 64), "block").mapInArrow(add, schema)
+    blocks = -(-size // BLOCK)
     out = np.zeros(blocks * BLOCK, np.int64)
-    for row in whole.collect():  # ``size`` numbers, whatever the input
+    for row in sent.repartition(min(blocks, 64), "block").mapInArrow(add, SCHEMA).collect():  # ``size`` numbers, whatever the input
         out[row.block * BLOCK:(row.block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(row.counts), np.int64)
     return out[:size]
+
+
+def _rows(counts: Counts) -> Iterator[pa.RecordBatch]:
+    for b, packed in counts.packed():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
+
+
+def summed(df: DataFrame, size: int, slots: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """Count how often each slot below ``size`` is named by ``slots`` over the whole table."""
+    def fill(batches):
+        counts = Counts(size)
+        for found in slots(batches):
+            counts.add(found)
+        yield from _rows(counts)
+
+    return total(df.mapInArrow(fill, SCHEMA), size)

@@ -13,7 +13,8 @@ Steps, each a Spark job over the whole table:
    classes joined by possible pairs form a cluster. No set is sent so far.
 4. The sets of a cluster meet, ordered, in a prefix tree (most frequent n-gram first, so
    that long beginnings are shared). A traversal carries the overlap along shared paths
-   and prunes a subtree once the remaining lengths cannot reach the wanted overlap. A
+   and prunes a subtree once the remaining lengths cannot reach the wanted overlap. In
+   larger groups it goes only to sets that the bitmaps, compared as matrices, allow. A
    group reports a spanning forest of its links, so n near copies give n - 1 of them.
 5. Components of the links name the result.
 
@@ -35,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifeline.llm import bytescan, fixed
@@ -47,6 +48,7 @@ FILTER_BITS = 1 << 23    # 1 MB filter of the classes whose sets are sent
 BLOCK = 768              # classes of a group that meet at once
 MIN_BITS = 64
 BITS_EACH = 4            # bitmap bits for each element of a set
+FEW = 16                 # sets of a group that are compared without matrices of bitmaps
 
 
 class Shape:
@@ -81,8 +83,12 @@ def ngram_sets(piece: bytescan.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
             whole.append(h[0])
         grams = np.concatenate([grams, np.array(whole, np.uint64)])
         row = np.concatenate([row, np.array(short, row.dtype)])
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
+        order = np.argsort(row, kind="stable")
+        grams, row = grams[order], row[order]
+    # Row by row: a sort of all rows at once takes ten times as long.
+    cuts = np.searchsorted(row, np.arange(piece.rows + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        grams[a:b].sort()
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
     grams, row = grams[new], row[new]
@@ -118,6 +124,51 @@ def most_common(a: int, bits_a: int, size_a: int, b: int, bits_b: int, size_b: i
     return (size_a + size_b - (a ^ b).bit_count()) // 2
 
 
+class Bitmaps:
+    """Bitmaps of a group's sets as matrices, one per width; bounds of one set with many others at once."""
+
+    def __init__(self, maps: list[bytes], sizes: list[int], shape: Shape):
+        self.shape, self.sizes = shape, np.array(sizes, np.int64)
+        width = np.array([len(m) // 8 for m in maps])
+        self.width, self.row, self.members, self.matrix = width.tolist(), np.zeros(len(maps), np.int64), {}, {}
+        for w in np.unique(width).tolist():
+            at = self.members[w] = np.flatnonzero(width == w)
+            self.row[at] = np.arange(len(at))
+            self.matrix[w, w] = np.frombuffer(b"".join([maps[i] for i in at.tolist()]), np.uint64).reshape(len(at), w)
+
+    def folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.matrix:
+            own = self.matrix[width, width]
+            self.matrix[width, to] = np.bitwise_xor.reduce(own.reshape(len(own), width // to, to), axis=1)
+        return self.matrix[width, to]
+
+    def allow(self, i: int, free: np.ndarray) -> np.ndarray:
+        """The places of those among ``free`` (flags) that may be similar to the set at ``i``."""
+        size, own, found = int(self.sizes[i]), self.width[i], []
+        for w, at in self.members.items():
+            at = at[free[at]]
+            both = size + self.sizes[at]
+            wanted = -(-self.shape.percent * both // (100 + self.shape.percent))
+            fit = np.minimum(self.sizes[at], size) >= wanted
+            at, both, wanted = at[fit], both[fit], wanted[fit]
+            if len(at):
+                to = min(w, own)
+                differ = self.folded(w, to)[self.row[at]] ^ self.folded(own, to)[self.row[i]]
+                found.append(at[(both - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)) // 2 >= wanted])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def parts(self) -> list[int]:
+        """The first member that each member reaches by pairs that the bitmaps allow."""
+        root, free = np.arange(len(self.sizes)), np.ones(len(self.sizes), bool)
+        for i in range(len(root)):
+            reached, free[i] = [i] if free[i] else [], False
+            while reached and free.any():
+                more = self.allow(reached.pop(), free)
+                root[more], free[more] = i, False
+                reached.extend(more.tolist())
+        return root.tolist()
+
+
 # Prefix tree
 
 
@@ -165,11 +216,20 @@ class PrefixTree:
 def forest(ids: list[int], sequences: list[np.ndarray], shape: Shape) -> list[tuple[int, int]]:
     """A spanning forest of the links within a group: no link is lost, none repeated."""
     tree = PrefixTree(sequences, shape)
+    maps = Bitmaps([bitmap(s) for s in tree.sequences], tree.sizes, shape) if len(ids) > FEW else None
     root = np.arange(len(ids))
     for i in range(len(ids)):
         if i and root[i] == root[i - 1] and (root == root[i]).all():
             break
-        for j in tree.similar(tree.sequences[i], root == root[i]):
+        skip = root == root[i]
+        skip[:i] = True                                  # these have probed the tree themselves
+        if maps:
+            near = maps.allow(i, ~skip)
+            if not len(near):
+                continue
+            skip[:] = True
+            skip[near] = False
+        for j in tree.similar(tree.sequences[i], skip):
             a, b = root[i], root[j]
             if a != b:
                 root[root == max(a, b)] = min(a, b)
@@ -223,34 +283,44 @@ def signed(x: np.ndarray) -> pa.Array:
 # The join
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, n: int, slots: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The class of every row, and in rows of their own the tasks' counts of n-grams (block, counts)."""
     kinds = dict(docs.dtypes)
-    schema = "id bigint, size bigint, node bigint, bits binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = "id bigint, size bigint, node bigint, bits binary, mark bigint, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + fixed.SCHEMA
 
     def describe(batches):
+        counts, batch = fixed.Counts(slots), None
         for piece in bytescan.pieces(batches, "text"):
+            batch = piece.batch
             grams, cuts = ngram_sets(piece, n)
+            counts.add((grams & np.uint64(slots - 1)).astype(np.int64))
             maps = [bitmap(grams[cuts[r]:cuts[r + 1]]) if cuts[r + 1] > cuts[r] else None for r in range(piece.rows)]
             yield pa.RecordBatch.from_arrays(
-                [piece.batch.column(0), pa.array(np.diff(cuts)), signed(class_ids(grams, cuts)), pa.array(maps, pa.binary()),
-                 *(piece.batch.column(c) for c in carry)],
-                ["id", "size", "node", "bits", *carry])
-
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), *carry).mapInArrow(describe, schema)
+                [batch.column(0), pa.array(np.diff(cuts)), signed(class_ids(grams, cuts)), pa.array(maps, pa.binary()),
+                 batch.column(2), *(batch.column(c) for c in carry), pa.nulls(piece.rows, pa.int32()), pa.nulls(piece.rows, pa.binary())],
+                ["id", "size", "node", "bits", "mark", *carry, "block", "counts"])
+        for block, packed in counts.packed():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), *(batch.column(c).type for c in carry))]
+                + [pa.array([block], pa.int32()), pa.array([packed], pa.binary())],
+                ["id", "size", "node", "bits", "mark", *carry, "block", "counts"])
 
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), _mark(text), *carry).mapInArrow(describe, schema)
 
-def _counts(docs: DataFrame, text: str, n: int, slots: int) -> np.ndarray:
-    def slot(batches):
-        for piece in bytescan.pieces(batches, "text"):
-            yield (ngram_sets(piece, n)[0] & np.uint64(slots - 1)).astype(np.int64)
 
-    return np.minimum(fixed.summed(docs.select(F.col(f"`{text}`").alias("text")), slots, slot), (1 << 32) - 1).astype(np.uint32)
+def _mark(text: str) -> Column:
+    """What rows of equal texts share, known without their n-grams."""
+    return F.xxhash64(F.col(f"`{text}`")).alias("mark")
 
 
 def _ordered(grams: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sets with their elements in global order, rare ones first."""
-    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    return grams[np.lexsort((grams, counts[(grams & np.uint64(len(counts) - 1)).astype(np.int64)], row))]
+    # Sets are sorted already, so places stand for n-grams among equal counts.
+    key = counts[(grams & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
+    ends = cuts.tolist()
+    for a, b in zip(ends, ends[1:]):
+        key[a:b].sort()
+    return grams[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def _prefixes(docs: DataFrame, text: str, shape: Shape, counts) -> DataFrame:
@@ -270,26 +340,12 @@ def _prefixes(docs: DataFrame, text: str, shape: Shape, counts) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(lead, "gram bigint, node bigint, size int")
 
 
-def _shared(leading: DataFrame) -> DataFrame:
-    """The leading rows whose n-gram is met in another class, too."""
-    several = leading.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    several = Scratch(leading.sparkSession, "grams").keep(several, "several")
-    held = _filter(leading, several)
-
-    def passing(batches):
-        bits = np.unpackbits(held.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_filter_slot(np.asarray(batch.column(0)).view(np.uint64))]))
-
-    # The filter is of a fixed size and lets some others through; the join is exact.
-    return leading.mapInArrow(passing, leading.schema).join(several, "gram", "left_semi").distinct()
-
-
-def _fitting(shared: DataFrame, shape: Shape) -> DataFrame:
-    """The rows with another class of a fitting size next to them in their group.
+def _fitting(leading: DataFrame, shape: Shape) -> DataFrame:
+    """The leading rows, each once, with another class of a fitting size next to them in their n-gram's group.
 
-    Rows are ordered by (gram, size) over the cluster, so a hot n-gram spreads over tasks;
-    only neighbours matter, and rows at the border of a task stay.
+    Rows are ordered by (gram, size, node) over the cluster, so a hot n-gram spreads over tasks;
+    only neighbours matter, and rows at the border of a task stay. Most n-grams are met in
+    one class only and go here, after one shuffle.
     """
     def fits(batches):
         gram, node, size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -299,34 +355,41 @@ def _fitting(shared: DataFrame, shape: Shape) -> DataFrame:
                 continue
             first = not len(gram)
             gram, node, size = (np.append(old, batch.column(c).to_numpy()) for old, c in ((gram, "gram"), (node, "node"), (size, "size")))
-            near = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * 100 >= shape.percent * size[1:])
+            new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))
+            gram, node, size = gram[new], node[new], size[new]
+            near = (gram[1:] == gram[:-1]) & (size[:-1] * 100 >= shape.percent * size[1:])
             good = np.append(first or kept, near) | np.append(near, False)
             yield pa.RecordBatch.from_arrays([pa.array(x[:-1][good[:-1]]) for x in (gram, node, size)], ["gram", "node", "size"])
             gram, node, size, kept = gram[-1:], node[-1:], size[-1:], bool(good[-1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, node, size)], ["gram", "node", "size"])
 
-    return shared.repartitionByRange("gram", "size").sortWithinPartitions("gram", "size").mapInArrow(fits, shared.schema)
+    order = "gram", "size", "node"
+    return leading.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fits, leading.schema)
 
 
-def _sets(docs: DataFrame, text: str, n: int, counts, wanted: DataFrame) -> DataFrame:
-    """Rows (node, grams) of the wanted classes, in global order. A filter of a fixed size
-    keeps most other classes back; the join afterwards removes the rest."""
+def _sets(docs: DataFrame, text: str, n: int, counts, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, grams) of the wanted classes, in global order. One text stands for a class; a filter
+    of a fixed size keeps most others back unread, the join afterwards removes the rest."""
     nodes = wanted.select("node").distinct()
-    keep = _filter(docs, nodes)
+    keep = _filter(docs, rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")).select("mark"))
 
-    def send(batches):
+    def chosen(batches):
         bits = np.unpackbits(keep.value).astype(bool)
-        for piece in bytescan.pieces(batches, "text"):
+        for batch in batches:
+            some = batch.filter(pa.array(bits[_filter_slot(np.asarray(batch.column(1)).view(np.uint64))]))
+            if some.num_rows:
+                yield some
+
+    def send(batches):
+        for piece in bytescan.pieces(chosen(batches), "text"):
             grams, cuts = ngram_sets(piece, n)
-            ids = class_ids(grams, cuts)
-            chosen = np.flatnonzero(bits[_filter_slot(ids)] & (np.diff(cuts) > 0)).tolist()
-            if chosen:
-                grams = _ordered(grams, cuts, counts.value)
-                yield pa.RecordBatch.from_arrays([
-                    signed(ids[chosen]),
-                    pa.array([grams[cuts[r]:cuts[r + 1]].tobytes() for r in chosen], pa.binary())], ["node", "grams"])
-
-    sent = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(send, "node bigint, grams binary")
+            ids, filled = class_ids(grams, cuts), np.flatnonzero(np.diff(cuts)).tolist()
+            grams = _ordered(grams, cuts, counts.value)
+            yield pa.RecordBatch.from_arrays([
+                signed(ids[filled]),
+                pa.array([grams[cuts[r]:cuts[r + 1]].tobytes() for r in filled], pa.binary())], ["node", "grams"])
+
+    sent = docs.select(F.col(f"`{text}`").alias("text"), _mark(text)).mapInArrow(send, "node bigint, grams binary")
     return sent.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -367,6 +430,10 @@ def _possible(grouped: DataFrame, shape: Shape) -> DataFrame:
             for _, held in groups(batches, 3):
                 if len(held) < 2:
                     continue
+                if len(held) > FEW:
+                    root = Bitmaps([r[2] for r in held], [r[1] for r in held], shape).parts()
+                    yield from ((held[i][0], held[r][0]) for i, r in enumerate(root) if i != r)
+                    continue
                 maps = [(int.from_bytes(r[2], "little"), 8 * len(r[2]), r[1]) for r in held]
                 root = list(range(len(held)))
                 for i, x in enumerate(maps):
@@ -422,13 +489,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     spark, shape = docs.sparkSession, Shape(n, percent)
     scratch = Scratch(spark, "ngrams")
-    rows = scratch.keep(_classes(docs, key, text, n, carry), "rows")
-    counts = spark.sparkContext.broadcast(_counts(docs, text, n, slots))
+    described = scratch.keep(_classes(docs, key, text, n, slots, carry), "rows")
+    rows = described.where("block IS NULL").drop("block", "counts")
+    seen = fixed.total(described.where("block IS NOT NULL").select("block", "counts"), slots)
+    counts = spark.sparkContext.broadcast(np.minimum(seen, (1 << 32) - 1).astype(np.uint32))
 
     leading = scratch.keep(_prefixes(docs, text, shape, counts).where("node <> 0"), "leading")
-    shared = scratch.keep(_shared(leading), "shared")
+    fitting = scratch.keep(_fitting(leading, shape), "fitting")
     scratch.drop(leading)
-    fitting = scratch.keep(_fitting(shared, shape), "fitting")
     # Of the groups with the same members one is enough.
     chosen = fitting.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"),
@@ -451,13 +519,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     placed = scratch.keep(clusters.join(sized, "root").select(
         F.col("root").alias("key"), "node", "members", F.col("root").alias("pivot")), "clusters")
     first = blocks_first(placed)
-    links = scratch.keep(_trees(first, _sets(docs, text, n, counts, placed), shape), "links")
+    links = scratch.keep(_trees(first, _sets(docs, text, n, counts, rows, placed), shape), "links")
     parts = connected(links, scratch)
     large = placed.where(F.col("members") > BLOCK)
     if large.limit(1).count():
         apart = scratch.keep(blocks_apart(large.join(parts, "node", "left").withColumn(
             "part", F.coalesce("root", "node")).drop("root")), "apart")
-        links = links.unionByName(scratch.keep(_trees(apart, _sets(docs, text, n, counts, apart), shape), "links"))
+        links = links.unionByName(scratch.keep(_trees(apart, _sets(docs, text, n, counts, rows, apart), shape), "links"))
         parts = connected(links, scratch)
 
     classes = rows.where("node <> 0").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").select(

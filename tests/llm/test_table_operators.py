@@ -44,6 +44,49 @@ def test_prefix_tree_finds_all_pairs():
         assert set(tree.similar(probe, np.zeros(len(sets), bool))) == want
 
 
+def family(size: int, parted: int) -> list[np.ndarray]:
+    """A set and copies of it in which so many percent of the elements are their own: copies are not similar to each other."""
+    draw, base = np.random.default_rng(4), np.arange(300, dtype=np.uint64)
+    own = [np.concatenate([draw.permutation(base)[300 * parted // 100:], 1000 * (i + 1) + np.arange(3 * parted, dtype=np.uint64)]) for i in range(size)]
+    return [np.sort(x).astype(np.uint64) for x in [base, *own]]
+
+
+def test_matrices_of_bitmaps_bound_as_pairs_do():
+    shape, draw = ngram_join.Shape(3, 80), np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 150, draw.integers(1, 220)).astype(np.uint64)) for _ in range(60)] + family(40, 11)
+    maps, sizes = [ngram_join.bitmap(x) for x in sets], [len(x) for x in sets]
+    bounds, whole = ngram_join.Bitmaps(maps, sizes, shape), [(int.from_bytes(m, "little"), 8 * len(m), n) for m, n in zip(maps, sizes)]
+    for i, x in enumerate(whole):
+        free = draw.integers(0, 2, len(sets)).astype(bool)
+        want = {j for j in np.flatnonzero(free).tolist()
+                if (need := shape.overlap(sizes[i], sizes[j])) <= min(sizes[i], sizes[j], ngram_join.most_common(*x, *whole[j]))}
+        assert set(bounds.allow(i, free).tolist()) == want
+    near = {i: set(bounds.allow(i, np.ones(len(sets), bool)).tolist()) for i in range(len(sets))}
+    for i, root in enumerate(bounds.parts()):
+        reached, todo = {i}, [i]
+        while todo:
+            more = near[todo.pop()] - reached
+            reached |= more
+            todo += more
+        assert root == min(reached)
+
+
+def test_large_group_of_sets_that_are_apart(monkeypatch):
+    """Copies that differ from each other are not compared one by one in the tree."""
+    shape, calls, similar = ngram_join.Shape(5, 80), [], ngram_join.PrefixTree.similar
+
+    def counted(self, probe, skip):
+        calls.append(1)
+        return similar(self, probe, skip)
+
+    monkeypatch.setattr(ngram_join.PrefixTree, "similar", counted)
+    for parted, linked in ((10, 200), (14, 0)):           # ten percent: similar to the first set only
+        calls.clear()
+        links = ngram_join.forest(list(range(201)), family(200, parted), shape)
+        assert len(links) == len({a for a, _ in links}) == linked
+    assert len(calls) <= 50
+
+
 def test_bitmaps_never_understate():
     draw = np.random.default_rng(5)
     for _ in range(200):
